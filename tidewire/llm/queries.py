@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import decontaminate
+from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .suffix_dedup import suffix_dedup
 
 
@@ -14,6 +18,60 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights for the mix: documents labelled good count twice as much as unlabelled ones, those labelled bad half as much."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") > 0, 2.0).otherwise(0.5).alias("weight"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op6_line_dedup, op7_mix_sources)}
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, coalesce({_WORDS}, []) AS w FROM benchmark WHERE item_id IS NOT NULL),
+phrases AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM phrases),
+places AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+found AS (SELECT rid, i, p.n, item_id FROM places JOIN phrases p USING (n, k)),
+hits AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT rid, i, n FROM found)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)""",
+    "op6_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT rid, doc_id, i, array_to_string(l[i + 1:i + 3], chr(10)) AS k FROM (SELECT rid, doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) >= 3)),
+later AS (SELECT rid, i FROM (SELECT rid, i, rank() OVER (PARTITION BY k ORDER BY doc_id NULLS LAST, i) AS r FROM w WHERE regexp_matches(k, '\S')) WHERE r > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 3)) AS n FROM later),
+kept AS (SELECT rid, string_agg(line, chr(10) ORDER BY n) AS text, count(*) AS n_kept FROM (SELECT rid, unnest(l) AS line, unnest(range(0, len(l))) AS n FROM d) ANTI JOIN gone USING (rid, n) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)""",
+    "op7_mix_sources": r"""
+WITH q AS (SELECT doc_id, max(CASE WHEN quality > 0 THEN 2.0 ELSE 0.5 END) AS weight FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, hash(text) AS h,
+  -ln((CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / coalesce(CAST(weight AS DOUBLE), 1.0) AS key
+  FROM documents LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, 2.0 * sum(size) AS cap, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w FROM d GROUP BY source),
+l AS (SELECT *, CAST(cap AS DOUBLE) / CAST(w AS DOUBLE) AS ratio, (sum(CAST(z AS DOUBLE)) OVER () * 1.5 - coalesce(sum(CAST(cap AS DOUBLE)) OVER before, 0)) / (sum(CAST(w AS DOUBLE)) OVER () - coalesce(sum(CAST(w AS DOUBLE)) OVER before, 0)) AS level
+  FROM s WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, z, least(CAST(cap AS DOUBLE), CAST(w AS DOUBLE) * (SELECT coalesce(arg_min(level, ratio), 'infinity'::DOUBLE) FROM l WHERE ratio >= level)) AS target FROM l),
+e AS (SELECT *, CASE WHEN z > 0 THEN CAST(floor(target / z) AS BIGINT) ELSE 0 END AS epochs FROM t),
+p AS (SELECT d.doc_id, d.size, e.z, e.target, e.epochs, CAST(floor(e.target) AS BIGINT) - e.epochs * e.z - (sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id IS NULL, d.doc_id, d.size, h ROWS UNBOUNDED PRECEDING) - d.size) AS room
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target, CAST(epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken FROM p""",
+}
