@@ -27,7 +27,7 @@ _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
 def _rolling(text: np.ndarray, k: int, base: int = _B1) -> np.ndarray:
-    """A hash for each k consecutive bytes, by blocks so that a long row needs bounded memory."""
+    """A hash for each k consecutive bytes, by steps so that a long row needs bounded memory."""
     n, size = len(text) - k + 1, 1 << 19
     out = np.empty(max(n, 0), dtype=np.uint64)
     p, q = powers(size + k, base), powers(size + k, pow(base, -1, 2**64))
@@ -47,42 +47,43 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:-rest], keys[rest:]) if rest else keys
 
 
-def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows of the given length; the leftmost of equal hashes counts."""
-    found, hashes, width, size = [], [], length - ANCHOR + 1, 1 << 19
+def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of all windows, the leftmost of equal hashes, and the starts of the first and last window of each."""
+    parts, width, size = [], length - ANCHOR + 1, 1 << 19
     for a in range(0, max(len(text) - length + 1, 0), size):
         h = _rolling(text[a : a + size + length - 1], ANCHOR)
         keys = (h & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(h), dtype=np.uint64)
         at = (_least(keys, width) & np.uint64(0xFFFFF)).astype(np.int64)
-        at = at[np.r_[True, at[1:] != at[:-1]]]
-        found.append(at + a)
-        hashes.append(h[at])
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    at, first = np.unique(np.concatenate(found), return_index=True)
-    return at, np.concatenate(hashes)[first]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        parts.append((at[first] + a, h[at[first]], first + a, np.r_[first[1:], len(at)] - 1 + a))
+    if not parts:
+        return (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 2)
+    at, h, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.r_[True, at[1:] != at[:-1]]  # a run that two steps share counts once
+    return at[new], h[new], first[new], last[np.r_[new[1:], True]]
 
 
 def _emit_anchors(length: int):
+    """An anchor's place with how far its windows reach to the left and right, packed as place, 16 bits, 16 bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
             for lo, hi in steps(offsets):
-                at, h = anchors(data[offsets[lo] : offsets[hi]], length)
-                row = np.searchsorted(offsets[lo : hi + 1] - offsets[lo], at, side="right") - 1 + lo
-                ok = (at + offsets[lo] + ANCHOR <= offsets[row + 1]) & (offsets[row + 1] - offsets[row] >= length)
-                at, h, row = at[ok], h[ok], row[ok]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("digest").take(pa.array(row)), pa.array((at + offsets[lo] - offsets[row]).astype(np.int32)), pa.array(h.view(np.int64))],
-                    names=["digest", "at", "anchor"],
-                )
+                at, h, first, last = anchors(data[offsets[lo] : offsets[hi]], length)
+                cuts = offsets[lo : hi + 1] - offsets[lo]
+                row = np.searchsorted(cuts, at, side="right") - 1
+                first, last = np.maximum(first, cuts[row]), np.minimum(last, cuts[row + 1] - length)
+                ok = first <= last
+                at, h, first, last, row = (x[ok] for x in (at, h, first, last, row))
+                packed = ((at - cuts[row]) << 32) | ((at - first) << 16) | (last + length - at)
+                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(row + lo)), pa.array(packed), pa.array(h.view(np.int64))], names=["digest", "at", "anchor"])
 
     return run
 
 
 def _emit_contexts(length: int, block: int):
-    """For each kept anchor: its bytes with what a window around it can hold; for anchors of large blocks: window hashes."""
-    reach = length - ANCHOR
+    """For each kept anchor: the bytes of its windows; for anchors of large blocks: the hashes of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,28 +93,23 @@ def _emit_contexts(length: int, block: int):
             for i in range(batch.num_rows):
                 text, own = texts[i].as_py(), lists[i].values
                 digest = digests[i].as_py()
-                at, hashes, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("at", "anchor", "n"))
-                order = np.argsort(at, kind="stable")
-                hot = order[n[order] > block]
-                for j in order[n[order] <= block].tolist():
-                    a = int(at[j])
-                    left = min(a, reach)
-                    for column, v in zip(out, (digest, int(hashes[j]), a, left, text[a - left : a + length], None), strict=True):
+                packed, hashes, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("at", "anchor", "n"))
+                at, left, right = packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF
+                few = n <= block
+                for h, a, l, r in zip(hashes[few].tolist(), at[few].tolist(), left[few].tolist(), right[few].tolist(), strict=True):
+                    for column, v in zip(out, (digest, h, a, l, text[a - l : a + r], None), strict=True):
                         column.append(v)
-                    held += length + reach
-                if len(hot):
-                    starts = np.unique(np.concatenate([np.arange(max(0, a - reach), min(a, len(text) - length) + 1) for a in at[hot].tolist()]))
-                    raw = np.frombuffer(text, dtype=np.uint8)
-                    for a in range(0, len(starts), 1 << 18):
-                        part = starts[a : a + (1 << 18)]
-                        span = raw[part[0] : part[-1] + length]
-                        h1, h2 = _rolling(span, length)[part - part[0]], _rolling(span, length, _B2)[part - part[0]]
-                        for column, v in zip(out, ([digest] * len(part), h1.view(np.int64).tolist(), part.tolist(), [-1] * len(part), [None] * len(part), h2.view(np.int64).tolist()), strict=True):
-                            column.extend(v)
-                        held += 80 * len(part)
-                        if held > 8 << 20:
-                            yield _contexts(out)
-                            out, held = [[] for _ in out], 0
+                    held += length + l
+                raw = np.frombuffer(text, dtype=np.uint8)
+                for a, l, r in zip(at[~few].tolist(), left[~few].tolist(), right[~few].tolist(), strict=True):
+                    span, size = raw[a - l : a + r], l + r - length + 1
+                    values = ([digest] * size, _rolling(span, length).view(np.int64).tolist(), list(range(a - l, a - l + size)), [-1] * size, [None] * size, _rolling(span, length, _B2).view(np.int64).tolist())
+                    for column, v in zip(out, values, strict=True):
+                        column.extend(v)
+                    held += 80 * size
+                    if held > 8 << 20:
+                        yield _contexts(out)
+                        out, held = [[] for _ in out], 0
                 if held > 8 << 20:
                     yield _contexts(out)
                     out, held = [[] for _ in out], 0
@@ -266,14 +262,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.unhex(F.md5("data")))
     texts = base.groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
-    found = texts.mapInArrow(_emit_anchors(length), "digest binary, at int, anchor long")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = texts.mapInArrow(_emit_anchors(length), "digest binary, at long, anchor long")
+    # Keys of counts are made anew before joins: then both sides are shuffled for the join, and a hot key can be split.
+    anew = lambda c: F.col(c).bitwiseXOR(F.lit(0)).alias(c)
+    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(anew("anchor"), "n")
     places = found.join(twice, "anchor").groupBy("digest").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("anchors"))
     contexts = texts.join(places, "digest").select("digest", "data", "anchors").mapInArrow(_emit_contexts(length, block), "digest binary, anchor long, at int, left_n int, context binary, window2 long")
     blocks = contexts.where("left_n >= 0").select("digest", "anchor", "at", "left_n", "context").repartition("anchor").sortWithinPartitions("anchor")
     spans = blocks.mapInArrow(_find_repeats(length), "digest binary, first int, last int")
     windows = contexts.where("left_n < 0").select("digest", F.col("anchor").alias("w1"), F.col("window2").alias("w2"), F.col("at").alias("first"))
-    often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(anew("w1"), anew("w2"))
     spans = spans.unionByName(windows.join(often, ["w1", "w2"]).select("digest", "first", (F.col("first") + length).cast("int").alias("last")))
     cuts = spans.groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kept = texts.join(cuts, "digest", "left").select("digest", "data", "copies", "spans").mapInArrow(
