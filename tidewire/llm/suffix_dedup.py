@@ -1,6 +1,6 @@
 """Removal of long byte strings that occur twice anywhere, by a sparse enhanced suffix array.
 
-The suffix array holds one suffix for each anchor: the 50-byte string with the least hash in any `length`-byte window
+The suffix array holds one suffix for each anchor: the 40-byte string with the least hash in any `length`-byte window
 (a minimizer). What a window's anchor is depends on the window's bytes alone, so two equal windows have their anchor at the
 same place, and every repeated window shows in the block of suffixes that begin with one anchor string. Blocks are dealt
 out by anchor. A stack scan over a block's longest common prefixes gives its common-prefix intervals; in each, the members'
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, mix, powers, steps
 
-ANCHOR = 50
+ANCHOR = 40
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
@@ -258,9 +258,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Every byte that lies in a `length`-byte string which starts anywhere else too is removed. Null texts are empty; texts below
     `length` bytes are kept whole; repeated rows, null ids and repeated ids are documents of their own; other columns
-    are ignored; an empty table gives no rows. Texts are handled once for each distinct content (by MD5 of the bytes).
+    are ignored; an empty table gives no rows. Texts are handled once for each distinct content (by 96 bits of its MD5).
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.unhex(F.md5("data")))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.substring(F.unhex(F.md5("data")), 1, 12))
     texts = base.groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
     found = texts.mapInArrow(_emit_anchors(length), "digest binary, at long, anchor long")
     # Keys of counts are made anew before joins: then both sides are shuffled for the join, and a hot key can be split.
