@@ -14,6 +14,8 @@ from .language_id import dictionaries, identify_language
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
+from .quality import score_quality
 from .suffix_dedup import suffix_dedup
 from .topk_search import top_k
 
@@ -54,6 +56,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(F.col("_id").alias("doc_id"), "class_id", "class_size", (F.col("stays") & (F.col("_copy") == 1)).alias("stays"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("_q_score").alias("score"), F.col("_q_p_text").alias("p_text"), F.col("_q_p_meta").alias("p_meta"), (F.col("_q_score") >= 0.5).alias("accepted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -61,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_topk_search, op6_line_dedup, op7_mix_sources, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_topk_search, op6_line_dedup, op7_mix_sources, op8_near_dedup, op9_quality, op10_language_id)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
