@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Documents of a source that share a range of keys, about.
-RANGE = 20_000
+RANGE = 2_000
+#: Sources whose plan is broadcast; more are joined by source.
+FEW = 50_000
 
 
 def n_words(text: str) -> Column:
@@ -54,9 +58,11 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, id_col: str =
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     base = base.withColumns({"_u": u, "_weight": weight}).withColumn("_key", -F.log("_u") / F.col("_weight"))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    sizes = cut(sizes)
+    few = sizes.limit(FEW + 1).count() <= FEW
     plan = targets(sizes, share, weights, most).withColumn("_ranges", F.ceil(F.col("docs") / RANGE))
     plan = plan.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("_rest", F.floor("target") - F.col("_epochs") * F.col("source_size"))
-    joined = base.withColumnRenamed("source", "_own").join(F.broadcast(plan), F.col("_own").eqNullSafe(F.col("source")))
+    joined = base.withColumnRenamed("source", "_own").join(F.broadcast(plan) if few else plan, F.col("_own").eqNullSafe(F.col("source")))
     # 1 - exp(-key) is -expm1(-key): near uniform for weights about 1, and in the order of the keys for any.
     ranged = joined.withColumn("_range", F.least(F.col("_ranges") - 1, F.floor(-F.expm1(-F.col("_key")) * F.col("_ranges"))))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
