@@ -1 +1 @@
-"""Plans of the library."""
+"""Views of the driver tables and the queries registered over them."""
