@@ -150,8 +150,8 @@ def x5(spark, sf_dir):
     return rounded(signal_templates(spark, sf_dir)[2])
 
 
-@query("f29_template_distances", with_sql(P, _SIGN, _BIN, _TPL) + """, n AS (SELECT capture_id, bin, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-9) AS v FROM z WINDOW w AS (PARTITION BY capture_id)), g AS (SELECT c.capture_id, tp.label, tp.t, coalesce(n.v, 0) AS v FROM (SELECT DISTINCT capture_id FROM z) c CROSS JOIN tp LEFT JOIN n ON n.capture_id = c.capture_id AND n.bin = tp.bin)
-SELECT capture_id, label, round(sqrt(sum((v - t) ** 2)) / count(*), 6) AS distance, round(sum(v * t) / (sqrt(sum(v * v)) * sqrt(sum(t * t)) + 1e-9), 6) AS cosine FROM g GROUP BY 1, 2""")
+@query("f29_template_distances", with_sql(P, _SIGN, _BIN, _TPL) + """, n AS (SELECT capture_id, bin, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-9) AS v FROM z WINDOW w AS (PARTITION BY capture_id)), gr AS (SELECT c.capture_id, tp.label, tp.t, coalesce(n.v, 0) AS v FROM (SELECT DISTINCT capture_id FROM z) c CROSS JOIN tp LEFT JOIN n ON n.capture_id = c.capture_id AND n.bin = tp.bin)
+SELECT capture_id, label, round(sqrt(sum((v - t) ** 2)) / count(*), 6) AS distance, round(sum(v * t) / (sqrt(sum(v * v)) * sqrt(sum(t * t)) + 1e-9), 6) AS cosine FROM gr GROUP BY 1, 2""")
 def f29(spark, sf_dir):
     own, _, templates = signal_templates(spark, sf_dir)
     return rounded(signals.template_distances(own, templates))
