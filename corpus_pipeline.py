@@ -45,8 +45,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of benchmark windows."""
-    return _rewritten(decontaminate(docs, table(spark, sf_dir, "benchmark"), cut_text=True), docs.columns, F.col("_n_hit") > 0)
+    """Documents without the words of benchmark windows; those that hold nothing else go."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), cut_text=True)
+    return _rewritten(found.where("_n_hit = 0 OR _n_hit < _n_words"), docs.columns, F.col("_n_hit") > 0)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

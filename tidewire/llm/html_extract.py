@@ -35,7 +35,9 @@ CONTENT = frozenset("article main".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner banners cookie cookies consent notice notices sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments disqus footer header masthead share sharing social promo promotion sponsor sponsored newsletter subscribe popup modal related recommended toolbar widget pagination pager".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
+#: Importance below which a branch goes; inside an article only one that many pages of the host repeat almost word for word.
 LEAST, GAMMA = 0.3, 0.9
+LEAST_INSIDE, MANY = 0.05, 50
 
 
 class Block:
@@ -147,14 +149,15 @@ def _extract(names: list[str]):
         for batch in batches:
             texts = []
             for page, tree in zip(batch.column("_html").to_pylist(), batch.column("tree"), strict=True):
-                importance = dict(zip(tree.values.field("node").to_pylist(), tree.values.field("importance").to_pylist(), strict=True)) if tree.is_valid else {}
+                nodes = {n["node"]: (n["importance"], n["pages"]) for n in tree.as_py() or ()}
                 found = [b for b in blocks(page or "") if not b.noise]
-                if any(b.main for b in found):
+                if inside := any(b.main for b in found):
                     found = [b for b in found if b.main]
+                least = lambda b: min((v for v, n in (nodes.get(p, (1.0, 1)) for p in b.path) if not inside or n >= MANY), default=1.0)  # noqa: B023, E731
                 # A branch goes if it is of low importance, and much less so than the page's branches at large: a host of
                 # equal pages holds no more than its pages' one content.
-                top = max((min((importance.get(p, 1.0) for p in b.path), default=1.0) for b in found), default=1.0)
-                texts.append("\n\n".join(b.text for b in found if min((importance.get(p, 1.0) for p in b.path), default=1.0) >= min(LEAST, top / 2)))
+                top = max(map(least, found), default=1.0)
+                texts.append("\n\n".join(b.text for b in found if least(b) >= min(LEAST_INSIDE if inside else LEAST, top / 2)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, type=pa.string())], names=[*names, "text"])
 
     return run
@@ -171,7 +174,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][\w+.-]*://(?:www\.)?([^/?#:]+)", 1)), F.lit("")))
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("host"))
     tree = style_tree(base)
-    trees = tree.where("pages > 1").groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("tree"), F.count(F.lit(1)).alias("n"))
+    trees = tree.where("pages > 1").groupBy("host").agg(F.collect_list(F.struct("node", "importance", "pages")).alias("tree"), F.count(F.lit(1)).alias("n"))
     trees = cut(trees)
     small = (trees.agg(F.sum("n")).first()[0] or 0) <= broadcast_rows
     joined = base.join(F.broadcast(trees) if small else trees.select(F.col("host").bitwiseXOR(F.lit(0)).alias("host"), "tree"), "host", "left")
