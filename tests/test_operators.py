@@ -140,3 +140,14 @@ def test_streams_agree_with_batches(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.history for r in spark.table("history").collect()] == [["a", "b", "a", "c"]]
+
+
+def test_pieces_spans_and_three_way_pairs(spark):
+    tokens = spark.createDataFrame([(1, 0, "unable"), (1, 1, "zz"), (1, 2, "able")], "id int, pos int, token string")
+    got = {r.pos: r.pieces for r in corpora.split_words(tokens, ["un", "able", "##able"]).collect()}
+    assert got == {0: ["un", "##able"], 1: ["[UNK]"], 2: ["able"]}
+    many = spark.createDataFrame([(i, p, "t") for i in range(40) for p in range(100)], "id int, pos int, token string")
+    assert 0.08 < corpora.mask_spans(many).agg(F.avg(F.col("masked").cast("double"))).first()[0] < 0.2
+    sentences = spark.createDataFrame([(i, p, f"s {i} of {p}") for i in range(30) for p in range(4)], "id int, pos int, text string")
+    kinds = {r.kind: r["count"] for r in corpora.three_way_pairs(sentences).groupBy("kind").count().collect()}
+    assert set(kinds) == {"random", "next", "reordered"} and sum(kinds.values()) == 90

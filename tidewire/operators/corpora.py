@@ -199,3 +199,67 @@ def learn_merges(tokens: DataFrame, merges: int) -> list[tuple[str, str]]:
             if counts.sparkSession.sparkContext.getCheckpointDir():
                 counts = counts.checkpoint()
     return out
+
+
+def mask_spans(tokens: DataFrame, share: float = 0.15, p: float = 0.2, longest: int = 10, seed: int = 0) -> DataFrame:
+    """id, pos, token, masked: spans of geometric length (the inverse of its distribution at a hash, at most `longest`) from hashed starts.
+
+    Starts are as likely as gives about `share` masked tokens at the mean length; overlapping spans become one.
+    """
+    import math
+
+    mean = sum((1 - p) ** i for i in range(longest))
+    start = unit_hash("id", "pos", seed=seed) < share / mean
+    length = F.least(F.lit(longest), F.floor(F.log(1 - unit_hash("id", "pos", seed=seed + 1)) / math.log(1 - p)) + 1)
+    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return tokens.select("id", "pos", "token", F.coalesce(F.max(F.when(start, F.col("pos") + length)).over(w) > F.col("pos"), F.lit(False)).alias("masked"))
+
+
+def three_way_pairs(sentences: DataFrame, seed: int = 0) -> DataFrame:
+    """id, pos, a, b, kind: the next sentence, that of another text, or the next one with its words in hashed order, each for a third."""
+    pairs = sentence_pairs(sentences, seed)
+    after = sentences.select("id", (F.col("pos") - 1).alias("pos"), F.col("text").alias("_next"))
+    u = unit_hash("id", "pos", seed=seed + 2)
+    other = sentence_pairs(sentences, seed).where("NOT is_next").select("id", F.col("b").alias("_other")).groupBy("id").agg(F.min("_other").alias("_other"))
+    own = pairs.select("id", "pos", "a").join(after, ["id", "pos"]).join(other, "id", "left")
+    shuffled = F.array_join(F.transform(F.array_sort(F.transform(F.split("_next", " "), lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), "id", i.cast("string"), x).cast("binary")).alias("h"), x.alias("x")))), lambda s: s["x"]), " ")
+    kind = F.when((u < 1 / 3) & F.col("_other").isNotNull(), "random").when(u < 2 / 3, "next").otherwise("reordered")
+    return own.select("id", "pos", "a", F.when(kind == "random", F.col("_other")).when(kind == "next", F.col("_next")).otherwise(shuffled).alias("b"), kind.alias("kind"))
+
+
+def structured_tokens(field: Column, value: Column) -> Column:
+    """Ids of a field's value: numbers modulo 1000 from 1200, other words by 32 bits of their MD5 modulo 500 from 1300, led by the field's own id."""
+    word = lambda x: 1300 + F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long") % 500
+    parts = F.regexp_extract_all(F.lower(value), F.lit(r"([0-9]+|[a-z]+)"), F.lit(1))
+    return F.concat(F.array(word(F.lower(field))), F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), 1200 + F.coalesce(x.try_cast("decimal(38,0)") % 1000, F.lit(0)).cast("long")).otherwise(word(x))))
+
+
+def split_words(tokens: DataFrame, vocabulary_: list[str], unknown: str = "[UNK]") -> DataFrame:
+    """id, pos, pieces: each word cut into the longest vocabulary entries from the left, later ones led by ##; unknown if none fits.
+
+    The different words are cut once, in Arrow batches, and joined back; the vocabulary is a bounded list that goes to the tasks.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    known = frozenset(vocabulary_)
+    longest = max(map(len, known), default=1)
+
+    def cut(word: str) -> list[str]:
+        out, at = [], 0
+        while at < len(word):
+            lead = "##" if at else ""
+            end = next((e for e in range(min(len(word), at + longest), at, -1) if lead + word[at:e] in known), 0)
+            if not end:
+                return [unknown]
+            out.append(lead + word[at:end])
+            at = end
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"token": b["token"], "pieces": b["token"].map(cut)})
+
+    pieces = tokens.select("token").distinct().mapInPandas(run, "token string, pieces array<string>")
+    return tokens.join(pieces, "token").select("id", "pos", "pieces")

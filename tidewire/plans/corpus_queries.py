@@ -280,3 +280,27 @@ def s10(spark, sf_dir):
 def s14(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return ops.lines_to_documents(lines, "file", "n", "text").groupBy("file").agg(F.count(F.lit(1)).alias("paragraphs"))
+
+
+@query("b3_span_masks")
+def b3(spark, sf_dir):
+    return ops.mask_spans(tokens(spark, sf_dir))
+
+
+@query("b5_three_way_pairs")
+def b5(spark, sf_dir):
+    return ops.three_way_pairs(sentences(spark, sf_dir))
+
+
+_WORD = "1300 + CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) % 500"
+
+
+@query("f34_structured_tokens", f"SELECT event_id, list_concat([{_WORD.format('event_type')}], list_transform(regexp_extract_all(lower(props), '[0-9]+|[a-z]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN 1200 + CAST(x AS BIGINT) % 1000 ELSE {_WORD.format('x')} END)) AS ids FROM events")
+def f34(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", ops.structured_tokens(F.col("event_type"), F.col("props")).alias("ids"))
+
+
+@query("f35_word_pieces")
+def f35(spark, sf_dir):
+    letters = [chr(i) for i in range(97, 123)] + [str(i) for i in range(10)]
+    return ops.split_words(tokens(spark, sf_dir), [*letters, *[f"##{c}" for c in letters], "th", "##th", "##ing", "the", "and", "##tion"])
