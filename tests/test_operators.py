@@ -151,3 +151,16 @@ def test_pieces_spans_and_three_way_pairs(spark):
     sentences = spark.createDataFrame([(i, p, f"s {i} of {p}") for i in range(30) for p in range(4)], "id int, pos int, text string")
     kinds = {r.kind: r["count"] for r in corpora.three_way_pairs(sentences).groupBy("kind").count().collect()}
     assert set(kinds) == {"random", "next", "reordered"} and sum(kinds.values()) == 90
+
+
+def test_task_steps_pick_valid_templates(spark):
+    from tidewire.operators import signals
+
+    samples = spark.createDataFrame([("a1", "a", "AAAA"), ("a2", "a", "AAAB"), ("b1", "b", "BBBB")], "sample string, label string, text string")
+    graph = conformance.adjacency(spark.createDataFrame([(["a", "b"],)], "seq array<string>"))
+    limits = spark.createDataFrame([("a", 0.3), ("b", 0.3)], "best string, threshold double")
+    got = signals.score_task_steps(steps(spark, [["a", "b"], ["b", "a"]]), samples, signals.medoid_templates(samples), graph, limits).collect()
+    rows = {(r.seq_id, r.pos): r for r in got}
+    assert rows["s0", 0].valid and rows["s0", 0].best == "a" and not rows["s0", 0].anomaly
+    assert rows["s0", 1].best == "b" and rows["s0", 1].similarity == 1.0 and not rows["s0", 1].anomaly
+    assert not rows["s1", 0].valid and rows["s1", 0].anomaly and rows["s1", 1].best is None

@@ -122,3 +122,29 @@ def leave_one_out(samples: DataFrame) -> DataFrame:
     both = pairs.select(F.col("sample_a").alias("sample"), F.col("label_b").alias("best"), "similarity").unionByName(pairs.select(F.col("sample_b").alias("sample"), F.col("label_a").alias("best"), "similarity"))
     top = both.groupBy("sample").agg(F.min_by("best", F.struct(-F.col("similarity"), F.col("best"))).alias("best"))
     return samples.select("sample", "label").join(top, "sample", "left")
+
+
+def score_task_steps(steps: DataFrame, samples: DataFrame, templates: DataFrame, graph: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """seq_id, pos, action, sample, best, similarity, valid, anomaly: each step's sample against the templates of the actions that may stand there.
+
+    A step's sample is one of its action's samples, picked by a hash of the step; steps of actions without samples are left
+    out. An action may stand where the one before leads to it, or at the start (graph: action, successors, starts). A step is an
+    anomaly if it isn't valid or its best template is farther than that label's threshold.
+    """
+    from .corpora import unit_hash
+
+    numbered = samples.withColumns({"_k": F.row_number().over(Window.partitionBy("label").orderBy("sample")) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("label"))})
+    sizes = numbered.groupBy(F.col("label").alias("action")).agg(F.max("_n").alias("_n"))
+    rows = steps.withColumn("_previous", F.lag("action").over(Window.partitionBy("seq_id").orderBy("pos"))).join(F.broadcast(sizes), "action")
+    rows = rows.withColumn("_k", F.floor(unit_hash("seq_id", "pos") * F.col("_n"))).join(numbered.select(F.col("label").alias("action"), "_k", "sample", "text"), ["action", "_k"])
+    starts = graph.where("starts").agg(F.collect_set("action").alias("_starts"))
+    rows = rows.join(F.broadcast(graph.select(F.col("action").alias("_previous"), "successors")), "_previous", "left").crossJoin(F.broadcast(starts))
+    rows = rows.withColumn("_next", F.when(F.col("_previous").isNull(), F.col("_starts")).otherwise(F.coalesce("successors", F.array().cast("array<string>"))))
+    # Different texts meet the small template table once; a step then picks among its valid actions.
+    scored = samples.select("text").distinct().crossJoin(F.broadcast(templates.select(F.col("label").alias("best"), F.col("text").alias("_t")))).groupBy("text", "best").agg(F.max(edit_similarity(F.col("text"), F.col("_t"))).alias("similarity"))
+    lists = scored.groupBy("text").agg(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "best")).alias("_all"))
+    top = F.array_min(F.filter("_all", lambda x: F.array_contains(F.col("_next"), x["best"])))
+    out = rows.join(lists, "text").withColumn("_top", top).withColumns({"best": F.col("_top.best"), "similarity": F.coalesce(-F.col("_top.d"), F.lit(0.0)), "valid": F.array_contains("_next", F.col("action"))})
+    out = out.join(F.broadcast(thresholds.select("best", "threshold")), "best", "left")
+    far = F.col("best").isNotNull() & (1 - F.col("similarity") > F.coalesce("threshold", F.lit(1.0)))
+    return out.select("seq_id", "pos", "action", "sample", "best", "similarity", "valid", (~F.col("valid") | far).alias("anomaly"))

@@ -244,3 +244,18 @@ def x22(spark, sf_dir):
     near = signals.template_distances(own, signals.average_templates(own, labels))
     best = near.groupBy("capture_id").agg(F.max_by("label", "cosine").alias("predicted"), F.max("cosine").alias("confidence"))
     return labels.join(best, "capture_id")
+
+
+@query("c11_task_step_scores")
+def c11(spark, sf_dir):
+    """Users' letters as samples, labelled by the user's most frequent event type; even users' sequences give the graph."""
+    from .adapters import actions
+
+    kinds = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    label = kinds.groupBy(F.col("user_id").cast("string").alias("sample")).agg(F.min_by("event_type", F.struct(-F.col("n"), F.col("event_type"))).alias("label"))
+    samples = texts(spark, sf_dir).drop("label").join(label, "sample")
+    steps = actions(spark, sf_dir)
+    graph = conformance.adjacency(conformance.as_sequences(steps.where("seq_id LIKE '8-%'")))
+    templates = signals.medoid_templates(samples)
+    scored = signals.match_templates(samples, templates).withColumn("anomaly", 1 - F.col("similarity"))
+    return signals.score_task_steps(steps, samples, templates, graph, metrics.label_thresholds(scored, "best", "anomaly"))
