@@ -223,6 +223,34 @@ def test_near_duplicates_against_all_pairs(spark, corpus):
     assert have == want and sum(r.stays for r in got) == len(classes)
 
 
+def near_classes(df):
+    """The class sizes of all documents by comparing all pairs; texts differ and have five words at least."""
+    rows = sorted((r.doc_id, r.text) for r in df.collect())
+    idf = near_dedup.inverse_frequencies(df.select(F.col("text").cast("binary").alias("_text")), 5)
+    vectors = near_dedup.vectors(pa.array([t.encode() for _, t in rows]), 5, idf)
+    top = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if top[i] != top[j] and near_dedup.weighted_jaccard(*vectors[i], *vectors[j]) >= 0.8:
+                top = [top[j] if t == top[i] else t for t in top]
+    return {d: min(rows[j][0] for j in range(len(rows)) if top[j] == top[i]) for i, (d, _) in enumerate(rows)}
+
+
+def replaced(words, places, tag):
+    return [f"zz{tag}x{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_near_duplicates_of_a_star_in_large_buckets(spark, monkeypatch):
+    random.seed(8)
+    base = [f"w{i}" for i in range(800)]
+    rows = [(i, " ".join(replaced(base, {5 * x for x in random.sample(range(160), 6)}, i) if i else base)) for i in range(121)]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    want = near_classes(df)
+    assert set(want.values()) == {0}
+    monkeypatch.setattr(near_dedup, "BUCKET", 8)
+    assert {r._id: r.class_id for r in near_duplicates(df).collect()} == want
+
+
 def test_large_buckets_stay_linked(monkeypatch):
     rng = np.random.default_rng(0)
     samples = np.tile(rng.integers(0, 1000, near_dedup.SAMPLES, dtype=np.uint32), (40, 1))

@@ -4,7 +4,9 @@ A text is the multiset of its five-word shingles, each weighing its count times
 are those of hashed features, as in common hashing TF-IDF: one fixed-size table of counts over all documents. 48 consistent
 weighted samples of a text agree with those of another with the chance of their weighted Jaccard similarity. Texts that share the
 three samples of one of 16 bands meet in a bucket; links that span
-the buckets are verified by the exact similarity of the whole texts, and verified links are joined to classes. Texts of equal word sequences are one node throughout.
+the buckets are verified by the exact similarity of the whole texts, and verified links are joined to classes. Then all members of a
+bucket that are still in different classes are compared, large buckets by pairs of tiles, and each pair whose samples don't
+rule it out is verified where it is found. Texts of equal word sequences are one node throughout.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import Words, buffers, cut, grams, mix, steps
 FEATURES = 1 << 18
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
-#: Members of a bucket that one step compares; larger buckets are split by further samples.
+#: Members of a bucket that one step compares; larger buckets are linked by parts first and then compared by pairs of tiles.
 BUCKET = 3000
 CHUNK = 4096
 _TABLE = 1 << 16
@@ -152,6 +154,8 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93) + np.zeros((len(samples), 1), dtype=np.uint64)
         for j in range(ROWS):
             h = mix(h ^ samples[:, :, j])
+        # The last four bits of a bucket are its band.
+        h = (h & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype=np.uint64)[None, :]
         node = batch.column("node").take(pa.array(np.repeat(np.arange(len(samples)), BANDS)))
         yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), node], names=["bucket", "node"])
 
@@ -165,7 +169,7 @@ def _finer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.take_along_axis(samples, at.astype(np.int64), axis=1).astype(np.uint64)
         h = mix(mix(bucket[:, None] + at * np.uint64(0x9E3779B97F4A7C15)) ^ own)
         again = pa.array(np.repeat(np.arange(len(samples)), at.shape[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), *[batch.column(c).take(again) for c in ("node", "component", "samples")]], names=["bucket", "node", "component", "samples"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), *[batch.column(c).take(again) for c in ("node", "samples")]], names=["bucket", "node", "samples"])
 
 
 def _agreements(samples: np.ndarray, size: int = 256) -> Iterator[tuple[int, np.ndarray]]:
@@ -195,43 +199,114 @@ def spanning_links(samples: np.ndarray, least: float, hubs: int = 2) -> list[tup
     return sorted(out)
 
 
-def cross_links(samples: np.ndarray, component: np.ndarray, least: float, most: int = 8) -> list[tuple[int, int]]:
-    """For each member outside the bucket's largest component, the `most` members of other components that agree most with it."""
-    names, component = np.unique(component, return_inverse=True)
-    if len(names) < 2:
-        return []
-    outside = component != np.bincount(component).argmax()
-    out = []
+def cross_pairs(samples: np.ndarray, component: np.ndarray, tile: np.ndarray, band: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of members of different components that agree in at least `least` of their samples, the nearest first in each block.
+
+    Where the members are of two tiles, pairs within a tile are left to another step; so are those that share an earlier band.
+    """
+    component = np.unique(component, return_inverse=True)[1]
+    if not len(component) or component.max() == 0:
+        return
+    two = tile.min() != tile.max()
+    bands = samples.reshape(-1, BANDS, ROWS)
     for lo, share in _agreements(samples):
-        for i in np.flatnonzero(outside[lo : lo + len(share)]).tolist():
-            own = np.where(component == component[lo + i], -1, share[i])
-            best = np.argpartition(-own, min(most, len(own) - 1))[:most]
-            out += [(lo + i, int(j)) for j in best if own[j] >= least]
-    return out
+        ok = (share >= least) & (component[lo : lo + len(share), None] != component[None, :])
+        if two:
+            ok &= tile[lo : lo + len(share), None] != tile[None, :]
+        i, j = np.nonzero(ok)
+        i, j, near = i[j > i + lo] + lo, j[j > i + lo], share[i, j][j > i + lo]
+        first = np.concatenate([(bands[i[x : x + 4096]] == bands[j[x : x + 4096]]).all(axis=2).argmax(axis=1) for x in range(0, len(i), 4096)] or [i])
+        order = np.argsort(-near, kind="stable")
+        order = order[first[order] == band]
+        yield i[order], j[order]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple[int, int], list[list]]]:
+    """The columns of each (bucket, pair); rows come sorted by both."""
+    key, held = None, [[] for _ in names]
+    for batch in batches:
+        for b, p, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "pair", *names)), strict=True):
+            if (b, p) != key:
+                if key is not None:
+                    yield key, held
+                key, held = (b, p), [[] for _ in names]
+            for column, v in zip(held, row, strict=True):
+                column.append(v)
+    if key is not None:
+        yield key, held
+
+
+def _pairs_of(bucket: int, component: list[bytes], samples: list[bytes], tile: list[int], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    s = np.frombuffer(b"".join(samples), dtype=np.uint32).reshape(-1, SAMPLES)
+    return cross_pairs(s, np.array([c.hex() for c in component]), np.array(tile), bucket & (BANDS - 1), least)
+
+
+_MEMBER = "bucket long, pair long, node binary, component binary, samples binary, tile int"
+
+
+def _in_question(least: float):
+    """The members of each step that are in any pair to be verified: only their texts are fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, pair), held in _groups(batches, ("node", "component", "samples", "tile")):
+            some = np.zeros(len(held[0]), dtype=bool)
+            for i, j in _pairs_of(bucket, *held[1:], least):
+                some[i] = some[j] = True
+            at = np.flatnonzero(some).tolist()
+            if at:
+                kept = [pa.array([c[x] for x in at], type=t) for c, t in zip(held, (pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)]
+                keys = [pa.array([v] * len(at), type=pa.int64()) for v in (bucket, pair)]
+                yield pa.RecordBatch.from_arrays([*keys, *kept], names=["bucket", "pair", "node", "component", "samples", "tile"])
+
+    return run
+
+
+def _cross_links(k: int, idf: np.ndarray, threshold: float, least: float):
+    """Verified links between the components of each step; a pair is passed over only where verified links join its components already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, _), (nodes, component, samples, tile, texts) in _groups(batches, ("node", "component", "samples", "tile", "_text")):
+            own = vectors(pa.array(texts, type=pa.binary()), k, idf)
+            total = np.array([w.sum(dtype=np.float64) for _, w in own])
+            root = {c: c for c in component}
+
+            def top(c: bytes) -> bytes:
+                while root[c] != c:  # noqa: B023
+                    root[c] = c = root[root[c]]  # noqa: B023
+                return c
+
+            links = []
+            for i, j in _pairs_of(bucket, component, samples, tile, least):
+                # The lesser total over the greater bounds the similarity.
+                may = np.minimum(total[i], total[j]) >= (threshold - 1e-6) * np.maximum(total[i], total[j])
+                for a, b in zip(i[may].tolist(), j[may].tolist(), strict=True):
+                    x, y = top(component[a]), top(component[b])
+                    if x != y and weighted_jaccard(*own[a], *own[b]) >= threshold:
+                        root[x] = y
+                        links.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+            yield _pairs(links)
+
+    return run
 
 
 def _links(least: float):
     """Links of each bucket; rows come sorted by bucket and samples, so equal texts are near in a bucket that is taken in parts."""
 
-    def solve(nodes: list[bytes], components: list[bytes | None], samples: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def solve(nodes: list[bytes], samples: list[bytes]) -> list[tuple[bytes, bytes]]:
         if len(nodes) < 2:
             return []
-        s = np.frombuffer(b"".join(samples), dtype=np.uint32).reshape(-1, SAMPLES)
-        if components[0] is None:
-            found = spanning_links(s, least)
-        else:
-            found = cross_links(s, np.array([c.hex() for c in components]), least)
+        found = spanning_links(np.frombuffer(b"".join(samples), dtype=np.uint32).reshape(-1, SAMPLES), least)
         return [(min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in found if nodes[a] != nodes[b]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, head = None, ([], [], []), None
+        bucket, held, head = None, ([], []), None
         for batch in batches:
             links: list[tuple[bytes, bytes]] = []
-            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "component", "samples")), strict=True):
+            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "samples")), strict=True):
                 if b != bucket or len(held[0]) >= BUCKET:
                     links += solve(*held)
                     # The first member of a bucket leads each of its parts.
-                    held = ([], [], [])
+                    held = ([], [])
                     if b != bucket:
                         bucket, head = b, row
                     else:
@@ -260,22 +335,24 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return both / (float(w1.sum(dtype=np.float64)) + float(w2.sum(dtype=np.float64)) - both)
 
 
-def _verify(k: int, idf: np.ndarray, threshold: float):
-    def vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        data, offsets = buffers(column)
-        out = []
-        for lo, hi in steps(offsets):
-            row, h, n = shingles(Words(data, offsets, lo, hi), k)
-            edges = np.searchsorted(row, np.arange(hi - lo + 1))
-            w = n * idf[(h & np.uint64(FEATURES - 1)).astype(np.int64)]
-            out += [(h[a:b], w[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return out
+def vectors(column: pa.Array, k: int, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of each text, in order, and their weights."""
+    data, offsets = buffers(column)
+    out = []
+    for lo, hi in steps(offsets):
+        row, h, n = shingles(Words(data, offsets, lo, hi), k)
+        edges = np.searchsorted(row, np.arange(hi - lo + 1))
+        w = n * idf[(h & np.uint64(FEATURES - 1)).astype(np.int64)]
+        out += [(h[a:b], w[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return out
 
+
+def _verify(k: int, idf: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                similarity = [weighted_jaccard(*x, *y) for x, y in zip(vectors(part.column("text_a")), vectors(part.column("text_b")), strict=True)]
+                similarity = [weighted_jaccard(*x, *y) for x, y in zip(vectors(part.column("text_a"), k, idf), vectors(part.column("text_b"), k, idf), strict=True)]
                 ok = pa.array(np.flatnonzero(np.array(similarity) >= threshold))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(ok), part.column("b").take(ok)], names=["a", "b"])
 
@@ -304,8 +381,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links connect, its id the least document id, and class_size counts its rows. stays marks one row of each class, that of the
     least id (nulls last), then of the least digest; copies says how often the (id, text) came. Words are those of A-Z lower-
     cased; a text of fewer than k words is one shingle; texts without words (nulls too) are classes of their own, one for
-    each (id, text). An empty table gives no rows. Buckets of any size are handled: those over BUCKET members meet again in
-    finer buckets, which are taken in parts with a common leader.
+    each (id, text). An empty table gives no rows. Buckets of any size are compared whole: where more than BUCKET members are in
+    different classes after the first links, each pair of tiles of them is a step of its own.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_digest", F.unhex(F.md5("_text")))
     idf = inverse_frequencies(base.select("_text"), k)
@@ -318,24 +395,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     samples = cut(nodes.join(members.select("node").distinct(), "node"))
     wanted = samples.select("node", "_digest")
     texts = cut(base.select("_digest", "_text").join(wanted, "_digest").groupBy("node").agg(F.first("_text").alias("_text")))
-    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / SAMPLES)
+    deviation = math.sqrt(threshold * (1 - threshold) / SAMPLES)
+    least, least_cross = threshold - 3.5 * deviation, threshold - 3.5 * deviation
 
-    def candidates(labels: DataFrame | None) -> DataFrame:
-        own = samples.select("node", "samples")
-        own = own.withColumn("component", F.lit(None).cast("binary")) if labels is None else own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        full = members.join(own, "node").select("bucket", "node", "component", "samples", "large")
-        finer = full.where("large").drop("large").mapInArrow(_finer_keys, "bucket long, node binary, component binary, samples binary")
+    def candidates() -> DataFrame:
+        full = members.join(samples.select("node", "samples"), "node").select("bucket", "node", "samples", "large")
+        finer = full.where("large").drop("large").mapInArrow(_finer_keys, "bucket long, node binary, samples binary")
         dealt = full.where("NOT large").drop("large").unionByName(finer).repartition("bucket").sortWithinPartitions("bucket", "samples")
         return dealt.mapInArrow(_links(least), "a binary, b binary").distinct()
 
+    def crossing(labels: DataFrame) -> DataFrame:
+        """Members of buckets with several components, dealt to steps of at most about BUCKET: the largest component's tiles meet the others' only."""
+        own = cut(members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        counts = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        tiles = lambda n: F.ceil(n / F.lit(BUCKET / 2)).cast("int")
+        counts = counts.select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("bucket"), F.col("most.component").alias("largest"), F.when(F.col("n") <= BUCKET, 0).otherwise(tiles(F.col("n") - F.col("most.n"))).alias("others"), F.when(F.col("n") <= BUCKET, 0).otherwise(tiles(F.col("most.n"))).alias("mains"))
+        # Tiles 0 to others - 1 are of the other components, those after them of the largest.
+        inner = F.col("component") == F.col("largest")
+        all_tiles = F.col("others") + F.col("mains")
+        hashed = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+        dealt = own.join(counts, "bucket").withColumn("tile", F.when(F.col("others") == 0, 0).when(inner, F.col("others") + hashed(F.col("mains"))).otherwise(hashed(F.col("others"))))
+        met = F.when(F.col("others") == 0, F.array(F.lit(0))).when(inner, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), all_tiles - 1))
+        dealt = dealt.withColumn("_other", F.explode(met)).withColumn("pair", (F.least("tile", "_other").cast("long") * F.greatest(all_tiles, F.lit(1)) + F.greatest("tile", "_other")))
+        dealt = dealt.select("bucket", "pair", "node", "component", "tile").join(samples.select("node", "samples"), "node")
+        return dealt.select("bucket", "pair", "node", "component", "samples", "tile").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, idf, threshold), "a binary, b binary")
 
-    links = cut(verified(candidates(None)))
-    # Members that the spanning links left apart are compared with all the rest of their buckets.
-    more = cut(verified(candidates(components(links))))
+    links = cut(verified(candidates()))
+    # Members that the first links left in different components are all compared.
+    question = crossing(components(links)).mapInArrow(_in_question(least_cross), _MEMBER)
+    fetched = question.join(texts, "node").select("bucket", "pair", "node", "component", "samples", "tile", "_text").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    more = cut(fetched.mapInArrow(_cross_links(k, idf, threshold, least_cross), "a binary, b binary").distinct())
     labels = components(links.unionByName(more))
     classed = signed.groupBy("_id", "_digest", "node").agg(F.count(F.lit(1)).alias("copies")).join(labels, "node", "left")
     alone = F.concat(F.lit(b"-"), F.coalesce(F.col("_id").cast("string").cast("binary"), F.lit(b"?")), F.lit(b"-"), "_digest")
