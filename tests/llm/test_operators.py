@@ -251,6 +251,18 @@ def test_near_duplicates_of_a_star_in_large_buckets(spark, monkeypatch):
     assert {r._id: r.class_id for r in near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_in_a_family_just_below_the_threshold(spark):
+    random.seed(9)
+    base, rows = [f"w{i}" for i in range(1200)], []
+    for i in range(40):
+        first = replaced(base, {5 * i + 4 + 200 * k for k in range(6)}, i)
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(replaced(first, {5 * x + 4 for x in random.sample(range(240), 10)}, 100 + i)))]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    want = near_classes(df)
+    assert len(set(want.values())) > 25
+    assert {r._id: r.class_id for r in near_duplicates(df).collect()} == want
+
+
 def test_large_buckets_stay_linked(monkeypatch):
     rng = np.random.default_rng(0)
     samples = np.tile(rng.integers(0, 1000, near_dedup.SAMPLES, dtype=np.uint32), (40, 1))

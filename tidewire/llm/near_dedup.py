@@ -396,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = samples.select("node", "_digest")
     texts = cut(base.select("_digest", "_text").join(wanted, "_digest").groupBy("node").agg(F.first("_text").alias("_text")))
     deviation = math.sqrt(threshold * (1 - threshold) / SAMPLES)
-    least, least_cross = threshold - 3.5 * deviation, threshold - 3.5 * deviation
+    least, least_cross = threshold - 3.5 * deviation, threshold - 5 * deviation
 
     def candidates() -> DataFrame:
         full = members.join(samples.select("node", "samples"), "node").select("bucket", "node", "samples", "large")
