@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import common, html_extract, near_dedup, topk_search
+from tidewire.llm import common, html_extract, near_dedup, quality, topk_search
 from tidewire.llm.decontaminate import FMIndex, decontaminate
 from tidewire.llm.language_id import dictionaries, identify_language
 from tidewire.llm.license_scan import PHRASES, license_scan
@@ -295,6 +295,16 @@ def test_quality_learns_and_survives_odd_input(spark):
     assert {r._q_score for r in score_quality(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_learns_from_all_unlabelled_documents(spark, monkeypatch):
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "fine calm prose").otherwise("BUY!! 99 $$").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).alias("quality")).unionByName(spark.range(10**6, 10**6 + 9000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("quality")))
+    fitted, fit = [], quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda rows, features: (fitted.append(rows.count()), fit(rows, features))[1])
+    got = score_quality(df, labels)
+    assert fitted[0] > 140 and fitted[-1] == fitted[0] + 8800
+    assert {(r.good, r["count"]) for r in got.groupBy((F.col("_q_score") > 0.5).alias("good")).count().collect()} == {(True, 4500), (False, 4500)}
+
+
 def test_language_by_compression(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     test = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

@@ -3,18 +3,20 @@
 The text view is hashed words and word shapes; the metadata view is source, language and layout (length, lines, shares of
 capitals, digits and signs). Each round fits both on the labelled rows and on the pseudo-labels that the other view was
 confident of; the views' log-odds are then calibrated and combined by a logistic regression on labelled rows that neither
-view saw. Features, fitting and scoring are Spark's own functions and MLlib; only the sample for fitting is bounded.
+view saw. Features, fitting and scoring are Spark's own functions and MLlib; only the labelled rows for fitting are bounded.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_folder
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 TEXT_FEATURES, META_FEATURES = 1 << 15, 1 << 12
@@ -25,7 +27,7 @@ def _share(text: Column, removed: str) -> Column:
 
 
 def views(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """docs with _q_text and _q_meta: the hashed features of both views, of length 1."""
+    """docs with _q_counts and _q_meta: the counts of the hashed features of both views."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     shapes = F.translate(text, _UPPER + _LOWER + _DIGIT, "A" * 26 + "a" * 26 + "0" * 10)
     words = F.concat(F.split(F.lower(text), r"\s+"), F.split(shapes, r"\s+"))
@@ -38,9 +40,18 @@ def views(docs: DataFrame, text_col: str = "text", source_col: str = "source", l
     }
     out = docs.withColumns({"_q_words": words, "_q_facts": F.array(*[F.concat_ws("=", F.lit(k), v) for k, v in facts.items()])})
     out = HashingTF(inputCol="_q_words", outputCol="_q_counts", numFeatures=TEXT_FEATURES).transform(out)
-    out = Normalizer(inputCol="_q_counts", outputCol="_q_text").transform(out)
     out = HashingTF(inputCol="_q_facts", outputCol="_q_meta", numFeatures=META_FEATURES).transform(out)
-    return out.drop("_q_words", "_q_facts", "_q_counts")
+    return out.drop("_q_words", "_q_facts")
+
+
+def stored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """docs with their label (_q_label, null where unlabelled; of repeated ones the greatest) and views, made once and kept in the shared folder."""
+    known = labels.where(f"{id_col} IS NOT NULL AND {label_col} IS NOT NULL").groupBy(F.col(id_col).alias("_q_id")).agg(F.max(F.when(F.col(label_col) > 0, 1.0).otherwise(0.0)).alias("_q_label"))
+    rows = views(docs.withColumn("_q_id", F.col(id_col)).join(known, "_q_id", "left"), text_col, source_col, lang_col)
+    # Counts and indices shrink to few bits each as columns.
+    folder = f"{shared_folder(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return Normalizer(inputCol="_q_counts", outputCol="_q_text").transform(docs.sparkSession.read.schema(rows.schema).parquet(folder)).drop("_q_counts")
 
 
 class CoTrained:
@@ -69,23 +80,20 @@ def _fit(rows: DataFrame, features: str) -> LogisticRegression:
     return LogisticRegression(featuresCol=features, labelCol="_q_label", maxIter=40, regParam=1e-4, aggregationDepth=2).fit(rows)
 
 
-def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", labelled: int = 8000, unlabelled: int = 8000, rounds: int = 3, confident: float = 0.95) -> CoTrained | None:
-    """Fit on at most `labelled` labelled documents and as many pseudo-labels as `unlabelled` others earn; None without labels of both kinds.
+def co_train(rows: DataFrame, labelled: int = 8000, rounds: int = 3, confident: float = 0.95) -> CoTrained | None:
+    """Fit on at most `labelled` labelled documents and the pseudo-labels that all unlabelled ones earn; None without labels of both kinds.
 
-    Both samples are those of the least hash of the id. Of repeated labels of an id the greatest counts.
+    rows are those of `stored`. The labelled documents are those of the least hash of the id.
     """
-    known = labels.where(f"{id_col} IS NOT NULL AND {label_col} IS NOT NULL").groupBy(F.col(id_col).alias("_q_id")).agg(F.max(F.when(F.col(label_col) > 0, 1.0).otherwise(0.0)).alias("_q_label"))
-    chosen = cut(known.orderBy(F.xxhash64("_q_id", F.lit(5)), "_q_id").limit(labelled))
+    columns = ["_q_id", "_q_label", "_q_text", "_q_meta"]
+    has = F.col("_q_label").isNotNull()
+    chosen = cut(rows.where(has).select("_q_id", "_q_label").distinct().orderBy(F.xxhash64("_q_id", F.lit(5)), "_q_id").limit(labelled))
     counts = {r[0]: r[1] for r in chosen.groupBy("_q_label").count().collect()}
     if len(counts) < 2:
         return None
-    own = docs.select(F.col(id_col).alias("_q_id"), text_col, source_col, lang_col)
-    pool = own.select("_q_id").where("_q_id IS NOT NULL").distinct().join(known, "_q_id", "left_anti").orderBy(F.xxhash64("_q_id", F.lit(6)), "_q_id").limit(unlabelled).withColumn("_q_label", F.lit(None).cast("double"))
-    # Both samples are bounded, so they are broadcast and no text moves.
-    sample = own.join(F.broadcast(chosen.unionByName(pool)), "_q_id")
-    ready = cut(views(sample, text_col, source_col, lang_col).select("_q_id", "_q_label", "_q_text", "_q_meta"))
-    ready = ready.withColumn("_q_part", F.when(F.col("_q_label").isNull(), 2).when(F.pmod(F.xxhash64("_q_id", F.lit(7)), F.lit(5)) == 0, 1).otherwise(0))
-    train, rest, open_ = (ready.where(F.col("_q_part") == i) for i in range(3))
+    ready = cut(rows.where(has).select(*columns).join(F.broadcast(chosen.select("_q_id")), "_q_id"))
+    held_out = F.pmod(F.xxhash64("_q_id", F.lit(7)), F.lit(5)) == 0
+    train, rest, open_ = ready.where(~held_out), ready.where(held_out), rows.where(~has).select(*columns)
     if {r[0] for r in train.select("_q_label").distinct().collect()} != {0.0, 1.0}:
         return None
     from_text = from_meta = train.limit(0)
@@ -93,7 +101,7 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         model = CoTrained(_fit(train.unionByName(from_meta), "_q_text"), _fit(train.unionByName(from_text), "_q_meta"), None)
         if last:
             break
-        taught = cut(model.odds(open_))
+        taught = model.odds(open_)
         edge = F.log(F.lit(confident / (1 - confident)))
         sure = lambda view: taught.where(F.abs(F.col(f"_q_odds_{view}")) >= edge).withColumn("_q_label", (F.col(f"_q_odds_{view}") > 0).cast("double")).select(*train.columns)  # noqa: B023, E731
         from_text, from_meta = sure("text"), sure("meta")
@@ -109,8 +117,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", so
     Every row is scored, repeated ones one by one; null texts are empty, null sources and languages are values of their own.
     Without labels of both kinds nothing can be learned and all scores are 0.5. An empty table gives no rows.
     """
-    model = co_train(docs, labels, text_col=text_col, source_col=source_col, lang_col=lang_col, **options)
+    rows = stored(docs, labels, text_col=text_col, source_col=source_col, lang_col=lang_col)
+    model = co_train(rows, **options)
     if model is None:
         return docs.withColumns({c: F.lit(0.5) for c in ("_q_score", "_q_p_text", "_q_p_meta")})
-    out = model.score(views(docs, text_col, source_col, lang_col))
+    out = model.score(rows)
     return out.select(*docs.columns, "_q_score", "_q_p_text", "_q_p_meta")
