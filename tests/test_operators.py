@@ -164,3 +164,32 @@ def test_task_steps_pick_valid_templates(spark):
     assert rows["s0", 0].valid and rows["s0", 0].best == "a" and not rows["s0", 0].anomaly
     assert rows["s0", 1].best == "b" and rows["s0", 1].similarity == 1.0 and not rows["s0", 1].anomaly
     assert not rows["s1", 0].valid and rows["s1", 0].anomaly and rows["s1", 1].best is None
+
+
+def test_leave_one_out_rebuilds_the_templates(spark):
+    from tidewire.operators import signals
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    random.seed(4)
+    own = [(f"s{i:02}", "abc"[i % 3], "".join(random.choice("VCPE") for _ in range(random.randrange(3, 9)))) for i in range(24)] + [("t", "d", "VVVVV")]
+    near = lambda a, b: 1 - distance(a, b) / max(len(a), len(b))
+    want = {}
+    for sample, _, text in own:
+        scores = []
+        for label in "abcd":
+            rest = [r for r in own if r[1] == label and r[0] != sample]
+            if rest:
+                medoid = min(rest, key=lambda r: (-round(sum(near(r[2], o[2]) for o in rest) / len(rest), 9), r[0]))  # noqa: B023
+                scores.append((-near(text, medoid[2]), label, medoid[0]))
+        want[sample] = min(scores)[1:]
+    df = spark.createDataFrame(own, "sample string, label string, text string")
+    got = {r.sample: (r.best, r.template) for r in signals.leave_one_out_templates(df).collect()}
+    assert got == want
+    assert any(r.best != got[r.sample][0] for r in signals.leave_one_out(df).collect())

@@ -124,6 +124,26 @@ def leave_one_out(samples: DataFrame) -> DataFrame:
     return samples.select("sample", "label").join(top, "sample", "left")
 
 
+def leave_one_out_templates(samples: DataFrame) -> DataFrame:
+    """sample, label, best, template, similarity: the label whose template, rebuilt without the sample, is most similar; ties to the least label.
+
+    A label's template is its medoid; the sample's own label has none without it if it is the only one.
+    """
+    half = text_pairs(samples, True)
+    both = half.select(F.col("label_a").alias("label"), F.col("sample_a").alias("held"), F.col("sample_b").alias("template"), "similarity").unionByName(half.select(F.col("label_a").alias("label"), F.col("sample_b").alias("held"), F.col("sample_a").alias("template"), "similarity"))
+    # A candidate's sum over its label, less its share for the held-out sample; its own 1 stays.
+    total = both.groupBy("label", "template").agg((F.sum("similarity") + 1).alias("_sum"))
+    without = both.join(total, ["label", "template"]).withColumn("_rest", F.round(F.col("_sum") - F.col("similarity"), 9))
+    own = without.groupBy("label", "held").agg(F.min_by("template", F.struct(-F.col("_rest"), F.col("template"))).alias("template"))
+    chosen = own.select(F.col("held").alias("sample"), F.col("label").alias("best"), "template")
+    medoids = F.broadcast(medoid_templates(samples).select(F.col("label").alias("best"), F.col("sample").alias("template")))
+    others = samples.join(medoids, F.col("label") != F.col("best")).select("sample", "best", "template")
+    rows = others.unionByName(chosen).join(samples.select(F.col("sample").alias("template"), F.col("text").alias("_t")), "template").join(samples, "sample")
+    scored = rows.withColumn("similarity", edit_similarity(F.col("text"), F.col("_t")))
+    top = F.min_by(F.struct("best", "template", "similarity"), F.struct(-F.col("similarity"), F.col("best")))
+    return scored.groupBy("sample", "label").agg(top.alias("_top")).select("sample", "label", "_top.*")
+
+
 def score_task_steps(steps: DataFrame, samples: DataFrame, templates: DataFrame, graph: DataFrame, thresholds: DataFrame) -> DataFrame:
     """seq_id, pos, action, sample, best, similarity, valid, anomaly: each step's sample against the templates of the actions that may stand there.
 
