@@ -18,6 +18,7 @@ from tidewire.llm.line_dedup import line_dedup
 from tidewire.llm.mixing import mix_sources
 from tidewire.llm.near_dedup import near_duplicates
 from tidewire.llm.quality import score_quality
+from tidewire.llm import suffix_dedup as suffix_dedup_module
 from tidewire.llm.suffix_dedup import intervals, suffix_dedup
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,26 +47,32 @@ def test_stack_scan_gives_nested_intervals():
     assert sorted(intervals(np.array([3, 5, 3, 0, 4]), 1)) == [(0, 3, 3), (1, 2, 5), (4, 5, 4)]
 
 
-@pytest.mark.parametrize("block", [20_000, 5])
-def test_suffix_dedup_is_exact(spark, corpus, block):
+@pytest.mark.parametrize(("block", "length"), [(4096, 200), (5, 200), (1, 200), (2, 61)])
+def test_suffix_dedup_is_exact(spark, corpus, monkeypatch, block, length):
+    monkeypatch.setattr(suffix_dedup_module, "BLOCK", block)
     random.seed(2)
     base = corpus[0][1]
     rows = corpus[:25] + [(1, None), (None, ""), (7, "ab" * 300), (7, "ab" * 300), (8, "x" * 205), (9, "\0" * 250), (10, "y\0" * 120), (11, "short")]
     for i in range(15):
         a = random.randrange(max(len(base) - 600, 1))
         rows.append((500 + i, base[a : a + random.randrange(150, 500)] + f"q{i}" + corpus[2][1][:230]))
+    # One hot anchor: the same passage between texts of each document's own, and between a few that repeat.
+    hot = "".join(random.choice("abcdefgh ") for _ in range(330))
+    for i in range(60):
+        own = "".join(random.choice("xyz") for _ in range(random.randrange(0, 300)))
+        rows.append((600 + i, own + hot[random.choice([0, 0, 40]) : random.choice([330, 330, 250])] + (own[::-1] if i % 3 else "the same end of some texts" * (i % 4))))
     texts = [(t or "").encode() for _, t in rows]
-    seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     want = collections.Counter()
     for (key, _), t in zip(rows, texts, strict=True):
         mask = bytearray(len(t))
-        for i in range(len(t) - 199):
-            if seen[t[i : i + 200]] > 1:
-                mask[i : i + 200] = b"\1" * 200
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                mask[i : i + length] = b"\1" * length
         kept = bytes(c for c, m in zip(t, mask, strict=True) if not m)
         spans = sum(1 for i in range(len(t)) if mask[i] and (not i or not mask[i - 1]))
         want[(key, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest())] += 1
-    got = suffix_dedup(spark.createDataFrame(rows, DOC), block=block).collect()
+    got = suffix_dedup(spark.createDataFrame(rows, DOC), length=length).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 

@@ -80,17 +80,18 @@ class Words:
         first[edges] |= on[edges]
         last[edges - 1] |= on[edges - 1]
         start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.hash = _hashes(text, start, end)
+        self.hash = span_hashes(text, start, end)
         self.row = np.searchsorted(cuts, start, side="right") - 1
         self.start, self.end = start - cuts[self.row], end - cuts[self.row]
         self.count = np.bincount(self.row, minlength=self.rows)
 
 
-def _hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each byte string [start, end) of a text, wherever it stands; starts in order, ends nearly so."""
     out, a = np.zeros(len(start), dtype=np.uint64), 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(end, start[a] + STEP, side="right")))
-        s, e = int(start[a]), int(end[b - 1])
+        s, e = int(start[a]), int(end[a:b].max())
         p = powers(e - s + 1)
         total = np.zeros(e - s + 1, dtype=np.uint64)
         np.cumsum((text[s:e].astype(np.uint64) + np.uint64(1)) * p[: e - s], out=total[1:])

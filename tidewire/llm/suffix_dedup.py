@@ -2,12 +2,19 @@
 
 The suffix array holds one suffix for each anchor: the 40-byte string with the least hash in any `length`-byte window
 (a minimizer). What a window's anchor is depends on the window's bytes alone, so two equal windows have their anchor at the
-same place, and every repeated window shows in the block of suffixes that begin with one anchor string. Blocks are dealt
+same place, and every repeated window shows in the block of suffixes that begin with one anchor string. An anchor's
+context is the bytes of all its windows. Equal contexts are one suffix: they are repeats as a whole, and only one of them
+goes on to be compared with different contexts. Blocks are dealt
 out by anchor. A stack scan over a block's longest common prefixes gives its common-prefix intervals; in each, the members'
 left contexts are sorted, and where they differ (left-extension diversity) each member's longest shared left extension
 is the bound of its maximal repeat. An interval of depth r and a shared left extension l give a repeat of l + r bytes, and
-all its occurrences are reported. A block of more than `block` suffixes is not gathered in a task: its windows are
-counted by hash instead, which finds the same repeats.
+all its occurrences are reported.
+
+A block of more than BLOCK different contexts is split by further bytes to the left and right of the anchor: a repeat that
+begins l bytes before the anchor reaches length - l bytes beyond its start, so all repeats with l in one range of STRIDE values
+share a core of length - STRIDE + 1 bytes. Contexts are dealt to pieces by their cores; equal pieces are folded again, and
+the others are blocks of their own. In a piece that is still too large the strings of exactly `length` bytes are the
+intervals, as all else is shared.
 """
 
 from __future__ import annotations
@@ -20,17 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, powers, steps
+from .common import buffers, mix, powers, span_hashes, steps
 
 ANCHOR = 40
-_B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+#: Different contexts that one task compares, and the window starts that share a piece of a larger block.
+BLOCK, STRIDE = 4096, 13
+_B1 = 0x9E3779B97F4A7C15 | 1
 
 
-def _rolling(text: np.ndarray, k: int, base: int = _B1) -> np.ndarray:
+def _rolling(text: np.ndarray, k: int) -> np.ndarray:
     """A hash for each k consecutive bytes, by steps so that a long row needs bounded memory."""
     n, size = len(text) - k + 1, 1 << 19
     out = np.empty(max(n, 0), dtype=np.uint64)
-    p, q = powers(size + k, base), powers(size + k, pow(base, -1, 2**64))
+    p, q = powers(size + k, _B1), powers(size + k, pow(_B1, -1, 2**64))
     for a in range(0, n, size):
         b = min(n, a + size)
         total = np.zeros(b - a + k, dtype=np.uint64)
@@ -64,63 +73,102 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _emit_anchors(length: int):
-    """An anchor's place with how far its windows reach to the left and right, packed as place, 16 bits, 16 bits."""
+    """An anchor's place with how far its windows reach to the left and right, packed as place, 16 bits, 16 bits; hashes of anchor and context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
             for lo, hi in steps(offsets):
-                at, h, first, last = anchors(data[offsets[lo] : offsets[hi]], length)
+                text = data[offsets[lo] : offsets[hi]]
+                at, h, first, last = anchors(text, length)
                 cuts = offsets[lo : hi + 1] - offsets[lo]
                 row = np.searchsorted(cuts, at, side="right") - 1
                 first, last = np.maximum(first, cuts[row]), np.minimum(last, cuts[row + 1] - length)
                 ok = first <= last
                 at, h, first, last, row = (x[ok] for x in (at, h, first, last, row))
-                packed = ((at - cuts[row]) << 32) | ((at - first) << 16) | (last + length - at)
-                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(row + lo)), pa.array(packed), pa.array(h.view(np.int64))], names=["digest", "at", "anchor"])
+                reach = ((at - first) << 16) | (last + length - at)
+                context = mix(span_hashes(text, first, last + length) + reach.astype(np.uint64))
+                packed = ((at - cuts[row]) << 32) | reach
+                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(row + lo)), pa.array(packed), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))], names=["digest", "at", "anchor", "context"])
 
     return run
 
 
-def _emit_contexts(length: int, block: int):
-    """For each kept anchor: the bytes of its windows; for anchors of large blocks: the hashes of its windows."""
+def _lists(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[np.ndarray]]]:
+    """Each text's digest, bytes and listed places (place, left, right, key)."""
+    for digest, text, own in zip(batch.column("digest").to_pylist(), batch.column("data"), batch.column("places"), strict=True):
+        packed, key = (own.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "key"))
+        yield digest, text.as_py(), [packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF, key]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, texts, lists = batch.column("digest"), batch.column("data"), batch.column("anchors")
-            out: list[list] = [[], [], [], [], [], []]
-            held = 0
-            for i in range(batch.num_rows):
-                text, own = texts[i].as_py(), lists[i].values
-                digest = digests[i].as_py()
-                packed, hashes, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("at", "anchor", "n"))
-                at, left, right = packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF
-                few = n <= block
-                for h, a, l, r in zip(hashes[few].tolist(), at[few].tolist(), left[few].tolist(), right[few].tolist(), strict=True):
-                    for column, v in zip(out, (digest, h, a, l, text[a - l : a + r], None), strict=True):
-                        column.append(v)
-                    held += length + l
-                raw = np.frombuffer(text, dtype=np.uint8)
-                for a, l, r in zip(at[~few].tolist(), left[~few].tolist(), right[~few].tolist(), strict=True):
-                    span, size = raw[a - l : a + r], l + r - length + 1
-                    values = ([digest] * size, _rolling(span, length).view(np.int64).tolist(), list(range(a - l, a - l + size)), [-1] * size, [None] * size, _rolling(span, length, _B2).view(np.int64).tolist())
-                    for column, v in zip(out, values, strict=True):
-                        column.extend(v)
-                    held += 80 * size
-                    if held > 8 << 20:
-                        yield _contexts(out)
-                        out, held = [[] for _ in out], 0
+
+def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes around each listed place."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        held = 0
+        for digest, text, places in _lists(batch):
+            for a, l, r, key in zip(*(x.tolist() for x in places), strict=True):
+                for column, v in zip(out, (digest, key, a, l, text[a - l : a + r]), strict=True):
+                    column.append(v)
+                held += l + r
                 if held > 8 << 20:
                     yield _contexts(out)
                     out, held = [[] for _ in out], 0
-            yield _contexts(out)
+        yield _contexts(out)
+
+
+def _contexts(columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "anchor", "at", "left_n", "context"])
+
+
+def _spans_of(text: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings [first, last) of a text, in any order."""
+    order = np.lexsort((last, first))
+    out = np.empty(len(first), dtype=np.uint64)
+    out[order] = span_hashes(np.frombuffer(text, dtype=np.uint8), first[order], last[order])
+    return out
+
+
+def _emit_pieces(length: int):
+    """Each listed place once for each range of STRIDE window starts: reach of the windows, hashes of their core and of all their bytes."""
+    n = -(-(length - ANCHOR + 1) // STRIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], []]
+            digests = []
+            for digest, text, (at, left, right, key) in _lists(batch):
+                j = np.tile(np.arange(n), len(at))
+                at, left, right, key = (np.repeat(x, n) for x in (at, left, right, key))
+                least, most = np.maximum(j * STRIDE, length - right), np.minimum(j * STRIDE + STRIDE - 1, left)
+                at, j, least, most, key = (x[least <= most] for x in (at, j, least, most, key))
+                core = _spans_of(text, at - j * STRIDE, at + length - j * STRIDE - STRIDE + 1)
+                core = mix(core ^ mix(key.view(np.uint64) + j.astype(np.uint64)))
+                reach = (most << 16) | (length - least)
+                whole = mix(_spans_of(text, at - most, at + length - least) + reach.astype(np.uint64))
+                digests += [digest] * len(at)
+                for column, v in zip(out, ((at << 32) | reach, core.view(np.int64), whole.view(np.int64)), strict=True):
+                    column.append(v)
+            columns = [pa.array(np.concatenate(c) if c else [], type=pa.int64()) for c in out]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), *columns], names=["digest", "at", "anchor", "context"])
 
     return run
 
 
-def _contexts(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "anchor", "at", "left_n", "context", "window2"])
+def _emit_windows(length: int):
+    """The strings of exactly `length` bytes in each listed piece, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text, (at, left, right, key) in _lists(batch):
+                size = left + right - length + 1
+                piece = np.repeat(np.arange(len(at)), size)
+                first = (at - left)[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+                h = _spans_of(text, first, first + length)
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(first), type=pa.binary()), pa.array(first.astype(np.int32)), pa.array(key[piece]), pa.array(h.view(np.int64))], names=["digest", "first", "anchor", "context"])
+
+    return run
 
 
 def _padded(data: np.ndarray, start: np.ndarray, n: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -253,26 +301,54 @@ def _cut_spans(length: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, block: int = 20_000, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed), kept (the other bytes, if with_text).
 
     Every byte that lies in a `length`-byte string which starts anywhere else too is removed. Null texts are empty; texts below
     `length` bytes are kept whole; repeated rows, null ids and repeated ids are documents of their own; other columns
-    are ignored; an empty table gives no rows. Texts are handled once for each distinct content (by 96 bits of its MD5).
+    are ignored; an empty table gives no rows. Texts are handled once for each distinct content (by 96 bits of its MD5);
+    equal contexts of an anchor are told by 64 bits more than the anchor's.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.substring(F.unhex(F.md5("data")), 1, 12))
     texts = base.groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
-    found = texts.mapInArrow(_emit_anchors(length), "digest binary, at long, anchor long")
+    place = "digest binary, at long, anchor long, context long"
     # Keys of counts are made anew before joins: then both sides are shuffled for the join, and a hot key can be split.
     anew = lambda c: F.col(c).bitwiseXOR(F.lit(0)).alias(c)
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(anew("anchor"), "n")
-    places = found.join(twice, "anchor").groupBy("digest").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("anchors"))
-    contexts = texts.join(places, "digest").select("digest", "data", "anchors").mapInArrow(_emit_contexts(length, block), "digest binary, anchor long, at int, left_n int, context binary, window2 long")
-    blocks = contexts.where("left_n >= 0").select("digest", "anchor", "at", "left_n", "context").repartition("anchor").sortWithinPartitions("anchor")
-    spans = blocks.mapInArrow(_find_repeats(length), "digest binary, first int, last int")
-    windows = contexts.where("left_n < 0").select("digest", F.col("anchor").alias("w1"), F.col("window2").alias("w2"), F.col("at").alias("first"))
-    often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(anew("w1"), anew("w2"))
-    spans = spans.unionByName(windows.join(often, ["w1", "w2"]).select("digest", "first", (F.col("first") + length).cast("int").alias("last")))
+
+    def listed(places: DataFrame) -> DataFrame:
+        by_text = places.groupBy("digest").agg(F.collect_list(F.struct("at", F.col("anchor").alias("key"))).alias("places"))
+        return texts.join(by_text, "digest").select("digest", "data", "places")
+
+    def shared(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the places whose anchor stands elsewhere too: those whose anchor has one context only, and the others."""
+        kinds = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
+        found = places.join(kinds.where("n > 1").select(anew("anchor"), "lo", "hi"), "anchor")
+        one = (F.col("lo") == F.col("context")) & (F.col("hi") == F.col("context"))
+        return found.where(one).select("digest", "at"), found.where(~one).select("digest", "at", "anchor", "context")
+
+    def folded(places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The places with an equal context elsewhere, and one of each different context: of small blocks, of large ones."""
+        own = F.xxhash64("digest", "at")
+        kinds = places.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("one"))
+        # All uses ask for the same columns, so that the counts are shuffled once.
+        sizes = kinds.groupBy("anchor").agg((F.count_if((F.col("n") > 0) & F.col("one").isNotNull()) > BLOCK).alias("large")).select(anew("anchor"), "large")
+        found = places.join(kinds.select(anew("anchor"), anew("context"), "n", "one"), ["anchor", "context"])
+        equal = found.where("n > 1 AND one IS NOT NULL").select("digest", "at")
+        ones = found.where((own == F.col("one")) & (F.col("n") > 0)).select("digest", "at", "anchor").join(sizes, "anchor")
+        return equal, ones.where("NOT large").drop("large"), ones.where("large").drop("large")
+
+    whole, open_ = shared(texts.mapInArrow(_emit_anchors(length), place))
+    equal, blocks, large = folded(open_)
+    whole_pieces, open_pieces = shared(listed(large).mapInArrow(_emit_pieces(length), place))
+    equal_pieces, more_blocks, still_large = folded(open_pieces)
+    contexts = listed(blocks.unionByName(more_blocks)).mapInArrow(_emit_contexts, "digest binary, anchor long, at int, left_n int, context binary")
+    spans = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_find_repeats(length), "digest binary, first int, last int")
+    windows = listed(still_large).mapInArrow(_emit_windows(length), "digest binary, first int, anchor long, context long")
+    often = windows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(anew("anchor"), anew("context"))
+    spans = spans.unionByName(windows.join(often, ["anchor", "context"]).select("digest", "first", (F.col("first") + length).cast("int").alias("last")))
+    at, left, right = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF), F.col("at").bitwiseAND(0xFFFF)
+    for places in (whole, equal, whole_pieces, equal_pieces):
+        spans = spans.unionByName(places.select("digest", (at - left).cast("int").alias("first"), (at + right).cast("int").alias("last")))
     cuts = spans.groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kept = texts.join(cuts, "digest", "left").select("digest", "data", "copies", "spans").mapInArrow(
         _cut_spans(length, with_text), "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept binary"
