@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at; a longer row is a step of its own.
 STEP = 1 << 20
@@ -123,10 +125,38 @@ def word_hash(word: str) -> int:
     return int(Words(raw, np.array([0, len(raw)]), 0, 1).hash[0])
 
 
+def _add(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for *key, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "counts")), strict=True):
+                own = np.frombuffer(counts, dtype=kind)
+                key = tuple(key)
+                sums[key] = sums[key] + own if key in sums else own
+        columns = [pa.array([k[i] for k in sums], type=pa.int32()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([v.tobytes() for v in sums.values()], type=pa.binary())], names=["chunk", "part", "counts"])
+
+    return run
+
+
+def summed(chunks: DataFrame, kind: type, parts: int = 256) -> dict[int, np.ndarray]:
+    """The sum of the arrays (counts, as bytes) of each chunk, in two steps: no task adds up what all partitions counted.
+
+    The chunks and their arrays are of a fixed number and size, so that their sums fit the driver however large the corpus.
+    """
+    out = "chunk int, part int, counts binary"
+    own = chunks.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).select("chunk", "part", "counts")
+    first = own.repartition("chunk", "part").mapInArrow(_add(kind), out)
+    last = first.select("chunk", F.lit(0).alias("part"), "counts").repartition("chunk").mapInArrow(_add(kind), out)
+    return {r.chunk: np.frombuffer(bytes(r.counts), dtype=kind) for r in last.collect()}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without: it gets a temporary one."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", there)
     if not spark.sparkContext.getCheckpointDir():
@@ -140,5 +170,27 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+#: Spark's setting that frees a query's shuffle files as it ends, which a query that ends in a written table no longer needs.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame as a Parquet table in the shared folder, and its path; its shuffle files go."""
+    spark = frame.sparkSession
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

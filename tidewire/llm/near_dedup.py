@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, cut, grams, mix, steps
+from .common import Words, buffers, cut, grams, mix, steps, summed
 
 FEATURES = 1 << 18
 BANDS, ROWS = 16, 3
@@ -110,25 +110,11 @@ def _count_features(k: int):
     return run
 
 
-def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            own = np.frombuffer(counts, dtype=np.int64)
-            sums[chunk] = sums[chunk] + own if chunk in sums else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.int32()), pa.array([v.tobytes() for v in sums.values()], type=pa.binary())], names=["chunk", "counts"])
-
-
 def inverse_frequencies(texts: DataFrame, k: int) -> np.ndarray:
     """ln((1 + documents) / (1 + documents with the feature)) + 1 for each hashed feature: FEATURES numbers, however large the corpus."""
-    sums = texts.mapInArrow(_count_features(k), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary").collect()
-    counts, docs = np.zeros(FEATURES, dtype=np.int64), 0
-    for r in sums:
-        own = np.frombuffer(bytes(r.counts), dtype=np.int64)
-        if r.chunk < 0:
-            docs += int(own[0])
-        else:
-            counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += own
+    sums = summed(texts.mapInArrow(_count_features(k), "chunk int, counts binary"), np.int64)
+    docs = int(sums.pop(-1, [0])[0])
+    counts = np.concatenate([sums.get(i, np.zeros(CHUNK, dtype=np.int64)) for i in range(FEATURES // CHUNK)])
     return (np.log((1 + docs) / (1 + counts)) + 1).astype(np.float32)
 
 

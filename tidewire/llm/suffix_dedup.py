@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, powers, span_hashes, steps
+from .common import buffers, discard, mix, powers, span_hashes, steps, written
 
 ANCHOR = 40
 #: Different contexts that one task compares, and the window starts that share a piece of a larger block.
@@ -279,15 +279,13 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[new], top[np.r_[new[1:], True]]
 
 
-def _cut_spans(length: int, with_text: bool):
+def _cut_spans(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for digest, text, copies, spans in zip(*(batch.column(k) for k in ("digest", "data", "copies", "spans")), strict=True):
+            for digest, text, spans in zip(*(batch.column(k) for k in ("digest", "data", "spans")), strict=True):
                 raw = text.as_py()
-                if copies.as_py() > 1 and len(raw) >= length:
-                    first, last = np.array([0]), np.array([len(raw)])
-                elif spans.is_valid:
+                if spans.is_valid:
                     first, last = merged(spans.values.field("first").to_numpy(), spans.values.field("last").to_numpy())
                 else:
                     first = last = np.zeros(0, dtype=np.int64)
@@ -301,6 +299,49 @@ def _cut_spans(length: int, with_text: bool):
     return run
 
 
+_PLACE = "digest binary, at long, anchor long, context long"
+
+
+def _anew(c: str) -> Column:
+    """A key of counts made anew before a join: then both sides are shuffled for it, and a hot key can be split."""
+    return F.col(c).bitwiseXOR(F.lit(0)).alias(c)
+
+
+def _listed(places: DataFrame) -> DataFrame:
+    """digest, places: the places of each text that matter, with their kind; written to the shared folder.
+
+    covered: an equal context stands elsewhere. small, large: one of each different context of an anchor that has several, by
+    whether these are more than BLOCK. A text that came several times counts as often, and its places are listed once.
+    """
+    spark = places.sparkSession
+    kinds = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
+    found = places.join(kinds.where("n > 1").select(_anew("anchor"), "lo", "hi"), "anchor").select("digest", "at", "anchor", "context", (F.col("lo") == F.col("hi")).alias("one"))
+    found, path = written(found, "places")
+    open_, own = found.where("NOT one"), F.xxhash64("digest", "at")
+    contexts = open_.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least"))
+    # Both uses ask for the same columns, so that the counts are shuffled once.
+    sizes = contexts.groupBy("anchor").agg((F.count_if((F.col("n") > 0) & F.col("least").isNotNull()) > BLOCK).alias("large")).select(_anew("anchor"), "large")
+    told = open_.join(contexts.select(_anew("anchor"), _anew("context"), "n", "least"), ["anchor", "context"])
+    kind = lambda key, kind: F.struct("at", key.alias("key"), kind.alias("kind")).alias("place")
+    covered = [f.select("digest", kind(F.lit(0).cast("long"), F.lit("covered"))) for f in (found.where("one"), told.where("n > 1 AND least IS NOT NULL"))]
+    ones = told.where((own == F.col("least")) & (F.col("n") > 0)).join(sizes, "anchor").select("digest", kind(F.col("anchor"), F.when(F.col("large"), "large").otherwise("small")))
+    lists = covered[0].unionByName(covered[1]).unionByName(ones).groupBy("digest").agg(F.collect_set("place").alias("places"))
+    out = written(lists, "lists")[0]
+    discard(spark, path)
+    return out
+
+
+def _of(kind: str) -> Column:
+    return F.filter("places", lambda p: p["kind"] == kind).alias("places")
+
+
+def _covered(lists: DataFrame) -> DataFrame:
+    """The spans of covered places."""
+    at = F.col("place.at")
+    place, left, right = F.shiftright(at, 32), F.shiftright(at, 16).bitwiseAND(0xFFFF), at.bitwiseAND(0xFFFF)
+    return lists.select("digest", F.explode(_of("covered")).alias("place")).select("digest", (place - left).cast("int").alias("first"), (place + right).cast("int").alias("last"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed), kept (the other bytes, if with_text).
 
@@ -310,48 +351,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal contexts of an anchor are told by 64 bits more than the anchor's.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.substring(F.unhex(F.md5("data")), 1, 12))
-    texts = base.groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
-    place = "digest binary, at long, anchor long, context long"
-    # Keys of counts are made anew before joins: then both sides are shuffled for the join, and a hot key can be split.
-    anew = lambda c: F.col(c).bitwiseXOR(F.lit(0)).alias(c)
-
-    def listed(places: DataFrame) -> DataFrame:
-        by_text = places.groupBy("digest").agg(F.collect_list(F.struct("at", F.col("anchor").alias("key"))).alias("places"))
-        return texts.join(by_text, "digest").select("digest", "data", "places")
-
-    def shared(places: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of the places whose anchor stands elsewhere too: those whose anchor has one context only, and the others."""
-        kinds = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
-        found = places.join(kinds.where("n > 1").select(anew("anchor"), "lo", "hi"), "anchor")
-        one = (F.col("lo") == F.col("context")) & (F.col("hi") == F.col("context"))
-        return found.where(one).select("digest", "at"), found.where(~one).select("digest", "at", "anchor", "context")
-
-    def folded(places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The places with an equal context elsewhere, and one of each different context: of small blocks, of large ones."""
-        own = F.xxhash64("digest", "at")
-        kinds = places.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("one"))
-        # All uses ask for the same columns, so that the counts are shuffled once.
-        sizes = kinds.groupBy("anchor").agg((F.count_if((F.col("n") > 0) & F.col("one").isNotNull()) > BLOCK).alias("large")).select(anew("anchor"), "large")
-        found = places.join(kinds.select(anew("anchor"), anew("context"), "n", "one"), ["anchor", "context"])
-        equal = found.where("n > 1 AND one IS NOT NULL").select("digest", "at")
-        ones = found.where((own == F.col("one")) & (F.col("n") > 0)).select("digest", "at", "anchor").join(sizes, "anchor")
-        return equal, ones.where("NOT large").drop("large"), ones.where("large").drop("large")
-
-    whole, open_ = shared(texts.mapInArrow(_emit_anchors(length), place))
-    equal, blocks, large = folded(open_)
-    whole_pieces, open_pieces = shared(listed(large).mapInArrow(_emit_pieces(length), place))
-    equal_pieces, more_blocks, still_large = folded(open_pieces)
-    contexts = listed(blocks.unionByName(more_blocks)).mapInArrow(_emit_contexts, "digest binary, anchor long, at int, left_n int, context binary")
-    spans = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_find_repeats(length), "digest binary, first int, last int")
-    windows = listed(still_large).mapInArrow(_emit_windows(length), "digest binary, first int, anchor long, context long")
-    often = windows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(anew("anchor"), anew("context"))
-    spans = spans.unionByName(windows.join(often, ["anchor", "context"]).select("digest", "first", (F.col("first") + length).cast("int").alias("last")))
-    at, left, right = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF), F.col("at").bitwiseAND(0xFFFF)
-    for places in (whole, equal, whole_pieces, equal_pieces):
-        spans = spans.unionByName(places.select("digest", (at - left).cast("int").alias("first"), (at + right).cast("int").alias("last")))
+    texts = base.groupBy("digest").agg(F.first("data").alias("data"))
+    anchored = base.select("digest", "data").mapInArrow(_emit_anchors(length), _PLACE)
+    lists = _listed(anchored)
+    large = lists.select("digest", _of("large"))
+    small = lists.select("digest", _of("small"))
+    spans = _covered(lists)
+    if large.where("size(places) > 0").limit(1).count():
+        pieces = _listed(texts.join(large.where("size(places) > 0"), "digest").mapInArrow(_emit_pieces(length), _PLACE))
+        small = small.unionByName(pieces.select("digest", _of("small"))).groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places"))
+        spans = spans.unionByName(_covered(pieces))
+        windows = texts.join(pieces.select("digest", _of("large")).where("size(places) > 0"), "digest").mapInArrow(_emit_windows(length), "digest binary, first int, anchor long, context long")
+        often = windows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("anchor"), _anew("context"))
+        spans = spans.unionByName(windows.join(often, ["anchor", "context"]).select("digest", "first", (F.col("first") + length).cast("int").alias("last")))
+    contexts = texts.join(small.where("size(places) > 0"), "digest").mapInArrow(_emit_contexts, "digest binary, anchor long, at int, left_n int, context binary")
+    spans = spans.unionByName(contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_find_repeats(length), "digest binary, first int, last int"))
     cuts = spans.groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    kept = texts.join(cuts, "digest", "left").select("digest", "data", "copies", "spans").mapInArrow(
-        _cut_spans(length, with_text), "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept binary"
+    kept = texts.join(cuts, "digest", "left").select("digest", "data", "spans").mapInArrow(
+        _cut_spans(with_text), "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept binary"
     )
     out = base.select("id", "digest").join(kept, "digest").drop("digest").withColumnRenamed("id", id_col)
     return out if with_text else out.drop("kept")
