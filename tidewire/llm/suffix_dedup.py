@@ -95,20 +95,20 @@ def _emit_anchors(length: int):
 
 
 def _lists(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[np.ndarray]]]:
-    """Each text's digest, bytes and listed places (place, left, right, key)."""
+    """Each text's digest, bytes and listed places (place, left, right, key, whether of a large block)."""
     for digest, text, own in zip(batch.column("digest").to_pylist(), batch.column("data"), batch.column("places"), strict=True):
         packed, key = (own.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "key"))
-        yield digest, text.as_py(), [packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF, key]
+        yield digest, text.as_py(), [packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF, key, np.array(own.values.field("kind").to_pylist()) == "large"]
 
 
 def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each listed place."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         held = 0
         for digest, text, places in _lists(batch):
-            for a, l, r, key in zip(*(x.tolist() for x in places), strict=True):
-                for column, v in zip(out, (digest, key, a, l, text[a - l : a + r]), strict=True):
+            for a, l, r, key, large in zip(*(x.tolist() for x in places), strict=True):
+                for column, v in zip(out, (digest, key, a, l, text[a - l : a + r], large), strict=True):
                     column.append(v)
                 held += l + r
                 if held > 8 << 20:
@@ -118,8 +118,8 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contexts(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "anchor", "at", "left_n", "context"])
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "anchor", "at", "left_n", "context", "large"])
 
 
 def _spans_of(text: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def _emit_pieces(length: int):
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], []]
             digests = []
-            for digest, text, (at, left, right, key) in _lists(batch):
+            for digest, text, (at, left, right, key, _) in _lists(batch):
                 j = np.tile(np.arange(n), len(at))
                 at, left, right, key = (np.repeat(x, n) for x in (at, left, right, key))
                 least, most = np.maximum(j * STRIDE, length - right), np.minimum(j * STRIDE + STRIDE - 1, left)
@@ -161,7 +161,7 @@ def _emit_windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, text, (at, left, right, key) in _lists(batch):
+            for digest, text, (at, left, right, key, _) in _lists(batch):
                 size = left + right - length + 1
                 piece = np.repeat(np.arange(len(at)), size)
                 first = (at - left)[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
@@ -300,6 +300,7 @@ def _cut_spans(with_text: bool):
 
 
 _PLACE = "digest binary, at long, anchor long, context long"
+_CONTEXT = "digest binary, anchor long, at int, left_n int, context binary, large boolean"
 
 
 def _anew(c: str) -> Column:
@@ -331,8 +332,8 @@ def _listed(places: DataFrame) -> DataFrame:
     return out
 
 
-def _of(kind: str) -> Column:
-    return F.filter("places", lambda p: p["kind"] == kind).alias("places")
+def _of(*kinds: str) -> Column:
+    return F.filter("places", lambda p: p["kind"].isin(*kinds)).alias("places")
 
 
 def _covered(lists: DataFrame) -> DataFrame:
@@ -342,6 +343,25 @@ def _covered(lists: DataFrame) -> DataFrame:
     return lists.select("digest", F.explode(_of("covered")).alias("place")).select("digest", (place - left).cast("int").alias("first"), (place + right).cast("int").alias("last"))
 
 
+def _split(large: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Smaller blocks of the contexts of large ones, and the spans that need no comparison.
+
+    The contexts are texts of their own here, each with one place; the name of such a text is the document's digest with
+    the byte where the context starts.
+    """
+    begin = F.col("at") - F.col("left_n")
+    packed = F.shiftleft(F.col("left_n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("left_n").cast("long"), 16)).bitwiseOR((F.octet_length("context") - F.col("left_n")).cast("long"))
+    own = large.select(F.concat("digest", F.unhex(F.lpad(F.hex(begin.cast("long")), 8, "0"))).alias("digest"), F.col("context").alias("data"), F.array(F.struct(packed.alias("at"), F.col("anchor").alias("key"), F.lit("large").alias("kind"))).alias("places"))
+    pieces = _listed(own.mapInArrow(_emit_pieces(length), _PLACE))
+    data = own.select("digest", "data")
+    blocks = data.join(pieces.select("digest", _of("small")).where("size(places) > 0"), "digest").mapInArrow(_emit_contexts, _CONTEXT).drop("large")
+    windows = data.join(pieces.select("digest", _of("large")).where("size(places) > 0"), "digest").mapInArrow(_emit_windows(length), "digest binary, first int, anchor long, context long")
+    often = windows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("anchor"), _anew("context"))
+    spans = _covered(pieces).unionByName(windows.join(often, ["anchor", "context"]).select("digest", "first", (F.col("first") + length).cast("int").alias("last")))
+    home, start = F.substring("digest", 1, 12).alias("digest"), F.conv(F.hex(F.substring("digest", 13, 4)), 16, 10).cast("int")
+    return blocks.select(home, "anchor", (F.col("at") + start).alias("at"), "left_n", "context"), spans.select(home, (F.col("first") + start).alias("first"), (F.col("last") + start).alias("last"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed), kept (the other bytes, if with_text).
 
@@ -352,20 +372,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.substring(F.unhex(F.md5("data")), 1, 12))
     texts = base.groupBy("digest").agg(F.first("data").alias("data"))
-    anchored = base.select("digest", "data").mapInArrow(_emit_anchors(length), _PLACE)
-    lists = _listed(anchored)
-    large = lists.select("digest", _of("large"))
-    small = lists.select("digest", _of("small"))
-    spans = _covered(lists)
-    if large.where("size(places) > 0").limit(1).count():
-        pieces = _listed(texts.join(large.where("size(places) > 0"), "digest").mapInArrow(_emit_pieces(length), _PLACE))
-        small = small.unionByName(pieces.select("digest", _of("small"))).groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places"))
-        spans = spans.unionByName(_covered(pieces))
-        windows = texts.join(pieces.select("digest", _of("large")).where("size(places) > 0"), "digest").mapInArrow(_emit_windows(length), "digest binary, first int, anchor long, context long")
-        often = windows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("anchor"), _anew("context"))
-        spans = spans.unionByName(windows.join(often, ["anchor", "context"]).select("digest", "first", (F.col("first") + length).cast("int").alias("last")))
-    contexts = texts.join(small.where("size(places) > 0"), "digest").mapInArrow(_emit_contexts, "digest binary, anchor long, at int, left_n int, context binary")
-    spans = spans.unionByName(contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_find_repeats(length), "digest binary, first int, last int"))
+    lists = _listed(base.select("digest", "data").mapInArrow(_emit_anchors(length), _PLACE))
+    # Only the contexts are compared from here on: the texts aren't shuffled again before they are cut.
+    contexts, _ = written(texts.join(lists.select("digest", _of("small", "large")).where("size(places) > 0"), "digest").mapInArrow(_emit_contexts, _CONTEXT), "contexts")
+    blocks, spans = contexts.where("NOT large").drop("large"), _covered(lists)
+    large = contexts.where("large")
+    if large.limit(1).count():
+        more_blocks, more_spans = _split(large, length)
+        blocks, spans = blocks.unionByName(more_blocks), spans.unionByName(more_spans)
+    spans = spans.unionByName(blocks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_find_repeats(length), "digest binary, first int, last int"))
     cuts = spans.groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kept = texts.join(cuts, "digest", "left").select("digest", "data", "spans").mapInArrow(
         _cut_spans(with_text), "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept binary"
