@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at; a longer row is a step of its own.
@@ -194,3 +194,15 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shielded(frame: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns named by their places, so that none has a name that an operator uses itself; the new names by the old."""
+    new = [f"_c{i}" for i in range(len(frame.columns))]
+    return frame.toDF(*new), dict(zip(frame.columns, new, strict=True))
+
+
+def restored(frame: DataFrame, new: dict[str, str], results: dict[str, Column]) -> DataFrame:
+    """The columns under their old names, then the results; a column with the name of a result gives way to it."""
+    taken = {c.lower() for c in results}
+    return frame.select(*[F.col(n).alias(c) for c, n in new.items() if c.lower() not in taken], *[v.alias(c) for c, v in results.items()])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import Words, buffers, steps
+from .common import Words, buffers, restored, shielded, steps, written
 
 #: Symbols of a shard, apart from a longer document's.
 SHARD = 1 << 20
@@ -217,19 +217,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     With cut_text the text loses its hit spans; what is left is joined by line breaks. The test items are a stated query
     set: their texts go to the tasks in blocks of at most `block_bytes`, one pass over the
-    documents for each block, and the hits of all blocks are united before spans are formed or cut. Items with a null id take no part; null texts
+    documents for each block, written before the next, and the hits of all blocks are united before spans are formed or cut. Items
+    with a null id take no part; null texts
     have no words; rows without hits come back unchanged; repeated rows are judged one by one; an empty table gives no rows.
+    Columns may have any names, but those of the results are replaced by them.
     """
     names = keep or docs.columns
-    need = list(dict.fromkeys([*names, text_col]))
-    kind = docs.schema[text_col].dataType
+    own, new = shielded(docs.select(*list(dict.fromkeys([*names, text_col]))))
+    text = new[text_col]
+    kind = own.schema[text].dataType
     sized = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL")
     total = sized.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes) or 1
-    frame = docs.select(*need).withColumn(text_col, F.col(text_col).cast("binary"))
-    own = StructType([StructField("_n_words", LongType()), StructField("_n_hit", LongType()), StructField("_items", ArrayType(StringType())), StructField("_spans", ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))])
-    schema = StructType([*frame.schema.fields, *own.fields])
+    frame = own.withColumn(text, F.col(text).cast("binary"))
+    found = StructType([StructField("_n_words", LongType()), StructField("_n_hit", LongType()), StructField("_items", ArrayType(StringType())), StructField("_spans", ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))])
+    schema = StructType([*frame.schema.fields, *found.fields])
     for b in range(blocks):
+        # Only one block is with the driver and in the plan.
         part = [(r.i, r.t) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
-        frame = frame.mapInArrow(_scan(Phrases(part, window), text_col, need, cut_text and b == blocks - 1, b > 0), schema)
-    return frame.withColumn(text_col, F.col(text_col).cast(kind)).select(*names, "_n_words", "_n_hit", "_items", "_spans")
+        frame = (written(frame, "hits")[0] if b else frame).mapInArrow(_scan(Phrases(part, window), text, list(new.values()), cut_text and b == blocks - 1, b > 0), schema)
+    frame = frame.withColumn(text, F.col(text).cast(kind))
+    return restored(frame, {c: new[c] for c in names}, {f.name: F.col(f.name) for f in found.fields})

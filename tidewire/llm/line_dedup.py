@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, shielded
+
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """All columns of docs, with the text cut, and _n_lines, _n_removed.
@@ -13,25 +15,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines are equal byte for byte. A window's first occurrence is that of the least document id (nulls last), then of the
     least line; all lines that any later occurrence covers go. Documents of fewer lines keep them all; a null text stays
     null with 0 lines, an empty one has one line. Rows that share an id share its place in this order, so equal windows at
-    equal lines of such rows are first occurrences alike; an empty table gives no rows.
+    equal lines of such rows are first occurrences alike; an empty table gives no rows. Columns of docs may have any names,
+    but those of the results (_n_lines, _n_removed) are replaced by them.
     """
-    names = docs.columns
-    place = F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_line").alias("line"))
-    starts = F.when(F.size("_lines") >= window, F.sequence(F.lit(0), F.size("_lines") - window))
-    passage = lambda i: F.array_join(F.slice("_lines", i + 1, window), "\n")
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.split(text_col, "\n").alias("_lines"))
-    windows = rows.select("_id", "_text", F.explode(F.transform(starts, lambda i: F.struct(i.alias("line"), passage(i).alias("passage")))).alias("w"))
-    windows = windows.where(F.col("w.passage").rlike(r"\S")).select("_id", "_text", F.col("w.line").alias("_line"), F.unhex(F.md5(F.col("w.passage").cast("binary"))).alias("_key"))
-    firsts = windows.groupBy("_key").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last")
+    own, new = shielded(docs)
+    key, text = F.col(new[id_col]), F.col(new[text_col])
+    place = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("line").alias("line"))
+    starts = F.when(F.size("lines") >= window, F.sequence(F.lit(0), F.size("lines") - window))
+    passage = lambda i: F.array_join(F.slice("lines", i + 1, window), "\n")
+    rows = own.select(key.alias("id"), F.xxhash64(text).alias("hash"), F.split(text, "\n").alias("lines"))
+    windows = rows.select("id", "hash", F.explode(F.transform(starts, lambda i: F.struct(i.alias("line"), passage(i).alias("passage")))).alias("w"))
+    windows = windows.where(F.col("w.passage").rlike(r"\S")).select("id", "hash", F.col("w.line").alias("line"), F.unhex(F.md5(F.col("w.passage").cast("binary"))).alias("key"))
+    firsts = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     # The key is made anew so that both sides are shuffled for the join, which lets a very common window be split among tasks.
-    firsts = firsts.select(F.concat("_key", F.lit(b"")).alias("_key"), "_first")
-    later = windows.join(firsts, "_key").where(place != F.col("_first"))
-    cuts = later.groupBy("_id", "_text").agg(F.collect_set("_line").alias("_starts"))
-    own = docs.withColumns({"_id": F.col(id_col), "_text": F.xxhash64(text_col)}).alias("a")
-    found = own.join(cuts.alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._text") == F.col("b._text")), "left")
-    out = found.select(*[F.col(f"a.{c}").alias(c) for c in names], F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + window - 1)))).alias("_gone"))
-    lines = F.split(text_col, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    counts = {"_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"), "_n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")}
-    return out.withColumns(counts | {text_col: text}).drop("_gone")
+    firsts = firsts.select(F.concat("key", F.lit(b"")).alias("key"), "first")
+    later = windows.join(firsts, "key").where(place != F.col("first"))
+    cuts = later.groupBy("id", "hash").agg(F.collect_set("line").alias("starts"))
+    found = own.join(cuts, key.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("hash")), "left")
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))
+    # The lines are bound to a variable, so that the text is split once and not for each line that stays.
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+    kept = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(stay(lines), "\n"))[0]
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    n_removed = F.when(F.col("starts").isNull(), 0).otherwise(F.size(gone)).cast("long")
+    out = found.withColumns({"n_lines": n_lines, "n_removed": n_removed, new[text_col]: F.when(F.col("starts").isNull(), text).otherwise(kept)})
+    return restored(out, new, {"_n_lines": F.col("n_lines"), "_n_removed": F.col("n_removed")})

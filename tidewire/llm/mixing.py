@@ -47,15 +47,16 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, id_col: str =
     taken counts the words that the mix takes of a document, repeats included, at most `most` (2) times its size, and sums to
     the whole part of the target in every source. Null and empty texts have size 0 and are taken 0 times; a null source is a
     source of its own; equal keys are ordered by id, size and a hash of the text, so rows that agree in these are alike and a
-    rerun gives the same rows; null ids share a key; an empty table gives no rows.
+    rerun gives the same rows; rows without an id draw by their text; an empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).alias("_id"), n_words(text_col).alias("size"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("_hash"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    base = docs.select(F.col(id_col).alias("_id"), n_words(text_col).alias("size"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("_hash"), F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_content"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     if quality is not None:
         given = quality.select(F.col(quality.columns[0]).alias("_id"), F.col(quality.columns[1]).cast("double").alias("_q")).where("_q > 0").groupBy("_id").agg(F.max("_q").alias("_q"))
         base = base.join(given, "_id", "left")
     weight = F.coalesce("_q", F.lit(1.0)) if quality is not None else F.lit(1.0)
     # 52 bits of an MD5 as u in (0, 1); any SQL engine draws the same.
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    drawn = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("null:"), "_content"))
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), drawn).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     base = base.withColumns({"_u": u, "_weight": weight}).withColumn("_key", -F.log("_u") / F.col("_weight"))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sizes = cut(sizes)

@@ -105,7 +105,7 @@ FROM d LEFT JOIN kept USING (rid)""",
     "op7_mix_sources": r"""
 WITH q AS (SELECT doc_id, max(CASE WHEN quality > 0 THEN 2.0 ELSE 0.5 END) AS weight FROM labels GROUP BY doc_id),
 d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, hash(text) AS h,
-  -ln((CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / coalesce(CAST(weight AS DOUBLE), 1.0) AS key
+  -ln((CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / coalesce(CAST(weight AS DOUBLE), 1.0) AS key
   FROM documents LEFT JOIN q USING (doc_id)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, 2.0 * sum(size) AS cap, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w FROM d GROUP BY source),
 l AS (SELECT *, CAST(cap AS DOUBLE) / CAST(w AS DOUBLE) AS ratio, (sum(CAST(z AS DOUBLE)) OVER () * 1.5 - coalesce(sum(CAST(cap AS DOUBLE)) OVER before, 0)) / (sum(CAST(w AS DOUBLE)) OVER () - coalesce(sum(CAST(w AS DOUBLE)) OVER before, 0)) AS level
