@@ -302,14 +302,52 @@ def test_quality_learns_and_survives_odd_input(spark):
     assert {r._q_score for r in score_quality(df, labels.limit(0)).collect()} == {0.5}
 
 
-def test_quality_learns_from_all_unlabelled_documents(spark, monkeypatch):
-    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "fine calm prose").otherwise("BUY!! 99 $$").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
-    labels = spark.range(200).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).alias("quality")).unionByName(spark.range(10**6, 10**6 + 9000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("quality")))
-    fitted, fit = [], quality._fit
-    monkeypatch.setattr(quality, "_fit", lambda rows, features: (fitted.append(rows.count()), fit(rows, features))[1])
-    got = score_quality(df, labels)
-    assert fitted[0] > 140 and fitted[-1] == fitted[0] + 8800
-    assert {(r.good, r["count"]) for r in got.groupBy((F.col("_q_score") > 0.5).alias("good")).count().collect()} == {(True, 4500), (False, 4500)}
+def test_quality_learns_from_all_unlabelled_documents(spark, sf_dir):
+    """Co-training in plain Python over all rows at once: words, shapes and counts as dicts, pseudo-labels of all other documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1).alias("quality"))
+    model = quality.co_train(docs, labels)
+    rows = sorted((r.h, r.doc_id, r.text, r.source, r.lang, r.q) for r in docs.join(labels, "doc_id", "left").select("doc_id", "text", "source", "lang", F.col("quality").alias("q"), F.xxhash64("doc_id", F.col("text").cast("binary"), F.lit(5)).alias("h")).collect())
+    views = [next(quality._views(pa.array([t]), pa.array([s]), pa.array([g])))[2] for _, _, t, s, g, _ in rows]
+    fifth = [common.mix(np.array([h]).view(np.uint64))[0] % np.uint64(5) == 0 for h, *_ in rows]
+    known = [i for i, r in enumerate(rows) if r[5] is not None]
+    held = (np.array([i for i in known if fifth[i]]), np.array([float(rows[i][5]) for i in known if fifth[i]]))
+    assert set(held[1]) == {0.0, 1.0}
+
+    def counted(pseudo):
+        counts = [np.zeros((2, quality.TEXT_FEATURES)), np.zeros((2, quality.META_FEATURES))]
+        for i, v in enumerate(views):
+            for view in (0, 1):
+                label = (-1 if fifth[i] else rows[i][5]) if i in known else pseudo[view][i]
+                if label >= 0:
+                    own = v.meta[0] if view else v.feature
+                    for f in own.tolist():
+                        counts[view][label, f] += 1 / len(own)
+        return counts
+
+    want = quality.CoTrained(counted([[-1] * len(rows)] * 2), held, views)
+    for _ in range(3):
+        odds = np.concatenate([want.odds(v) for v in views], axis=1)
+        sure = np.where(odds >= np.log(19), 1, np.where(odds <= -np.log(19), 0, -1)).tolist()
+        want = quality.CoTrained(counted(sure[::-1]), held, views)
+    for a, b in zip([*model.ratios, *model.scale, model.both], [*want.ratios, *want.scale, want.both], strict=True):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
+def test_quality_words_and_shapes():
+    text = np.frombuffer("Ab12 ab!! ab!! é\nX".encode() + b"  q", dtype=np.uint8)
+    row, feature, again = quality.text_features(text, np.array([0, len(text) - 3, len(text)]))
+    words = [common.span_hashes(common.LOWER[np.frombuffer(w, dtype=np.uint8)], np.array([0]), np.array([len(w)]))[0] for w in (b"ab12", b"ab!!", b"ab!!", "é".encode(), b"x", b"q")]
+    half = np.uint64(quality.TEXT_FEATURES // 2)
+    assert row.tolist() == [0] * 5 + [1] + [0] * 5 + [1] + [0] and again.tolist() == [0]
+    assert feature[:6].tolist() == [int(w % half) for w in words] and feature[-1] == quality.TEXT_FEATURES - 1 and feature[7] == feature[8]
+
+
+def test_quality_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = score_quality(docs, labels.where("doc_id % 3 > 0")).join(labels.where("doc_id % 3 = 0"), "doc_id")
+    assert got.agg(F.avg(((F.col("_q_score") >= 0.5) == (F.col("quality") > 0)).cast("double"))).first()[0] > 0.95
 
 
 def test_language_by_compression(spark, sf_dir):
