@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import net, payload, rules
 from tidewire.operators import conformance, corpora, metrics, outliers, profiles, windows
-from tidewire.sources import capture
+from tidewire.sources import capture, tables
 from tidewire.sources.tables import latest_tasks, task_sequences, task_sequences_json
 from tidewire.streaming import live
 
@@ -99,8 +99,6 @@ def test_metrics_of_known_rows(spark):
 def test_sessions_and_short_runs(spark):
     df = spark.createDataFrame([(1, i, t, k) for i, (t, k) in enumerate([(0, "a"), (5, "a"), (6, "b"), (30, "a"), (31, "a")])], "key int, idx int, t long, kind string")
     assert [r.session for r in windows.sessions(df, ["key"], "t", "idx", 10).orderBy("idx").collect()] == [0, 0, 0, 1, 1]
-    runs = windows.merge_runs(df, ["key"], "idx", "kind").select("key", "first", "last", F.col("kind").alias("label"))
-    assert [(r.first, r.last, r.label) for r in windows.merge_short_runs(runs, ["key"], 2).collect()] == [(0, 4, "a")]
     kept = windows.suppress_repeats(df, ["key"], "t", "kind", 6).collect()
     assert {r.kind: r.kept for r in kept} == {"a": [0, 30], "b": [6]}
 
@@ -193,3 +191,116 @@ def test_leave_one_out_rebuilds_the_templates(spark):
     got = {r.sample: (r.best, r.template) for r in signals.leave_one_out_templates(df).collect()}
     assert got == want
     assert any(r.best != got[r.sample][0] for r in signals.leave_one_out(df).collect())
+
+
+def _folded(runs, least):
+    """The definition read literally: the first short run goes into the one before it (the first of all into the next), from the start again each time."""
+    runs, changed = [list(r) for r in runs], True
+    while changed and len(runs) > 1:
+        changed = False
+        for i, r in enumerate(runs):
+            if r[1] - r[0] < least:
+                t = runs[i - 1 if i else i + 1]
+                t[0], t[1], t[3], t[4] = min(t[0], r[0]), max(t[1], r[1]), (t[3] + r[3]) / 2, t[4] + r[4]
+                del runs[i]
+                changed = True
+                break
+    out = []
+    for r in runs:
+        if out and out[-1][2] == r[2]:
+            out[-1][0], out[-1][1], out[-1][3], out[-1][4] = min(out[-1][0], r[0]), max(out[-1][1], r[1]), (out[-1][3] + r[3]) / 2, out[-1][4] + r[4]
+        else:
+            out.append(r)
+    return out
+
+
+def test_short_runs_fold_as_defined(spark):
+    random.seed(3)
+    assert [r[:3] for r in windows.fold_short_runs([[0, 9, "a", 1.0, 1], [10, 11, "b", 0.0, 1], [12, 40, "c", 1.0, 1]], 5)] == [[0, 11, "a"], [12, 40, "c"]]
+    rows = []
+    for key in range(60):
+        at = 0.0
+        for _ in range(random.randrange(1, 9)):
+            end = at + random.choice([0.5, 1, 2, 4, 8])
+            rows.append((key, at, end, random.choice("ab"), random.random(), random.randrange(1, 4)))
+            at = end
+    got = windows.merge_short_runs(spark.createDataFrame(rows, "key int, first double, last double, label string, confidence double, windows long"), ["key"], 3).orderBy("key", "first").collect()
+    want = [(key, *r) for key in range(60) for r in _folded([list(r[1:]) for r in rows if r[0] == key], 3)]
+    assert [tuple(r[:4]) + (round(r[4], 9), r[5]) for r in got] == [tuple(r[:4]) + (round(r[4], 9), r[5]) for r in want]
+
+
+def test_control_payloads_of_known_bytes(spark):
+    good = lambda kind, n: bytes([kind, 9, 0, 0]) + (n - 12).to_bytes(4, "little") + bytes(n - 8)
+    rows = [(good(1, 212), "ok"), (good(1, 52), "ok"), (good(4, 16), "ok"), (good(6, 380), "ok"), (good(4, 17), "unexpected_payload_len"), (good(7, 16), "invalid_msg_type"), (b"\x04\x08" + good(4, 16)[2:], "invalid_sub_type"), (good(4, 16) + b"x", "data_len_mismatch"), (b"\x04\x09", "payload_short"), (None, "not_udp")]
+    got = spark.createDataFrame([(p, s) for p, s in rows], "p binary, want string").select("want", capture.control_status(F.col("p")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_flow_sets_keep_their_label(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Flow ID, Source IP, Dur, Label\nx,1.2.3.4,1.5,BENIGN\ny,1.2.3.5,Infinity,DDoS\n")
+    got = tables.flow_set(spark, str(tmp_path)).orderBy("Dur").collect()
+    assert [(r.Dur, r.label) for r in got] == [(0.0, 1), (1.5, 0)] and got[0].asDict().keys() == {"Dur", "label"}
+
+
+def test_many_labels_have_codes_of_their_own(spark):
+    labels = spark.createDataFrame([(f"label {i}",) for i in range(400)], "action string")
+    codes = conformance.label_codes(labels)
+    assert codes.select("code").distinct().count() == 400 and codes.where("length(code) <> 1 OR code = '?'").count() == 0
+    seqs = spark.createDataFrame([("a", [f"label {i}" for i in range(400)]), ("b", [f"label {i}" for i in range(399)] + ["other"])], "seq_id string, seq array<string>")
+    two = {r.seq_id: r.text for r in conformance.coded(seqs, codes).collect()}
+    assert len(two["a"]) == 400 and sum(x != y for x, y in zip(two["a"], two["b"], strict=True)) == 1
+
+
+def _steps(sequences):
+    return [(f"{i}", pos, action) for i, seq in enumerate(sequences) for pos, action in enumerate(seq)]
+
+
+def test_next_actions_back_off(spark):
+    train = spark.createDataFrame(_steps([["a", "b", "c"], ["a", "b", "d"], ["b", "a"]]), "seq_id string, pos int, action string")
+    m = conformance.fit_model(train)
+    asked = spark.createDataFrame([("known", ["a", "b"], "x"), ("first", [], "x"), ("odd", ["z"], "x"), ("last", ["z", "a"], "x"), ("ruled", ["a", "b"], "y")], "id string, history array<string>, scenario string")
+    rules = spark.createDataFrame([("y", [], ["c"])], "scenario string, allowed array<string>, forbidden array<string>")
+    got = conformance.predict_next(asked, m["contexts"], m["matrix"], m["starts"], rules)
+    by = {}
+    for r in got.orderBy("id", "rank").collect():
+        by.setdefault(r.id, []).append((r["rank"], r.action, r.probability))
+    assert by["known"] == [(1, "c", 0.5), (2, "d", 0.5)] and by["ruled"] == [(2, "d", 0.5)] and "odd" not in by
+    assert [a for _, a, _ in by["first"]] == ["a", "b"] and [a for _, a, _ in by["last"]] == ["b", "__END__"]
+
+
+def test_models_are_saved_and_read(spark, tmp_path):
+    train = spark.createDataFrame(_steps([["a", "b", "c"], ["a", "b", "c"], ["b", " a ", " "]]), "seq_id string, pos int, action string")
+    fitted = conformance.fit_model(train, margin=1, least=1.0)
+    conformance.save_model(fitted, str(tmp_path / "m"))
+    again = conformance.load_model(spark, str(tmp_path / "m"))
+    for name, part in fitted.items():
+        assert sorted(map(str, part.collect())) == sorted(map(str, again[name].collect()))
+    assert {r.action: r.most for r in again["repeats"].collect()} == {"a": 2, "b": 2, "c": 2}
+    assert [r.seq for r in again["templates"].orderBy("template_id").collect()] == [["a", "b", "c"], ["b", "a"]] and {r.action for r in again["critical"].collect()} == {"a", "b"}
+
+
+def test_chain_states(spark):
+    rows = spark.createDataFrame([("s", []), ("n", ["x"]), ("p", ["a", "q", "b"]), ("t", ["a", "b", "c"]), ("d", ["a", "e"])], "seq_id string, seq array<string>")
+    got = {r.seq_id: (r.matched, r.last, r.next, r.state) for r in conformance.longest_valid_chain(rows, {"a": ["b", "e"], "b": ["c"]}, ["a"], ["c"]).collect()}
+    assert got == {"s": (0, None, ["a"], "START"), "n": (0, None, ["a"], "NO_MATCH"), "p": (2, "b", ["c"], "IN_PROGRESS"), "t": (3, "c", [], "TERMINAL"), "d": (2, "e", [], "DEAD_END")}
+
+
+def test_statuses_of_known_sequences(spark):
+    """Sixteen sequences checked against a model of three templates: exact ones, tolerable ones, unknown ones and anomalies."""
+    a, b, c = ["stand", "wave", "walk", "stop"], ["stand", "walk", "turn", "walk", "stop"], ["stand", "sit", "stop"]
+    cases = [
+        (a, "NORMAL"), (b, "NORMAL"), (c, "NORMAL"), (["stand", "walk", "stop"], "NORMAL_WITH_TOLERANCE"), (["stand", "jump", "walk", "stop"], "NORMAL_WITH_TOLERANCE"), (["stand", "wave", "turn", "stop"], "UNKNOWN_VALIDITY"), (["stand", "walk", "sit", "walk", "stop"], "UNKNOWN_VALIDITY"),
+        (["wave", "walk", "stop"], "ANOMALY"), (["stand", "wave", "walk"], "ANOMALY"), (a + ["stand"], "ANOMALY"), (["stand", "wave", "walk", "walk", "walk", "stop"], "ANOMALY"), (["sit", "stop"], "ANOMALY"), (["stand", "sit"], "ANOMALY"), (["stop", "stand"], "ANOMALY"), (["walk"], "ANOMALY"), (["stand", "sit", "stop", "wave"], "ANOMALY"),
+    ]
+    train = spark.createDataFrame(_steps([a, a, b, c]), "seq_id string, pos int, action string")
+    m = conformance.fit_model(train, least=1.0)
+    critical = sorted(r.action for r in m["critical"].collect())
+    assert critical == ["stand", "stop"]
+    steps = spark.createDataFrame(_steps([s for s, _ in cases]), "seq_id string, pos int, action string")
+    codes = conformance.label_codes(train.select("action").union(steps.select("action")))
+    seqs = conformance.coded(conformance.as_sequences(steps), codes)
+    templates = conformance.coded(m["templates"].select(F.col("template_id").cast("string").alias("seq_id"), "seq"), codes).select(F.col("seq_id").cast("long").alias("template_id"), "seq", "text")
+    aligned = conformance.align_best(seqs, templates, conformance.rank_templates(seqs, templates, 1))
+    none = steps.limit(0).select("seq_id")
+    got = conformance.sequence_status(aligned, seqs, templates, critical, ["wave"], none, conformance.repeat_violations(steps, m["repeats"]))
+    assert [(cases[int(r.seq_id)][0], r.status) for r in got.orderBy(F.col("seq_id").cast("int")).collect()] == cases

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END = "__END__"
+START = "<START>"
+#: Label codes begin in the private planes of Unicode: over 100,000 of them, and none is the mark of an unknown label.
+_FIRST_CODE = 0xF0000
 _SEQ = ("seq_id",)
 
 
@@ -20,6 +23,21 @@ def _own() -> Window:
     return Window.partitionBy("seq_id").orderBy("pos")
 
 
+#: Rows up to which a model table is held by the driver and broadcast.
+HELD = 100_000
+
+
+def held(table: DataFrame) -> DataFrame:
+    """A model table as rows in the plan if it has at most HELD of them, so that it is computed once and broadcast; else the table itself."""
+    few = table.limit(HELD + 1).toArrow()
+    return table.sparkSession.createDataFrame(few, table.schema) if few.num_rows <= HELD else table
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A model table, broadcast if it has at most HELD rows; a larger one is left to the join's own plan."""
+    return F.broadcast(table) if table.limit(HELD + 1).count() <= HELD else table
+
+
 # --- learning --------------------------------------------------------------------------------------------------------
 def as_sequences(steps: DataFrame) -> DataFrame:
     """seq_id, seq: the actions in order."""
@@ -41,12 +59,17 @@ def transition_matrix(steps: DataFrame, end: str = END) -> DataFrame:
     return _normalised(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "src")
 
 
-def context_transitions(steps: DataFrame, most: int = 3, end: str = END) -> DataFrame:
-    """context (up to `most` actions, joined by |), dst, n, p, support."""
+def _context_counts(steps: DataFrame, most: int, end: str) -> DataFrame:
+    """order, context (up to `most` actions, joined by |), dst, n."""
     back = F.collect_list("action").over(_own().rowsBetween(1 - most, 0))
     rows = steps.select(F.coalesce(F.lead("action").over(_own()), F.lit(end)).alias("dst"), back.alias("back"))
-    contexts = rows.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.size("back")), lambda k: F.array_join(F.slice("back", -k, k), "|"))).alias("context"))
-    return _normalised(contexts.groupBy("context", "dst").agg(F.count(F.lit(1)).alias("n")), "context")
+    found = rows.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.size("back")), lambda k: F.struct(k.alias("order"), F.array_join(F.slice("back", -k, k), "|").alias("context")))).alias("c"))
+    return found.groupBy("c.order", "c.context", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def context_transitions(steps: DataFrame, most: int = 3, end: str = END) -> DataFrame:
+    """context (up to `most` actions, joined by |), dst, n, p, support."""
+    return _normalised(_context_counts(steps, most, end).groupBy("context", "dst").agg(F.sum("n").alias("n")), "context")
 
 
 def start_distribution(templates: DataFrame) -> DataFrame:
@@ -89,10 +112,14 @@ def critical_actions(templates: DataFrame, least: float, noncritical: tuple[str,
 
 def context_embeddings(steps: DataFrame, end: str = END) -> DataFrame:
     """action, embedding: shares of what comes before it, then of what comes after, over all actions in order."""
-    matrix = transition_matrix(steps, end)
+    return role_embeddings(held(transition_matrix(steps, end)), end)
+
+
+def role_embeddings(matrix: DataFrame, end: str = END) -> DataFrame:
+    """The embeddings of a transition matrix; every action has a row there."""
     seen = matrix.where(F.col("dst") != end)
     into = seen.withColumn("q", F.col("n") / F.sum("n").over(Window.partitionBy("dst"))).select(F.col("dst").alias("action"), F.col("src").alias("other"), "q")
-    actions = F.broadcast(steps.select("action").distinct())
+    actions = F.broadcast(matrix.select(F.col("src").alias("action")).distinct())
     # The grid holds the square of the number of action kinds, a small vocabulary.
     grid = actions.crossJoin(actions.withColumnRenamed("action", "other"))
     full = grid.join(into, ["action", "other"], "left").join(seen.select(F.col("src").alias("action"), F.col("dst").alias("other"), "p"), ["action", "other"], "left")
@@ -119,52 +146,122 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 1e-12), F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norm))).otherwise(0.0)
 
 
+def fit_model(steps: DataFrame, most: int = 3, margin: int = 0, least: float = 0.8, noncritical: tuple[str, ...] = (), end: str = END) -> dict[str, DataFrame]:
+    """The whole model of training steps (blank labels left out), as named tables.
+
+    templates (template_id by falling frequency, then labels; seq, n), contexts, matrix, starts, repeats, critical, graph and
+    embeddings (a role from what comes before and after). Tables of at most HELD rows are computed once.
+    """
+    own = steps.select("seq_id", "pos", F.trim("action").alias("action")).where("action <> ''")
+    counts = held(_context_counts(own, most, end))
+    contexts = held(_normalised(counts.groupBy("context", "dst").agg(F.sum("n").alias("n")), "context"))
+    matrix = held(_normalised(counts.where("order = 1").select(F.col("context").alias("src"), "dst", "n"), "src"))
+    templates = distinct_templates(as_sequences(own))
+    templates = held(templates.withColumn("template_id", F.row_number().over(Window.orderBy(F.desc("n"), F.array_join("seq", "|"))).cast("long")).select("template_id", "seq", "n"))
+    return {
+        "templates": templates, "contexts": contexts, "matrix": matrix, "starts": held(start_distribution(templates)), "repeats": held(max_repeats(own, margin)),
+        "critical": held(critical_actions(templates, least, noncritical)), "graph": held(adjacency(templates)), "embeddings": held(role_embeddings(matrix, end)),
+    }
+
+
+def save_model(model: dict[str, DataFrame], folder: str) -> None:
+    """One table of Parquet for each part; a later fit replaces them."""
+    for name, part in model.items():
+        part.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_model(spark: SparkSession, folder: str, parts: tuple[str, ...] = ("templates", "contexts", "matrix", "starts", "repeats", "critical", "graph", "embeddings")) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in parts}
+
+
 # --- next actions ----------------------------------------------------------------------------------------------------
 def longest_context(histories: DataFrame, contexts: DataFrame, most: int = 3) -> DataFrame:
     """histories (id, history) with context: the longest suffix of up to `most` actions that the contexts hold; null if none."""
     keys = contexts.select("context").distinct()
-    tries = histories.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("history"), F.lit(most))), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("history", -k, k), "|").alias("context")))).alias("t")).where(F.col("t.k") >= 1)
-    found = tries.select("id", "t.k", "t.context").join(F.broadcast(keys), "context").groupBy("id").agg(F.max_by("context", "k").alias("context"))
+    orders = F.when(F.size("history") > 0, F.sequence(F.lit(1), F.least(F.size("history"), F.lit(most))))
+    tries = histories.select("id", F.explode(F.transform(orders, lambda k: F.struct(k.alias("k"), F.array_join(F.slice("history", -k, k), "|").alias("context")))).alias("t"))
+    found = tries.select("id", "t.k", "t.context").join(small(keys), "context").groupBy("id").agg(F.max_by("context", "k").alias("context"))
     return histories.join(found, "id", "left")
 
 
-def predict_next(histories: DataFrame, contexts: DataFrame, top: int = 5, most: int = 3, end: str = END) -> DataFrame:
-    """id, rank, action, probability, risk, support: the likeliest next actions by the longest known context."""
-    found = longest_context(histories.where(F.size("history") > 0), contexts, most).where("context IS NOT NULL").select("id", "context")
+def _scaled(table: DataFrame, end: str) -> DataFrame:
+    """A transition table with the risk of each action: 1 less its probability over the greatest of its kind (the end counts apart)."""
     scale = Window.partitionBy("context")
-    table = contexts.withColumns({"_all": F.max("p").over(scale), "_acts": F.max(F.when(F.col("dst") != end, F.col("p"))).over(scale)})
-    table = table.withColumn("risk", F.round(1 - F.col("p") / F.when(F.col("dst") == end, F.col("_all")).otherwise(F.coalesce("_acts", "_all")), 4)).withColumn("rank", F.row_number().over(scale.orderBy(F.desc("p"), "dst")))
-    return found.join(F.broadcast(table.where(F.col("rank") <= top)), "context").select("id", "rank", F.col("dst").alias("action"), F.round("p", 4).alias("probability"), "risk", "support")
+    most = F.when(F.col("dst") == end, F.max("p").over(scale)).otherwise(F.coalesce(F.max(F.when(F.col("dst") != end, F.col("p"))).over(scale), F.max("p").over(scale)))
+    return table.withColumn("risk", F.round(1 - F.col("p") / most, 4)).withColumn("rank", F.row_number().over(scale.orderBy(F.desc("p"), "dst")))
+
+
+def _within(rules: DataFrame | None, rows: DataFrame, action: str) -> DataFrame:
+    """rows (with scenario) that their scenario allows: its allowed list is empty or holds the action, its forbidden list doesn't."""
+    if rules is None:
+        return rows
+    no = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    out = rows.join(small(rules.select("scenario", "allowed", "forbidden")), "scenario", "left")
+    return out.where(~F.array_contains(no("forbidden"), F.col(action)) & ((F.size(no("allowed")) == 0) | F.array_contains(no("allowed"), F.col(action)))).drop("allowed", "forbidden")
 
 
-def transition_analysis(steps: DataFrame, matrix: DataFrame, contexts: DataFrame, forbidden: DataFrame | None = None, embeddings: DataFrame | None = None, threshold: float = 0.08, most: int = 3, end: str = END) -> DataFrame:
+def predict_next(histories: DataFrame, contexts: DataFrame, matrix: DataFrame | None = None, starts: DataFrame | None = None, rules: DataFrame | None = None, top: int = 5, most: int = 3, end: str = END) -> DataFrame:
+    """id, rank, action, probability, risk, support: the likeliest next actions of each history (id, history, and scenario with rules).
+
+    The table is that of the longest known context; without one that of the last action in the matrix, and for an empty history
+    the distribution of starts. A scenario's rules take actions out of the top ones; ranks stay as they were.
+    """
+    own = ["id", "scenario"] if rules is not None else ["id"]
+    found = longest_context(histories, contexts, most).withColumn("context", F.coalesce("context", F.when(F.size("history") == 0, F.lit(START)).otherwise(F.concat(F.lit("\0"), F.element_at("history", -1)))))
+    table = contexts.select("context", "dst", "p", "support")
+    if matrix is not None:
+        # A context of one action and a row of the matrix are told apart by their keys.
+        table = table.unionByName(matrix.select(F.concat(F.lit("\0"), "src").alias("context"), "dst", "p", "support"))
+    if starts is not None:
+        total = starts.agg(F.sum("n").alias("support"))
+        table = table.unionByName(starts.crossJoin(F.broadcast(total)).select(F.lit(START).alias("context"), F.col("action").alias("dst"), "p", "support"))
+    ranked = _scaled(table, end).where(F.col("rank") <= top)
+    out = found.select(*own, "context").join(small(ranked), "context").withColumnRenamed("dst", "action")
+    return _within(rules, out, "action").select("id", "rank", "action", F.round("p", 4).alias("probability"), "risk", "support")
+
+
+def transition_analysis(steps: DataFrame, matrix: DataFrame, contexts: DataFrame, forbidden: DataFrame | None = None, embeddings: DataFrame | None = None, threshold: float = 0.08, most: int = 3, end: str = END, rules: DataFrame | None = None) -> DataFrame:
     """Every transition with probability, context probability, decision, risk and level.
 
-    Decisions: unknown action or forbidden pair ANOMALY; context probability at the threshold NORMAL; else DEVIATION, whose
+    Decisions in order: an unknown action, one that its scenario (a column of steps, with rules) forbids or lacks, and a forbidden
+    pair are an ANOMALY; context probability at the threshold NORMAL; else DEVIATION, whose
     reason tells a rare transition, a similar role, or an unseen one. All lookups are joins with the small model tables.
     """
     w = _own()
-    rows = steps.select("seq_id", "pos", F.lag("action").over(w).alias("previous"), F.col("action").alias("actual"), F.collect_list("action").over(w.rowsBetween(-most, -1)).alias("history")).where("previous IS NOT NULL")
+    scenario = ["scenario"] if rules is not None else []
+    out = steps.select("seq_id", "pos", *scenario, F.lag("action").over(w).alias("previous"), F.col("action").alias("actual"), F.collect_list("action").over(w.rowsBetween(-most, -1)).alias("history")).where("previous IS NOT NULL")
     scale = Window.partitionBy("context")
-    table = contexts.withColumns({"_all": F.max("p").over(scale), "_acts": F.max(F.when(F.col("dst") != end, F.col("p"))).over(scale)}).withColumn("_top", F.coalesce("_acts", "_all"))
-    keyed = rows.withColumn("id", F.concat_ws("#", "seq_id", F.col("pos").cast("string")))
-    out = longest_context(keyed, contexts, most)
-    tops = table.select("context", "_top").distinct()
-    out = out.join(F.broadcast(tops), "context", "left").join(F.broadcast(table.select("context", F.col("dst").alias("actual"), F.col("p").alias("cp"))), ["context", "actual"], "left")
-    out = out.join(F.broadcast(matrix.select(F.col("src").alias("previous"), F.col("dst").alias("actual"), F.col("p").alias("mp"))), ["previous", "actual"], "left")
-    known = matrix.select(F.col("src").alias("actual"), F.lit(True).alias("_known")).distinct()
-    out = out.join(F.broadcast(known), "actual", "left").join(F.broadcast(matrix.select(F.col("src").alias("previous"), F.lit(True).alias("_row")).distinct()), "previous", "left")
-    out = out.join(F.broadcast(forbidden.select("previous", "actual", "rule")), ["previous", "actual"], "left") if forbidden is not None else out.withColumn("rule", F.lit(None).cast("string"))
+    table = contexts.withColumns({"_all": F.max("p").over(scale), "_acts": F.max(F.when(F.col("dst") != end, F.col("p"))).over(scale), "rank": F.row_number().over(scale.orderBy(F.desc("p"), "dst"))})
+    # One row a context: its probabilities, the greatest, and the five likeliest actions.
+    folded = table.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("probs"), F.max(F.coalesce("_acts", "_all")).alias("top"))
+    folded = held(folded)
+    for k in range(most, 0, -1):
+        key = F.when(F.size("history") >= k, F.array_join(F.slice("history", -k, k), "|"))
+        out = out.join(small(folded.select(F.col("context").alias(f"_k{k}"), F.struct("context", "probs", "top").alias(f"_m{k}"))), key == F.col(f"_k{k}"), "left")
+    out = out.withColumn("_m", F.coalesce(*[f"_m{k}" for k in range(most, 0, -1)]))
+    out = out.withColumns({"context": F.col("_m.context"), "cp": F.try_element_at("_m.probs", F.col("actual")), "_top": F.col("_m.top")}).drop("_m", *[f"_{c}{k}" for k in range(1, most + 1) for c in "km"])
+    rows = held(matrix.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("_row")))
+    out = out.join(small(rows.withColumnRenamed("src", "previous")), "previous", "left").withColumn("mp", F.try_element_at("_row", F.col("actual")))
+    out = out.join(small(rows.select(F.col("src").alias("actual"), F.lit(True).alias("_known"))), "actual", "left")
+    out = out.join(small(forbidden.select("previous", "actual", "rule")), ["previous", "actual"], "left") if forbidden is not None else out.withColumn("rule", F.lit(None).cast("string"))
+    against = F.lit(None).cast("string")
+    if rules is not None:
+        out = out.join(small(rules.select("scenario", "allowed", F.col("forbidden").alias("_not"))), "scenario", "left")
+        no = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+        against = F.when(F.array_contains(no("_not"), F.col("actual")), "forbidden in scenario").when((F.size(no("allowed")) > 0) & ~F.array_contains(no("allowed"), F.col("actual")), "outside scenario")
+    out = out.withColumn("_against", against)
     if embeddings is not None:
-        expected = contexts.withColumn("rank", F.row_number().over(scale.orderBy(F.desc("p"), "dst"))).where("rank <= 5").select("context", F.col("dst").alias("other"))
-        roles = embeddings.select(F.col("action").alias("actual"), F.col("embedding").alias("_e"))
-        similar = expected.join(embeddings.select(F.col("action").alias("other"), "embedding"), "other").crossJoin(F.broadcast(roles)).groupBy("context", "actual").agg(F.max(cosine(F.col("_e"), F.col("embedding"))).alias("similarity"))
-        out = out.join(F.broadcast(similar), ["context", "actual"], "left")
+        # Only transitions that the context hasn't seen look at roles: the others have no key for these joins.
+        unseen = F.col("cp").isNull() & F.col("_known").isNotNull() & F.col("rule").isNull() & F.col("_against").isNull()
+        roles = held(embeddings)
+        likely = table.where("rank <= 5").select("context", F.col("dst").alias("action")).join(small(roles), "action").groupBy(F.col("context").alias("_c")).agg(F.collect_list("embedding").alias("_likely"))
+        out = out.join(small(held(likely)), F.when(unseen, F.col("context")) == F.col("_c"), "left").join(small(roles.select(F.col("action").alias("_a"), "embedding")), F.when(unseen, F.col("actual")) == F.col("_a"), "left")
+        out = out.withColumn("similarity", F.coalesce(F.array_max(F.transform("_likely", lambda e: cosine(F.col("embedding"), e))), F.lit(0.0)))
     else:
         out = out.withColumn("similarity", F.lit(0.0))
     cp, mp = F.coalesce("cp", F.lit(0.0)), F.coalesce("mp", F.lit(0.0))
-    decision = F.when(F.col("_known").isNull() | F.col("rule").isNotNull(), "ANOMALY").when(cp >= threshold, "NORMAL").otherwise("DEVIATION")
-    reason = F.when(F.col("_known").isNull(), "unknown action").when(F.col("rule").isNotNull(), "forbidden").when(cp >= threshold, "matches context").when(cp > 0, "rare").when(F.coalesce("similarity", F.lit(0.0)) >= 0.82, "similar role").otherwise("unseen")
+    decision = F.when(F.col("_known").isNull() | F.col("_against").isNotNull() | F.col("rule").isNotNull(), "ANOMALY").when(cp >= threshold, "NORMAL").otherwise("DEVIATION")
+    reason = F.when(F.col("_known").isNull(), "unknown action").when(F.col("_against").isNotNull(), F.col("_against")).when(F.col("rule").isNotNull(), "forbidden").when(cp >= threshold, "matches context").when(cp > 0, "rare").when(F.coalesce("similarity", F.lit(0.0)) >= 0.82, "similar role").otherwise("unseen")
     level = F.when(F.col("rule").isNotNull(), "forbidden").when(decision == "ANOMALY", "unseen").when(decision == "DEVIATION", "low").when(F.col("_row").isNull(), "unknown").when(F.col("mp").isNull(), "unseen").when(mp >= 0.25, "high").when(mp >= 0.10, "medium").otherwise("low")
     risk = F.round(F.when(F.col("_top") > 0, 1 - cp / F.col("_top")).otherwise(1.0), 4)
     return out.select("seq_id", "pos", "previous", "actual", "context", F.round(mp, 4).alias("probability"), F.round(cp, 4).alias("context_probability"), decision.alias("decision"), reason.alias("reason"), risk.alias("risk"), level.alias("level"), (F.col("_row").isNotNull() | F.col("rule").isNotNull()).alias("scored"))
@@ -184,7 +281,7 @@ def repeat_violations(steps: DataFrame, limits: DataFrame) -> DataFrame:
     new = F.when(F.col("action").eqNullSafe(F.lag("action").over(_own())), 0).otherwise(1)
     islands = steps.withColumn("_n", new).withColumn("_run", F.sum("_n").over(_own().rowsBetween(Window.unboundedPreceding, 0)))
     runs = islands.groupBy("seq_id", "_run", "action").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("_first"))
-    return runs.join(F.broadcast(limits), "action").where("n > most").select("seq_id", (F.col("_first") + F.col("most")).alias("at"), "action", "n", "most")
+    return runs.join(small(limits), "action").where("n > most").select("seq_id", (F.col("_first") + F.col("most")).alias("at"), "action", "n", "most")
 
 
 def scenario_violations(steps: DataFrame, known: DataFrame, rules: DataFrame) -> DataFrame:
@@ -192,7 +289,7 @@ def scenario_violations(steps: DataFrame, known: DataFrame, rules: DataFrame) ->
 
     rules: scenario, allowed (array, empty for all), forbidden (array).
     """
-    out = steps.join(F.broadcast(known.select("action", F.lit(True).alias("_k"))), "action", "left").join(F.broadcast(rules), "scenario", "left")
+    out = steps.join(small(known.select("action", F.lit(True).alias("_k"))), "action", "left").join(small(rules), "scenario", "left")
     no = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     reason = F.when(F.col("_k").isNull(), "unknown action").when(F.array_contains(no("forbidden"), F.col("action")), "forbidden in scenario").when((F.size(no("allowed")) > 0) & ~F.array_contains(no("allowed"), F.col("action")), "outside scenario")
     return out.withColumn("reason", reason).where("reason IS NOT NULL").select("seq_id", "pos", "action", "reason")
@@ -202,20 +299,21 @@ def graph_plausibility(steps: DataFrame, graph: DataFrame) -> DataFrame:
     """seq_id, pos, previous, actual: starts that no template starts with, and pairs that no template holds."""
     w = _own()
     rows = steps.select("seq_id", "pos", F.lag("action").over(w).alias("previous"), F.col("action").alias("actual"))
-    starts = rows.where("previous IS NULL").join(F.broadcast(graph.where("starts").select(F.col("action").alias("actual"))), "actual", "left_anti")
+    starts = rows.where("previous IS NULL").join(small(graph.where("starts").select(F.col("action").alias("actual"))), "actual", "left_anti")
     edges = graph.select(F.col("action").alias("previous"), F.explode("successors").alias("actual"))
-    pairs = rows.where("previous IS NOT NULL").join(F.broadcast(edges), ["previous", "actual"], "left_anti")
+    pairs = rows.where("previous IS NOT NULL").join(small(edges), ["previous", "actual"], "left_anti")
     return starts.select("seq_id", "pos", "previous", "actual").unionByName(pairs.select("seq_id", "pos", "previous", "actual"))
 
 
 def label_codes(labels: DataFrame) -> DataFrame:
     """action, code: one code point for each label, in order, so that string functions see a label as one character."""
-    return labels.select("action").distinct().withColumn("code", F.char(F.row_number().over(Window.orderBy("action")) + 96))
+    point = F.row_number().over(Window.orderBy("action")) + _FIRST_CODE  # the vocabulary is small
+    return labels.select("action").distinct().withColumn("code", F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32"))
 
 
 def coded(sequences: DataFrame, codes: DataFrame) -> DataFrame:
     """Adds text: the sequence as one code point per label, '?' for unknown ones."""
-    rows = sequences.select("seq_id", F.posexplode("seq").alias("pos", "action")).join(F.broadcast(codes), "action", "left")
+    rows = sequences.select("seq_id", F.posexplode("seq").alias("pos", "action")).join(small(codes), "action", "left")
     text = rows.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("code", F.lit("?")).alias("c")))), lambda x: x["c"]), "").alias("text"))
     return sequences.join(text, "seq_id")
 
@@ -223,12 +321,19 @@ def coded(sequences: DataFrame, codes: DataFrame) -> DataFrame:
 def rank_templates(sequences: DataFrame, templates: DataFrame, top: int = 3) -> DataFrame:
     """seq_id, rank, template_id, distance, ratio: the nearest templates by edit distance, then its share of the length, then the number.
 
-    Both sides have text (see coded); different texts are compared once, with every template (a small table).
+    Both sides have text (see coded). Different texts are compared once with every template, which is a model table: the join
+    keeps only the best `top` of each text in each task before anything is shuffled.
     """
-    texts = sequences.select("text").distinct().crossJoin(F.broadcast(templates.select("template_id", F.col("text").alias("_t"))))
-    scored = texts.withColumn("distance", F.levenshtein("text", "_t")).withColumn("ratio", F.col("distance") / F.greatest(F.length("text"), F.length("_t"), F.lit(1)))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy("distance", "ratio", "template_id"))).where(F.col("rank") <= top)
-    return sequences.select("seq_id", "text").join(best, "text").select("seq_id", "rank", "template_id", "distance", "ratio")
+    own = templates.select("template_id", F.col("text").alias("_t"))
+    texts = sequences.select("text").distinct()
+    if top == 1:  # a text that is a template needs no other
+        equal = texts.join(own.groupBy(F.col("_t").alias("text")).agg(F.min("template_id").alias("template_id")).withColumn("_t", F.col("text")), "text")
+        texts = equal.unionByName(texts.join(own.select(F.col("_t").alias("text")), "text", "left_anti").crossJoin(small(own)))
+    else:
+        texts = texts.crossJoin(small(own))
+    scored = texts.select("text", F.struct(F.levenshtein("text", "_t").alias("distance"), (F.levenshtein("text", "_t") / F.greatest(F.length("text"), F.length("_t"), F.lit(1))).alias("ratio"), "template_id").alias("s"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy("s"))).where(F.col("rank") <= top)
+    return sequences.select("seq_id", "text").join(best, "text").select("seq_id", "rank", "s.template_id", "s.distance", "s.ratio")
 
 
 def _align(actions: list[str], template: list[str]) -> list[dict]:
@@ -262,7 +367,7 @@ def align_best(sequences: DataFrame, templates: DataFrame, ranked: DataFrame) ->
         for b in batches:
             yield b[["seq_id", "template_id", "distance"]].assign(operations=[_align(list(x), list(y)) for x, y in zip(b["seq"], b["template"], strict=True)])
 
-    best = ranked.where("rank = 1").join(F.broadcast(templates.select("template_id", F.col("seq").alias("template"))), "template_id").join(sequences.select("seq_id", "seq"), "seq_id")
+    best = ranked.where("rank = 1").join(small(templates.select("template_id", F.col("seq").alias("template"))), "template_id").join(sequences.select("seq_id", "seq"), "seq_id")
     return best.select("seq_id", "seq", "template", "template_id", "distance").mapInPandas(run, f"seq_id string, template_id long, distance int, operations {ALIGNED}")
 
 
@@ -271,7 +376,7 @@ def sequence_status(aligned: DataFrame, sequences: DataFrame, templates: DataFra
 
     hard: seq_id of sequences with scenario, forbidden-transition or embedding violations; repeats: those with too long runs.
     """
-    out = aligned.join(sequences.select("seq_id", F.size("seq").alias("_n")), "seq_id").join(F.broadcast(templates.select("template_id", F.size("seq").alias("_m"))), "template_id")
+    out = aligned.join(sequences.select("seq_id", F.size("seq").alias("_n")), "seq_id").join(small(templates.select("template_id", F.size("seq").alias("_m"))), "template_id")
     out = out.join(hard.select("seq_id", F.lit(True).alias("_hard")).distinct(), "seq_id", "left").join(repeats.select("seq_id", F.lit(True).alias("_repeat")).distinct(), "seq_id", "left")
     wrong = F.filter("operations", lambda o: o["op"] != "match")
     expects = lambda o: F.coalesce(o["expected"], F.lit(end))
@@ -286,15 +391,18 @@ def sequence_status(aligned: DataFrame, sequences: DataFrame, templates: DataFra
     return out.select("seq_id", "template_id", "distance", "allowed", status.alias("status"))
 
 
-def longest_valid_chain(sequences: DataFrame, graph: dict[str, list[str]], starts: list[str]) -> DataFrame:
-    """seq_id, matched (length of the longest subsequence that follows the graph from a start), last action, state.
+def longest_valid_chain(sequences: DataFrame, graph: dict[str, list[str]], starts: list[str], terminals: list[str] | None = None) -> DataFrame:
+    """seq_id, matched (length of the longest subsequence that follows the graph from a start), last action, next (where it may go on), state.
 
-    The recurrence is quadratic in a sequence's length and is run as higher-order functions on each row.
+    States: START (no actions), NO_MATCH, TERMINAL (nothing may follow and the action may end a sequence; without terminals any may),
+    DEAD_END (nothing may follow, but it may not end), IN_PROGRESS. The recurrence is quadratic in a sequence's length and is
+    run as higher-order functions on each row.
     """
-    edges = F.create_map(*[x for k, v in graph.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    edges = F.create_map(*[x for k, v in graph.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(v))).cast("array<string>"))]) if graph else F.lit(None).cast("map<string,array<string>>")
     follows = lambda a, b: F.coalesce(F.array_contains(F.try_element_at(edges, a), b), F.lit(False))
     start = F.array().cast("array<struct<action:string,n:int>>")
-    first = F.array(*map(F.lit, starts)).cast("array<string>")
+    names = lambda values: F.array(*map(F.lit, sorted(values))).cast("array<string>")
+    first = names(starts)
 
     def step(acc: Column, action: Column) -> Column:
         before = F.coalesce(F.array_max(F.transform(F.filter(acc, lambda p: (p["n"] > 0) & follows(p["action"], action)), lambda p: p["n"])), F.lit(0))
@@ -303,9 +411,11 @@ def longest_valid_chain(sequences: DataFrame, graph: dict[str, list[str]], start
 
     chain = F.aggregate("seq", start, step)
     best = F.array_max(F.transform(chain, lambda p, i: F.struct(p["n"].alias("n"), i.alias("at"), p["action"].alias("action"))))
-    out = sequences.select("seq_id", "seq", best.alias("_b")).withColumn("_next", F.size(F.coalesce(F.try_element_at(edges, F.col("_b.action")), F.array().cast("array<string>"))))
-    state = F.when(F.size("seq") == 0, "START").when(F.coalesce(F.col("_b.n"), F.lit(0)) == 0, "NO_MATCH").when(F.col("_next") == 0, "TERMINAL").otherwise("IN_PROGRESS")
-    return out.select("seq_id", F.coalesce("_b.n", F.lit(0)).alias("matched"), F.when(F.col("_b.n") > 0, F.col("_b.action")).alias("last"), state.alias("state"))
+    n, last = F.coalesce(F.col("_b.n"), F.lit(0)), F.when(F.col("_b.n") > 0, F.col("_b.action"))
+    out = sequences.select("seq_id", "seq", best.alias("_b")).withColumn("next", F.when(n == 0, first).otherwise(F.coalesce(F.try_element_at(edges, F.col("_b.action")), F.array().cast("array<string>"))))
+    ends = F.lit(True) if terminals is None else F.array_contains(names(terminals), last)
+    state = F.when(F.size("seq") == 0, "START").when(n == 0, "NO_MATCH").when(F.size("next") > 0, "IN_PROGRESS").when(ends, "TERMINAL").otherwise("DEAD_END")
+    return out.select("seq_id", n.alias("matched"), last.alias("last"), "next", state.alias("state"))
 
 
 def explain(checked: DataFrame) -> DataFrame:

@@ -60,19 +60,23 @@ def whole_flow_features(packets: DataFrame, burst_us: int = 10_000) -> DataFrame
     )
 
 
-def window_features(packets: DataFrame, window_us: int, valid: Column | None = None) -> DataFrame:
-    """Fixed windows from each capture's first packet, empty ones included: counts, bytes, directions, sizes, gaps inside the window, ratios."""
+def window_features(packets: DataFrame, window_us: int, valid: Column | None = None, kind: Column | None = None, kinds: tuple[int, ...] = ()) -> DataFrame:
+    """Fixed windows from each capture's first packet, empty ones included: counts, bytes, directions, sizes, gaps inside the window, ratios.
+
+    With kind and kinds also the number of valid payloads of each message type, and their share of the window's packets.
+    """
     valid = F.lit(False) if valid is None else valid
+    types = {f"msg_type_{k:02x}_count": F.count_if(F.col("_valid") & (F.col("_kind") == k)) for k in kinds}
     first = packets.groupBy("capture_id").agg(F.min_by("ts_us", "idx").alias("_t0"))
     rows = packets.join(first, "capture_id").withColumn("window_idx", F.floor((F.col("ts_us") - F.col("_t0")) / window_us))
     own = Window.partitionBy("capture_id", "window_idx").orderBy("idx")
-    rows = rows.withColumns({"_gap": (F.col("ts_us") - F.lag("ts_us").over(own)) / 1000.0, "_valid": valid})
+    rows = rows.withColumns({"_gap": (F.col("ts_us") - F.lag("ts_us").over(own)) / 1000.0, "_valid": valid, "_kind": F.lit(None).cast("int") if kind is None else kind})
     count = lambda test: F.count_if(test)
     total = lambda test: F.sum(F.when(test, F.col("size")).otherwise(0))
     up, down = F.col("direction") == "up", F.col("direction") == "down"
     seen = rows.groupBy("capture_id", "window_idx").agg(
         F.count(F.lit(1)).alias("pkt_count"), F.sum("size").alias("byte_count"), count(up).alias("up_pkt_count"), count(down).alias("down_pkt_count"), total(up).alias("up_bytes"), total(down).alias("down_bytes"), count(F.col("proto") == 6).alias("tcp_count"), count(F.col("proto") == 17).alias("udp_count"),
-        count(F.col("size") <= 128).alias("small_count"), count(F.col("size") >= 1000).alias("large_count"), F.avg("size").alias("mean_len"), F.stddev_pop("size").alias("std_len"), F.avg("_gap").alias("mean_iat_ms"), F.stddev_pop("_gap").alias("std_iat_ms"), count(F.col("_valid")).alias("valid_payload_count"), F.sum(F.when(F.col("_valid"), F.octet_length("payload")).otherwise(0)).alias("payload_byte_count"),
+        count(F.col("size") <= 128).alias("small_count"), count(F.col("size") >= 1000).alias("large_count"), F.avg("size").alias("mean_len"), F.stddev_pop("size").alias("std_len"), F.avg("_gap").alias("mean_iat_ms"), F.stddev_pop("_gap").alias("std_iat_ms"), count(F.col("_valid")).alias("valid_payload_count"), F.sum(F.when(F.col("_valid"), F.octet_length("payload")).otherwise(0)).alias("payload_byte_count"), *[v.alias(k) for k, v in types.items()],
     )
     grid = seen.groupBy("capture_id").agg(F.max("window_idx").alias("_n")).select("capture_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))).alias("window_idx"))
     full = grid.join(seen, ["capture_id", "window_idx"], "left")
@@ -81,6 +85,7 @@ def window_features(packets: DataFrame, window_us: int, valid: Column | None = N
     return full.withColumns({
         "t_start_s": F.col("window_idx") * (window_us / 1e6), "byte_rate": F.col("byte_count") / (window_us / 1e6), "direction_balance": (F.col("up_pkt_count") - F.col("down_pkt_count")) / n, "len_cv": F.col("std_len") / F.greatest(F.col("mean_len"), F.lit(1.0)),
         "iat_cv": F.col("std_iat_ms") / F.greatest(F.col("mean_iat_ms"), F.lit(1.0)), "small_ratio": F.col("small_count") / n, "large_ratio": F.col("large_count") / n, "valid_payload_ratio": F.col("valid_payload_count") / n,
+        **{k.replace("_count", "_ratio"): F.col(k) / n for k in types},
     })
 
 
@@ -192,40 +197,59 @@ def true_clusters(rows: DataFrame, keys: list[str], order: str, flag: str) -> Da
 def suppress_repeats(rows: DataFrame, keys: list[str], time: str, label: str, within: int) -> DataFrame:
     """keys and kept: events (time, label) without those of the label of a kept event that began less than `within` before.
 
-    The anchor is the last kept event, so events are folded in order within each key's label; a key's label list is its unit.
+    The anchor is the last kept event. An event `within` or more after the one before it is always kept, so events are cut
+    there first, and only the pieces between such gaps, a few events each, are folded in order.
     """
+    w = Window.partitionBy(*keys, label).orderBy(time)
+    new = F.when(F.col(time) - F.lag(time).over(w) < within, 0).otherwise(1)
+    pieces = rows.withColumn("_new", new).withColumn("_piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     own = F.array_sort(F.collect_list(F.col(time)))
     fold = F.aggregate(own, F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= within), F.concat(a, F.array(t.cast("bigint")))).otherwise(a))
-    return rows.groupBy(*keys, label).agg(fold.alias("kept"))
+    folded = pieces.groupBy(*keys, label, "_piece").agg(fold.alias("_kept"))
+    return folded.groupBy(*keys, label).agg(F.array_sort(F.flatten(F.collect_list("_kept"))).alias("kept"))
 
 
-def merge_short_runs(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Runs (keys, first, last, label) in order: a run shorter than `least` joins its longer neighbour until none is short.
+def fold_short_runs(runs: list[list], least: float) -> list[list]:
+    """Runs [first, last, label, confidence, windows] in order, short ones folded, in one pass.
 
-    The result depends on order up to a fixpoint, so each key is folded in one function call over its runs.
+    The first run below `least` (last - first) goes into the one before it, the first of all into the next; the run that takes it
+    keeps its label, covers both, has the mean of their confidences and the sum of their windows. All runs before the one at
+    hand are long enough, so one pass reaches the fixpoint. At the end neighbours of one label are joined likewise.
+    """
+    short = lambda r: r[1] - r[0] < least
+    into = lambda r, x: [min(r[0], x[0]), max(r[1], x[1]), r[2], (r[3] + x[3]) / 2, r[4] + x[4]]
+    out: list[list] = []
+    for r in runs:
+        if len(out) == 1 and short(out[0]):
+            out[0] = into(r, out[0])
+        elif out and short(r):
+            out[-1] = into(out[-1], r)
+        else:
+            out.append(list(r))
+    joined: list[list] = []
+    for r in out:
+        if joined and joined[-1][2] == r[2]:
+            joined[-1] = into(joined[-1], r)
+        else:
+            joined.append(r)
+    return joined
+
+
+def merge_short_runs(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys, first, last, label, confidence, windows: runs below `least` in length merged, see fold_short_runs.
+
+    The result depends on order, so each key is folded in one function call over its runs; rows lack nothing of these columns.
     """
     import pandas as pd
 
+    columns = ["first", "last", "label", "confidence", "windows"]
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("first")[["first", "last", "label"]].values.tolist()
-        length = lambda r: r[1] - r[0] + 1
-        while len(own) > 1 and (short := [i for i, r in enumerate(own) if length(r) < least]):
-            i = min(short, key=lambda j: (length(own[j]), j))
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(own)]
-            j = max(near, key=lambda x: (length(own[x]), -x))
-            own[j][0], own[j][1] = min(own[i][0], own[j][0]), max(own[i][1], own[j][1])
-            del own[i]
-            merged = [own[0]]
-            for r in own[1:]:
-                if r[2] == merged[-1][2]:
-                    merged[-1][1] = r[1]
-                else:
-                    merged.append(r)
-            own = merged
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *r] for r in own], columns=[*keys, "first", "last", "label"])
+        own = fold_short_runs(pdf.sort_values("first")[columns].values.tolist(), least)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *r] for r in own], columns=[*keys, *columns])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "first", "last", "label"]))
+    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *columns]))
 
 
 def zscore(df: DataFrame, columns: list[str], *by: str) -> DataFrame:

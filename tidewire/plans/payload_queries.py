@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as pay
 from ..functions import rules as ops
+from ..operators import detect
 from .adapters import L, P, packets, payloads, table, with_sql
 from .registry import query
 
@@ -55,9 +56,9 @@ def f2(spark, sf_dir):
     return payloads(spark, sf_dir).select("origin", "id", pay.hex_head(F.col("text")).alias("head"))
 
 
-@query("f17_hex_chunks", with_sql(L) + " SELECT origin, id, regexp_extract_all(lower(hex(encode(text[1:50]))), '.{1,8}') AS chunks FROM l")
+@query("f17_hex_chunks", with_sql(L) + " SELECT origin, id, regexp_extract_all(lower(hex(encode(text))), '.{1,8}') AS chunks FROM l")
 def f17(spark, sf_dir):
-    return payloads(spark, sf_dir).select("origin", "id", pay.hex_chunks(F.substring("text", 1, 50)).alias("chunks"))
+    return payloads(spark, sf_dir).select("origin", "id", pay.hex_chunks(F.col("text")).alias("chunks"))
 
 
 @query("f32_hex_pairs", with_sql(L) + " SELECT origin, id, array_to_string(regexp_extract_all(rpad(substr(lower(hex(encode(text))), 1, 128), 128, '0'), '..'), ' ') AS pairs FROM l")
@@ -72,14 +73,20 @@ def f33(spark, sf_dir):
 
 
 # --- rules and fusion ------------------------------------------------------------------------------------------------
+# Each origin's protocol; conditions on fields that texts lack never hold.
+_PROTOCOLS = {"document": "udp", "page": "http", "turn": "mqtt"}
+_PROTOCOL_SQL = "CASE origin WHEN 'document' THEN 'udp' WHEN 'page' THEN 'http' ELSE 'mqtt' END"
+
+
 def _rule_sql() -> str:
     rows = []
     for i, r in enumerate(ops.RULES):
         pattern = r.pattern.replace("'", "''")
         hit = "true" if r.pattern == ".*" else f"regexp_matches(text, '(?is){pattern}')"
-        holds = {"": "true", "len(payload) > 100": "length(text) > 100"}.get(r.condition, "false")
-        count = "1" if r.pattern == ".*" else f"least(len(regexp_extract_all(text, '(?i){pattern}')), 5)"
-        rows.append(f"SELECT origin, id, {i} AS i, '{r.id}' AS rule_id, '{r.severity}' AS severity, {ops.SEVERITIES[r.severity]} AS level, round(least(1.0, 0.5 + 0.2 * {count} / 5 + {0.3 if r.condition else 0.0}), 6)::DOUBLE AS confidence FROM l WHERE {hit} AND {holds}")
+        holds = {"": "true", "len(payload) > 100": "length(text) > 100", "len(payload) > 268435455": "length(text) > 268435455", "protocol == 'udp' and len(payload) > 1000": "origin = 'document' AND length(text) > 1000"}.get(r.condition, "false")
+        count = "least(len(regexp_extract_all(text, '[^\n]+')) + length(text) - length(replace(text, chr(10), '')) + 1, 5)" if r.pattern == ".*" else f"least(len(regexp_extract_all(text, '(?i){pattern}')), 5)"
+        named = f"CASE WHEN contains('{r.description.lower()}', {_PROTOCOL_SQL}) THEN 0.1 ELSE 0 END"
+        rows.append(f"SELECT origin, id, {i} AS i, '{r.id}' AS rule_id, '{r.severity}' AS severity, {ops.SEVERITIES[r.severity]} AS level, round(least(1.0, 0.5 + 0.2 * {count} / 5 + {0.3 if r.condition else 0.0} + {named}), 6)::DOUBLE AS confidence FROM l WHERE {hit} AND {holds}")
     return "h AS (" + "\nUNION ALL ".join(rows) + ")"
 
 
@@ -90,8 +97,9 @@ g AS (SELECT *, rule * 0.25 + c * 0.30 + q * 0.30 + a * 0.15 AS score, (rule + c
 s AS (SELECT *, CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' WHEN score >= 0.2 THEN 'LOW' ELSE 'SAFE' END AS threat_level, 0.6 / (1 + ((rule - m) ** 2 + (c - m) ** 2 + (q - m) ** 2 + (a - m) ** 2) / 4) + 0.4 * least(hits / 3, 1) AS confidence FROM g)"""
 
 
-def matched(spark, sf_dir):
-    return ops.match_rules(payloads(spark, sf_dir), "text")
+def matched(spark, sf_dir, rules=ops.RULES):
+    protocol = F.coalesce(*[F.when(F.col("origin") == k, F.lit(v)) for k, v in _PROTOCOLS.items()])
+    return ops.match_rules(payloads(spark, sf_dir).withColumn("protocol", protocol), "text", rules, "protocol")
 
 
 def detected(spark, sf_dir):
@@ -136,9 +144,37 @@ def a34c(spark, sf_dir):
     return ops.top_rules(matched(spark, sf_dir))
 
 
-@query("x16_batch_detection", with_sql(L, _R, _D) + ", b AS (SELECT l.origin, l.id, ln(length(text) + 1) AS size FROM l) SELECT origin, id, hits, round(size, 6) AS log_length, threat_level FROM s JOIN b USING (origin, id)")
+@query("x16_batch_detection")
 def x16(spark, sf_dir):
-    return detected(spark, sf_dir).select("origin", "id", F.size("matches").cast("long").alias("hits"), F.round(F.log1p(F.length("text").cast("double")), 6).alias("log_length"), "threat_level")
+    """Rules, feature rows, a classifier fitted on the documents labelled toxic or not, an isolation forest, and their fusion, over all payloads."""
+    own = matched(spark, sf_dir).withColumn("key", F.concat_ws(":", "origin", "id"))
+    labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("key"), (F.col("toxic") > 0).cast("double").alias("label"))
+    headers = F.create_map(F.lit("User-Agent"), F.col("origin"))
+    features = pay.feature_row(F.col("text"), F.col("text"), F.col("protocol"), {"src_port": F.octet_length("text") % 65536, "dst_port": F.lit(80), "request_line": F.substring("text", 1, 100), "headers": headers, "body": F.col("text"), "mqtt_remaining_len": F.octet_length("text")})
+    found = detect.detect(own.withColumns({f"f_{k}": v for k, v in features.items()}), "key", [f"f_{k}" for k in features], labels)
+    return found.select("origin", "id", F.size("matches").cast("long").alias("hits"), F.round("proba", 6).alias("proba"), "anomaly", F.round("final_score", 6).alias("final_score"), "threat_level")
+
+
+@query("f43_feature_row", with_sql(L, _B) + """ SELECT l.origin, l.id, strlen(text)::DOUBLE AS byte_length, round(coalesce(list_avg(y), 0), 6) AS byte_mean, len(list_distinct(y))::DOUBLE AS byte_unique, CASE WHEN l.origin = 'document' THEN (strlen(text) % 1000)::DOUBLE ELSE 0 END AS udp_sport, CASE WHEN l.origin = 'page' AND starts_with(text, 'GET') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS http_method_get, CASE WHEN l.origin = 'page' THEN length(text)::DOUBLE ELSE 0 END AS http_body_len,
+CASE WHEN l.origin = 'page' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS http_has_user_agent, CASE WHEN l.origin = 'turn' THEN strlen(text)::DOUBLE ELSE 0 END AS mqtt_remaining_len, 0.0::DOUBLE AS protocol_unknown, length(text)::DOUBLE AS text_length, CAST(contains(lower(text), 'system') AS DOUBLE) AS text_has_system, greatest(length(text) - 1, 0)::DOUBLE AS text_ngrams FROM l JOIN b USING (origin, id) WHERE text IS NOT NULL""")
+def f43(spark, sf_dir):
+    own = matched(spark, sf_dir).where("text IS NOT NULL")
+    raw, text = pay.coerced(F.col("text"), "string")
+    row = pay.feature_row(raw, text, F.col("protocol"), {"src_port": F.octet_length("text") % 1000, "request_line": F.col("text"), "headers": F.create_map(F.lit("User-Agent"), F.col("origin")), "body": F.col("text"), "mqtt_remaining_len": F.octet_length("text")})
+    kept = ["byte_length", "byte_mean", "byte_unique", "udp_sport", "http_method_get", "http_body_len", "http_has_user_agent", "mqtt_remaining_len", "protocol_unknown", "text_length", "text_has_system", "text_ngrams"]
+    return rounded(own.select("origin", "id", *[row[k].alias(k) for k in kept]))
+
+
+@query("f6_tcp_flags", with_sql(P) + " SELECT idx, " + ", ".join(f"CASE WHEN proto = 6 AND contains(['S', 'SA', 'A', 'PA', 'FA', 'R', 'UP'][k % 7 + 1], '{f}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tcp_flag_{f.lower()}" for f in pay.TCP_FLAGS) + ", CASE WHEN proto = 6 THEN dst_port::DOUBLE ELSE 0 END AS tcp_dport, CASE WHEN proto = 17 THEN dst_port::DOUBLE ELSE 0 END AS udp_dport FROM p")
+def f6(spark, sf_dir):
+    flags = F.element_at(F.array(*map(F.lit, ["S", "SA", "A", "PA", "FA", "R", "UP"])), F.col("k") % 7 + 1)
+    row = pay.protocol_features(F.when(F.col("proto") == 6, "tcp").otherwise("udp"), {"src_port": F.col("src_port"), "dst_port": F.col("dst_port"), "flags": flags})
+    return packets(spark, sf_dir).select("idx", *[row[k].alias(k) for k in (*(f"tcp_flag_{f.lower()}" for f in pay.TCP_FLAGS), "tcp_dport", "udp_dport")])
+
+
+@query("f42_level_names", with_sql(L, _R, _D) + " SELECT origin, id, CASE threat_level WHEN 'SAFE' THEN '正常' WHEN 'LOW' THEN '低风险异常' WHEN 'MEDIUM' THEN '可疑载荷' WHEN 'HIGH' THEN '高危载荷' WHEN 'CRITICAL' THEN '严重载荷' END AS name, round(confidence * 100, 4) AS confidence FROM s")
+def f42(spark, sf_dir):
+    return detected(spark, sf_dir).select("origin", "id", pay.level_name(F.lower("threat_level")).alias("name"), F.round(pay.percent(F.col("fused_confidence")), 4).alias("confidence"))
 
 
 @query("x24_verdict_codes", with_sql(L, _R, _D) + ", v AS (SELECT CASE WHEN rule >= 0.8 OR c >= 0.7 OR 0.4 * rule + 0.3 * c + 0.3 * q >= 0.75 THEN 2 WHEN 0.4 * rule + 0.3 * c + 0.3 * q >= 0.375 THEN 1 ELSE 0 END AS code, CASE origin WHEN 'page' THEN 2 ELSE 0 END AS truth FROM s) SELECT code, truth, count(*) AS n FROM v GROUP BY ALL")
@@ -167,12 +203,13 @@ def a21(spark, sf_dir):
     return found.join(F.broadcast(total), "label").where("files >= 0.6 * total AND median <= 4").withColumn("r", best).where("r = 1").select("label", "payload", "files", "median")
 
 
-@query("f20_rule_selection", "SELECT 'web' AS category, 'high' AS severity, 4::BIGINT AS n, (SELECT count(*) FROM documents) AS documents")
+@query("f20_rule_selection", with_sql(L) + """ SELECT rule_id, count(*) AS hits FROM (SELECT 'xss_onload' AS rule_id FROM l WHERE regexp_matches(text, '(?is)on(load|error)') UNION ALL SELECT 'sql_injection' FROM l WHERE regexp_matches(text, '(?is)(select|union|insert|update|delete|drop|create|alter).*from.*where') UNION ALL SELECT 'xss_script' FROM l WHERE regexp_matches(text, '(?is)<script[^>]*>.*</script>')
+UNION ALL SELECT 'path_traversal' FROM l WHERE regexp_matches(text, '(?is)(\\.\\./|\\.\\.|%2e%2e/|%2e%2e%5c)') UNION ALL SELECT 'mail_address' FROM l WHERE regexp_matches(text, '(?is)[a-z0-9.]+@[a-z0-9]+')) GROUP BY 1""".replace("\\\\", "\\"))
 def f20(spark, sf_dir):
-    rules = ops.rules_table(spark, ops.RULES)
-    changes = spark.createDataFrame([("xss_onload", r"onload", "low", "web", "", "")], rules.schema)
-    own = ops.update_rules(rules, changes).where("category = 'web' AND severity = 'high'").groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
-    return own.crossJoin(F.broadcast(table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("documents"))))
+    """The web rules of high severity, one changed, one added and one removed, applied to all payloads."""
+    changes = [ops.Rule("xss_onload", r"on(load|error)", "high", "web"), ops.Rule("mail_address", r"[a-z0-9.]+@[a-z0-9]+", "high", "web")]
+    own = ops.selected(ops.RULES, changes, removed=("file_inclusion",), category="web", severity="high")
+    return matched(spark, sf_dir, own).select(F.explode("matches.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("f37_unified_status", with_sql(P) + """, r AS (SELECT capture_id, avg(CAST(size > 1400 AS DOUBLE)) AS side, avg(CAST(k > 90 AS DOUBLE)) * 100 AS pay FROM p GROUP BY 1), s AS (SELECT capture_id, CASE WHEN side >= 0.15 THEN 'ANOMALY' WHEN side >= 0.05 THEN 'UNKNOWN' WHEN side > 0 THEN 'TOLERATED' ELSE 'NORMAL' END AS a, CASE WHEN pay > 20 THEN 'ANOMALY' WHEN pay > 5 THEN 'UNKNOWN' WHEN pay > 0 THEN 'TOLERATED' ELSE 'NORMAL' END AS b FROM r)
@@ -186,7 +223,16 @@ def f37(spark, sf_dir):
     return out.withColumn("overall", F.when(either("ANOMALY"), "ANOMALY").when(either("ERROR"), "UNKNOWN").when(either("UNKNOWN"), "UNKNOWN").when(either("TOLERATED"), "TOLERATED").otherwise("NORMAL"))
 
 
-@query("f41_branch_fusion", with_sql(P) + " SELECT idx, coalesce(CASE WHEN k > 66 THEN kind END, CASE WHEN size > 700 THEN direction END, dst) AS label, CASE WHEN k > 66 THEN 'payload' WHEN size > 700 THEN 'traffic' ELSE 'motion' END AS source FROM p")
+_F41 = """b AS (SELECT idx, CASE WHEN k > 66 THEN kind END AS payload, CASE WHEN size > 700 THEN direction END AS traffic, dst AS motion, CASE WHEN k % 2 = 0 THEN 'ANOMALY' ELSE 'NORMAL' END AS status, CASE WHEN idx % 3 > 0 THEN src END AS signal, value / 500 AS sure FROM p),
+f AS (SELECT *, coalesce(payload, traffic, motion) AS label0, CASE WHEN payload IS NOT NULL OR traffic IS NOT NULL THEN 'NORMAL' ELSE status END AS status0, CASE WHEN payload IS NOT NULL THEN 'amnar_payload_primary' WHEN traffic IS NOT NULL THEN 'traffic_profile_fallback' ELSE 'motion_only' END AS reason0 FROM b)"""
+
+
+@query("f41_branch_fusion", with_sql(P, _F41) + """ SELECT idx, CASE WHEN signal IS NOT NULL AND sure >= 0.5 THEN signal ELSE label0 END AS primary_label, CASE WHEN signal IS NOT NULL AND sure >= 0.5 THEN 'NORMAL' ELSE status0 END AS primary_status, CASE WHEN signal IS NOT NULL AND sure >= 0.5 THEN 'signal_primary' ELSE reason0 END AS primary_reason,
+label0 AS disagree_label, CASE WHEN signal IS NOT NULL AND sure >= 0.5 AND signal <> motion THEN 'ANOMALY' ELSE status0 END AS disagree_status, CASE WHEN signal IS NOT NULL AND sure >= 0.5 AND signal <> motion THEN 'signal_disagrees_with_motion' ELSE reason0 END AS disagree_reason, CASE WHEN signal IS NOT NULL THEN 'reported_side_by_side' ELSE reason0 END AS report_reason FROM f""")
 def f41(spark, sf_dir):
-    first, second = F.when(F.col("k") > 66, F.col("kind")), F.when(F.col("size") > 700, F.col("direction"))
-    return packets(spark, sf_dir).select("idx", F.coalesce(first, second, F.col("dst")).alias("label"), F.when(first.isNotNull(), "payload").when(second.isNotNull(), "traffic").otherwise("motion").alias("source"))
+    own = packets(spark, sf_dir).select("idx", F.when(F.col("k") > 66, F.col("kind")).alias("payload"), F.when(F.col("size") > 700, F.col("direction")).alias("traffic"), F.col("dst").alias("motion"), F.when(F.col("k") % 2 == 0, "ANOMALY").otherwise("NORMAL").alias("status"), F.when(F.col("idx") % 3 > 0, F.col("src")).alias("signal"), (F.col("value") / 500).alias("sure"))
+    out = {}
+    for mode, name in (("signal_primary", "primary"), ("disagree", "disagree"), ("report", "report")):
+        found = ops.fuse_branches(F.col("payload"), F.col("traffic"), F.col("motion"), F.col("status"), F.col("signal"), F.col("sure"), mode, 0.5)
+        out |= {f"{name}_{k}": v for k, v in found.items() if name != "report" or k == "reason"}
+    return own.select("idx", *[v.alias(k) for k, v in out.items()])

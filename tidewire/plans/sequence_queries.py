@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -100,20 +103,44 @@ def c9(spark, sf_dir):
     return d.join(limits, "label").select("vec_id", F.round("distance", 6).alias("distance"), (F.col("distance") <= F.col("t")).alias("matches"))
 
 
+# Histories of all steps, the first ones' empty; every fifth user's hold a label that no training sequence has before the step.
+_H1 = """g AS (SELECT seq_id || '#' || pos AS id, 's' || (CAST(split_part(seq_id, '-', 1) AS BIGINT) % 3) AS scenario, list_concat(CASE WHEN CAST(split_part(seq_id, '-', 1) AS BIGINT) % 5 = 0 AND pos = 1 THEN ['idle'] ELSE [] END, coalesce(list(action) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), [])) AS history FROM a),
+gc AS (SELECT *, (SELECT arg_max(c, k) FROM (SELECT k, array_to_string(history[len(history) - k + 1:], '|') AS c FROM (SELECT unnest(range(1, least(len(history), 3) + 1)) AS k)) WHERE c IN (SELECT context FROM x)) AS context FROM g),
+b AS (SELECT '<START>' AS context, action AS dst, n, n / sum(n) OVER () AS p, (sum(n) OVER ())::BIGINT AS support FROM (SELECT seq[1] AS action, count(*) AS n FROM (SELECT DISTINCT seq FROM ts) GROUP BY 1)),
+xb AS (SELECT context, dst, n, p, support FROM x UNION ALL SELECT * FROM b),
+yb AS (SELECT *, max(p) OVER (PARTITION BY context) AS allmax, max(CASE WHEN dst <> '__END__' THEN p END) OVER (PARTITION BY context) AS actmax, row_number() OVER (PARTITION BY context ORDER BY p DESC, dst) AS rank FROM xb),
+nx AS (SELECT id, scenario, rank, dst AS action, round(p, 4) AS probability, round(1 - p / CASE WHEN dst = '__END__' THEN allmax ELSE coalesce(actmax, allmax) END, 4) AS risk, support FROM gc JOIN yb ON yb.context = CASE WHEN len(history) = 0 THEN '<START>' ELSE gc.context END
+  WHERE NOT (scenario = 's0' AND dst = 'error') AND NOT (scenario = 's1' AND dst NOT IN ('view', 'click', 'purchase')))"""
+
+
+def scenario_rules(spark):
+    return spark.createDataFrame([("s0", [], ["error"]), ("s1", ["view", "click", "purchase"], [])], "scenario string, allowed array<string>, forbidden array<string>")
+
+
+def with_scenario(steps):
+    return steps.withColumn("scenario", F.concat(F.lit("s"), (F.split("seq_id", "-")[0].cast("long") % 3).cast("string")))
+
+
 def histories(spark, sf_dir):
     w = Window.partitionBy("seq_id").orderBy("pos")
-    own = actions(spark, sf_dir).withColumns({"history": F.collect_list("action").over(w.rowsBetween(-3, -1)), "previous": F.lag("action").over(w)})
-    return own.where("previous IS NOT NULL").select(F.concat_ws("#", "seq_id", "pos").alias("id"), "history")
+    own = with_scenario(actions(spark, sf_dir)).withColumn("history", F.collect_list("action").over(w.rowsBetween(-3, -1)))
+    odd = (F.split("seq_id", "-")[0].cast("long") % 5 == 0) & (F.col("pos") == 1)
+    return own.select(F.concat_ws("#", "seq_id", "pos").alias("id"), "scenario", F.when(odd, F.concat(F.array(F.lit("idle")), "history")).otherwise(F.col("history")).alias("history"))
 
 
-@query("c1_next_actions", with_sql(A, T, X, H) + """ SELECT seq_id || '#' || pos AS id, rank, dst AS action, round(p, 4) AS probability, round(1 - p / CASE WHEN dst = '__END__' THEN allmax ELSE coalesce(actmax, allmax) END, 4) AS risk, support FROM h JOIN y USING (context) WHERE rank <= 3""")
+def predicted(spark, sf_dir, top):
+    m = ops.fit_model(train(spark, sf_dir))
+    return ops.predict_next(histories(spark, sf_dir), m["contexts"], m["matrix"], m["starts"], scenario_rules(spark), top=top)
+
+
+@query("c1_next_actions", with_sql(A, T, X, _H1) + " SELECT id, rank, action, probability, risk, support FROM nx WHERE rank <= 3")
 def c1(spark, sf_dir):
-    return ops.predict_next(histories(spark, sf_dir), ops.context_transitions(train(spark, sf_dir)), top=3)
+    return predicted(spark, sf_dir, 3)
 
 
-@query("t3_likeliest_action", with_sql(A, T, X, H) + " SELECT seq_id || '#' || pos AS id, dst AS action FROM h JOIN y USING (context) WHERE rank = 1")
+@query("t3_likeliest_action", with_sql(A, T, X, _H1) + " SELECT id, action FROM nx WHERE rank = 1")
 def t3(spark, sf_dir):
-    return ops.predict_next(histories(spark, sf_dir), ops.context_transitions(train(spark, sf_dir)), top=1).select("id", "action")
+    return predicted(spark, sf_dir, 1).select("id", "action")
 
 
 @query("c1_start_distribution", with_sql(A, T) + " SELECT action, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM t WHERE pos = 0 GROUP BY action")
@@ -123,14 +150,14 @@ def c1s(spark, sf_dir):
 
 _FORBIDDEN = [("purchase", "signup", "no signup after purchase"), ("error", "purchase", "no purchase after error")]
 _ANALYSIS = """f AS (SELECT 'purchase' AS previous, 'signup' AS actual UNION ALL SELECT 'error', 'purchase'),
-z AS (SELECT h.seq_id, h.pos, h.previous, h.actual, h.context, coalesce(m.p, 0) AS mp, coalesce(y.p, 0) AS cp, f.actual IS NOT NULL AS forbidden, t.top FROM h LEFT JOIN m ON m.src = h.previous AND m.dst = h.actual LEFT JOIN y ON y.context = h.context AND y.dst = h.actual LEFT JOIN f ON f.previous = h.previous AND f.actual = h.actual LEFT JOIN (SELECT DISTINCT context, coalesce(actmax, allmax) AS top FROM y) t ON t.context = h.context),
-n AS (SELECT seq_id, pos, previous, actual, context, round(mp, 4) AS probability, round(cp, 4) AS context_probability, CASE WHEN forbidden THEN 'ANOMALY' WHEN cp >= 0.15 THEN 'NORMAL' ELSE 'DEVIATION' END AS decision, round(1 - cp / top, 4) AS risk, CASE WHEN forbidden THEN 'forbidden' WHEN cp < 0.15 THEN 'low' WHEN mp >= 0.25 THEN 'high' WHEN mp >= 0.1 THEN 'medium' ELSE 'low' END AS level FROM z)"""
+z AS (SELECT h.seq_id, h.pos, h.previous, h.actual, h.context, coalesce(m.p, 0) AS mp, coalesce(y.p, 0) AS cp, f.actual IS NOT NULL AS forbidden, t.top, (CAST(split_part(h.seq_id, '-', 1) AS BIGINT) % 3 = 0 AND h.actual = 'error') OR (CAST(split_part(h.seq_id, '-', 1) AS BIGINT) % 3 = 1 AND h.actual NOT IN ('view', 'click', 'purchase')) AS against FROM h LEFT JOIN m ON m.src = h.previous AND m.dst = h.actual LEFT JOIN y ON y.context = h.context AND y.dst = h.actual LEFT JOIN f ON f.previous = h.previous AND f.actual = h.actual LEFT JOIN (SELECT DISTINCT context, coalesce(actmax, allmax) AS top FROM y) t ON t.context = h.context),
+n AS (SELECT seq_id, pos, previous, actual, context, round(mp, 4) AS probability, round(cp, 4) AS context_probability, CASE WHEN forbidden OR against THEN 'ANOMALY' WHEN cp >= 0.15 THEN 'NORMAL' ELSE 'DEVIATION' END AS decision, round(1 - cp / top, 4) AS risk, CASE WHEN forbidden THEN 'forbidden' WHEN against THEN 'unseen' WHEN cp < 0.15 THEN 'low' WHEN mp >= 0.25 THEN 'high' WHEN mp >= 0.1 THEN 'medium' ELSE 'low' END AS level FROM z)"""
 
 
 def analysis(spark, sf_dir):
-    own = train(spark, sf_dir)
+    m = ops.fit_model(train(spark, sf_dir))
     forbidden = spark.createDataFrame(_FORBIDDEN, "previous string, actual string, rule string")
-    return ops.transition_analysis(actions(spark, sf_dir), ops.transition_matrix(own), ops.context_transitions(own), forbidden, ops.context_embeddings(own), threshold=0.15)
+    return ops.transition_analysis(with_scenario(actions(spark, sf_dir)), m["matrix"], m["contexts"], forbidden, m["embeddings"], threshold=0.15, rules=scenario_rules(spark))
 
 
 @query("c2_transition_decisions", with_sql(A, T, M, X, H, _ANALYSIS) + " SELECT seq_id, pos, previous, actual, context, probability, context_probability, decision, risk, level FROM n")
@@ -138,7 +165,7 @@ def c2(spark, sf_dir):
     return analysis(spark, sf_dir).drop("reason", "scored")
 
 
-@query("c3_transition_summary", with_sql(A, T, M, X, H, _ANALYSIS) + " SELECT seq_id, count(*) AS transitions, floor(sum(round(risk * 10000)) / count(*) + 0.5) / 10000 AS mean_risk, round(max(risk), 4) AS max_risk, count(*) FILTER (level = 'forbidden') AS forbidden_count, count(*) FILTER (decision = 'DEVIATION') AS deviation_count, 0::BIGINT AS unseen_count FROM n GROUP BY seq_id")
+@query("c3_transition_summary", with_sql(A, T, M, X, H, _ANALYSIS) + " SELECT seq_id, count(*) AS transitions, floor(sum(round(risk * 10000)) / count(*) + 0.5) / 10000 AS mean_risk, round(max(risk), 4) AS max_risk, count(*) FILTER (level = 'forbidden') AS forbidden_count, count(*) FILTER (decision = 'DEVIATION') AS deviation_count, count(*) FILTER (decision = 'ANOMALY' AND level <> 'forbidden') AS unseen_count FROM n GROUP BY seq_id")
 def c3(spark, sf_dir):
     return ops.transition_summary(analysis(spark, sf_dir))
 
@@ -150,13 +177,12 @@ def p14(spark, sf_dir):
 
 @query("j10_scenario_violations", with_sql(A) + " SELECT seq_id, pos, action, CASE WHEN CAST(split_part(seq_id, '-', 1) AS BIGINT) % 3 = 0 THEN 'forbidden in scenario' ELSE 'outside scenario' END AS reason FROM a WHERE (CAST(split_part(seq_id, '-', 1) AS BIGINT) % 3 = 0 AND action = 'error') OR (CAST(split_part(seq_id, '-', 1) AS BIGINT) % 3 = 1 AND action NOT IN ('view', 'click', 'purchase'))")
 def j10(spark, sf_dir):
-    own = actions(spark, sf_dir).withColumn("scenario", F.concat(F.lit("s"), (F.split("seq_id", "-")[0].cast("long") % 3).cast("string")))
-    rules = spark.createDataFrame([("s0", [], ["error"]), ("s1", ["view", "click", "purchase"], [])], "scenario string, allowed array<string>, forbidden array<string>")
-    return ops.scenario_violations(own, own.select("action").distinct(), rules)
+    own = with_scenario(actions(spark, sf_dir))
+    return ops.scenario_violations(own, own.select("action").distinct(), scenario_rules(spark))
 
 
-# Templates of the checks: the first 40 training sequences of six actions, by their letters.
-_TEMPLATES = "tp AS (SELECT row_number() OVER (ORDER BY txt) AS template_id, seq, txt FROM (SELECT seq, array_to_string(list_transform(seq, lambda v: v[1:1]), '') AS txt FROM ts WHERE len(seq) = 6 GROUP BY seq) ORDER BY txt LIMIT 40), sx AS (SELECT seq_id, seq, array_to_string(list_transform(seq, lambda v: v[1:1]), '') AS txt FROM s)"
+# Templates of the checks: all different training sequences, numbered by their letters.
+_TEMPLATES = "tp AS (SELECT row_number() OVER (ORDER BY txt) AS template_id, seq, txt FROM (SELECT seq, array_to_string(list_transform(seq, lambda v: v[1:1]), '') AS txt FROM ts GROUP BY seq)), sx AS (SELECT seq_id, seq, array_to_string(list_transform(seq, lambda v: v[1:1]), '') AS txt FROM s)"
 _RANKED = "k AS (SELECT seq_id, template_id, levenshtein(sx.txt, tp.txt) AS distance, levenshtein(sx.txt, tp.txt) / greatest(length(sx.txt), length(tp.txt), 1) AS ratio, row_number() OVER (PARTITION BY seq_id ORDER BY levenshtein(sx.txt, tp.txt), levenshtein(sx.txt, tp.txt) / greatest(length(sx.txt), length(tp.txt), 1), template_id) AS rank FROM sx, tp)"
 
 
@@ -164,8 +190,8 @@ def templates(spark, sf_dir):
     """Sequences with text, templates with text: the first letters of the five labels differ, so they serve as codes."""
     letter = F.array_join(F.transform("seq", lambda x: F.substring(x, 1, 1)), "")
     sequences = ops.as_sequences(actions(spark, sf_dir)).withColumn("text", letter)
-    own = ops.as_sequences(train(spark, sf_dir)).where(F.size("seq") == 6).select("seq").distinct().withColumn("text", letter).orderBy("text").limit(40)
-    return sequences, own.withColumn("template_id", F.row_number().over(Window.orderBy("text")).cast("long"))
+    own = ops.as_sequences(train(spark, sf_dir)).select("seq").distinct().withColumn("text", letter)
+    return sequences, ops.held(own.withColumn("template_id", F.row_number().over(Window.orderBy("text")).cast("long")))
 
 
 @query("j7_rank_templates", with_sql(A, T, _TEMPLATES, _RANKED) + " SELECT seq_id, rank, template_id, distance, ratio FROM k WHERE rank <= 3")
@@ -195,6 +221,12 @@ def c4(spark, sf_dir):
     return ops.align_best(sequences, own, ops.rank_templates(sequences, own, 1))
 
 
+@query("c4_operation_counts", with_sql(A, T, _TEMPLATES, _RANKED) + " SELECT seq_id, template_id, distance AS edits FROM k WHERE rank = 1")
+def c4b(spark, sf_dir):
+    """As many operations other than matches as the edit distance says."""
+    return c4(spark, sf_dir).select("seq_id", "template_id", F.size(F.filter("operations", lambda o: o["op"] != "match")).cast("long").alias("edits"))
+
+
 def checked(spark, sf_dir):
     sequences, own = templates(spark, sf_dir)
     aligned = ops.align_best(sequences, own, ops.rank_templates(sequences, own, 1))
@@ -220,18 +252,36 @@ def c12(spark, sf_dir):
     return ops.enqueue_reviews(pending, checked(spark, sf_dir), sequences)
 
 
-@query("c7_graph_plausibility", with_sql(A, "t AS (SELECT * FROM a WHERE CAST(split_part(seq_id, '-', 1) AS BIGINT) = 8)") + """, w AS (SELECT seq_id, pos, lag(action) OVER (PARTITION BY seq_id ORDER BY pos) AS previous, action AS actual FROM a), e AS (SELECT DISTINCT lag(action) OVER (PARTITION BY seq_id ORDER BY pos) AS previous, action AS actual FROM t)
+@query("c7_graph_plausibility", with_sql(A, "t AS (SELECT * FROM a WHERE CAST(split_part(seq_id, '-', 1) AS BIGINT) % 2 = 0 AND action <> 'signup')") + """, w AS (SELECT seq_id, pos, lag(action) OVER (PARTITION BY seq_id ORDER BY pos) AS previous, action AS actual FROM a), e AS (SELECT DISTINCT lag(action) OVER (PARTITION BY seq_id ORDER BY pos) AS previous, action AS actual FROM t)
 SELECT w.* FROM w WHERE (previous IS NULL AND actual NOT IN (SELECT action FROM t WHERE pos = 0)) OR (previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.previous = w.previous AND e.actual = w.actual))""")
 def c7(spark, sf_dir):
     own = actions(spark, sf_dir)
-    graph = ops.adjacency(ops.as_sequences(own.where("seq_id LIKE '8-%'")))
+    graph = ops.adjacency(ops.as_sequences(train(spark, sf_dir).where("action <> 'signup'")))
     return ops.graph_plausibility(own, graph).withColumn("pos", F.col("pos").cast("int"))
 
 
-@query("c8_longest_valid_chain")
+# The longest subsequence along the edges from a start: all paths that end at each step, the later step of equal lengths.
+_C8 = """eg(a, b) AS (VALUES ('view', 'click'), ('view', 'view'), ('click', 'signup'), ('click', 'purchase'), ('signup', 'purchase')),
+pt AS (SELECT seq_id, pos, action, 1 AS n FROM a WHERE action IN ('view', 'click') UNION ALL SELECT a.seq_id, a.pos, a.action, pt.n + 1 FROM pt JOIN a ON a.seq_id = pt.seq_id AND a.pos > pt.pos JOIN eg ON eg.a = pt.action AND eg.b = a.action),
+bt AS (SELECT seq_id, arg_max(action, (n, pos)) AS last, max(n) AS n FROM pt GROUP BY 1)"""
+
+
+@query("c8_longest_valid_chain", "WITH RECURSIVE " + A + ", " + _C8 + """ SELECT s.seq_id, CAST(coalesce(n, 0) AS INTEGER) AS matched, last, CASE last WHEN 'view' THEN ['click', 'view'] WHEN 'click' THEN ['purchase', 'signup'] WHEN 'signup' THEN ['purchase'] WHEN 'purchase' THEN [] ELSE ['click', 'view'] END AS next,
+CASE WHEN last IS NULL THEN 'NO_MATCH' WHEN last = 'purchase' THEN 'DEAD_END' ELSE 'IN_PROGRESS' END AS state FROM s LEFT JOIN bt USING (seq_id)""")
 def c8(spark, sf_dir):
     graph = {"view": ["click", "view"], "click": ["signup", "purchase"], "signup": ["purchase"], "purchase": []}
-    return ops.longest_valid_chain(ops.as_sequences(actions(spark, sf_dir)), graph, ["view", "click"])
+    return ops.longest_valid_chain(ops.as_sequences(actions(spark, sf_dir)), graph, ["view", "click"], ["signup"])
+
+
+@query("c10_fitted_model", with_sql(A, T, M, X) + """ SELECT 'templates' AS part, count(DISTINCT seq) AS n FROM ts UNION ALL SELECT 'contexts', count(*) FROM x UNION ALL SELECT 'matrix', count(*) FROM m UNION ALL SELECT 'starts', count(DISTINCT seq[1]) FROM ts
+UNION ALL SELECT 'repeats', count(DISTINCT action) FROM t UNION ALL SELECT 'graph', count(DISTINCT action) FROM t UNION ALL SELECT 'embeddings', count(DISTINCT action) FROM t UNION ALL SELECT 'critical', count(*) FROM (SELECT v FROM (SELECT seq, unnest(list_distinct(seq)) AS v FROM (SELECT DISTINCT seq FROM ts)) GROUP BY v HAVING count(*) >= 0.5 * (SELECT count(DISTINCT seq) FROM ts))""")
+def c10(spark, sf_dir):
+    """How many rows each part of the fitted model has, after it was saved and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{folder}/conformance-{uuid.uuid4().hex}"
+    ops.save_model(ops.fit_model(train(spark, sf_dir), least=0.5), folder)
+    parts = [part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, part in ops.load_model(spark, folder).items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("c13_clean_sequences", with_sql(A) + " SELECT seq_id, list_filter(list_transform(seq, lambda v: CASE WHEN v = 'error' THEN '' ELSE v END), lambda v: v <> '') AS seq FROM s")

@@ -76,10 +76,36 @@ def f12(spark, sf_dir):
     return own.select("idx", F.col("h.method").alias("method"), F.col("h.path").alias("path"), F.col("h.headers")["host"].alias("host"), F.col("h.body").alias("body"))
 
 
-@query("p4_control_status", with_sql(L) + f""" SELECT status, count(*) AS n FROM (SELECT CASE WHEN strlen(text) < 4 THEN 'short' WHEN {num(1, 1)} NOT BETWEEN 65 AND 90 THEN 'type' WHEN {num(3, 1)} + 256 * {num(4, 1)} <> strlen(text) THEN 'field' ELSE 'length' END AS status FROM l WHERE text IS NOT NULL) GROUP BY 1""")
+# Control payloads made of the packets' fields: type k % 8, subtype 9 (8 in each 5th), lengths in turn, the declared length wrong in each 7th.
+_LENGTHS = [212, 52, 108, 108, 16, 60, 380, 11, 100]
+_CTL = f"""c AS (SELECT capture_id, idx, k % 8 AS t, CASE WHEN idx % 5 = 0 THEN 8 ELSE 9 END AS sub, {_LENGTHS}[CASE WHEN idx % 3 = 0 THEN idx % 9 ELSE [8, 0, 2, 3, 4, 5, 6, 7][k % 8 + 1] END + 1] AS n, idx % 7 = 0 AS wrong FROM p),
+v AS (SELECT *, CASE WHEN n < 12 THEN 'payload_short' WHEN t NOT BETWEEN 1 AND 6 THEN 'invalid_msg_type' WHEN sub <> 9 THEN 'invalid_sub_type' WHEN wrong THEN 'data_len_mismatch'
+  WHEN (t = 1 AND n IN (212, 52)) OR (t IN (2, 3) AND n = 108) OR (t = 4 AND n = 16) OR (t = 5 AND n = 60) OR (t = 6 AND n = 380) THEN 'ok' ELSE 'unexpected_payload_len' END AS status FROM c)"""
+
+
+def control_packets(spark, sf_dir):
+    own = packets(spark, sf_dir)
+    at = F.when(F.col("idx") % 3 == 0, F.col("idx") % 9).otherwise(F.element_at(F.array(*map(F.lit, [8, 0, 2, 3, 4, 5, 6, 7])), (F.col("k") % 8 + 1).cast("int")))
+    n = F.element_at(F.array(*map(F.lit, _LENGTHS)), (at + 1).cast("int"))
+    number = lambda c, digits: F.lpad(F.hex(c.cast("long")), digits, "0")
+    declared = n - 12 + F.when(F.col("idx") % 7 == 0, 1).otherwise(0)
+    little = F.concat(number(declared % 256, 2), number(F.floor(declared / 256), 2), F.lit("0000"))
+    head = F.concat(number(F.col("k") % 8, 2), F.when(F.col("idx") % 5 == 0, "08").otherwise("09"), F.lit("0000"), little)
+    return own.withColumn("control", F.unhex(F.rpad(head, 2 * n, "5A")))
+
+
+@query("p4_control_status", with_sql(P, _CTL) + " SELECT capture_id, status, count(*) AS n FROM v GROUP BY ALL")
 def p4(spark, sf_dir):
-    own = payloads(spark, sf_dir).where("text IS NOT NULL")
-    return own.groupBy(cap.control_status(F.col("text").cast("binary"), {k: 0 for k in range(65, 91)}).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return control_packets(spark, sf_dir).groupBy("capture_id", cap.control_status(F.col("control")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f14_dns_question", with_sql(P) + " SELECT idx, kind || '.' || replace(src, '.', '-') || '.example' AS name, 1::BIGINT AS type, 255::BIGINT AS class FROM p")
+def f14b(spark, sf_dir):
+    label = lambda c: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 2, "0")), c.cast("binary"))
+    labels = [F.col("kind"), F.translate("src", ".", "-"), F.lit("example")]
+    message = F.concat(F.unhex(F.lit("0007010000010000" + "00000000")), *map(label, labels), F.unhex(F.lit("00000100FF")))
+    own = packets(spark, sf_dir).select("idx", cap.dns_question(message).alias("q"))
+    return own.select("idx", F.col("q.name").alias("name"), F.col("q.type").alias("type"), F.col("q.class").alias("class"))
 
 
 # --- tasks: orders as an append-only log, each order's customer as the owner -----------------------------------------

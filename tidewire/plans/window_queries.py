@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profiles, windows as ops
+from ..sources.capture import control_status, control_type
 from .adapters import P, packets, table, with_sql
 from .registry import query
+from .source_queries import _CTL, control_packets
 
 MINUTE = 60_000_000
 FLOW = "least(src, dst) || '|' || greatest(src, dst)"
@@ -69,9 +71,17 @@ def a13(spark, sf_dir):
     return rounded(out, ["mean_len", "std_len", "direction_balance", "small_ratio", "len_cv"])
 
 
-@query("a14_payload_window_counts", with_sql(P, _W) + " SELECT capture_id, window_idx, coalesce(valid_payload_count, 0) AS valid_payload_count, coalesce(payload_byte_count, 0) AS payload_byte_count, round(coalesce(valid_payload_count, 0) / greatest(coalesce(pkt_count, 0), 1), 6) AS valid_payload_ratio FROM d LEFT JOIN w USING (capture_id, window_idx)")
+_KINDS = (1, 2, 3, 4, 5, 6)
+_A14 = ", ".join(f"count(*) FILTER (status = 'ok' AND c.t = {k}) AS n{k}" for k in _KINDS)
+
+
+@query("a14_payload_window_counts", with_sql(P, _W, _CTL) + f""", y AS (SELECT x.capture_id, window_idx, count(*) AS n, count(*) FILTER (status = 'ok') AS ok, coalesce(sum(c.n) FILTER (status = 'ok'), 0)::BIGINT AS bytes, {_A14} FROM x JOIN v AS c USING (idx) GROUP BY 1, 2)
+SELECT capture_id, window_idx, coalesce(ok, 0) AS valid_payload_count, coalesce(bytes, 0) AS payload_byte_count, round(coalesce(ok, 0) / greatest(coalesce(n, 0), 1), 6) AS valid_payload_ratio, """ + ", ".join(f"coalesce(n{k}, 0) AS msg_type_0{k}_count, round(coalesce(n{k}, 0) / greatest(coalesce(n, 0), 1), 6) AS msg_type_0{k}_ratio" for k in _KINDS) + " FROM d LEFT JOIN y USING (capture_id, window_idx)")
 def a14(spark, sf_dir):
-    return rounded(hourly(spark, sf_dir).select("capture_id", "window_idx", "valid_payload_count", "payload_byte_count", "valid_payload_ratio"), ["valid_payload_ratio"])
+    own = control_packets(spark, sf_dir).drop("payload").withColumnRenamed("control", "payload")
+    out = ops.window_features(own, 60 * MINUTE, control_status(F.col("payload")) == "ok", control_type(F.col("payload")), _KINDS)
+    types = [f"msg_type_0{k}_{c}" for k in _KINDS for c in ("count", "ratio")]
+    return rounded(out.select("capture_id", "window_idx", "valid_payload_count", "payload_byte_count", "valid_payload_ratio", *types), ["valid_payload_ratio", *[c for c in types if c.endswith("ratio")]])
 
 
 @query("w4_gap_in_window", with_sql(P, _W) + " SELECT idx, coalesce(gap, 0) AS gap FROM x")
@@ -202,8 +212,8 @@ def w8(spark, sf_dir):
 
 @query("w14_merge_short_runs")
 def w14(spark, sf_dir):
-    own = ops.merge_runs(packets(spark, sf_dir), ["src"], "idx", "kind").select("src", "first", "last", F.col("kind").alias("label"))
-    return ops.merge_short_runs(own, ["src"], 200)
+    own = ops.runs(packets(spark, sf_dir), ["src"], "idx", "kind").groupBy("src", "run", F.col("kind").alias("label")).agg((F.min("ts_us") / 1e6).alias("first"), (F.max("ts_us") / 1e6).alias("last"), F.avg("value").alias("confidence"), F.count(F.lit(1)).alias("windows"))
+    return ops.merge_short_runs(own, ["src"], 3600 * 3)
 
 
 @query("w19_top_per_group", with_sql(P) + " SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM (SELECT src, dst, count(*) AS n FROM p GROUP BY src, dst)) WHERE r <= 2")

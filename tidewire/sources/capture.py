@@ -153,13 +153,44 @@ def dns_header(payload: Column) -> Column:
     return F.struct(unsigned(payload, 1, 2).alias("id"), F.shiftright(flags, 15).alias("qr"), F.shiftright(flags, 11).bitwiseAND(F.lit(15)).alias("opcode"), unsigned(payload, 5, 2).alias("questions"), unsigned(payload, 7, 2).alias("answers"))
 
 
-# Lengths of valid control payloads by message type.
-CONTROL_LENGTHS = {1: 12, 2: 20, 3: 36, 4: 64}
+def dns_question(payload: Column) -> Column:
+    """name, type and class of the first question: labels of a length byte and that many bytes, up to a length of 0; null without one.
 
+    A name holds at most 127 labels; a label that the payload cuts off ends it.
+    """
+    start = F.struct(F.lit(13).alias("at"), F.array().cast("array<string>").alias("labels"), F.lit(True).alias("on"))
+    size = lambda s: F.coalesce(unsigned(payload, s["at"], 1), F.lit(0)).cast("int")
+    more = lambda s: s["on"] & (size(s) > 0) & (size(s) < 64)
 
-def control_status(payload: Column, lengths: dict[int, int] | None = None) -> Column:
-    """ok, or why a control payload isn't valid: short, type, field (its own little-endian length differs), length."""
-    kind, n = unsigned(payload, 1, 1), F.octet_length(payload)
-    lengths = CONTROL_LENGTHS if lengths is None else lengths
-    expected = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in lengths.items()])
-    return F.when(payload.isNull() | (n < 4), "short").when(expected.isNull(), "type").when(unsigned_little(payload, 3, 2) != n, "field").when(n != expected, "length").otherwise("ok")
+    def step(s: Column, _: Column) -> Column:
+        label = F.make_valid_utf8(F.substring(payload, s["at"] + 1, size(s)).cast("string"))
+        return F.when(more(s), F.struct((s["at"] + 1 + size(s)).alias("at"), F.concat(s["labels"], F.array(label)).alias("labels"), F.lit(True).alias("on"))).otherwise(F.struct(s["at"].alias("at"), s["labels"].alias("labels"), F.lit(False).alias("on")))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(127)), start, step)
+    found = F.struct(F.array_join(end["labels"], ".").alias("name"), unsigned(payload, end["at"] + 1, 2).alias("type"), unsigned(payload, end["at"] + 3, 2).alias("class"))
+    return F.when(unsigned(payload, 5, 2) > 0, found)
+
+
+# Lengths of valid control payloads by message type, and their subtypes.
+CONTROL_LENGTHS = {1: (52, 212), 2: (108,), 3: (108,), 4: (16,), 5: (60,), 6: (380,)}
+CONTROL_SUBTYPES = (9,)
+CONTROL_HEADER = 12
+
+
+def control_type(payload: Column) -> Column:
+    """The message type of a control payload: its first byte."""
+    return unsigned(payload, 1, 1)
+
+
+def control_status(payload: Column) -> Column:
+    """ok, or why a control payload isn't valid.
+
+    Tests in order: no payload (not_udp), a payload below the header's 12 bytes (payload_short), the type and subtype bytes, the
+    little-endian number in bytes 5 to 8, which must be the bytes after the header (data_len_mismatch), and the type's lengths.
+    """
+    kind, n = control_type(payload), F.octet_length(payload)
+    usual = F.coalesce(*[F.when(kind == k, n.isin(*v)) for k, v in CONTROL_LENGTHS.items()])
+    return (
+        F.when(payload.isNull(), "not_udp").when(n < CONTROL_HEADER, "payload_short").when(~kind.isin(*CONTROL_LENGTHS), "invalid_msg_type").when(~unsigned(payload, 2, 1).isin(*CONTROL_SUBTYPES), "invalid_sub_type")
+        .when(unsigned_little(payload, 5, 4) != n - CONTROL_HEADER, "data_len_mismatch").when(~usual, "unexpected_payload_len").otherwise("ok")
+    )

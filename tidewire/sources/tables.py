@@ -23,10 +23,13 @@ def labelled_csv(spark: SparkSession, path: str, label: str | None = None, drop:
 
 
 def flow_set(spark: SparkSession, path: str) -> DataFrame:
-    """Flow statistics: identifiers go, infinities become 0, label is 1 for anything but BENIGN."""
-    df = spark.read.csv(path, header=True, inferSchema=True).drop(*FLOW_IDS)
-    numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return finite_or_zero(df, numbers).withColumn("label", (F.trim("Label") != "BENIGN").cast("int")).drop("Label") if "label" not in df.columns else finite_or_zero(df, numbers)
+    """Flow statistics: identifiers go, infinities and nulls become 0, the column Label becomes label: 1 for anything but BENIGN."""
+    df = spark.read.csv(path, header=True, inferSchema=True, ignoreLeadingWhiteSpace=True)
+    df = df.toDF(*[c.strip() for c in df.columns]).drop(*FLOW_IDS)
+    own = next(c for c in df.columns if c.lower() == "label")
+    numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long") and f.name != own]
+    out = finite_or_zero(df, numbers)
+    return out.select(*[c for c in out.columns if c != own], (F.trim(F.col(own).cast("string")) != "BENIGN").cast("int").alias("label"))
 
 
 def connection_set(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
