@@ -149,12 +149,22 @@ def test_top_k_is_exact():
         x[n // 2 : n // 2 + 8] = x[0]
         ids = rng.permutation(n) * 2
         got = collections.defaultdict(list)
-        for i, row, score in zip(*topk_search.search_shard(x, ids, x[:20], ids[:20], 5), strict=True):
-            got[i].append((-score, ids[row]))
+        for i, row, score in zip(*topk_search.search(topk_search.Index(ids, x), x[:20], ids[:20], 5), strict=True):
+            got[i].append((-score, row))
         for i in range(min(20, n)):
             assert sorted(got[i]) == sorted((-int(x[i] @ x[j]), ids[j]) for j in range(n) if j != i)[:5]
 
 
+def test_bitmap_addition_gives_the_scores():
+    rng = np.random.default_rng(6)
+    x, q = rng.integers(-50, 90, (130, 9)), rng.integers(-40, 30, (7, 9))
+    index = topk_search.Index(np.arange(130), x)
+    score, offset = index.scores(q)
+    for i in range(7):
+        bits = [np.unpackbits(s[i].view(np.uint8), bitorder="little")[:130].astype(np.int64) << b for b, s in enumerate(score)]
+        assert (sum(bits) + offset[i] == x @ q[i]).all()
+
+
 def test_top_k_leaves_out_bad_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [-1.0]), (None, [9.0, 9.0]), (6, [1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
