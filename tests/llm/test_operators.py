@@ -142,6 +142,58 @@ def test_html_style_tree_cuts_repeated_branches(spark):
     assert all(r.text == f"own text {r.page_id} of the page" for r in got)
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    ('<body class="has-sidebar"><article><p>kept</p></article></body>', "kept"),
+    ('<body><main class="no-sidebar"><p>kept</p></main></body>', "kept"),
+    ('<article class="post share-enabled"><p>kept</p></article>', "kept"),
+    ('<article><p>a <math><mi>x</mi></math> <svg><text>y</text></svg> <object>z</object></p></article>', "a x y z"),
+    ('<article><p>a <span class="ad">buy <span>now</span></span> b</p></article>', "a b"),
+    ('<article><div class="cookie-banner">c</div><div class="content-with-sidebar">kept</div><div class="site_footer">f</div></article>', "kept"),
+    ('<article><p>kept</p></article><div id="comments"><article class="comment"><p>first!</p></article></div>', "kept"),
+    ('<article><p>&lt;b&gt; &amp;amp; &#233;</p><p> </p></article>', "<b> &amp; é"),
+    ("<p>unclosed <b>text", "unclosed text"),
+])
+def test_html_names_are_priors(body, want):
+    assert html_extract.main_text(body, {}) == want
+
+
+@pytest.mark.parametrize(("pages", "stays"), [(5, True), (49, False), (51, False)])
+def test_html_unnamed_boxes_inside_articles(spark, pages, stays):
+    rows = [(i, f"http://h.example/{i}", f"<article><p>own {i} text {i * i}</p><div class='x{i}'>Same words on all pages</div></article>", "clash") for i in range(pages)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, tree string")).collect()
+    assert sorted(r.text for r in got) == sorted(f"own {i} text {i * i}" + ("\n\nSame words on all pages" if stays else "") for i in range(pages))
+
+
+def test_html_style_tree_against_plain_python(spark, sf_dir):
+    """The tree in dicts over all pages of a host, one of them hot and with repeated rows; then every page cut by it."""
+    own = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60).collect()]
+    box = "<div><section class='k'>Read the other pages too</section><section>{}</section></div>"
+    rows = [(i, f"http://host{i % 3 if i % 2 else 0}/", (h or "") + box.format(i // 4)) for i, (_, _, h) in enumerate(own)] + [(7, "http://host0/", "<p>x</p>" + box.format(1))] * 3 + [(None, None, None), (9, "no url", "<p>solo</p>")]
+    hosts = collections.defaultdict(list)
+    for _, url, page in rows:
+        hosts[(re.match(r"http://([^/]+)", url or "") or ["", ""])[1]].append([b for b in html_extract.blocks(page or "") if not b.noise])
+    want = collections.Counter()
+    for key, url, page in rows:
+        pages, nodes = hosts[(re.match(r"http://([^/]+)", url or "") or ["", ""])[1]], {}
+        for node in {p for blocks in pages for b in blocks for p in b.path}:
+            below = [{b.text for b in blocks if node in b.path} for blocks in pages]
+            below = [t for t in below if t]
+            n, df = len(below), collections.Counter(t for texts in below for t in texts)
+            if n > 1:
+                content = 1 - sum(np.log(v) for v in df.values()) / len(df) / np.log(n)
+                styles = collections.Counter(map(len, below))
+                presentation = -sum(v / n * np.log(v / n) for v in styles.values()) / np.log(n)
+                keep = 0.9 ** len(df)
+                seen = (1 - keep) * content + keep * max(content, presentation)
+                nodes[node] = 1 - np.log(n) / (1 + np.log(n)) * (1 - seen)
+        want[(key, url, html_extract.main_text(page or "", nodes))] += 1
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for few in (100_000, 0):  # broadcast, and joined by host
+        got = html_extract.extract_text(df, broadcast_rows=few).collect()
+        assert collections.Counter((r.page_id, r.url, r.text) for r in got) == want and all(r.n_chars == len(r.text) for r in got)
+    assert html_extract.extract_text(df.limit(0)).count() == 0
+
+
 def test_top_k_is_exact():
     rng = np.random.default_rng(1)
     for n, d, scale in ((200, 7, 3), (600, 64, 150), (150, 130, 40), (3, 5, 10)):

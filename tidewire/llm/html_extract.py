@@ -4,9 +4,10 @@ The pages of a host are merged into one tree: a node is a path of block elements
 pages have it and which texts stand below it. A text that stands on many of the host's pages is template, so the importance of
 a node's content is the mean, over its different texts, of 1 - log(pages with the text) / log(pages with the node): the entropy
 of a text that is spread evenly over pages. The importance of a node's presentation is the entropy of its pages over the
-numbers of texts that it holds; both are put together with a weight that falls with the node's number of texts. Element names
-and classes give a prior: navigation, forms, scripts and the like are never content, article and main are. Branches
-of low importance are cut from each page.
+numbers of texts that it holds; both are put together with a weight that falls with the node's number of texts. How far
+that counts grows with the pages that were seen: with n pages the importance is drawn to 1 by 1 / (1 + ln n), so one rule holds
+for hosts of any size. Names are priors: inside an article a branch needs less importance to stay; navigation, forms and the like
+are never content, nor is what a class names as an advert, a notice or comments. Branches of low importance are cut from each page.
 """
 
 from __future__ import annotations
@@ -28,16 +29,28 @@ SPACE = re.compile(r"[\s ]+")
 
 # Element names of the HTML standard by what they hold.
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address header footer nav aside form fieldset details summary hgroup center dialog menu hr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select head canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset("nav footer aside form fieldset menu dialog button header".split())
 CONTENT = frozenset("article main".split())
-NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner banners cookie cookies consent notice notices sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments disqus footer header masthead share sharing social promo promotion sponsor sponsored newsletter subscribe popup modal related recommended toolbar widget pagination pager".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
+NOISE_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising banner banners cookie cookies consent notice notices sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social promo promotion sponsor sponsored newsletter subscribe popup modal related recommended toolbar widget pagination pager".split())
+#: Words that turn a class like no-sidebar or share-enabled into a statement about the page.
+MODIFIERS = frozenset("has no not with without is are enabled disabled enable disable hide hidden show open closed layout page body theme style content post entry article main text".split())
+#: Elements that a class never turns into noise, unless it speaks of comments.
+KEPT = frozenset("html body main article".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-#: Importance below which a branch goes; inside an article only one that many pages of the host repeat almost word for word.
-LEAST, GAMMA = 0.3, 0.9
-LEAST_INSIDE, MANY = 0.05, 50
+#: Importance below which a branch goes, inside an article and elsewhere.
+LEAST_INSIDE, LEAST, GAMMA = 0.21, 0.4, 0.9
+
+
+def says_noise(token: str) -> bool:
+    """Whether a class names noise: as a whole, or by its first or last word if no other word of it is a modifier."""
+    if token in NOISE_WORDS:
+        return True
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    return len(words) > 1 and (words[0] in NOISE_WORDS or words[-1] in NOISE_WORDS) and not MODIFIERS & set(words)
 
 
 class Block:
@@ -53,7 +66,8 @@ def blocks(page: str) -> list[Block]:
     # name, hash of the path, whether a name says noise, whether one says content
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     parts: list[str] = []
-    skip_to, inline_noise, at = "", 0, 0
+    # The inline element that is noise and how many of its name are open inside it.
+    inline, deep, at = "", 0, 0
 
     def flush() -> None:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -68,7 +82,7 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             token = m[0]
             if not token.startswith(("<!", "<?")):
-                if not inline_noise:
+                if not deep:
                     parts.append(token)
             continue
         name, closing = name.lower(), m[1] == "/"
@@ -80,12 +94,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "br":
             parts.append(" ")
-        elif name == "button":
-            inline_noise = max(0, inline_noise + (-1 if closing else 1))
+        tokens = sorted({w for c in CLASSES.finditer(m[3]) for w in (c[1] or c[2] or c[3] or "").lower().split()}) if "=" in m[3] and not closing else []
         if name not in BLOCKS:
+            if deep and name == inline:
+                deep += -1 if closing else 1
+            elif not deep and not closing and name not in VOID and not m[3].endswith("/") and (name == "button" or any(map(says_noise, tokens))):
+                inline, deep = name, 1
             continue
         flush()
-        inline_noise = 0
+        deep = 0
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if depth:
@@ -97,9 +114,11 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if name in VOID:
             continue
-        words = sorted({w for c in CLASSES.finditer(m[3]) for w in re.split(r"[^a-z]+", (c[1] or c[2] or c[3] or "").lower()) if w}) if "=" in m[3] else []
-        main = stack[-1][3] or name in CONTENT or "main" in words
-        noise = stack[-1][2] or (name in NOISE and not (name == "header" and stack[-1][3])) or any(w in NOISE_WORDS for w in words)
+        main = stack[-1][3] or name in CONTENT or "main" in tokens
+        named = any(t in COMMENT_WORDS for t in tokens) if name in KEPT else any(map(says_noise, tokens))
+        noise = stack[-1][2] or named or (name in NOISE and not (name == "header" and stack[-1][3]))
+        # Numbers in classes and ids tell pages apart and not kinds of branches.
+        words = sorted({w for t in tokens for w in re.split(r"[^a-z]+", t) if w})
         path = xxhash.xxh64_intdigest(f"{stack[-1][1]}/{name}.{'.'.join(words)}") - (1 << 63)
         stack.append((name, path, noise, main))
     flush()
@@ -121,12 +140,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host += [own] * (len(texts) + 1)
                 node += [p] * (len(texts) + 1)
                 text += [None, *texts]
-                n += [min(len(texts), 64)] + [0] * len(texts)
+                n += [len(texts)] + [0] * len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(host, type=pa.int64()), pa.array(node, type=pa.int64()), pa.array(text, type=pa.int64()), pa.array(n, type=pa.int32())], names=["host", "node", "text", "n"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, importance, pages: the site style tree of each host; pages: host and _html.
+    """host, node, importance, pages: the site style tree of each host; the argument has host and _html.
 
     Nodes that names mark as noise are cut anyway and left out. The texts of a page count once for each node.
     """
@@ -141,7 +160,20 @@ def style_tree(pages: DataFrame) -> DataFrame:
     content = F.when(F.col("pages") > 1, 1 - F.col("spread") / F.col("texts") / m).otherwise(1.0)
     presentation = F.when(F.col("pages") > 1, (m - F.col("styles") / F.col("pages")) / m).otherwise(1.0)
     keep = F.pow(F.lit(GAMMA), F.col("texts").cast("double"))
-    return nodes.select("host", "node", ((1 - keep) * content + keep * F.greatest(content, presentation)).alias("importance"), "pages")
+    seen = (1 - keep) * content + keep * F.greatest(content, presentation)
+    return nodes.select("host", "node", (1 - m / (1 + m) * (1 - seen)).alias("importance"), "pages")
+
+
+def main_text(page: str, nodes: dict[int, float]) -> str:
+    """The blocks of a page that names and the importance of its branches (1 where not given) leave."""
+    found = [b for b in blocks(page) if not b.noise]
+    if inside := any(b.main for b in found):
+        found = [b for b in found if b.main]
+    least = [min((nodes.get(p, 1.0) for p in b.path), default=1.0) for b in found]
+    # A branch goes if it is of low importance, and much less so than the page's branches at large: a host of
+    # equal pages holds no more than its pages' one content.
+    cut = min(LEAST_INSIDE if inside else LEAST, max(least, default=1.0) / 2)
+    return "\n\n".join(b.text for b, v in zip(found, least, strict=True) if v >= cut)
 
 
 def _extract(names: list[str]):
@@ -149,33 +181,25 @@ def _extract(names: list[str]):
         for batch in batches:
             texts = []
             for page, tree in zip(batch.column("_html").to_pylist(), batch.column("tree"), strict=True):
-                nodes = {n["node"]: (n["importance"], n["pages"]) for n in tree.as_py() or ()}
-                found = [b for b in blocks(page or "") if not b.noise]
-                if inside := any(b.main for b in found):
-                    found = [b for b in found if b.main]
-                least = lambda b: min((v for v, n in (nodes.get(p, (1.0, 1)) for p in b.path) if not inside or n >= MANY), default=1.0)  # noqa: B023, E731
-                # A branch goes if it is of low importance, and much less so than the page's branches at large: a host of
-                # equal pages holds no more than its pages' one content.
-                top = max(map(least, found), default=1.0)
-                texts.append("\n\n".join(b.text for b in found if least(b) >= min(LEAST_INSIDE if inside else LEAST, top / 2)))
+                texts.append(main_text(page or "", {n["node"]: n["importance"] for n in tree.as_py() or ()}))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, type=pa.string())], names=[*names, "text"])
 
     return run
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 100_000) -> DataFrame:
-    """One row per page: id, url, text (empty if none), n_chars.
+    """One row per page: id, url, text (empty if none), n_chars; other columns are ignored.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by two \\n in page order.
     Pages without a host in their url form a host of their own; a null html is empty; repeated rows count as pages and come
-    back as often; pages of a host with one page are cut by names alone; an empty table gives no rows. The trees are
-    broadcast while they have at most `broadcast_rows` nodes, and joined by host beyond.
+    back as often; pages of a host with one page are cut by names alone; an empty table gives no rows. Only nodes whose
+    importance can matter go to the pages: those of less than twice the threshold. They are
+    broadcast while they are at most `broadcast_rows`, and joined by host beyond.
     """
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][\w+.-]*://(?:www\.)?([^/?#:]+)", 1)), F.lit("")))
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("host"))
-    tree = style_tree(base)
-    trees = tree.where("pages > 1").groupBy("host").agg(F.collect_list(F.struct("node", "importance", "pages")).alias("tree"), F.count(F.lit(1)).alias("n"))
-    trees = cut(trees)
+    tree = style_tree(base).where(F.col("importance") < 2 * LEAST)
+    trees = cut(tree.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("tree"), F.count(F.lit(1)).alias("n")))
     small = (trees.agg(F.sum("n")).first()[0] or 0) <= broadcast_rows
     joined = base.join(F.broadcast(trees) if small else trees.select(F.col("host").bitwiseXOR(F.lit(0)).alias("host"), "tree"), "host", "left")
     kinds = [base.schema[c].dataType.simpleString() for c in ("_id", "_url")]
