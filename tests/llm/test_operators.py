@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewire.llm import common, html_extract, near_dedup, quality, topk_search
 from tidewire.llm.decontaminate import FMIndex, decontaminate
 from tidewire.llm.language_id import dictionaries, identify_language
-from tidewire.llm.license_scan import PHRASES, license_scan
+from tidewire.llm.license_scan import PHRASES, TEMPLATES, license_scan
 from tidewire.llm.line_dedup import line_dedup
 from tidewire.llm.mixing import mix_sources
 from tidewire.llm.near_dedup import near_duplicates
@@ -128,6 +128,49 @@ def test_license_scan_finds_every_phrase(spark, corpus):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
+def best_share(words, template, drift=3):
+    """The largest share of a template's grams in a span of its length and a quarter more, by trying all spans of each run of neighbouring diagonals."""
+    template = template.split()
+    k = 3 if len(template) >= 3 else 2
+    grams = [tuple(template[i : i + k]) for i in range(len(template) - k + 1)]
+    votes = sorted((i, t) for i in range(len(words) - k + 1) for t, g in enumerate(grams) if tuple(words[i : i + k]) == g)
+    runs, last = [], None
+    for d in sorted({i - t for i, t in votes}):
+        if last is None or d - last > drift:
+            runs.append(set())
+        runs[-1].add(d)
+        last = d
+    best = 0.0
+    for run in runs:
+        own = [(i, t) for i, t in votes if i - t in run]
+        for i, _ in own:
+            best = max(best, len({t for j, t in own if i <= j <= i + int(1.25 * len(template)) - k}) / len(grams))
+    return best
+
+
+def test_license_labels_and_scores_against_all_spans(spark, corpus):
+    random.seed(11)
+    rows = [(100, "released under the released under the mit license"), (101, "the the released under the mit license and licensed under the very Apache License, Version 2.0."), (102, "SPDX-License-Identifier: Apache-2.0"), (103, "This is free and unencumbered software"), (104, " ".join(["released under the"] * 40)), (105, None), (105, "")]
+    for i in range(60):
+        words = random.choice(TEMPLATES)[1].split()
+        for _ in range(random.randrange(0, 1 + len(words) // 3)):
+            at = random.randrange(len(words))
+            words[at : at + random.randrange(2)] = random.choice([["other"], [], ["the"], words[:3]])
+        rows.append((200 + i, " ".join(random.choice(corpus)[1].split()[:20] + words + ["end"])))
+    got = license_scan(spark.createDataFrame(rows, DOC)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for d, t in rows:
+        words = WORDS.findall(low(t))
+        shares = [(best_share(words, text), label) for label, text in TEMPLATES]
+        found = [(s, label) for s, label in shares if s >= 0.6]
+        base = {label for p, label in PHRASES.items() if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
+        assert by[d].labels == ",".join(sorted({label for _, label in found} | base)), t
+        assert by[d].score == pytest.approx(max([s for s, _ in found] + [1.0] * bool(base), default=0.0))
+    assert by[100].labels == "mit" and by[102].labels == "apache-2.0" and by[104].labels == ""
+    assert license_scan(spark.createDataFrame(rows, DOC).limit(0)).count() == 0
+
+
 def test_html_main_text(spark):
     page = lambda body, i: f"<html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li>home<li>about</ul></nav><div class='top ad'>buy</div><article><h1>T{i}</h1>{body}<div id='comments'>first!</div></article><aside>side</aside><form>f<input></form><footer>&copy; x</footer></body>"
     rows = [(i, f"http://h.example/{i}", page(f"<p>one  {i} &amp; <b>two<br>three<p>four\n{i}<!-- x --><ul><li>a<li>b</ul>", i)) for i in range(4)] + [(9, None, None), (10, "x", ""), (11, "http://solo/", "plain <b>text</b>")]

@@ -2,7 +2,9 @@
 
 All rolling hashes of 2 and 3 consecutive words of a text are joined to the places where templates hold them. A match votes for
 the diagonal (place in the text minus place in the template) on which the whole template would lie; votes are counted by
-text, template and diagonal, neighbouring diagonals are merged, and a span counts when enough of the template stands in it.
+text, template and diagonal, and neighbouring diagonals are merged to runs. A run can hold several tries at a template, so its
+votes are put in order, and of all spans of the template's length and a quarter more that begin at a vote the one that
+holds most of the template is verified.
 """
 
 from __future__ import annotations
@@ -19,24 +21,41 @@ from .common import Words, buffers, grams, steps, word_hash
 # Phrases of the scan's contract, found wherever their words stand consecutively.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Opening or characteristic words of public licenses and their usual notices.
+# Notices and bodies of public licenses, as words.
 TEMPLATES = [
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "released under the mit license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 
+# Identifiers of the tag "SPDX-License-Identifier:" and their labels.
+SPDX = {"agpl 3 0": "agpl", "apache 2 0": "apache-2.0", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd-3-clause", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc0 1 0": "cc0", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "isc": "isc", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "mit": "mit", "mpl 2 0": "mpl-2.0", "unlicense": "unlicense"}
+TEMPLATES += [(label, f"spdx license identifier {name}") for name, label in SPDX.items()]
+
 #: A place in every text that always matches, so that a text without matches has a row.
 _MARK = 0x5EED
 
@@ -80,9 +99,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A phrase is found where all its grams vote for one diagonal; n_base counts all places, first_word and last_word are
     the smallest and largest of their starts (null if none). A template is found where diagonals at most `drift` apart
-    hold at least the share `least` of its grams within a span of at most its words plus a quarter. score is the largest
+    hold at least the share `least` of its grams within a span of at most its words plus a quarter; of a run the best such span
+    counts, the first of equal ones. score is the largest
     share found (1 for a phrase), 0 without labels; spans are (label, first word, last word + 1). Null texts are
-    empty; repeated rows come back as often as they came; null ids are ids; an empty table gives no rows.
+    empty; repeated rows come back as often as they came; null ids are ids; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     known = template_grams(spark, PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
@@ -93,15 +113,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The 2-grams follow the mark, the 3-grams follow them.
     at = F.when(F.col("t_words") == 0, 0).otherwise(F.col("i") - 1 - F.when(F.col("t_words") >= 3, F.greatest(F.col("n_words") - 1, F.lit(0))).otherwise(0))
     key = ["id", "digest", "n_words"]
-    diagonal = votes.groupBy(*key, "template", "label", "base", "t_grams", "t_words", (at - F.col("t_at")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("rows"), F.collect_set("t_at").alias("hit"), F.min(at).alias("first"), F.max(at).alias("last")
-    )
+    # Few places match anything, and they go on as the votes of a diagonal. A text's places are listed once, however often its row came.
+    diagonal = votes.groupBy(*key, "template", "label", "base", "t_grams", "t_words", (at - F.col("t_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("rows"), F.collect_set(F.struct(at.alias("at"), F.col("t_at").alias("t"))).alias("votes"))
     own = Window.partitionBy("id", "digest", "n_words", "template").orderBy("diagonal")
     near = diagonal.withColumn("run", F.sum(F.when((F.col("diagonal") - F.lag("diagonal").over(own) <= drift) & ~F.col("base"), 0).otherwise(1)).over(own))
-    runs = near.groupBy(*key, "template", "label", "base", "t_grams", "t_words", "run").agg(F.max("rows").alias("rows"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("diagonal"))
+    runs = near.groupBy(*key, "template", "label", "base", "t_grams", "t_words", "run").agg(F.max("rows").alias("rows"), F.array_sort(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("diagonal").alias("diagonal"))
     gram = F.when(F.col("t_words") >= 3, 3).otherwise(2)
+    # The votes of a span that begins at the i-th are among the next ones: at each place no more than one for each of the run's diagonals.
+    reach = (1.25 * F.col("t_words") - gram).cast("int")
+    ahead = lambda v, i: F.filter(F.slice("votes", i + 1, (reach + 1) * F.col("t_grams")), lambda x: x["at"] - v["at"] <= reach)
+    spans = F.transform("votes", lambda v, i: F.struct(F.size(F.array_distinct(F.transform(ahead(v, i), lambda x: x["t"]))).alias("n"), (-v["at"]).alias("first"), F.array_max(F.transform(ahead(v, i), lambda x: x["at"])).alias("last")))
+    runs = runs.withColumn("best", F.when(F.col("template") >= 0, F.array_max(spans))).withColumns({"n": F.col("best.n"), "first": -F.col("best.first"), "last": F.col("best.last")})
     share = F.col("n") / F.col("t_grams")
-    found = runs.withColumn("share", F.when(F.col("template") < 0, None).when(F.col("base"), F.when(F.col("n") == F.col("t_grams"), 1.0)).when((share >= least) & (F.col("last") + gram - F.col("first") <= 1.25 * F.col("t_words")), share))
+    found = runs.withColumn("share", F.when(F.col("template") < 0, None).when(F.col("base"), F.when(F.col("n") == F.col("t_grams"), 1.0)).when(share >= least, share))
     is_base = F.col("base") & F.col("share").isNotNull()
     label = F.when(F.col("share").isNotNull(), F.col("label"))
     rows = found.groupBy(*key).agg(
