@@ -96,6 +96,28 @@ def label_thresholds(df: DataFrame, label: str, score: str, q: float = 0.95, pad
     return df.groupBy(label).agg(F.least(F.greatest(F.percentile(score, F.lit(q)) + pad, F.lit(floor)), F.lit(cap)).alias("threshold"))
 
 
+def exact_quantile(df: DataFrame, column: str, q: float, most: int = 1_000_000) -> float | None:
+    """The q-quantile (linear between neighbours) of a column's values, None without any; no task gathers more than about `most` of them.
+
+    While more values are left, an approximate quantile bounds the two order statistics that are asked for, and only the values between
+    the bounds go on; each pass leaves a few hundredths.
+    """
+    own = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    n = own.count()
+    if not n:
+        return None
+    at = (n - 1) * q
+    below, low, high = 0, int(at), min(int(at) + 1, n - 1)  # places of the two values among all
+    while n > most:
+        share = lambda k: min(max((k - below) / n, 0.0), 1.0)  # noqa: B023, E731
+        a, b = own.approxQuantile("x", [max(share(low) - 0.005, 0.0), min(share(high) + 0.005, 1.0)], 0.002)
+        less, kept = own.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x").between(a, b))).first()
+        if kept == n or not (below + less <= low and high < below + less + kept):
+            break  # many equal values: of what is left few differ, and percentile counts different ones
+        own, below, n = own.where(F.col("x").between(a, b)), below + less, kept
+    return own.agg(F.percentile("x", F.lit((at - below) / max(n - 1, 1)))).first()[0]
+
+
 def prediction_join(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     """Truth rows with their predictions (column predicted) and status: MISSING, EXACT or DIFFERENT."""
     return truth.join(pred, key, "left").withColumn("status", F.when(F.col("predicted").isNull(), "MISSING").when(F.col("predicted") == F.col("expected"), "EXACT").otherwise("DIFFERENT"))

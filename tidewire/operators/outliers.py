@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .corpora import unit_hash
+from .metrics import exact_quantile
 
 _EULER = 0.5772156649015329
 
@@ -92,8 +93,8 @@ def score_forest(df: DataFrame, forest: DataFrame, columns: list[str], rows: int
 def isolation_forest(df: DataFrame, key: str, columns: list[str], contamination: float = 0.06, trees: int = 100, rows: int = 256, seed: int = 0) -> DataFrame:
     """df with score, and label -1 for the share `contamination` of the lowest scores, 1 for others. An empty table stays empty."""
     scored = score_forest(df, fit_forest(df, key, columns, trees, rows, seed), columns, rows)
-    cut = scored.agg(F.percentile("score", F.lit(contamination)).alias("_cut"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("label", F.when(F.col("score") < F.col("_cut"), -1).otherwise(1)).drop("_cut")
+    cut = exact_quantile(scored, "score", contamination)
+    return scored.withColumn("label", F.when(F.col("score") < F.lit(cut), -1).otherwise(1))
 
 
 def mahalanobis(df: DataFrame, columns: list[str], ridge: float = 1e-6, diagonal: bool = False) -> DataFrame:
@@ -143,6 +144,12 @@ def cluster_symbols(df: DataFrame, columns: list[str], k: int, seed: int = 7) ->
     return model.transform(ready).withColumn("symbol", names[F.col("_c")]).select(*df.columns, "symbol")
 
 
+def nearest_center(df: DataFrame, columns: list[str], centers: list[list[float]]) -> DataFrame:
+    """Adds symbol: the letter of the nearest of fitted centers, which are lettered in their order; ties to the first."""
+    far = [sum(((F.col(c) - float(v)) ** 2 for c, v in zip(columns, center, strict=True)), F.lit(0.0)) for center in sorted(centers)]
+    return df.withColumn("symbol", F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(chr(65 + i)).alias("s")) for i, d in enumerate(far)]))["s"])
+
+
 def prepared(df: DataFrame, columns: list[str], label: str, best: int, least_variance: float = 0.01) -> DataFrame:
     """Adds features: robustly scaled columns of enough variance, the `best` of them by F-test."""
     steps = [VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip"), RobustScaler(inputCol="_raw", outputCol="_scaled", withCentering=True), VarianceThresholdSelector(varianceThreshold=least_variance, featuresCol="_scaled", outputCol="_varied"), UnivariateFeatureSelector(featuresCol="_varied", labelCol=label, outputCol="features", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(best)]

@@ -102,9 +102,18 @@ def address_profile(packets: DataFrame) -> DataFrame:
 
 
 def port_profile(packets: DataFrame, most: int = 10) -> DataFrame:
-    """Per port over 0: service, count, the first `most` source and destination addresses in order."""
-    first = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, most), ", ")
-    return packets.where("port > 0").groupBy("port").agg(F.count(F.lit(1)).alias("count"), first("src").alias("src_ips"), first("dst").alias("dst_ips")).withColumn("service", service_name(F.col("port")))
+    """Per port over 0: service, count, the first `most` source and destination addresses in order.
+
+    Different addresses of a port are found first, and no more than `most` of them a task go on, so that a busy port is no one's list.
+    """
+    own = packets.where("port > 0")
+    out = own.groupBy("port").agg(F.count(F.lit(1)).alias("count"))
+    for end in ("src", "dst"):
+        place = F.row_number().over(Window.partitionBy("port").orderBy(end))
+        few = own.where(F.col(end).isNotNull()).select("port", end).distinct().withColumn("_r", place).where(F.col("_r") <= most)
+        lists = few.groupBy("port").agg(F.array_join(F.array_sort(F.collect_list(end)), ", ").alias(f"{end}_ips"))
+        out = out.join(lists, "port", "left").withColumn(f"{end}_ips", F.coalesce(f"{end}_ips", F.lit("")))
+    return out.withColumn("service", service_name(F.col("port")))
 
 
 # --- groups and verdicts ---------------------------------------------------------------------------------------------

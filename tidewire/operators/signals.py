@@ -5,6 +5,10 @@ A signal is (capture_id, bin, value) with all bins; symbol texts are one row per
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +47,45 @@ def average_templates(signal: DataFrame, labels: DataFrame) -> DataFrame:
     return mean.select("label", "bin", ((F.col("value") - F.avg("value").over(w)) / (F.stddev_pop("value").over(w) + 1e-9)).alias("value"))
 
 
-def cross_correlation(signal: DataFrame, templates: DataFrame) -> DataFrame:
-    """capture_id, label, lag, correlation: sums of products of signal and shifted template over both norms.
+#: Values of all templates up to which they go to the tasks whole.
+TEMPLATE_VALUES = 4_000_000
+
 
-    Products meet on every pair of bins of a capture and a template, so templates are to be short.
+def cross_correlation(signal: DataFrame, templates: DataFrame, flip: bool = False) -> DataFrame:
+    """capture_id, label, lag, correlation: sums of products of signal and shifted template over both norms, at all lags where they overlap.
+
+    With flip the template is turned round, which gives the convolution. A capture's bins are one row, and the templates, a model table
+    of at most TEMPLATE_VALUES numbers, go to the tasks.
     """
-    norm = lambda df, keys: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value").cast("double") * F.col("value"))).alias("_n"))
-    t = F.broadcast(templates.select("label", F.col("bin").alias("_tb"), F.col("value").alias("_tv")))
-    sums = signal.join(t).groupBy("capture_id", "label", (F.col("bin") - F.col("_tb")).alias("lag")).agg(F.sum(F.col("value") * F.col("_tv")).alias("_s"))
-    out = sums.join(F.broadcast(norm(signal, ["capture_id"])), "capture_id").join(F.broadcast(norm(templates, ["label"]).withColumnRenamed("_n", "_tn")), "label")
-    return out.select("capture_id", "label", "lag", (F.col("_s") / (F.col("_n") * F.col("_tn") + 1e-9)).alias("correlation"))
+    rows = templates.limit(TEMPLATE_VALUES + 1).select("label", "bin", F.col("value").cast("double").alias("value")).toPandas()
+    if len(rows) > TEMPLATE_VALUES:
+        raise ValueError("the templates are too large to be matched whole")
+    known = [(label, own.sort_values("bin")["value"].to_numpy()) for label, own in rows.groupby("label")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for capture, values in zip(b["capture_id"], b["values"], strict=True):
+                x = np.asarray(values, dtype=np.float64)
+                for label, t in known:
+                    t = t[::-1] if flip else t
+                    out = np.correlate(x, t, "full") / (np.sqrt((x * x).sum()) * np.sqrt((t * t).sum()) + 1e-9)
+                    yield pd.DataFrame({"capture_id": capture, "label": label, "lag": np.arange(1 - len(t), len(x)), "correlation": out})
+
+    kind = signal.schema["capture_id"].dataType.simpleString()
+    return to_arrays(signal).mapInPandas(run, f"capture_id {kind}, label string, lag long, correlation double")
+
+
+def signal_features(signal: DataFrame, templates: DataFrame, labels: list[str]) -> DataFrame:
+    """One row a capture: its statistics, and for each label those of its correlation and of its convolution with the label's template, and both distances."""
+    own = signal_statistics(signal)
+    names = [c for c in own.columns if c != "capture_id"]
+    out = own
+    for kind, flip in (("corr", False), ("conv", True)):
+        found = cross_correlation(signal, templates, flip).select(F.struct("capture_id", "label").alias("capture_id"), F.col("lag").alias("bin"), F.col("correlation").alias("value"))
+        stats = signal_statistics(found).select("capture_id.*", *names).groupBy("capture_id").pivot("label", labels).agg(*[F.first(c).alias(f"{kind}_{c}") for c in names])
+        out = out.join(stats, "capture_id", "left")
+    near = template_distances(signal, templates).groupBy("capture_id").pivot("label", labels).agg(F.first("distance").alias("distance"), F.first("cosine").alias("cosine"))
+    return out.join(near, "capture_id", "left")
 
 
 def template_distances(signal: DataFrame, templates: DataFrame) -> DataFrame:
@@ -70,13 +103,14 @@ def template_distances(signal: DataFrame, templates: DataFrame) -> DataFrame:
 def text_pairs(samples: DataFrame, within: bool = True, least: float | None = None) -> DataFrame:
     """sample_a, sample_b, label_a, label_b, similarity of pairs of samples (sample, label, text), within a label or across.
 
-    Different texts are compared once; with `least`, texts meet in length bands only, as similarity s needs lengths in ratio s.
+    Different texts are compared once: within a label each with itself and the later ones. With `least`, texts meet in length
+    bands only, as similarity s needs lengths in ratio s.
     """
-    texts = samples.select("label", "text").distinct() if within else samples.select("label", "text").distinct()
+    texts = samples.select("label", "text").distinct()
     band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -F.log(F.lit(least)))
     a = texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("label").alias("label_b"), F.col("text").alias("text_b"))
-    on = (F.col("label_a") == F.col("label_b")) if within else (F.col("label_a") < F.col("label_b"))
+    on = (F.col("label_a") == F.col("label_b")) & (F.col("text_a") <= F.col("text_b")) if within else (F.col("label_a") < F.col("label_b"))
     if least is not None:
         a = a.withColumn("_band", F.explode(F.sequence(band(F.length("text_a")) - 1, band(F.length("text_a")) + 1)))
         b = b.withColumn("_band_b", band(F.length("text_b")))
@@ -84,11 +118,13 @@ def text_pairs(samples: DataFrame, within: bool = True, least: float | None = No
     pairs = a.join(b, on).withColumn("similarity", edit_similarity(F.col("text_a"), F.col("text_b")))
     if least is not None:
         pairs = pairs.where(F.col("similarity") >= least)
-    left = samples.select(F.col("sample").alias("sample_a"), F.col("label").alias("label_a"), F.col("text").alias("text_a"))
-    right = samples.select(F.col("sample").alias("sample_b"), F.col("label").alias("label_b"), F.col("text").alias("text_b"))
+    left = samples.select(F.col("sample").alias("_a"), F.col("label").alias("label_a"), F.col("text").alias("text_a"))
+    right = samples.select(F.col("sample").alias("_b"), F.col("label").alias("label_b"), F.col("text").alias("text_b"))
     out = pairs.join(left, ["label_a", "text_a"]).join(right, ["label_b", "text_b"])
-    out = out.where(F.col("sample_a") < F.col("sample_b")) if within else out
-    return out.select("sample_a", "sample_b", "label_a", "label_b", "similarity")
+    if not within:
+        return out.select(F.col("_a").alias("sample_a"), F.col("_b").alias("sample_b"), "label_a", "label_b", "similarity")
+    out = out.where((F.col("text_a") != F.col("text_b")) | (F.col("_a") < F.col("_b")))
+    return out.select(F.least("_a", "_b").alias("sample_a"), F.greatest("_a", "_b").alias("sample_b"), "label_a", "label_b", "similarity")
 
 
 def separability(samples: DataFrame) -> DataFrame:
@@ -107,6 +143,27 @@ def medoid_templates(samples: DataFrame, support: float = 0.7) -> DataFrame:
     return scored.withColumn("_r", best).where("_r = 1").drop("_r").join(samples.select("sample", "label", "text"), ["sample", "label"])
 
 
+def diverse_templates(samples: DataFrame, most: int = 2, support: int = 2, diversity: float = 0.85) -> DataFrame:
+    """label, rank, sample, mean_similarity, support: up to `most` templates a label, its normal variants.
+
+    Candidates are ordered by their mean similarity to the label's other samples (1 if there are none), then by how many
+    samples, themselves included, are at least `diversity` alike, then by name. The first is taken; a later one needs the
+    given support, and to be less alike than `diversity` to all taken before. One round for each template.
+    """
+    half = text_pairs(samples, True)
+    both = half.select(F.col("label_a").alias("label"), F.col("sample_a").alias("sample"), F.col("sample_b").alias("other"), "similarity").unionByName(half.select(F.col("label_a").alias("label"), F.col("sample_b").alias("sample"), F.col("sample_a").alias("other"), "similarity"))
+    scored = both.groupBy("label", "sample").agg(F.avg("similarity").alias("m"), F.count_if(F.col("similarity") >= diversity).alias("n"))
+    candidates = samples.select("label", "sample").join(scored, ["label", "sample"], "left").select("label", "sample", F.coalesce("m", F.lit(1.0)).alias("mean_similarity"), (F.coalesce("n", F.lit(0)) + 1).alias("support"))
+    order = Window.partitionBy("label").orderBy(F.desc(F.round("mean_similarity", 9)), F.desc("support"), "sample")
+    first = lambda rest, rank: rest.withColumn("rank", F.row_number().over(order)).where("rank = 1").withColumn("rank", F.lit(rank))
+    taken = first(candidates, 1)
+    alike = both.where(F.col("similarity") >= diversity)
+    for rank in range(2, most + 1):
+        near = alike.join(taken.select("label", F.col("sample").alias("other")), ["label", "other"]).select("label", "sample").unionByName(taken.select("label", "sample"))
+        taken = taken.unionByName(first(candidates.where(F.col("support") >= support).join(near, ["label", "sample"], "left_anti"), rank))
+    return taken.select("label", "rank", "sample", "mean_similarity", "support")
+
+
 def match_templates(samples: DataFrame, templates: DataFrame) -> DataFrame:
     """sample, label (its own), best label and similarity, runner-up and margin; different texts meet the small template table once."""
     texts = samples.select("text").distinct().crossJoin(F.broadcast(templates.select(F.col("label").alias("best"), F.col("text").alias("_t"))))

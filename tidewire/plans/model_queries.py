@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.payload import text_statistics
 from ..operators import conformance, metrics, outliers, profiles, signals, windows
+from ..sources.tables import flat_features
 from .adapters import P, packets, table, with_sql
 from .profile_queries import candidates
 from .registry import query
@@ -93,10 +94,11 @@ def x11(spark, sf_dir):
     return outliers.isolation_forest(windows.zscore(own.drop("label"), names), "doc_id", names, contamination=0.1, trees=40).select("doc_id", "score", "label")
 
 
-@query("x17_feature_vector", "SELECT vec_id, round(list_avg(embedding[1:32]::DOUBLE[]), 6) AS first_half, round(list_avg(embedding[33:64]::DOUBLE[]), 6) AS second_half FROM embeddings")
+@query("x17_feature_vector", "SELECT vec_id, label::DOUBLE AS first, len(embedding)::DOUBLE AS last, 4 AS n, round(list_avg(embedding::DOUBLE[]), 6) AS mean FROM embeddings")
 def x17(spark, sf_dir):
-    mean = lambda a: F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    return rounded(table(spark, sf_dir, "embeddings").select("vec_id", mean(F.slice("embedding", 1, 32)).alias("first_half"), mean(F.slice("embedding", 33, 32)).alias("second_half")))
+    features = {"label": F.col("label"), "embedding": F.col("embedding"), "missing": F.lit(None).cast("double"), "size": F.size("embedding")}
+    own = table(spark, sf_dir, "embeddings").select("vec_id", flat_features(features, ("embedding",)).alias("v"))
+    return own.select("vec_id", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(3)).alias("last"), F.size("v").alias("n"), F.round(F.get("v", F.lit(1)), 6).alias("mean"))
 
 
 _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1)"
@@ -157,31 +159,29 @@ def f29(spark, sf_dir):
     return rounded(signals.template_distances(own, templates))
 
 
-@query("f28_cross_correlation", with_sql(P, _SIGN, _BIN, _TPL) + """, k AS (SELECT * FROM tp WHERE bin < 24), c AS (SELECT z.capture_id, label, z.bin - k.bin AS lag, sum(value * t) AS s FROM z, k GROUP BY 1, 2, 3), r AS (SELECT c.capture_id, c.label, lag, s / (sn * tn + 1e-9) AS r FROM c JOIN (SELECT capture_id, sqrt(sum(value::DOUBLE * value)) AS sn FROM z GROUP BY 1) a USING (capture_id) JOIN (SELECT label, sqrt(sum(t * t)) AS tn FROM k GROUP BY 1) b USING (label))
+@query("f28_cross_correlation", with_sql(P, _SIGN, _BIN, _TPL) + """, k AS (SELECT * FROM tp), c AS (SELECT z.capture_id, label, z.bin - k.bin AS lag, sum(value * t) AS s FROM z, k GROUP BY 1, 2, 3), r AS (SELECT c.capture_id, c.label, lag, s / (sn * tn + 1e-9) AS r FROM c JOIN (SELECT capture_id, sqrt(sum(value::DOUBLE * value)) AS sn FROM z GROUP BY 1) a USING (capture_id) JOIN (SELECT label, sqrt(sum(t * t)) AS tn FROM k GROUP BY 1) b USING (label))
 SELECT capture_id, label, count(*) AS lags, round(max(r), 6) AS best FROM r GROUP BY 1, 2""")
 def f28(spark, sf_dir):
     own, _, templates = signal_templates(spark, sf_dir)
-    out = signals.cross_correlation(own, templates.where("bin < 24"))
+    out = signals.cross_correlation(own, templates)
     return rounded(out.groupBy("capture_id", "label").agg(F.count(F.lit(1)).alias("lags"), F.max("correlation").alias("best")))
 
 
 @query("x6_signal_feature_table")
 def x6(spark, sf_dir):
     own, _, templates = signal_templates(spark, sf_dir)
-    stats = signals.signal_statistics(own)
-    near = signals.template_distances(own, templates).groupBy("capture_id").pivot("label", ["even", "odd"]).agg(F.first("distance").alias("distance"), F.first("cosine").alias("cosine"))
-    return stats.join(near, "capture_id")
+    return signals.signal_features(own, templates, ["even", "odd"])
 
 
 # --- symbol texts: each user's events as letters, the label is the user modulo 4 ----------------------------------------
-_TX = "tx AS (SELECT CAST(user_id AS VARCHAR) AS sample, 'l' || (user_id % 4) AS label, string_agg(event_type[1:1], '' ORDER BY ts, event_id)[1:40] AS text FROM events GROUP BY user_id)"
+_TX = "tx AS (SELECT CAST(user_id AS VARCHAR) AS sample, 'l' || (user_id % 4) AS label, string_agg(event_type[1:1], '' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id)"
 _SIM = "1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text), 1)"
 _PAIR = f"pr AS (SELECT a.sample AS sample_a, b.sample AS sample_b, a.label AS label_a, b.label AS label_b, {_SIM} AS similarity FROM tx a JOIN tx b ON a.sample < b.sample)"
 
 
 def texts(spark, sf_dir):
     own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("c")))), lambda x: x["c"]), "").alias("t"))
-    return own.select(F.col("user_id").cast("string").alias("sample"), F.concat(F.lit("l"), (F.col("user_id") % 4).cast("string")).alias("label"), F.substring("t", 1, 40).alias("text"))
+    return own.select(F.col("user_id").cast("string").alias("sample"), F.concat(F.lit("l"), (F.col("user_id") % 4).cast("string")).alias("label"), F.col("t").alias("text"))
 
 
 @query("j5_pairs_within_label", with_sql(_TX, _PAIR) + " SELECT sample_a, sample_b, round(similarity, 6) AS similarity FROM pr WHERE label_a = label_b")
@@ -208,6 +208,15 @@ def x4(spark, sf_dir):
     return rounded(signals.medoid_templates(texts(spark, sf_dir)).select("label", "sample", "mean_similarity", "support", "text"))
 
 
+@query("x4_diverse_templates", with_sql(_TX, _PAIR) + """, bd AS (SELECT label_a AS label, sample_a AS sample, sample_b AS other, similarity FROM pr WHERE label_a = label_b UNION ALL SELECT label_a, sample_b, sample_a, similarity FROM pr WHERE label_a = label_b),
+cd AS (SELECT tx.label, tx.sample, coalesce(avg(similarity), 1) AS m, 1 + count(*) FILTER (similarity >= 0.45) AS n FROM tx LEFT JOIN bd USING (label, sample) GROUP BY 1, 2),
+t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(m, 9) DESC, n DESC, sample) AS r FROM cd) WHERE r = 1),
+t2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(m, 9) DESC, n DESC, sample) AS r FROM cd WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM t1 WHERE t1.label = cd.label AND t1.sample = cd.sample) AND NOT EXISTS (SELECT 1 FROM t1 JOIN bd ON bd.label = t1.label AND bd.other = t1.sample WHERE bd.label = cd.label AND bd.sample = cd.sample AND similarity >= 0.45)) WHERE r = 1)
+SELECT label, CAST(1 AS INTEGER) AS rank, sample, round(m, 6) AS mean_similarity, n AS support FROM t1 UNION ALL SELECT label, 2, sample, round(m, 6), n FROM t2""")
+def x4d(spark, sf_dir):
+    return rounded(signals.diverse_templates(texts(spark, sf_dir), diversity=0.45).withColumn("support", F.col("support").cast("long")))
+
+
 @query("j6_best_template", with_sql(_TX, _PAIR, _MED) + """, sc AS (SELECT a.sample, a.label, me.label AS best, 1 - levenshtein(a.text, t.text) / greatest(length(a.text), length(t.text), 1) AS s FROM tx a, me JOIN tx t ON t.sample = me.sample), rk AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY s DESC, best) AS r, lead(s) OVER (PARTITION BY sample ORDER BY s DESC, best) AS nxt FROM sc) SELECT sample, label, best, round(s, 6) AS similarity, round(s - coalesce(nxt, 0), 6) AS margin FROM rk WHERE r = 1""")
 def j6(spark, sf_dir):
     own = texts(spark, sf_dir)
@@ -219,11 +228,12 @@ def x14(spark, sf_dir):
     return signals.leave_one_out(texts(spark, sf_dir))
 
 
-@query("f23_nearest_center_symbol", with_sql(P) + ", m AS (SELECT avg(l) AS a, stddev_pop(l) AS s FROM (SELECT ln(size + 1) AS l FROM p)) SELECT idx, CASE WHEN (ln(size + 1) - a) / s < -0.5 THEN 'A' WHEN (ln(size + 1) - a) / s < 0.5 THEN 'B' ELSE 'C' END AS symbol FROM p, m")
+@query("f23_nearest_center_symbol", with_sql(P) + """, m AS (SELECT avg(l) AS a, stddev_pop(l) AS s FROM (SELECT ln(size + 1) AS l FROM p)), z AS (SELECT idx, capture_id, (ln(size + 1) - a) / s AS z FROM p, m), c AS (SELECT c, chr(64 + CAST(row_number() OVER (ORDER BY c) AS INTEGER)) AS s FROM (SELECT avg(z) AS c FROM z GROUP BY floor(greatest(-2, least(z, 1.9))))) SELECT idx, (SELECT arg_min(s, ((z - c) ** 2, s)) FROM c) AS symbol FROM z""")
 def f23(spark, sf_dir):
+    """Centers are fitted: the means of the standardised values between whole numbers."""
     own = windows.zscore(packets(spark, sf_dir).select("idx", outliers.softsign_log(F.col("size").cast("double")).alias("z")), ["z"])
-    far = F.transform(F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0)), lambda c, i: F.struct(F.abs(F.col("z") - c).alias("d"), i.alias("i")))
-    return own.select("idx", F.char(F.array_min(far)["i"] + 65).alias("symbol"))
+    centers = own.groupBy(F.floor(F.greatest(F.lit(-2.0), F.least("z", F.lit(1.9))))).agg(F.avg("z").alias("c")).select("c").collect()
+    return outliers.nearest_center(own, ["z"], [[r.c] for r in centers]).select("idx", "symbol")
 
 
 @query("x20_capture_decision")
@@ -231,7 +241,7 @@ def x20(spark, sf_dir):
     """Symbols of windows, runs cut to three, nearest template, and a decision by the label's threshold."""
     own = outliers.cluster_symbols(hourly(spark, sf_dir).select("capture_id", "window_idx", "pkt_count", "byte_count"), ["pkt_count", "byte_count"], 5)
     text = windows.compress_runs(own, ["capture_id"], "window_idx", "symbol")
-    samples = text.select(F.col("capture_id").cast("string").alias("sample"), F.concat(F.lit("l"), (F.col("capture_id") % 2).cast("string")).alias("label"), F.substring("text", 1, 200).alias("text"))
+    samples = text.select(F.col("capture_id").cast("string").alias("sample"), F.concat(F.lit("l"), (F.col("capture_id") % 2).cast("string")).alias("label"), "text")
     scored = signals.match_templates(samples, signals.medoid_templates(samples)).withColumn("anomaly", 1 - F.col("similarity"))
     limits = metrics.label_thresholds(scored, "best", "anomaly").select("best", "threshold")
     return scored.join(F.broadcast(limits), "best").select("sample", "best", "similarity", "anomaly", "threshold", (F.col("anomaly") <= F.col("threshold")).alias("passed"))
@@ -255,7 +265,7 @@ def c11(spark, sf_dir):
     label = kinds.groupBy(F.col("user_id").cast("string").alias("sample")).agg(F.min_by("event_type", F.struct(-F.col("n"), F.col("event_type"))).alias("label"))
     samples = texts(spark, sf_dir).drop("label").join(label, "sample")
     steps = actions(spark, sf_dir)
-    graph = conformance.adjacency(conformance.as_sequences(steps.where("seq_id LIKE '8-%'")))
+    graph = conformance.adjacency(conformance.as_sequences(steps.where(F.split("seq_id", "-")[0].cast("long") % 2 == 0)))
     templates = signals.medoid_templates(samples)
     scored = signals.match_templates(samples, templates).withColumn("anomaly", 1 - F.col("similarity"))
     return signals.score_task_steps(steps, samples, templates, graph, metrics.label_thresholds(scored, "best", "anomaly"))

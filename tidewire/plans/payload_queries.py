@@ -185,10 +185,10 @@ def x24(spark, sf_dir):
     return detected(spark, sf_dir).select(codes.alias("code"), F.when(F.col("origin") == "page", 2).otherwise(0).alias("truth")).groupBy("code", "truth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j1_signature_lookup", with_sql(P) + ", g AS (SELECT payload, min(kind) AS action FROM p WHERE idx % 97 = 0 GROUP BY payload) SELECT idx, action FROM p JOIN g USING (payload)")
+@query("j1_signature_lookup", with_sql(P) + ", g AS (SELECT payload, min(kind) AS action FROM p WHERE direction = 'up' GROUP BY payload) SELECT idx, action FROM p JOIN g USING (payload)")
 def j1(spark, sf_dir):
     own = packets(spark, sf_dir)
-    signatures = own.where("idx % 97 = 0").groupBy("payload").agg(F.min("kind").alias("action"))
+    signatures = own.where("direction = 'up'").groupBy("payload").agg(F.min("kind").alias("action"))
     return own.join(signatures, "payload").select("idx", "action")
 
 

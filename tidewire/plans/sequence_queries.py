@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import conformance as ops
+from ..sources.tables import evidence_rows
 from .adapters import A, actions, with_sql
 from .registry import query
 
@@ -309,3 +310,11 @@ def a46(spark, sf_dir):
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))
     return out
+
+
+@query("f39_evidence_rows", with_sql(A, T, M, X, H, _ANALYSIS) + """, tr AS (SELECT a.action, max(n) AS most FROM (SELECT seq_id, action, g, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY seq_id, action ORDER BY pos) AS g FROM t) GROUP BY ALL) a GROUP BY 1), ru AS (SELECT seq_id, action, g, count(*) AS n, min(pos) AS first FROM (SELECT *, pos - row_number() OVER (PARTITION BY seq_id, action ORDER BY pos) AS g FROM a) GROUP BY ALL)
+SELECT seq_id, CAST(first + most AS INTEGER) AS at, 'violation' AS kind, action || ' repeated ' || n || ' times' AS detail FROM ru JOIN tr USING (action) WHERE n > most UNION ALL SELECT seq_id, pos, CASE WHEN level = 'forbidden' THEN 'forbidden' ELSE 'transition' END, previous || ' -> ' || actual FROM n WHERE decision IN ('ANOMALY', 'DEVIATION')""")
+def f39(spark, sf_dir):
+    repeats = ops.repeat_violations(actions(spark, sf_dir), ops.max_repeats(train(spark, sf_dir)))
+    violations = repeats.select("seq_id", "at", F.concat(F.col("action"), F.lit(" repeated "), F.col("n").cast("string"), F.lit(" times")).alias("reason"))
+    return evidence_rows(violations, analysis(spark, sf_dir))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import labels as lab
 from ..functions.net import ip_to_long
+from ..operators import conformance
 from ..sources import capture as cap
 from ..sources import tables as tab
 from .adapters import L, P, packets, payloads, table, with_sql
@@ -143,15 +147,20 @@ def t10(spark, sf_dir):
     return tab.page(log(spark, sf_dir).select("seq", "updated_at"), [F.desc("updated_at"), "seq"], 3, 20).select("seq")
 
 
-@query("f38_task_risk", with_sql(P) + " SELECT idx, CASE WHEN k > 80 THEN 'high' WHEN k > 40 THEN 'medium' ELSE 'low' END AS risk FROM p")
+_TS = """ts AS (SELECT idx, CASE k % 3 WHEN 0 THEN 'papb' WHEN 1 THEN 'payload' ELSE 'side_channel' END AS module, ['ANOMALY', 'UNKNOWN_VALIDITY', 'NORMAL'][idx % 3 + 1] AS status, k / 500.0::DOUBLE AS ratio, CASE WHEN idx % 50 = 0 THEN 1 ELSE 0 END AS invalid, idx % 4 AS abnormal FROM p)"""
+
+
+@query("f38_task_risk", with_sql(P, _TS) + " SELECT idx, CASE WHEN module = 'papb' THEN CASE status WHEN 'ANOMALY' THEN '高风险' WHEN 'UNKNOWN_VALIDITY' THEN '待确认' ELSE '正常' END WHEN ratio >= 0.15 OR invalid > 0 THEN '高风险' WHEN ratio >= 0.05 OR abnormal > 0 THEN '待确认' ELSE '正常' END AS risk FROM ts")
 def f38(spark, sf_dir):
-    k = F.from_json("payload", "k int")["k"]
-    return packets(spark, sf_dir).select("idx", F.when(k > 80, "high").when(k > 40, "medium").otherwise("low").alias("risk"))
+    module = F.when(F.col("k") % 3 == 0, "papb").when(F.col("k") % 3 == 1, "payload").otherwise("side_channel")
+    status = F.element_at(F.array(*map(F.lit, ("ANOMALY", "UNKNOWN_VALIDITY", "NORMAL"))), (F.col("idx") % 3 + 1).cast("int"))
+    fields = F.struct(status.alias("status"), F.when(F.col("idx") % 2 == 0, F.col("k") / 500).alias("high_or_critical_ratio"), (F.col("k") / 500).alias("ratio"), F.when(F.col("idx") % 50 == 0, 1).alias("invalid_transition_count"), (F.col("idx") % 4).alias("abnormal"))
+    return packets(spark, sf_dir).select("idx", tab.task_risk(module, F.to_json(fields)).alias("risk"))
 
 
 @query("p12_low_confidence", with_sql(P) + " SELECT idx, k FROM p WHERE k < 50 ORDER BY k, idx LIMIT 10")
 def p12(spark, sf_dir):
-    return packets(spark, sf_dir).where("k < 50").orderBy("k", "idx").select("idx", "k").limit(10)
+    return tab.low_confidence(packets(spark, sf_dir), "k", ["k", "idx"]).select("idx", "k")
 
 
 @query("f31_sequence_text", "SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '->|→|[,;\n，；、]'), lambda x: trim(x)), lambda x: x <> '') AS seq FROM documents")
@@ -165,16 +174,15 @@ def s12(spark, sf_dir):
     return tab.task_sequences(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f40_compact_lists", "SELECT label, list(vec_id ORDER BY vec_id)[:40] AS first FROM embeddings GROUP BY 1")
+@query("f40_compact_lists", "SELECT label, list(vec_id ORDER BY vec_id)[:40] AS first, greatest(count(*) - 40, 0) AS more FROM embeddings GROUP BY 1")
 def f40(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, 40).alias("first"))
+    return tab.first_of_group(table(spark, sf_dir, "embeddings"), "label", "vec_id", 40)
 
 
-@query("j4_label_mapping", with_sql(P) + " SELECT idx, CASE k % 4 WHEN 0 THEN 'stand' WHEN 1 THEN 'move' ELSE CASE WHEN idx % 2 = 0 THEN CAST(k % 4 AS VARCHAR) || '.0' ELSE CAST(k % 4 AS VARCHAR) END END AS label FROM p")
+@query("j4_label_mapping", with_sql(P) + " SELECT idx, CASE k % 4 WHEN 0 THEN 'stand' WHEN 1 THEN 'move' ELSE CAST(k % 4 AS VARCHAR) END AS label FROM p")
 def j4(spark, sf_dir):
     raw = F.when(F.col("idx") % 2 == 0, F.concat((F.col("k") % 4).cast("string"), F.lit(".0"))).otherwise((F.col("k") % 4).cast("string"))
-    names = F.create_map(F.lit("0"), F.lit("stand"), F.lit("1"), F.lit("move"))
-    return packets(spark, sf_dir).select("idx", F.coalesce(F.try_element_at(names, raw), F.try_element_at(names, raw.try_cast("double").cast("long").cast("string")), raw).alias("label"))
+    return packets(spark, sf_dir).select("idx", lab.mapped_label(raw, {"0": "stand", "1": "move"}).alias("label"))
 
 
 @query("t4_top_of_map", with_sql(P) + ", c AS (SELECT capture_id, kind, count(*) AS n FROM p GROUP BY ALL) SELECT capture_id, list(kind ORDER BY n DESC, kind)[:3] AS top FROM c GROUP BY 1")
@@ -190,12 +198,12 @@ def u1(spark, sf_dir):
     return own.select(F.col("src").alias("ip")).unionByName(own.select(F.col("dst").alias("ip"))).groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j11_dimension_status", with_sql(P) + ", a AS (SELECT capture_id, count(*) AS n FROM p WHERE capture_id < 6 GROUP BY 1), b AS (SELECT capture_id, sum(size)::BIGINT AS s FROM p WHERE capture_id > 2 GROUP BY 1) SELECT capture_id, CASE WHEN n IS NULL OR s IS NULL THEN 'ERROR' ELSE 'NORMAL' END AS status FROM a FULL JOIN b USING (capture_id)")
+@query("j11_dimension_status", with_sql(P) + ", a AS (SELECT capture_id, CASE WHEN count(*) > 100 THEN 'NORMAL' ELSE 'UNKNOWN' END AS s FROM p WHERE capture_id < 6 GROUP BY 1), b AS (SELECT capture_id, CASE WHEN max(size) > 1490 THEN 'ANOMALY' ELSE 'NORMAL' END AS s FROM p WHERE capture_id > 2 GROUP BY 1) SELECT capture_id, coalesce(a.s, 'ERROR') AS side, coalesce(b.s, 'ERROR') AS payload FROM a FULL JOIN b USING (capture_id)")
 def j11(spark, sf_dir):
     own = packets(spark, sf_dir)
-    a = own.where("capture_id < 6").groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"))
-    b = own.where("capture_id > 2").groupBy("capture_id").agg(F.sum("size").alias("s"))
-    return a.join(b, "capture_id", "full").select("capture_id", F.when(F.col("n").isNull() | F.col("s").isNull(), "ERROR").otherwise("NORMAL").alias("status"))
+    side = own.where("capture_id < 6").groupBy("capture_id").agg(F.when(F.count(F.lit(1)) > 100, "NORMAL").otherwise("UNKNOWN").alias("status"))
+    payload = own.where("capture_id > 2").groupBy("capture_id").agg(F.when(F.max("size") > 1490, "ANOMALY").otherwise("NORMAL").alias("status"))
+    return tab.combine_dimensions("capture_id", {"side": side, "payload": payload})
 
 
 @query("st4_epoch_windows", with_sql(P) + " SELECT capture_id, ts_us // 3600000000 AS hour, count(*) AS pkt_count, sum(size)::BIGINT AS byte_count FROM p GROUP BY 1, 2")
@@ -211,26 +219,37 @@ def st6(spark, sf_dir):
     return own.groupBy(F.session_window("at", "90 minutes"), "src").agg(F.min("ts_us").alias("start_us"), F.count(F.lit(1)).alias("n")).select("src", "start_us", "n")
 
 
-@query("s18_preview", with_sql(P) + " SELECT idx, (SELECT count(*) FROM p) AS total FROM p ORDER BY idx LIMIT 10")
+@query("s18_preview", with_sql(P) + " SELECT idx, round(value, 6) AS value, src, (SELECT count(*) FROM p) AS total FROM p WHERE idx IN (SELECT min(idx) FROM p) UNION ALL SELECT count(*), NULL, NULL, NULL FROM p")
 def s18(spark, sf_dir):
-    own = packets(spark, sf_dir)
-    total = own.agg(F.count(F.lit(1)).alias("total"))
-    return own.orderBy("idx").limit(10).select("idx").crossJoin(F.broadcast(total))
+    """The first row of a preview of 25 ordered rows (a column that isn't there is left out), and how many rows the table has."""
+    own = packets(spark, sf_dir).orderBy("idx")
+    shown = tab.preview(own, ["idx", "value", "missing", "src"], 25)
+    first = shown.orderBy(F.col("idx").cast("long")).limit(1).select(F.col("idx").cast("long").alias("idx"), "value", "src", "total")
+    return first.unionByName(own.agg(F.count(F.lit(1)).alias("idx")).select("idx", F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("long").alias("total")))
 
 
-@query("s21_adjacency", "WITH a AS (SELECT conv_id, list(role ORDER BY turn) AS seq FROM conversations GROUP BY 1) SELECT seq[-1] AS last, count(*) AS n FROM a GROUP BY 1")
+@query("s21_adjacency", "WITH a AS (SELECT conv_id, list(role ORDER BY turn) AS seq FROM conversations GROUP BY 1), e AS (SELECT seq, unnest(seq) AS action, generate_subscripts(seq, 1) AS i FROM a) SELECT action, list_sort(list(DISTINCT seq[i + 1]) FILTER (seq[i + 1] IS NOT NULL)) AS successors, bool_or(i = 1) AS starts, bool_or(i = len(seq)) AS ends FROM e GROUP BY action")
 def s21(spark, sf_dir):
-    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("last"))
-    return own.groupBy("last").agg(F.count(F.lit(1)).alias("n"))
+    """The adjacency of roles in conversations, saved and read again."""
+    steps = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("seq_id"), F.col("turn").alias("pos"), F.col("role").alias("action"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{folder}/roles-{uuid.uuid4().hex}"
+    conformance.save_model({"graph": conformance.adjacency(conformance.as_sequences(steps))}, folder)
+    return conformance.load_model(spark, folder, ("graph",))["graph"]
+
+
+_LABELS = ["step", " Forward", "left", "hello", "stand ", "BACK"]
 
 
-@query("f30_canonical_labels", with_sql(P) + " SELECT kind, CASE WHEN kind IN ('view', 'click') THEN 'move' WHEN kind = 'signup' THEN 'moonwalk' ELSE kind END AS label, count(*) AS n FROM p GROUP BY ALL")
+@query("f30_canonical_labels", with_sql(P) + f" SELECT idx, {['moonwalk', 'move', 'move', 'hello', 'stand', 'move']}[k % 6 + 1] AS label, round(k / 100.0 + CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0 END, 6)::DOUBLE AS moonwalk, round(0.5 + value / 1000, 6) AS move FROM p")
 def f30(spark, sf_dir):
-    names = F.create_map(*map(F.lit, ("view", "move", "click", "move", "signup", "moonwalk")))
-    return packets(spark, sf_dir).groupBy("kind", F.coalesce(F.try_element_at(names, F.col("kind")), "kind").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    raw = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("k") % 6 + 1).cast("int"))
+    proba = F.create_map(F.lit("step"), F.col("k") / 100.0, F.lit("moonwalk"), F.when(F.col("k") % 2 == 0, 0.25).otherwise(0.0), F.lit("left"), F.lit(0.5), F.lit("right"), F.col("value") / 1000)
+    own = packets(spark, sf_dir).select("idx", lab.canonical_label(raw).alias("label"), lab.canonical_probabilities(proba).alias("m"))
+    return own.select("idx", "label", F.round(F.col("m")["moonwalk"], 6).alias("moonwalk"), F.round(F.col("m")["move"], 6).alias("move"))
 
 
-@query("f39_evidence_rows", with_sql(P) + " SELECT idx, what FROM (SELECT idx, unnest(list_filter([CASE WHEN size > 1400 THEN 'size' END, CASE WHEN k > 95 THEN 'k' END], lambda x: x IS NOT NULL)) AS what FROM p)")
-def f39(spark, sf_dir):
-    own = F.array_compact(F.array(F.when(F.col("size") > 1400, "size"), F.when(F.col("k") > 95, "k")))
-    return packets(spark, sf_dir).select("idx", F.explode(own).alias("what"))
+@query("f30_transcripts", with_sql(P) + " SELECT idx, [['stand', 'step'], ['hello', 'walk'], ['twistBody']][k % 3 + 1] AS actions FROM p")
+def f30b(spark, sf_dir):
+    words = F.element_at(F.array(F.array(F.lit("站立"), F.lit(" 前进 "), F.lit("")), F.array(F.lit("招手"), F.lit("walk")), F.array(F.lit("扭身体"))), (F.col("k") % 3 + 1).cast("int"))
+    return packets(spark, sf_dir).select("idx", lab.transcript_labels(words).alias("actions"))

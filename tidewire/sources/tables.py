@@ -115,3 +115,56 @@ def find_tasks(tasks: DataFrame, module: str | None = None, owner: int | None =
 def page(tasks: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
     """Rows of a page, pages from 1."""
     return tasks.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def low_confidence(df: DataFrame, confidence: str, order: list[str], least: float = 50.0, n: int = 10) -> DataFrame:
+    """The first n rows, in order, whose confidence is below the given one; nulls aren't."""
+    return df.where(F.col(confidence) < least).orderBy(*order).limit(n)
+
+
+def combine_dimensions(key: str, parts: dict[str, DataFrame], failed: str = "ERROR") -> DataFrame:
+    """key and a status for each part: parts are (key, status) tables joined in full; a part without a row for a key failed there."""
+    out = None
+    for name, part in parts.items():
+        own = part.select(key, F.col("status").alias(name))
+        out = own if out is None else out.join(own, key, "full")
+    return out.select(key, *[F.coalesce(name, F.lit(failed)).alias(name) for name in parts])
+
+
+# Names of the risk levels of a task.
+HIGH_RISK, TO_CONFIRM, NO_RISK = "高风险", "待确认", "正常"
+
+
+def task_risk(module: Column, summary: Column) -> Column:
+    """The risk of a task by its module and its summary as JSON: the status of conformance tasks, else ratios and counts of what was found."""
+    get = lambda k: F.get_json_object(summary, f"$.{k}")
+    number = lambda *keys: F.coalesce(*[get(k).try_cast("double") for k in keys], F.lit(0.0))
+    ratio, status = number("high_or_critical_ratio", "ratio"), get("status")
+    conformance = F.when(status == "ANOMALY", HIGH_RISK).when(status == "UNKNOWN_VALIDITY", TO_CONFIRM).otherwise(NO_RISK)
+    other = F.when((ratio >= 0.15) | (number("invalid_transition_count") > 0), HIGH_RISK).when((ratio >= 0.05) | (number("abnormal") > 0), TO_CONFIRM).otherwise(NO_RISK)
+    return F.when(module == "papb", conformance).otherwise(other)
+
+
+def evidence_rows(violations: DataFrame, transitions: DataFrame) -> DataFrame:
+    """seq_id, at, kind, detail: rows of violations (seq_id, at, reason), and of transitions (see transition_analysis) that deviate or are forbidden."""
+    own = violations.select("seq_id", F.col("at").cast("int").alias("at"), F.lit("violation").alias("kind"), F.col("reason").alias("detail"))
+    risky = transitions.where(F.col("decision").isin("ANOMALY", "DEVIATION")).select("seq_id", F.col("pos").cast("int").alias("at"), F.when(F.col("level") == "forbidden", "forbidden").otherwise("transition").alias("kind"), F.concat_ws(" -> ", "previous", "actual").alias("detail"))
+    return own.unionByName(risky)
+
+
+def timeline(labels: Column, starts: Column, ends: Column) -> Column:
+    """Segments (label, first, last) of three arrays of one length."""
+    return F.transform(F.arrays_zip(labels.alias("label"), starts.alias("first"), ends.alias("last")), lambda x: F.struct(x["label"].alias("label"), x["first"].alias("first"), x["last"].alias("last")))
+
+
+def flat_features(features: dict[str, Column], lists: tuple[str, ...] = ()) -> Column:
+    """An array of doubles of a fixed list of features: those named in lists are arrays and give their mean (0 if empty); nulls give 0."""
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.size(a)).otherwise(0.0)
+    return F.array(*[F.coalesce(mean(v) if k in lists else v.cast("double"), F.lit(0.0)) for k, v in features.items()])
+
+
+def first_of_group(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """key, first (the n least values in order), more (how many others there are); rows past the n-th of a task aren't shuffled."""
+    few = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(value))).where(F.col("_r") <= n)
+    lists = few.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("first"))
+    return df.groupBy(key).agg(F.greatest(F.count(value) - n, F.lit(0)).alias("more")).join(lists, key, "left").select(key, "first", "more")

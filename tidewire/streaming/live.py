@@ -30,30 +30,89 @@ def session_counts(packets: DataFrame, gap: str = "600 milliseconds", late: str
     return packets.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "capture_id").agg(F.count(F.lit(1)).alias("pkt_count"))
 
 
-def without_repeats(packets: DataFrame, late: str = "500 milliseconds") -> DataFrame:
-    """Without rows of a (capture_id, kind) that came within the watermark's delay: an approximation of the batch operator."""
-    return packets.withWatermark("ts", late).dropDuplicatesWithinWatermark(["capture_id", "kind"])
+def without_repeats(packets: DataFrame, within: float = 0.5) -> DataFrame:
+    """Without rows of a (capture_id, kind) that came less than `within` seconds after the last row of it that was kept.
 
+    The rows of a batch are put in order of time; a row older than the last kept one goes. The state is one time for each pair.
+    """
+    names, gap = packets.columns, int(within * 1_000_000)
 
-def action_history(packets: DataFrame, most: int = 100) -> DataFrame:
-    """Per capture and update: how many actions its history holds, and the history: kinds that differ from the one before, the last `most`."""
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        last, kept = state.get[0] if state.exists else None, []
+        for t in (rows["ts"].astype("datetime64[us]").astype("int64")).tolist():
+            kept.append(last is None or t - last >= gap)
+            last = t if kept[-1] else last
+        state.update((last,))
+        yield rows[kept][names]
+
+    return packets.groupBy("capture_id", "kind").applyInPandasWithState(update, packets.schema, "last long", "append", "NoTimeout")
+
+
+def action_history(packets: DataFrame, most: int = 100, check: Callable[[list[str]], str] | None = None) -> DataFrame:
+    """Per capture and update: how many actions its history holds, the history (kinds that differ from the one before, the last `most`), its status.
+
+    Rows of one update are put in order of time as a whole. check judges the history anew at each update, as `graph_check` does; without
+    it the status is null.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         own = list(state.get[0]) if state.exists else []
-        for b in batches:
-            for kind in b.sort_values("ts")["kind"]:
-                if not own or own[-1] != kind:
-                    own.append(kind)
+        rows = pd.concat(list(batches))
+        for kind in rows.sort_values("ts", kind="stable")["kind"]:
+            if not own or own[-1] != kind:
+                own.append(kind)
         own = own[-most:]
         state.update((own,))
-        yield pd.DataFrame({"capture_id": [key[0]], "n": [len(own)], "history": [own]})
+        yield pd.DataFrame({"capture_id": [key[0]], "n": [len(own)], "history": [own], "status": [check(own) if check else None]})
+
+    return packets.select("capture_id", "ts", "kind").groupBy("capture_id").applyInPandasWithState(update, "capture_id long, n long, history array<string>, status string", "history array<string>", "update", "NoTimeout")
+
+
+def graph_check(graph: DataFrame, most: int = 10_000) -> Callable[[list[str]], str]:
+    """A check of histories against a learned graph (action, successors, starts): UNKNOWN for actions that it lacks, ANOMALY for steps that
+    it doesn't hold, else NORMAL. The history may have lost its beginning, so its first action may be any. The graph goes to the
+    tasks whole, as it has one row for each kind of action, `most` at most."""
+    rows = graph.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("the graph has too many actions")
+    follows = {r.action: set(r.successors) for r in rows}
 
-    return packets.select("capture_id", "ts", "kind").groupBy("capture_id").applyInPandasWithState(update, "capture_id long, n long, history array<string>", "history array<string>", "update", "NoTimeout")
+    def check(history: list[str]) -> str:
+        if any(a not in follows for a in history):
+            return "UNKNOWN"
+        return "NORMAL" if all(b in follows[a] or a == b for a, b in zip(history[:-1], history[1:], strict=True)) else "ANOMALY"
+
+    return check
 
 
 def score_batches(packets: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
     """A writer that scores each micro-batch with a batch operator and hands the result to a sink, which must take a repeated batch id."""
-    return packets.writeStream.foreachBatch(lambda df, i: sink(score(df), i))
+
+    def run(df: DataFrame, i: int) -> None:
+        own = df.persist()  # scoring reads a batch several times
+        try:
+            sink(score(own), i)
+        finally:
+            own.unpersist()
+
+    return packets.writeStream.foreachBatch(run)
+
+
+def read_captures(spark: SparkSession, folder: str, files_per_trigger: int = 8) -> DataFrame:
+    """A stream of frames from capture files that land in a folder; each file is read once, when it is whole."""
+    from ..sources.capture import decode_captures
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pcap").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    return decode_captures(files)
+
+
+def progress(query, name: str = "live") -> dict:
+    """What a stream has done: batches, rows, its last error, and the last observation made under a name."""
+    ran = query.recentProgress
+    seen = [p["observedMetrics"][name] for p in ran if name in (p["observedMetrics"] or {})]
+    error = query.exception()
+    return {"batches": len(ran), "rows": sum(p["numInputRows"] for p in ran), "latest": seen[-1] if seen else None, "error": str(error) if error else None}
 
 
 def counted(packets: DataFrame, name: str = "live") -> DataFrame:
