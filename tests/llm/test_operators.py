@@ -412,12 +412,17 @@ def test_quality_learns_from_all_unlabelled_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1).alias("quality"))
     model = quality.co_train(docs, labels)
-    rows = sorted((r.h, r.doc_id, r.text, r.source, r.lang, r.q) for r in docs.join(labels, "doc_id", "left").select("doc_id", "text", "source", "lang", F.col("quality").alias("q"), F.xxhash64("doc_id", F.col("text").cast("binary"), F.lit(5)).alias("h")).collect())
+    hashed = docs.join(labels, "doc_id", "left").select("doc_id", "text", "source", "lang", F.col("quality").alias("q"), (F.pmod(F.xxhash64(F.xxhash64("doc_id", F.col("text").cast("binary"), F.lit(5))), F.lit(5)) == 0).alias("fifth"))
+    rows = [(r.fifth, r.doc_id, r.text, r.source, r.lang, r.q) for r in hashed.collect()]
     views = [next(quality._views(pa.array([t]), pa.array([s]), pa.array([g])))[2] for _, _, t, s, g, _ in rows]
-    fifth = [common.mix(np.array([h]).view(np.uint64))[0] % np.uint64(5) == 0 for h, *_ in rows]
+    fifth = [r[0] for r in rows]
     known = [i for i, r in enumerate(rows) if r[5] is not None]
-    held = (np.array([i for i in known if fifth[i]]), np.array([float(rows[i][5]) for i in known if fifth[i]]))
-    assert set(held[1]) == {0.0, 1.0}
+    held = [i for i in known if fifth[i]]
+    assert {rows[i][5] for i in held} == {0, 1}
+
+    def raw_of(ratios):
+        own = sorted((*views[i].odds(ratios)[:, 0].tolist(), rows[i][5]) for i in held)
+        return np.array(own)[:, :2].T, np.array(own)[:, 2]
 
     def counted(pseudo):
         counts = [np.zeros((2, quality.TEXT_FEATURES)), np.zeros((2, quality.META_FEATURES))]
@@ -430,11 +435,11 @@ def test_quality_learns_from_all_unlabelled_documents(spark, sf_dir):
                         counts[view][label, f] += 1 / len(own)
         return counts
 
-    want = quality.CoTrained(counted([[-1] * len(rows)] * 2), held, views)
+    want = quality.CoTrained(counted([[-1] * len(rows)] * 2), raw_of)
     for _ in range(3):
         odds = np.concatenate([want.odds(v) for v in views], axis=1)
         sure = np.where(odds >= np.log(19), 1, np.where(odds <= -np.log(19), 0, -1)).tolist()
-        want = quality.CoTrained(counted(sure[::-1]), held, views)
+        want = quality.CoTrained(counted(sure[::-1]), raw_of)
     for a, b in zip([*model.ratios, *model.scale, model.both], [*want.ratios, *want.scale, want.both], strict=True):
         assert np.allclose(a, b, rtol=1e-6, atol=1e-9)
 

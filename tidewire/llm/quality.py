@@ -135,12 +135,12 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 class CoTrained:
     """Log ratios of both views, the calibration of each, and what combines them."""
 
-    def __init__(self, counts: list[np.ndarray], held: tuple[np.ndarray, np.ndarray], rows: list[Views]):
-        """held: (row, label) of the rows to calibrate on, among those of `rows`."""
+    def __init__(self, counts: list[np.ndarray], raw_of):
+        """raw_of: gives, for log ratios, the views' mean log ratios (2 x rows) and the labels of the rows to calibrate on."""
         self.ratios = tuple(log_ratios(c) for c in counts)
-        raw = np.concatenate([v.odds(self.ratios) for v in rows], axis=1)[:, held[0]]
-        self.scale = [logistic_fit(raw[i][:, None], held[1]) for i in (0, 1)]
-        self.both = logistic_fit(self._calibrated(raw).T, held[1])
+        raw, label = raw_of(self.ratios)
+        self.scale = [logistic_fit(raw[i][:, None], label) for i in (0, 1)]
+        self.both = logistic_fit(self._calibrated(raw).T, label)
 
     def _calibrated(self, raw: np.ndarray) -> np.ndarray:
         return np.stack([a * x + b for x, (a, b) in zip(raw, self.scale, strict=True)])
@@ -155,24 +155,53 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.stack([self.both[:2] @ odds + self.both[2], *odds])))
 
 
-def _count_confident(model: CoTrained, confident: float):
-    """Counts for each view of the documents that the other is confident of, as chunks for `summed`."""
+def _counted(labels_of):
+    """The counts of a partition for both views, as chunks for `summed`; labels_of gives each view's labels (-1: none) of a step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, edge = [np.zeros((2, TEXT_FEATURES)), np.zeros((2, META_FEATURES))], np.log(confident / (1 - confident))
+        counts = _no_counts()
         for batch in batches:
-            for _, _, views in _views(*(batch.column(c) for c in ("_text", "_source", "_lang"))):
-                for view, odds in enumerate(model.odds(views)[::-1]):
-                    views.add(view, counts[view], np.where(odds >= edge, 1, np.where(odds <= -edge, 0, -1)))
-        flat = _flat(counts)
+            for lo, hi, views in _views(*(batch.column(c) for c in ("_text", "_source", "_lang"))):
+                for view, label in enumerate(labels_of(batch, lo, hi, views)):
+                    views.add(view, counts[view], label)
+        flat = np.concatenate([c.ravel() for c in counts])
         parts = np.pad(flat, (0, -len(flat) % CHUNK)).reshape(-1, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), type=pa.int32()), pa.array([x.tobytes() for x in parts], type=pa.binary())], names=["chunk", "counts"])
 
     return run
 
 
-def _flat(counts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([c.ravel() for c in counts])
+def _no_counts() -> list[np.ndarray]:
+    return [np.zeros((2, TEXT_FEATURES)), np.zeros((2, META_FEATURES))]
+
+
+def _counts(rows: DataFrame, labels_of) -> list[np.ndarray]:
+    sums = summed(rows.mapInArrow(_counted(labels_of), "chunk int, counts binary"), np.float64)
+    flat = np.concatenate([sums.get(i, np.zeros(CHUNK)) for i in range(-(-2 * (TEXT_FEATURES + META_FEATURES) // CHUNK))])
+    return [flat[: 2 * TEXT_FEATURES].reshape(2, -1), flat[2 * TEXT_FEATURES : 2 * (TEXT_FEATURES + META_FEATURES)].reshape(2, -1)]
+
+
+def _known(batch: pa.RecordBatch, lo: int, hi: int, views: Views) -> list[np.ndarray]:
+    return [batch.column("_label").to_numpy()[lo:hi].astype(np.int64)] * 2
+
+
+def _confident(model: CoTrained, confident: float):
+    """Each view is taught what the other one is confident of."""
+    edge = np.log(confident / (1 - confident))
+
+    def labels_of(batch: pa.RecordBatch, lo: int, hi: int, views: Views) -> list[np.ndarray]:
+        return [np.where(odds >= edge, 1, np.where(odds <= -edge, 0, -1)) for odds in model.odds(views)[::-1]]
+
+    return labels_of
+
+
+def _raw_odds(ratios: tuple[np.ndarray, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, views in _views(*(batch.column(c) for c in ("_text", "_source", "_lang"))):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, views.odds(ratios)), batch.column("_label").slice(lo, hi - lo)], names=["text", "meta", "label"])
+
+    return run
 
 
 def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", labelled: int = 8000, rounds: int = 3, confident: float = 0.95) -> CoTrained | None:
@@ -180,6 +209,7 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
 
     The labelled rows are those of the least hashes of id and text (repeated labels: the greatest counts; repeated rows are
     rows); a fifth of them, by hash, is held out for calibration. Labelled rows beyond the bound teach as unlabelled ones.
+    The driver sees counts of features and the held-out rows' log ratios, no texts.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_label"))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.col(source_col).cast("string").alias("_source"), F.col(lang_col).cast("string").alias("_lang"))
@@ -187,30 +217,23 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     # The sample is chosen by ids and hashes, so that no text is shuffled.
     chosen = cut(own.select("_id", "_hash").join(known, "_id").orderBy("_hash", "_id").limit(labelled))
     few = F.broadcast(chosen.distinct())
-    sample = own.join(few, ["_id", "_hash"]).orderBy("_hash", "_id").limit(labelled).toArrow().combine_chunks()
-    label = np.array(sample.column("_label").to_pylist(), dtype=np.int64)
-    fifth = mix(np.array(sample.column("_hash").to_pylist(), dtype=np.int64).view(np.uint64)) % np.uint64(5) == 0
-    train = np.where(fifth, -1, label)
-    if set(label[~fifth].tolist()) != {0, 1}:
+    sample = cut(own.join(few, ["_id", "_hash"]).orderBy("_hash", "_id").limit(labelled).withColumn("_held", F.pmod(F.xxhash64("_hash"), F.lit(5)) == 0))
+    kinds = {(r[0], r[1]) for r in sample.select("_held", "_label").distinct().collect()}
+    if not {(False, 0), (False, 1)} <= kinds:
         return None
-    if set(label[fifth].tolist()) != {0, 1}:
-        fifth = np.ones(len(label), dtype=bool)  # too few to hold any out
-    rows, counts = [], [np.zeros((2, TEXT_FEATURES)), np.zeros((2, META_FEATURES))]
-    for batch in sample.to_batches():
-        rows += [v for _, _, v in _views(*(batch.column(c) for c in ("_text", "_source", "_lang")))]
-    edges = np.cumsum([0, *(v.rows for v in rows)])
-    for v, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
-        for view in (0, 1):
-            v.add(view, counts[view], train[a:b])
-    held, seen = (np.flatnonzero(fifth), label[fifth].astype(np.float64)), _flat(counts)
-    model = CoTrained(counts, held, rows)
+    # Where too few are held out, the rows that the views saw must do.
+    held = sample.where("_held") if {(True, 0), (True, 1)} <= kinds else sample
+
+    def raw_of(ratios: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows = held.select("_text", "_source", "_lang", "_label").mapInArrow(_raw_odds(ratios), "text double, meta double, label int").toPandas().sort_values(["text", "meta", "label"])
+        return rows[["text", "meta"]].to_numpy().T, rows["label"].to_numpy(dtype=np.float64)
+
+    seen = _counts(sample.where("NOT _held").select("_text", "_source", "_lang", "_label"), _known)
+    model = CoTrained(seen, raw_of)
     others = own.join(few.select("_id", "_hash"), ["_id", "_hash"], "left_anti").select("_text", "_source", "_lang")
     for _ in range(rounds):
-        flat = seen.copy()
-        for chunk, values in summed(others.mapInArrow(_count_confident(model, confident), "chunk int, counts binary"), np.float64).items():
-            own = flat[chunk * CHUNK : (chunk + 1) * CHUNK]
-            own += values[: len(own)]
-        model = CoTrained([flat[: 2 * TEXT_FEATURES].reshape(2, -1), flat[2 * TEXT_FEATURES :].reshape(2, -1)], held, rows)
+        more = _counts(others, _confident(model, confident))
+        model = CoTrained([a + b for a, b in zip(seen, more, strict=True)], raw_of)
     return model
 
 
