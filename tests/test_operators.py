@@ -1,5 +1,6 @@
 """Operators on hand-made rows: captures, rules, conformance, outliers, sequences, streams."""
 
+import math
 import random
 import struct
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import net, payload, rules
-from tidewire.operators import conformance, corpora, metrics, outliers, profiles, windows
+from tidewire.operators import conformance, corpora, forests, metrics, motion, outliers, profiles, windows
 from tidewire.sources import capture, tables
 from tidewire.sources.tables import latest_tasks, task_sequences, task_sequences_json
 from tidewire.streaming import live
@@ -304,3 +305,116 @@ def test_statuses_of_known_sequences(spark):
     none = steps.limit(0).select("seq_id")
     got = conformance.sequence_status(aligned, seqs, templates, critical, ["wave"], none, conformance.repeat_violations(steps, m["repeats"]))
     assert [(cases[int(r.seq_id)][0], r.status) for r in got.orderBy(F.col("seq_id").cast("int")).collect()] == cases
+
+
+def test_spans_follow_each_other_and_fill_the_number_to_mask(spark):
+    rng = random.Random(4)
+    for n in (1, 7, 40, 200):
+        masked = corpora.span_masks(n, [rng.random() for _ in range(n)], [rng.random() for _ in range(n)], 0.15, 0.2, 10)
+        assert len(masked) == n and sum(masked) <= max(1, round(n * 0.15)) and (n < 40 or sum(masked) > 0)
+    # Spans of three from the start (draws for a length of 3); by order the second comes first, then nothing fits but the rest.
+    total = 1 - 0.8**10
+    draw = (1 - 0.8**2.5) / total
+    assert corpora.span_masks(9, [draw] * 9, [0.5, 0, 0, 0.1, 0, 0, 0.9, 0, 0], 0.4, 0.2, 10) == [False] * 3 + [True] * 3 + [False] * 3
+    df = spark.createDataFrame([("x", i, f"t{i}") for i in range(100)], "id string, pos int, token string")
+    got = corpora.mask_spans(df, length=50).orderBy("pos").collect()
+    assert [r.token for r in got] == [f"t{i}" for i in range(100)] and {r.block for r in got} == {0, 1} and 4 <= sum(r.masked for r in got) <= 16
+
+
+def test_basic_tokens_of_known_texts(spark):
+    df = spark.createDataFrame([("Ünïcode, “Yes”\u0000!\u4e2da1\tb\u200b",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(corpora.basic_tokens(F.col("t"))).collect()] == [["unicode", ",", "“", "yes", "”", "!", "中", "a1", "b"], [], None]
+
+
+def test_extra_trees_learn_and_leave_out(spark):
+    rng = random.Random(1)
+    rows = [(f"s{i}", i % 2 * 3 + rng.gauss(0, 1), rng.gauss(0, 1), "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "sample string, x double, y double, label string")
+    model, labels = forests.fit_extra_trees(df.where("sample < 's5'"), "sample", ["x", "y"], "label", trees=20)
+    got = forests.predict_extra_trees(df, model, labels, ["x", "y"]).collect()
+    assert labels == ["a", "b"] and sum(r.predicted == r.label for r in got) > 70 and all(0.5 <= r.confidence <= 1 for r in got)
+    out = forests.leave_one_out_report(df.limit(30), "sample", ["x", "y"], "label", trees=15).collect()
+    assert len(out) == 30 and sum(r.predicted == r.label for r in out) > 22
+    assert [r.predicted for r in forests.leave_one_out_report(df.limit(1), "sample", ["x"], "label").collect()] == [None]
+    # A sample that alone has its label can't be told when it is held out.
+    odd = spark.createDataFrame([("a", 0.0, "p"), ("b", 0.1, "p"), ("c", 9.0, "q")], "sample string, x double, label string")
+    assert {r.sample: r.predicted for r in forests.leave_one_out_report(odd, "sample", ["x"], "label").collect()}["c"] == "p"
+
+
+def _all_paths(text, templates, transcript=None):
+    """The best total over all segmentations, by trying them."""
+    import math as m
+
+    n, least, most = len(text), max(2, int(min(len(t) for _, t, _ in templates) * 0.45)), max(3, int(max(len(t) for _, t, _ in templates) * 1.75))
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _step(row, x, b, i)
+        return row[-1]
+
+    def _step(row, x, b, i):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        return new
+
+    def go(at, s):
+        out = [0.0] if at > 0 and at >= n - most and (transcript is None or s == len(transcript)) else []
+        for end in range(at + least, min(n, at + most) + 1):
+            for label, t, mean in templates:
+                ratio = (end - at) / max(mean, 1.0)
+                if 0.45 <= ratio <= 1.85 and (transcript is None or (s < len(transcript) and transcript[s] == label)):
+                    rest = go(end, s + 1)
+                    if rest is not None:
+                        out.append(1 - lev(text[at:end], t) / max(end - at, len(t), 1) - abs(m.log(ratio)) * 0.12 - 0.02 + rest)
+        return max(out) if out else None
+
+    return go(0, 0)
+
+
+def test_best_path_against_all_segmentations(spark):
+    rng = random.Random(9)
+    templates = [("a", "ABAB", 4.0), ("b", "CCD", 3.0), ("a", "ABBA", 4.0)]
+    total = lambda path: sum(sim - abs(math.log((end - first) / max(mean, 1.0))) * 0.12 - 0.02 for (label, first, end, sim) in path for mean in [{"a": 4.0, "b": 3.0}[label]])
+    for _ in range(25):
+        text = "".join(rng.choice(["ABAB", "CCD", "ABBA", "A", "D"]) for _ in range(3))[:11]
+        for script in (None, ["a", "b"]):
+            path, want = motion.best_path(text, templates, script), _all_paths(text, templates, script)
+            assert (not path) == (want is None) if not path else total(path) == pytest.approx(want)
+            assert all(x[2] == y[1] for x, y in zip(path[:-1], path[1:], strict=True)) and (script is None or not path or [p[0] for p in path] == script)
+    assert motion.best_path("", templates) == [] and motion.best_path("A", templates) == []
+
+
+def test_motion_training_and_dispatch(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for label, shape in (("walk", [1, 9, 1, 9]), ("sit", [5, 5, 1, 1])):
+        for s in range(4):
+            rows += [(label, f"{label}{s}", i, float(shape[i % 4] * 100 + rng.random())) for i in range(16)]
+    df = spark.createDataFrame(rows, "label string, sample string, window_idx long, bytes double")
+    model, found = motion.train_motion(df, ["bytes"], 3)
+    assert {r.best for r in found["scores"].where("label = 'walk'").collect()} == {"walk"} and found["thresholds"].count() == 2
+    motion.write_training(found, str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run/windows")).count() == len(rows) and spark.read.parquet(str(tmp_path / "run/manifest")).agg(F.sum("samples")).first()[0] == 8
+    one = {r.label: r.text for r in found["sequences"].where("sample IN ('walk0', 'sit0')").collect()}
+    texts = spark.createDataFrame([("c", one["walk"] + one["sit"] + one["walk"])], "capture_id string, text string")
+    got = motion.segment_captures("dp", texts, found).orderBy("first").collect()
+    assert got[0].label == "walk" and "sit" in {r.label for r in got} and {r.status for r in got} <= {"NORMAL", "ANOMALY"}
+    assert [r.label for r in motion.segment_captures("scripted", texts, found, ["walk", "sit", "walk"]).orderBy("first").collect()] == ["walk", "sit", "walk"]
+    assert motion.segment_captures("scan", texts, found, least=2.0).count() > 0
+    active = spark.createDataFrame([("c", 0, len(one["walk"]))], "capture_id string, first int, last int")
+    assert [(r.label, r.similarity) for r in motion.segment_captures("activity", texts, found, activity=active).collect()] == [("walk", 1.0)]
+    commands = spark.createDataFrame([("c", 1, "up"), ("c", 2, "up"), ("c", 3, "down")], "capture_id string, idx long, label string")
+    assert [(r.label, r.first, r.last) for r in motion.segment_captures("command", texts, found, commands=commands).orderBy("first").collect()] == [("up", 1, 3), ("down", 3, 4)]
+    for bad in ("none", "scripted"):
+        with pytest.raises(ValueError):
+            motion.segment_captures(bad, texts, found)
+
+
+def test_explanations_name_violations(spark):
+    checked = spark.createDataFrame([("a", 1, 2, 1, "ANOMALY"), ("b", 1, 0, 1, "NORMAL")], "seq_id string, template_id long, distance int, allowed int, status string")
+    why = spark.createDataFrame([("a", 3, "second"), ("a", 1, "first")], "seq_id string, at int, reason string")
+    got = {r.seq_id: r for r in conformance.explain(checked, why).collect()}
+    assert got["a"].text.endswith("; at 1: first; at 3: second") and got["a"].decision.asDict() == {"valid": False, "status": "ANOMALY", "action": "reject", "violations": 2} and got["b"].decision.action == "accept"
+    assert conformance.status_summary(checked).first().asDict() == {"sequences": 2, "normal": 1, "normal_with_tolerance": 0, "unknown_validity": 0, "anomaly": 1, "valid": 1}

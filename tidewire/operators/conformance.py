@@ -418,9 +418,36 @@ def longest_valid_chain(sequences: DataFrame, graph: dict[str, list[str]], start
     return out.select("seq_id", n.alias("matched"), last.alias("last"), "next", state.alias("state"))
 
 
-def explain(checked: DataFrame) -> DataFrame:
-    """Adds text: a sentence on the status."""
-    return checked.withColumn("text", F.concat_ws(" ", F.concat(F.lit("sequence "), "seq_id", F.lit(":")), "status", F.concat(F.lit("(distance "), F.col("distance").cast("string"), F.lit(" of "), F.col("allowed").cast("string"), F.lit(" allowed to template "), F.col("template_id").cast("string"), F.lit(")"))))
+def explain(checked: DataFrame, violations: DataFrame | None = None) -> DataFrame:
+    """Adds text, sentences on the status and on each violation (seq_id, at, reason) in order, and decision, the record of it."""
+    head = F.concat_ws(" ", F.concat(F.lit("sequence "), "seq_id", F.lit(":")), "status", F.concat(F.lit("(distance "), F.col("distance").cast("string"), F.lit(" of "), F.col("allowed").cast("string"), F.lit(" allowed to template "), F.col("template_id").cast("string"), F.lit(")")))
+    out = checked
+    if violations is not None:
+        lists = violations.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "reason"))), lambda v: F.concat(F.lit("at "), v["at"].cast("string"), F.lit(": "), v["reason"])).alias("_why"))
+        out = out.join(lists, "seq_id", "left")
+    why = F.coalesce("_why", F.array().cast("array<string>")) if violations is not None else F.array().cast("array<string>")
+    valid = F.col("status").isin("NORMAL", "NORMAL_WITH_TOLERANCE")
+    record = F.struct(valid.alias("valid"), "status", F.when(valid, "accept").when(F.col("status") == "UNKNOWN_VALIDITY", "review").otherwise("reject").alias("action"), F.size(why).alias("violations"))
+    return out.withColumns({"text": F.concat_ws("; ", head, why), "decision": record}).drop("_why")
+
+
+def status_summary(checked: DataFrame) -> DataFrame:
+    """One row: how many sequences there are, how many of each status, and how many of them are valid."""
+    names = ("NORMAL", "NORMAL_WITH_TOLERANCE", "UNKNOWN_VALIDITY", "ANOMALY")
+    counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in names]
+    return checked.agg(F.count(F.lit(1)).alias("sequences"), *counts, F.count_if(F.col("status").isin(*names[:2])).alias("valid"))
+
+
+def known_actions(model: dict[str, DataFrame]) -> DataFrame:
+    """The different actions of a fitted model's templates and transitions."""
+    own = model["templates"].select(F.explode("seq").alias("action")).unionByName(model["matrix"].select(F.col("src").alias("action")))
+    return own.distinct()
+
+
+def clean_items(items: Column) -> Column:
+    """Items {label, embedding} with trimmed labels; those without a label go, and so does an empty embedding (it becomes null)."""
+    own = F.transform(items, lambda x: F.struct(F.trim(x["label"]).alias("label"), F.when(F.size(x["embedding"]) > 0, x["embedding"]).alias("embedding")))
+    return F.filter(own, lambda x: x["label"].isNotNull() & (x["label"] != ""))
 
 
 def enqueue_reviews(pending: DataFrame, checked: DataFrame, sequences: DataFrame) -> DataFrame:

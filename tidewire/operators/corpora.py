@@ -5,6 +5,11 @@ Randomness is a hash of ids, positions and a seed, so a rerun gives the same row
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,18 +206,58 @@ def learn_merges(tokens: DataFrame, merges: int) -> list[tuple[str, str]]:
     return out
 
 
-def mask_spans(tokens: DataFrame, share: float = 0.15, p: float = 0.2, longest: int = 10, seed: int = 0) -> DataFrame:
-    """id, pos, token, masked: spans of geometric length (the inverse of its distribution at a hash, at most `longest`) from hashed starts.
+def span_masks(n: int, draws: list[float], order: list[float], share: float, p: float, longest: int) -> list[bool]:
+    """Which of n places are masked: spans of geometric length follow each other from the first place; in the order of `order` they are
+    taken while they fit the number to mask, a span that doesn't fit is passed over."""
+    total = 1 - (1 - p) ** longest
+    spans, at = [], 0
+    while at < n:
+        length = 1 + int(math.log(1 - draws[at] * total) / math.log(1 - p))
+        spans.append((order[at], at, min(max(1, min(length, longest)), n - at)))
+        at += max(1, min(length, longest))
+    left, out = max(1, round(n * share)), [False] * n
+    for _, first, length in sorted(spans):
+        if length <= left:
+            out[first : first + length] = [True] * length
+            left -= length
+        if not left:
+            break
+    return out
+
+
+def mask_spans(tokens: DataFrame, share: float = 0.15, p: float = 0.2, longest: int = 10, length: int = 512, seed: int = 0) -> DataFrame:
+    """id, block, pos, token, masked: spans of geometric length cover each sequence of up to `length` tokens, and some of them, about `share` of the
+    tokens, are masked (see span_masks). Draws and order come from hashes of id and place, so that a rerun masks the same."""
+    own = tokens.select("id", F.floor(F.col("pos") / length).cast("int").alias("block"), "pos", "token", unit_hash("id", "pos", seed=seed).alias("u"), unit_hash("id", "pos", seed=seed + 1).alias("v"))
+    rows = own.groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "u", "v"))).alias("rows"))
+    rows = rows.select("id", "block", F.transform("rows", lambda r: r["pos"]).alias("pos"), F.transform("rows", lambda r: r["token"]).alias("token"), F.transform("rows", lambda r: r["u"]).alias("u"), F.transform("rows", lambda r: r["v"]).alias("v"))
+
+    @F.pandas_udf("array<boolean>")
+    def masks(u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([span_masks(len(a), list(a), list(b), share, p, longest) for a, b in zip(u, v, strict=True)])
+
+    found = rows.withColumn("masked", masks("u", "v"))
+    return found.select("id", "block", F.explode(F.arrays_zip("pos", "token", "masked")).alias("r")).select("id", "block", "r.pos", "r.token", "r.masked")
+
+
+def basic_tokens(text: Column) -> Column:
+    """Words of a text: control characters go, CJK characters and signs stand alone, letters are lower-cased and lose their accents."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _basic_tokens(t))
+
+    return run(text)
+
+
+_CJK = re.compile("([\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002a6df\U0002a700-\U0002ceaf\U0002f800-\U0002fa1f])")
 
-    Starts are as likely as gives about `share` masked tokens at the mean length; overlapping spans become one.
-    """
-    import math
 
-    mean = sum((1 - p) ** i for i in range(longest))
-    start = unit_hash("id", "pos", seed=seed) < share / mean
-    length = F.least(F.lit(longest), F.floor(F.log(1 - unit_hash("id", "pos", seed=seed + 1)) / math.log(1 - p)) + 1)
-    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.select("id", "pos", "token", F.coalesce(F.max(F.when(start, F.col("pos") + length)).over(w) > F.col("pos"), F.lit(False)).alias("masked"))
+def _basic_tokens(text: str) -> list[str]:
+    kept = "".join(" " if c in "\t\n\r" else c for c in text if c in "\t\n\r" or not (ord(c) in (0, 0xFFFD) or unicodedata.category(c).startswith("C")))
+    plain = "".join(c for c in unicodedata.normalize("NFD", _CJK.sub(r" \1 ", kept).lower()) if unicodedata.category(c) != "Mn")
+    sign = lambda c: (c.isascii() and c.isprintable() and not c.isalnum() and c != " ") or unicodedata.category(c).startswith("P")
+    return "".join(f" {c} " if sign(c) else c for c in plain).split()
 
 
 def three_way_pairs(sentences: DataFrame, seed: int = 0) -> DataFrame:

@@ -52,9 +52,10 @@ def fit_forest(df: DataFrame, key: str, columns: list[str], trees: int = 100, ro
                 f = int(rng.choice(open_))
                 cut = float(rng.uniform(lo[f], hi[f]))
                 less = x[at, f] <= cut
-                nodes[me][2:4] = f, cut
-                nodes[me][4] = split(at[less], level + 1)
-                nodes[me][5] = split(at[~less], level + 1)
+                if not less.all():  # a cut between values next to each other can be the greater one
+                    nodes[me][2:4] = f, cut
+                    nodes[me][4] = split(at[less], level + 1)
+                    nodes[me][5] = split(at[~less], level + 1)
             return me
 
         split(np.arange(len(x)), 0)
@@ -162,6 +163,19 @@ def classifiers(inputs: int, classes: int = 2, seed: int = 7) -> dict:
     return {"forest": RandomForestClassifier(numTrees=60, maxDepth=8, seed=seed), "boosted": base if classes == 2 else OneVsRest(classifier=base), "perceptron": MultilayerPerceptronClassifier(layers=[inputs, 16, classes], maxIter=60, seed=seed), "linear": LinearSVC(maxIter=50)}
 
 
+def balanced(df: DataFrame, label: str) -> DataFrame:
+    """Adds weight: rows over classes times the rows of its class, so that all classes weigh alike."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    return df.join(F.broadcast(counts.crossJoin(F.broadcast(total))), label).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
+
+
+def action_classifiers(trees: int = 300, classes: int = 2, seed: int = 7) -> dict:
+    """The balanced forest and the boosted trees of action recognition; rows carry weight."""
+    base = GBTClassifier(maxIter=20, maxDepth=4, seed=seed, weightCol="weight")
+    return {"forest": RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed, weightCol="weight"), "boosted": base if classes == 2 else OneVsRest(classifier=base, weightCol="weight")}
+
+
 def ensemble_scores(train: DataFrame, test: DataFrame, models: dict, key: str) -> DataFrame:
     """key and proba: the mean over the models of the probability of class 1 (a model without probabilities gives its 0 or 1)."""
     out = test

@@ -101,6 +101,20 @@ def address_profile(packets: DataFrame) -> DataFrame:
     return out.select("ip", ip_scope(F.col("ip")).alias("scope"), (F.col("observed_as_src") + F.col("observed_as_dst")).alias("count"), "observed_as_src", "observed_as_dst", ports.alias("ports"))
 
 
+def capture_statistics(packets: DataFrame, pad: int = 380, top: int = 5) -> DataFrame:
+    """Per capture: packets by protocol, UDP packets with a payload, skipped ones, payload sizes in bands around `pad`, the `top` most frequent ports."""
+    udp, n = F.col("proto") == 17, F.col("payload_size")
+    full = udp & (n > 0)
+    out = packets.groupBy("capture_id").agg(
+        F.count(F.lit(1)).alias("total_read"), F.count_if(udp).alias("udp"), F.count_if(F.col("proto") == 6).alias("tcp"), F.count_if(~F.col("proto").isin(6, 17)).alias("other"), F.count_if(full).alias("udp_with_payload"), F.count_if(~udp).alias("skipped_non_udp"), F.count_if(udp & (n == 0)).alias("skipped_empty"),
+        F.count_if(full & (n < 50)).alias("below_50"), F.count_if(full & n.between(50, 199)).alias("below_200"), F.count_if(full & n.between(200, pad - 1)).alias(f"below_{pad}"), F.count_if(full & (n == pad)).alias(f"equal_{pad}"), F.count_if(full & (n > pad)).alias(f"over_{pad}"),
+    )
+    counts = packets.where(F.col("proto").isin(6, 17)).groupBy("capture_id", "port").agg(F.count(F.lit(1)).alias("c"))
+    few = counts.withColumn("_r", F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("c"), "port"))).where(F.col("_r") <= top)
+    ports = few.groupBy("capture_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "port"))), lambda x: x["port"]).alias("top_ports"))
+    return out.join(ports, "capture_id", "left")
+
+
 def port_profile(packets: DataFrame, most: int = 10) -> DataFrame:
     """Per port over 0: service, count, the first `most` source and destination addresses in order.
 

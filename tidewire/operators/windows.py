@@ -89,6 +89,11 @@ def window_features(packets: DataFrame, window_us: int, valid: Column | None = N
     })
 
 
+def traffic_profile(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, and mean, std, max and sum of each window column."""
+    return rows.groupBy(*keys).agg(*[f(c).cast("double").alias(f"{c}_{name}") for c in columns for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("sum", F.sum))])
+
+
 def signal_bins(packets: DataFrame, bin_us: int, bins: int | None = None) -> DataFrame:
     """Sum of sign * size in each bin from the capture's first packet; bins without packets are 0; the last bin is closed."""
     span = packets.groupBy("capture_id").agg(F.min("ts_us").alias("_t0"), F.max("ts_us").alias("_t1"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import corpora as ops
-from ..operators import metrics
+from ..operators import metrics, profiles
 from .adapters import P, packets, table, with_sql
 from .registry import query
 
@@ -103,6 +103,14 @@ def a25(spark, sf_dir):
     return rounded(own.groupBy("kind").agg(F.percentile("d", F.lit(0.5)).alias("median_s"), F.min("d").alias("least_s"), F.max("d").alias("most_s")))
 
 
+@query("a35_capture_statistics", with_sql(P) + """, q AS (SELECT *, CASE WHEN k % 9 = 0 THEN 1 ELSE proto END AS pr, CASE WHEN k % 7 = 0 THEN 0 ELSE size % 500 END AS n FROM p), t AS (SELECT capture_id, list(port ORDER BY c DESC, port)[:5] AS top_ports FROM (SELECT capture_id, port, count(*) AS c FROM q WHERE pr IN (6, 17) GROUP BY 1, 2) GROUP BY 1)
+SELECT capture_id, count(*) AS total_read, count(*) FILTER (pr = 17) AS udp, count(*) FILTER (pr = 6) AS tcp, count(*) FILTER (pr NOT IN (6, 17)) AS other, count(*) FILTER (pr = 17 AND n > 0) AS udp_with_payload, count(*) FILTER (pr <> 17) AS skipped_non_udp, count(*) FILTER (pr = 17 AND n = 0) AS skipped_empty,
+count(*) FILTER (pr = 17 AND n BETWEEN 1 AND 49) AS below_50, count(*) FILTER (pr = 17 AND n BETWEEN 50 AND 199) AS below_200, count(*) FILTER (pr = 17 AND n BETWEEN 200 AND 379) AS below_380, count(*) FILTER (pr = 17 AND n = 380) AS equal_380, count(*) FILTER (pr = 17 AND n > 380) AS over_380, any_value(top_ports) AS top_ports FROM q JOIN t USING (capture_id) GROUP BY 1""")
+def a35b(spark, sf_dir):
+    own = packets(spark, sf_dir).select("capture_id", F.when(F.col("k") % 9 == 0, 1).otherwise(F.col("proto")).alias("proto"), "port", F.when(F.col("k") % 7 == 0, 0).otherwise(F.col("size") % 500).alias("payload_size"))
+    return profiles.capture_statistics(own)
+
+
 @query("a35_size_buckets", with_sql(P) + " SELECT capture_id, count(*) FILTER (size < 64) AS tiny, count(*) FILTER (size >= 64 AND size < 128) AS small, count(*) FILTER (size >= 128 AND size < 512) AS medium, count(*) FILTER (size >= 512 AND size < 1024) AS large, count(*) FILTER (size >= 1024) AS huge FROM p GROUP BY 1")
 def a35(spark, sf_dir):
     s = F.col("size")
@@ -300,6 +308,12 @@ def f34(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ops.structured_tokens(F.col("event_type"), F.col("props")).alias("ids"))
 
 
+@query("f35_basic_tokens", r"SELECT event_id, [event_type, '=', k, '中', '%', 'cafe'] AS tokens FROM (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)")
+def f35b(spark, sf_dir):
+    text = F.concat(F.upper("event_type"), F.lit("="), F.get_json_object("props", "$.k"), F.lit("中%\u0000 \t Cafe\u0301"))
+    return table(spark, sf_dir, "events").select("event_id", ops.basic_tokens(text).alias("tokens"))
+
+
 @query("f35_word_pieces")
 def f35(spark, sf_dir):
     letters = [chr(i) for i in range(97, 123)] + [str(i) for i in range(10)]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.payload import text_statistics
-from ..operators import conformance, metrics, outliers, profiles, signals, windows
+from ..operators import conformance, forests, metrics, motion, outliers, profiles, signals, windows
 from ..sources.tables import flat_features
 from .adapters import P, packets, table, with_sql
 from .profile_queries import candidates
@@ -65,17 +65,21 @@ def text_table(spark, sf_dir):
 @query("x9_model_ensemble")
 def x9(spark, sf_dir):
     own, names = text_table(spark, sf_dir)
-    ready = outliers.prepared(own, names, "label", 4).persist()
+    ready = outliers.prepared(own, names, "label", 4)
     train, test = ready.where("doc_id % 5 != 0"), ready.where("doc_id % 5 = 0")
     return outliers.ensemble_scores(train, test.select("doc_id", "features"), outliers.classifiers(4), "doc_id")
 
 
 @query("x7_action_classifier")
 def x7(spark, sf_dir):
+    """A balanced forest of 300 trees and boosted trees, fitted on four fifths of the documents."""
     own, names = text_table(spark, sf_dir)
-    ready = outliers.prepared(own, names, "label", 4)
-    model = outliers.classifiers(4)["forest"].fit(ready.where("doc_id % 5 != 0"))
-    return model.transform(ready.where("doc_id % 5 = 0")).select("doc_id", "label", "prediction")
+    ready = outliers.balanced(outliers.prepared(own, names, "label", 4), "label")
+    train, test = ready.where("doc_id % 5 != 0"), ready.where("doc_id % 5 = 0")
+    out = test.select("doc_id", "label", "features")
+    for name, model in outliers.action_classifiers().items():
+        out = model.fit(train).transform(out).withColumnRenamed("prediction", name).drop("rawPrediction", "probability")
+    return out.drop("features")
 
 
 @query("x23_feature_importance")
@@ -269,3 +273,67 @@ def c11(spark, sf_dir):
     templates = signals.medoid_templates(samples)
     scored = signals.match_templates(samples, templates).withColumn("anomaly", 1 - F.col("similarity"))
     return signals.score_task_steps(steps, samples, templates, graph, metrics.label_thresholds(scored, "best", "anomaly"))
+
+
+# --- the motion model: captures of users by kind of day, hourly windows ----------------------------------------------
+MOTION = ["pkt_count", "byte_count", "mean_len", "small_count", "large_count", "up_bytes"]
+
+
+def motion_windows(spark, sf_dir):
+    """Windows of twelve hours of each user's packets; the label is the user modulo 3, the sample the user."""
+    own = packets(spark, sf_dir).withColumn("capture_id", F.col("src_port") - 1024)
+    out = windows.window_features(own, 720 * MINUTE)
+    return out.withColumns({"sample": F.col("capture_id").cast("string"), "label": F.concat(F.lit("m"), (F.col("capture_id") % 3).cast("string"))})
+
+
+@query("x21_motion_training")
+def x21(spark, sf_dir):
+    _, found = motion.train_motion(motion_windows(spark, sf_dir), MOTION)
+    return found["scores"].select("sample", "label", "best", F.round("similarity", 6).alias("similarity"), F.round("anomaly", 6).alias("anomaly"), "threshold", "is_anomaly")
+
+
+def motion_texts(found):
+    """Three captures of each label in a row as one long capture."""
+    own = found["sequences"].withColumn("n", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("sample")) - 1) / 3))
+    return own.groupBy(F.concat_ws("-", "label", F.col("n").cast("string")).alias("capture_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+@query("x18_best_path_segments")
+def x18(spark, sf_dir):
+    _, found = motion.train_motion(motion_windows(spark, sf_dir), MOTION)
+    return motion.segment_captures("dp", motion_texts(found), found)
+
+
+@query("x19_method_dispatch")
+def x19(spark, sf_dir):
+    """Segments of long captures by scan and by transcript, and runs of commands."""
+    _, found = motion.train_motion(motion_windows(spark, sf_dir), MOTION)
+    texts_, commands = motion_texts(found), packets(spark, sf_dir).select("capture_id", "idx", F.col("kind").alias("label"))
+    parts = {"scan": motion.segment_captures("scan", texts_, found, least=4), "scripted": motion.segment_captures("scripted", texts_.where("capture_id LIKE 'm1%'"), found, ["m1", "m1", "m1"]), "command": motion.segment_captures("command", texts_, found, commands=commands)}
+    out = None
+    for name, part in parts.items():
+        own = part.withColumn("method", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def profiles_of_samples(spark, sf_dir):
+    """One vector for each sample: mean, deviation, maximum and sum of each window column."""
+    own = windows.traffic_profile(motion_windows(spark, sf_dir), ["label", "sample"], MOTION)
+    return own, [c for c in own.columns if c not in ("label", "sample")]
+
+
+@query("x8_profile_classifier")
+def x8(spark, sf_dir):
+    """Extra-trees on the profiles of even users, applied to all."""
+    own, names = profiles_of_samples(spark, sf_dir)
+    model, labels = forests.fit_extra_trees(own.where(F.col("sample").cast("long") % 2 == 0), "sample", names, "label", trees=200)
+    return forests.predict_extra_trees(own, model, labels, names).select("sample", "label", "predicted", F.round("confidence", 6).alias("confidence"))
+
+
+@query("x15_leave_one_out_report")
+def x15(spark, sf_dir):
+    """Captures by user modulo 40, each predicted by trees grown from the others."""
+    rows = motion_windows(spark, sf_dir).withColumns({"sample": (F.col("capture_id") % 40).cast("string"), "label": F.concat(F.lit("m"), (F.col("capture_id") % 2).cast("string"))})
+    own = windows.traffic_profile(rows, ["label", "sample"], MOTION)
+    return forests.leave_one_out_report(own, "sample", [c for c in own.columns if c not in ("label", "sample")], "label")

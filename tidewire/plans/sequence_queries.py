@@ -243,7 +243,9 @@ def c5(spark, sf_dir):
 
 @query("c14_explanations")
 def c14(spark, sf_dir):
-    return ops.explain(checked(spark, sf_dir)).select("seq_id", "text")
+    repeats = ops.repeat_violations(actions(spark, sf_dir), ops.max_repeats(train(spark, sf_dir)))
+    why = repeats.select("seq_id", "at", F.concat_ws(" ", F.col("action"), F.lit("repeated"), F.col("n").cast("string"), F.lit("times")).alias("reason"))
+    return ops.explain(checked(spark, sf_dir), why).select("seq_id", "text", "decision.*")
 
 
 @query("c12_review_queue")
@@ -291,9 +293,21 @@ def c13(spark, sf_dir):
     return own.select("seq_id", ops.clean_sequence(F.transform("seq", lambda x: F.when(x == "error", "  ").otherwise(F.concat(F.lit(" "), x)))).alias("seq"))
 
 
-@query("c15_known_actions", with_sql(A) + " SELECT action, count(*) AS n FROM a GROUP BY action")
+@query("c15_known_actions", with_sql(A, T) + " SELECT DISTINCT action FROM t")
 def c15(spark, sf_dir):
-    return actions(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return ops.known_actions(ops.fit_model(train(spark, sf_dir)))
+
+
+@query("c15_status_summary")
+def c15b(spark, sf_dir):
+    return ops.status_summary(checked(spark, sf_dir))
+
+
+@query("c13_clean_items", with_sql(A) + " SELECT seq_id, list_filter(list_transform(seq, lambda v: CASE WHEN v = 'error' THEN '' ELSE v END), lambda v: v <> '') AS labels, len(list_filter(seq, lambda v: v = 'view'))::INTEGER AS embedded FROM s")
+def c13b(spark, sf_dir):
+    item = lambda x: F.struct(F.when(x == "error", "  ").otherwise(F.concat(F.lit(" "), x)).alias("label"), F.when(x == "view", F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("embedding"))
+    own = ops.as_sequences(actions(spark, sf_dir)).select("seq_id", ops.clean_items(F.transform("seq", item)).alias("i"))
+    return own.select("seq_id", F.transform("i", lambda x: x["label"]).alias("labels"), F.size(F.filter("i", lambda x: x["embedding"].isNotNull())).alias("embedded"))
 
 
 @query("u4_new_templates_only", with_sql(A, T) + " SELECT DISTINCT seq FROM s WHERE seq NOT IN (SELECT seq FROM ts)")

@@ -224,10 +224,13 @@ def w19(spark, sf_dir):
     return own.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))).where("r <= 2").drop("r")
 
 
-@query("a20_traffic_profile", with_sql(P, _W) + """ SELECT capture_id, count(*) AS n, round(avg(coalesce(pkt_count, 0)), 6) AS pkt_mean, round(stddev_pop(coalesce(pkt_count, 0)), 6) AS pkt_std, max(coalesce(pkt_count, 0)) AS pkt_max, sum(coalesce(pkt_count, 0))::BIGINT AS pkt_sum, round(avg(coalesce(byte_count, 0)), 6) AS byte_mean, max(coalesce(byte_count, 0)) AS byte_max FROM d LEFT JOIN w USING (capture_id, window_idx) GROUP BY 1""")
+_A20 = ["pkt_count", "byte_count", "tcp_count", "large_count", "mean_len"]
+
+
+@query("a20_traffic_profile", with_sql(P, _W) + " SELECT capture_id, " + ", ".join(f"round(avg(coalesce({c}, 0)), 4) AS {c}_mean, round(stddev_pop(coalesce({c}, 0)), 4) AS {c}_std, round(max(coalesce({c}, 0))::DOUBLE, 4) AS {c}_max, round(sum(coalesce({c}, 0))::DOUBLE, 4) AS {c}_sum" for c in _A20) + " FROM d LEFT JOIN w USING (capture_id, window_idx) GROUP BY 1")
 def a20(spark, sf_dir):
-    own = hourly(spark, sf_dir).groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"), F.avg("pkt_count").alias("pkt_mean"), F.stddev_pop("pkt_count").alias("pkt_std"), F.max("pkt_count").alias("pkt_max"), F.sum("pkt_count").alias("pkt_sum"), F.avg("byte_count").alias("byte_mean"), F.max("byte_count").alias("byte_max"))
-    return rounded(own, ["pkt_mean", "pkt_std", "byte_mean"])
+    own = ops.traffic_profile(hourly(spark, sf_dir), ["capture_id"], _A20)
+    return rounded(own, own.columns[1:], 4)
 
 
 @query("a48_standardise", "WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS s, min(value) AS l, max(value) AS h FROM events) SELECT event_id, round((value - m) / s, 6) AS z, round((value - l) / (h - l + 1e-8), 6) AS unit FROM events, s")
