@@ -100,12 +100,12 @@ def test_detection_uses_fitted_models(spark):
     random.seed(2)
     rows = [(f"k{i}", "drop table from x where 1" if i % 4 == 0 else "hello there") for i in range(200)]
     df = rules.match_rules(spark.createDataFrame(rows, "key string, text string"), "text")
-    df = df.withColumns({f"f_{k}": v for k, v in payload.byte_statistics(F.col("text")).items()})
+    row = payload.byte_statistics(F.col("text"))
     known = spark.createDataFrame([(f"k{i}", float(i % 4 == 0)) for i in range(0, 120)], "key string, label double")
-    names = [c for c in df.columns if c.startswith("f_")]
-    got = {r.key: r for r in detect.detect(df, "key", names, known, trees=10).collect()}
+    run = lambda labels, trees: {r.key: r for r in detect.detect(df, "key", lambda d: d.withColumns({f"f_{k}": v for k, v in row.items()}), [f"f_{k}" for k in row], labels, trees=trees).collect()}
+    got = run(known, 10)
     assert len(got) == 200 and all((got[f"k{i}"].proba > 0.5) == (i % 4 == 0) for i in range(200)) and got["k0"].final_score > got["k1"].final_score
-    assert {r.proba for r in detect.detect(df, "key", names, known.limit(0), trees=5).collect()} == {0.5}
+    assert {r.proba for r in run(known.limit(0), 5).values()} == {0.5}
 
 
 def test_correlation_and_convolution(spark):

@@ -115,15 +115,34 @@ def byte_statistics(payload: Column) -> dict[str, Column]:
     return {c: own[c] for c in ("length", "log_length", "mean", "std", "min", "max", "median", "unique", "null_ratio", "printable_ratio", "ascii_ratio")}
 
 
+def gram_counts(text: Column, n: int) -> Column:
+    """A struct: how many n-grams of characters (n up to 3) a text has, and how many different ones; 0 for null."""
+
+    @F.arrow_udf("ngrams double, distinct double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            many, different = np.zeros(len(column)), np.zeros(len(column))
+            for i, item in enumerate(column):
+                points = np.frombuffer((item.as_py() or "").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                if len(points) >= n:
+                    keys = points[: len(points) - n + 1].copy()
+                    for j in range(1, n):
+                        keys = (keys << np.uint64(21)) | points[j : len(points) - n + 1 + j]
+                    many[i], different[i] = len(keys), len(np.unique(keys))
+            yield pa.StructArray.from_arrays([pa.array(many), pa.array(different)], names=["ngrams", "distinct"])
+
+    return run(F.coalesce(text, F.lit("")))
+
+
 def text_statistics(text: Column, gram: int = 3) -> dict[str, Column]:
     """Length, words, shares of character classes, character n-grams and keyword flags."""
     n, low = F.length(text), F.lower(text)
     ratio = lambda c: F.when(n > 0, c / n).otherwise(0.0)
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    grams = F.when(n >= gram, F.transform(F.sequence(F.lit(1), n - gram + 1), lambda i: F.substring(text, i, F.lit(gram)))).otherwise(F.array().cast("array<string>"))
+    grams = gram_counts(text, gram)
     out = {
         "length": n.cast("double"), "words": F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("double"), "upper_ratio": ratio(count(r"[A-Z]")), "lower_ratio": ratio(count(r"[a-z]")), "digit_ratio": ratio(count(r"[0-9]")), "special_ratio": ratio(count(r"[^A-Za-z0-9\s]")),
-        "ngrams": F.size(grams).cast("double"), "distinct_ngrams": F.size(F.array_distinct(grams)).cast("double"),
+        "ngrams": grams["ngrams"], "distinct_ngrams": grams["distinct"],
     }
     return out | {f"has_{w}": low.contains(w).cast("int") for w in KEYWORDS}
 

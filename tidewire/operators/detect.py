@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,29 +15,32 @@ from .corpora import unit_hash
 from .outliers import fit_forest, score_forest
 
 
-def detect(rows: DataFrame, key: str, features: list[str], labels: DataFrame, fitted: int = 20_000, trees: int = 40, outliers: float = 0.06) -> DataFrame:
-    """rows (with matches and feature columns) with proba, anomaly (0 or 1), final_score, threat_level and fused_confidence.
+def detect(payloads: DataFrame, key: str, featurize: Callable[[DataFrame], DataFrame], features: list[str], labels: DataFrame, fitted: int = 20_000, trees: int = 40, outliers: float = 0.06) -> DataFrame:
+    """payloads (with matches) and their features, with proba, anomaly (0 or 1), final_score, threat_level and fused_confidence.
 
-    labels (key, label 0 or 1) name the rows to fit the classifier on, at most `fitted` of them by hash of the key (a bounded,
-    stated sample); without both labels proba is 0.5. The forest grows each tree from a bounded sample of all rows, and its cut is
-    that of a sample of `fitted` rows. The sequence model of the original is a neural network: its score is 0, as where it isn't installed.
+    featurize adds the feature columns, and is asked once for all rows and before that for the rows that models are fitted on. labels
+    (key, label 0 or 1) name the rows for the classifier, at most `fitted` of them by hash of the key (a bounded, stated sample);
+    without both labels proba is 0.5. The forest and its cut come from as many rows of all. The sequence model of the original is a neural
+    network: its score is 0, as where it isn't installed.
     """
-    known = rows.join(labels, key).select(key, "label", *features).withColumn("_u", unit_hash(key, seed=3)).orderBy("_u", key).limit(fitted)
+    spark = payloads.sparkSession
     assembler = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="keep")
-    train = assembler.transform(known).select("label", "_v").persist()
-    try:
-        both = train.select("label").distinct().count() == 2
-        model = RandomForestClassifier(featuresCol="_v", numTrees=trees, maxDepth=8, seed=7).fit(train) if both else None
-    finally:
-        train.unpersist()
-    forest = fit_forest(rows.select(key, *features), key, features, trees).persist()
+
+    def sampled(rows: DataFrame, seed: int) -> DataFrame:
+        keys = rows.select(key, unit_hash(key, seed=seed).alias("_u")).orderBy("_u", key).limit(fitted).select(key).distinct()
+        return featurize(rows.join(F.broadcast(keys), key))
+
+    known = assembler.transform(sampled(payloads.join(labels.select(key, "label"), key), 3)).select("label", "_v").persist()
+    some = sampled(payloads, 5).select(key, *features).persist()
     try:
-        scored = score_forest(rows, forest, features)
-        few = score_forest(rows.select(key, *features).withColumn("_u", unit_hash(key, seed=5)).orderBy("_u", key).limit(fitted).drop("_u"), forest, features)
-        cut = few.agg(F.percentile("score", F.lit(outliers))).first()[0]
+        model = RandomForestClassifier(featuresCol="_v", numTrees=trees, maxDepth=8, seed=7).fit(known) if known.select("label").distinct().count() == 2 else None
+        grown = fit_forest(some, key, features, trees)
+        forest = spark.createDataFrame(grown.toPandas(), grown.schema)
+        cut = score_forest(some, forest, features).agg(F.percentile("score", F.lit(outliers))).first()[0]
     finally:
-        forest.unpersist()
-    out = scored.withColumn("anomaly", F.when(F.col("score") < F.lit(cut), 1.0).otherwise(0.0)).drop("score")
+        known.unpersist()
+        some.unpersist()
+    out = score_forest(featurize(payloads), forest, features).withColumn("anomaly", F.when(F.col("score") < F.lit(cut), 1.0).otherwise(0.0)).drop("score")
     if model is None:
         out = out.withColumn("proba", F.lit(0.5))
     else:
