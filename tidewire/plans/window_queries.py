@@ -205,7 +205,8 @@ def w15(spark, sf_dir):
     return ops.runs(own, ["capture_id"], "idx", "label").groupBy("capture_id", "label", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.array_sort(F.collect_set("kind")).alias("raw")).drop("run")
 
 
-@query("w8_suppress_repeats")
+# Each kept event and the first one that comes long enough after it, round by round.
+@query("w8_suppress_repeats", "WITH RECURSIVE " + P + f", r AS (SELECT src, kind, min(ts_us) AS t FROM p GROUP BY 1, 2 UNION ALL SELECT r.src, r.kind, min(p.ts_us) FROM r JOIN p ON p.src = r.src AND p.kind = r.kind WHERE p.ts_us >= r.t + {600 * MINUTE} GROUP BY 1, 2) SELECT src, kind, list_sort(list(t)) AS kept FROM r GROUP BY 1, 2")
 def w8(spark, sf_dir):
     return ops.suppress_repeats(packets(spark, sf_dir), ["src"], "ts_us", "kind", 600 * MINUTE)
 
