@@ -146,22 +146,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 1e-12), F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norm))).otherwise(0.0)
 
 
-def fit_model(steps: DataFrame, most: int = 3, margin: int = 0, least: float = 0.8, noncritical: tuple[str, ...] = (), end: str = END) -> dict[str, DataFrame]:
-    """The whole model of training steps (blank labels left out), as named tables.
+PARTS = ("templates", "contexts", "matrix", "starts", "repeats", "critical", "graph", "embeddings")
+
+
+def fit_model(steps: DataFrame, most: int = 3, margin: int = 0, least: float = 0.8, noncritical: tuple[str, ...] = (), end: str = END, parts: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
+    """The model of training steps (blank labels left out), as named tables; of all parts, or only of those asked for.
 
     templates (template_id by falling frequency, then labels; seq, n), contexts, matrix, starts, repeats, critical, graph and
     embeddings (a role from what comes before and after). Tables of at most HELD rows are computed once.
     """
-    own = steps.select("seq_id", "pos", F.trim("action").alias("action")).where("action <> ''")
-    counts = held(_context_counts(own, most, end))
-    contexts = held(_normalised(counts.groupBy("context", "dst").agg(F.sum("n").alias("n")), "context"))
-    matrix = held(_normalised(counts.where("order = 1").select(F.col("context").alias("src"), "dst", "n"), "src"))
-    templates = distinct_templates(as_sequences(own))
-    templates = held(templates.withColumn("template_id", F.row_number().over(Window.orderBy(F.desc("n"), F.array_join("seq", "|"))).cast("long")).select("template_id", "seq", "n"))
-    return {
-        "templates": templates, "contexts": contexts, "matrix": matrix, "starts": held(start_distribution(templates)), "repeats": held(max_repeats(own, margin)),
-        "critical": held(critical_actions(templates, least, noncritical)), "graph": held(adjacency(templates)), "embeddings": held(role_embeddings(matrix, end)),
-    }
+    own, out = steps.select("seq_id", "pos", F.trim("action").alias("action")).where("action <> ''"), {}
+    if {"contexts", "matrix", "embeddings"} & set(parts):
+        counts = held(_context_counts(own, most, end))
+        out["contexts"] = held(_normalised(counts.groupBy("context", "dst").agg(F.sum("n").alias("n")), "context"))
+        out["matrix"] = held(_normalised(counts.where("order = 1").select(F.col("context").alias("src"), "dst", "n"), "src"))
+    if {"templates", "starts", "critical", "graph"} & set(parts):
+        templates = distinct_templates(as_sequences(own))
+        templates = held(templates.withColumn("template_id", F.row_number().over(Window.orderBy(F.desc("n"), F.array_join("seq", "|"))).cast("long")).select("template_id", "seq", "n"))
+        out["templates"] = templates
+    late = {"starts": lambda: start_distribution(templates), "repeats": lambda: max_repeats(own, margin), "critical": lambda: critical_actions(templates, least, noncritical), "graph": lambda: adjacency(templates), "embeddings": lambda: role_embeddings(out["matrix"], end)}
+    return {name: out[name] if name in out else held(late[name]()) for name in parts}
 
 
 def save_model(model: dict[str, DataFrame], folder: str) -> None:
@@ -170,7 +174,7 @@ def save_model(model: dict[str, DataFrame], folder: str) -> None:
         part.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def load_model(spark: SparkSession, folder: str, parts: tuple[str, ...] = ("templates", "contexts", "matrix", "starts", "repeats", "critical", "graph", "embeddings")) -> dict[str, DataFrame]:
+def load_model(spark: SparkSession, folder: str, parts: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in parts}
 
 
@@ -232,17 +236,17 @@ def transition_analysis(steps: DataFrame, matrix: DataFrame, contexts: DataFrame
     out = steps.select("seq_id", "pos", *scenario, F.lag("action").over(w).alias("previous"), F.col("action").alias("actual"), F.collect_list("action").over(w.rowsBetween(-most, -1)).alias("history")).where("previous IS NOT NULL")
     scale = Window.partitionBy("context")
     table = contexts.withColumns({"_all": F.max("p").over(scale), "_acts": F.max(F.when(F.col("dst") != end, F.col("p"))).over(scale), "rank": F.row_number().over(scale.orderBy(F.desc("p"), "dst"))})
-    # One row a context: its probabilities, the greatest, and the five likeliest actions.
+    # One row a context: its probabilities and the greatest. Held tables have a known size, so that Spark broadcasts small ones itself.
     folded = table.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("probs"), F.max(F.coalesce("_acts", "_all")).alias("top"))
     folded = held(folded)
     for k in range(most, 0, -1):
         key = F.when(F.size("history") >= k, F.array_join(F.slice("history", -k, k), "|"))
-        out = out.join(small(folded.select(F.col("context").alias(f"_k{k}"), F.struct("context", "probs", "top").alias(f"_m{k}"))), key == F.col(f"_k{k}"), "left")
+        out = out.join(folded.select(F.col("context").alias(f"_k{k}"), F.struct("context", "probs", "top").alias(f"_m{k}")), key == F.col(f"_k{k}"), "left")
     out = out.withColumn("_m", F.coalesce(*[f"_m{k}" for k in range(most, 0, -1)]))
     out = out.withColumns({"context": F.col("_m.context"), "cp": F.try_element_at("_m.probs", F.col("actual")), "_top": F.col("_m.top")}).drop("_m", *[f"_{c}{k}" for k in range(1, most + 1) for c in "km"])
     rows = held(matrix.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("_row")))
-    out = out.join(small(rows.withColumnRenamed("src", "previous")), "previous", "left").withColumn("mp", F.try_element_at("_row", F.col("actual")))
-    out = out.join(small(rows.select(F.col("src").alias("actual"), F.lit(True).alias("_known"))), "actual", "left")
+    out = out.join(rows.withColumnRenamed("src", "previous"), "previous", "left").withColumn("mp", F.try_element_at("_row", F.col("actual")))
+    out = out.join(rows.select(F.col("src").alias("actual"), F.lit(True).alias("_known")), "actual", "left")
     out = out.join(small(forbidden.select("previous", "actual", "rule")), ["previous", "actual"], "left") if forbidden is not None else out.withColumn("rule", F.lit(None).cast("string"))
     against = F.lit(None).cast("string")
     if rules is not None:
@@ -254,8 +258,8 @@ def transition_analysis(steps: DataFrame, matrix: DataFrame, contexts: DataFrame
         # Only transitions that the context hasn't seen look at roles: the others have no key for these joins.
         unseen = F.col("cp").isNull() & F.col("_known").isNotNull() & F.col("rule").isNull() & F.col("_against").isNull()
         roles = held(embeddings)
-        likely = table.where("rank <= 5").select("context", F.col("dst").alias("action")).join(small(roles), "action").groupBy(F.col("context").alias("_c")).agg(F.collect_list("embedding").alias("_likely"))
-        out = out.join(small(held(likely)), F.when(unseen, F.col("context")) == F.col("_c"), "left").join(small(roles.select(F.col("action").alias("_a"), "embedding")), F.when(unseen, F.col("actual")) == F.col("_a"), "left")
+        likely = table.where("rank <= 5").select("context", F.col("dst").alias("action")).join(roles, "action").groupBy(F.col("context").alias("_c")).agg(F.collect_list("embedding").alias("_likely"))
+        out = out.join(held(likely), F.when(unseen, F.col("context")) == F.col("_c"), "left").join(roles.select(F.col("action").alias("_a"), "embedding"), F.when(unseen, F.col("actual")) == F.col("_a"), "left")
         out = out.withColumn("similarity", F.coalesce(F.array_max(F.transform("_likely", lambda e: cosine(F.col("embedding"), e))), F.lit(0.0)))
     else:
         out = out.withColumn("similarity", F.lit(0.0))

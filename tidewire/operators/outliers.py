@@ -19,6 +19,8 @@ from .corpora import unit_hash
 from .metrics import exact_quantile
 
 _EULER = 0.5772156649015329
+#: Rows that the trees of a forest choose their samples from.
+POOL = 50_000
 
 
 def _expected_depth(n: int) -> float:
@@ -29,9 +31,12 @@ def _expected_depth(n: int) -> float:
 def fit_forest(df: DataFrame, key: str, columns: list[str], trees: int = 100, rows: int = 256, seed: int = 0) -> DataFrame:
     """node table (tree, node, feature, cut, left, right, size): each tree grown from about `rows` rows chosen by hash.
 
-    A tree's sample is bounded, so a tree is one group; the whole model is at most trees * 2 * rows nodes.
+    Trees choose from at most POOL rows, those of the least hashes, so that not every row is drawn for every tree. A tree's
+    sample is bounded, so a tree is one group; the whole model is at most trees * 2 * rows nodes.
     """
     n = df.count()
+    if n > POOL:
+        df, n = df.withColumn("_h", unit_hash(key, seed=seed)).orderBy("_h", key).limit(POOL).drop("_h"), POOL
     share = min(1.0, 1.5 * rows / max(n, 1))
     sampled = df.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", unit_hash("tree", key, seed=seed)).where(F.col("_u") < share)
     few = sampled.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_u", key))).where(F.col("_r") <= rows)
@@ -94,7 +99,7 @@ def score_forest(df: DataFrame, forest: DataFrame, columns: list[str], rows: int
 def isolation_forest(df: DataFrame, key: str, columns: list[str], contamination: float = 0.06, trees: int = 100, rows: int = 256, seed: int = 0) -> DataFrame:
     """df with score, and label -1 for the share `contamination` of the lowest scores, 1 for others. An empty table stays empty."""
     scored = score_forest(df, fit_forest(df, key, columns, trees, rows, seed), columns, rows)
-    cut = exact_quantile(scored, "score", contamination)
+    cut = exact_quantile(scored, "score", contamination, rows=df.count())
     return scored.withColumn("label", F.when(F.col("score") < F.lit(cut), -1).otherwise(1))
 
 

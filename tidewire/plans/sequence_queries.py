@@ -130,7 +130,7 @@ def histories(spark, sf_dir):
 
 
 def predicted(spark, sf_dir, top):
-    m = ops.fit_model(train(spark, sf_dir))
+    m = ops.fit_model(train(spark, sf_dir), parts=("contexts", "matrix", "starts"))
     return ops.predict_next(histories(spark, sf_dir), m["contexts"], m["matrix"], m["starts"], scenario_rules(spark), top=top)
 
 
@@ -156,7 +156,7 @@ n AS (SELECT seq_id, pos, previous, actual, context, round(mp, 4) AS probability
 
 
 def analysis(spark, sf_dir):
-    m = ops.fit_model(train(spark, sf_dir))
+    m = ops.fit_model(train(spark, sf_dir), parts=("contexts", "matrix", "embeddings"))
     forbidden = spark.createDataFrame(_FORBIDDEN, "previous string, actual string, rule string")
     return ops.transition_analysis(with_scenario(actions(spark, sf_dir)), m["matrix"], m["contexts"], forbidden, m["embeddings"], threshold=0.15, rules=scenario_rules(spark))
 
@@ -295,7 +295,7 @@ def c13(spark, sf_dir):
 
 @query("c15_known_actions", with_sql(A, T) + " SELECT DISTINCT action FROM t")
 def c15(spark, sf_dir):
-    return ops.known_actions(ops.fit_model(train(spark, sf_dir)))
+    return ops.known_actions(ops.fit_model(train(spark, sf_dir), parts=("templates", "matrix")))
 
 
 @query("c15_status_summary")
