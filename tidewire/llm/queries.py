@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_repair import damaged, repair_conversations
 from .decontaminate import decontaminate
 from .html_extract import extract_text
 from .language_id import dictionaries, identify_language
@@ -73,12 +74,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage by the contract's checksum, each with its faults and its cheapest repair."""
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), "copies").drop("n_rows")
+
+
 def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3_license_scan that its contract fixes, so that SQL can be held against them."""
     return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_topk_search, op6_line_dedup, op7_mix_sources, op8_near_dedup, op9_quality, op10_language_id, license_phrases)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_topk_search, op6_line_dedup, op7_mix_sources, op8_near_dedup, op9_quality, op10_language_id, op12_conversation_repair, license_phrases)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -105,6 +111,29 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 5""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce('=' || conv_id, '-') AS conv, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+codes AS (SELECT k, xor(list_reduce(list_transform(string_split(k, ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+  lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295), 4294967295) % 20 AS code FROM (SELECT DISTINCT k FROM o)),
+d AS (SELECT conv, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o JOIN codes USING (k)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM d),
+f AS (SELECT conv, i, turn, role, text, blank, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') AS cut,
+  i > 0 AND coalesce(substr(lag(role) OVER (PARTITION BY conv ORDER BY i), 1, 1) || substr(role, 1, 1), '') NOT IN ('su', 'ua', 'au') AS illegal FROM e),
+moves(s, initial, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+dp AS (SELECT conv, 0::BIGINT AS i, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'text': ''} AS best FROM (SELECT DISTINCT conv FROM f)
+  UNION ALL
+  SELECT conv, i + 1, m.s, min(m.best) FROM (
+    SELECT g.conv, g.i, unnest(CASE WHEN blank OR duplicate THEN [{'s': g.s, 'best': {'cost': g.best.cost + 4, 'audit': g.best.audit || 'D', 'text': g.best.text}}]
+      ELSE [{'s': g.s, 'best': {'cost': g.best.cost + 4, 'audit': g.best.audit || 'D', 'text': g.best.text}},
+        {'s': CASE g.s WHEN 2 THEN 3 ELSE 2 END, 'best': {'cost': g.best.cost + 3 + 3 * cut::BIGINT, 'audit': g.best.audit || 'R', 'text': g.best.text || chr(10) || CASE g.s WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || f.text}},
+        {'s': m.nxt, 'best': {'cost': g.best.cost + 3 * cut::BIGINT, 'audit': g.best.audit || 'K', 'text': g.best.text || chr(10) || f.role || ':' || f.text}}] END)
+    FROM (SELECT conv, i, CASE WHEN ins = 0 THEN s WHEN s = 2 THEN 3 ELSE 2 END AS s, CASE WHEN ins = 0 THEN best ELSE {'cost': best.cost + 3, 'audit': best.audit || 'I', 'text': best.text || chr(10) || CASE s WHEN 2 THEN 'assistant' ELSE 'user' END || ':'} END AS best FROM dp, (VALUES (0), (1)) AS v(ins)) AS g
+    JOIN f ON g.conv = f.conv AND g.i = f.i LEFT JOIN moves m ON m.s = g.s AND m.initial = substr(f.role, 1, 1)) AS x(conv, i, m) WHERE m.s IS NOT NULL GROUP BY conv, i, m.s),
+n AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(cut) AS truncated, count_if(illegal) AS illegal FROM f GROUP BY conv),
+ends AS (SELECT conv, min(best) AS best FROM (SELECT dp.conv, CASE WHEN s = 2 THEN {'cost': best.cost + 3, 'audit': best.audit || 'I', 'text': best.text || chr(10) || 'assistant:'} ELSE best END AS best FROM dp JOIN n ON dp.conv = n.conv AND dp.i = n.n WHERE s IN (0, 2, 3)) GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.text, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM o) LEFT JOIN n USING (conv) LEFT JOIN ends USING (conv)""",
     "op6_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 w AS (SELECT rid, doc_id, i, array_to_string(l[i + 1:i + 3], chr(10)) AS k FROM (SELECT rid, doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) >= 3)),
