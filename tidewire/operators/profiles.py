@@ -9,8 +9,8 @@ from ..functions.net import ip_scope, ip_to_long, service_name
 
 
 # --- selection -------------------------------------------------------------------------------------------------------
-def choose_features(df: DataFrame, features: str | None, allowed: tuple[str, ...], default: tuple[str, ...]) -> DataFrame:
-    """Keep named feature columns: comma-separated names or a JSON array; blank means the default; an unknown name is an error."""
+def choose_features(df: DataFrame, features: str | None, allowed: tuple[str, ...], default: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keep named feature columns, after those of the key: comma-separated names or a JSON array; blank means the default; an unknown name is an error."""
     import json
 
     raw = (features or "").strip()
@@ -18,7 +18,7 @@ def choose_features(df: DataFrame, features: str | None, allowed: tuple[str, ...
     names = [x for x in names if x] or list(default)
     if unknown := [x for x in names if x not in allowed]:
         raise ValueError(f"unsupported features: {', '.join(unknown)}")
-    return df.select(*names)
+    return df.select(*keep, *names)
 
 
 def filter_ports(packets: DataFrame, include: tuple[int, ...] = (), exclude: tuple[int, ...] = (22,)) -> DataFrame:

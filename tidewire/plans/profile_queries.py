@@ -39,7 +39,7 @@ def candidates(spark, sf_dir):
     """The packet table with interval, entropy, address buckets and the payload's head."""
     own = Window.partitionBy("capture_id", "src").orderBy("idx")
     return packets(spark, sf_dir).withColumns({
-        "interval": F.coalesce(F.col("ts_us") - F.lag("ts_us").over(own), F.lit(0)) / 1e6, "entropy": pay.byte_entropy(F.col("payload")),
+        "interval": F.coalesce(F.col("ts_us") - F.lag("ts_us").over(own), F.lit(0)) / 1e6, "entropy": F.round(pay.byte_entropy(F.col("payload")), 9),
         "src_bucket": net.ip_bucket(F.col("src")), "dst_bucket": net.ip_bucket(F.col("dst")), "head": pay.hex_head(F.col("payload")),
     })
 
@@ -94,9 +94,9 @@ def p10(spark, sf_dir):
     return ops.keep_columns(packets(spark, sf_dir), ["idx", "size", "iat_mean", "port"])
 
 
-@query("p1_feature_selection", with_sql(P, C) + " SELECT size, interval, entropy FROM c")
+@query("p1_feature_selection", with_sql(P, C) + " SELECT idx, size, interval, entropy FROM c")
 def p1(spark, sf_dir):
-    return ops.choose_features(candidates(spark, sf_dir), " ", ("size", "interval", "entropy", "port"), ("size", "interval", "entropy"))
+    return ops.choose_features(candidates(spark, sf_dir), " ", ("size", "interval", "entropy", "port"), ("size", "interval", "entropy"), keep=("idx",))
 
 
 @query("p13_public_addresses", with_sql(P) + f" SELECT dst, count(*) AS n FROM p WHERE {scope_sql('dst')} = 'public' GROUP BY dst")
