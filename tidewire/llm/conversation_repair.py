@@ -125,37 +125,41 @@ _RUNS = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("run", pa.int32
 _LEGAL = {"su", "ua", "au"}
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (conv, initial, blank, truncated, copies, seen) to runs of RUN rows at most."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    own: dict = {}
-    out: list[dict] = []
-
-    def close() -> None:
-        rows = own["rows"]
-        out.append({"conv": own["conv"], "part": part, "run": own["run"], "first": rows[0][0], "last": rows[-1][0], "blank": own["blank"], "duplicate": own["duplicate"], "truncated": sum(r[2] for r in rows), "illegal": sum(a[0] + b[0] not in _LEGAL for a, b in zip(rows, rows[1:], strict=False)), "cells": _dump(solve(rows))})
-
-    for batch in batches:
-        for conv, initial, blank, cut, copies, seen in zip(*(batch.column(c).to_pylist() for c in ("conv", "initial", "blank", "cut", "copies", "seen")), strict=True):
-            for i in range(copies):
-                if own and (own["conv"] != conv or len(own["rows"]) == RUN):
-                    close()
-                    own = {"conv": conv, "run": own["run"] + 1, "rows": [], "blank": 0, "duplicate": 0}
-                elif not own:
-                    own = {"conv": conv, "run": 0, "rows": [], "blank": 0, "duplicate": 0}
-                again = not blank and (seen or i > 0)
-                own["blank"] += blank
-                own["duplicate"] += again
-                own["rows"].append((initial, blank or again, cut and not blank and not again))
-        if len(out) >= 256:
+def _runs(most: int):
+    """Sorted rows (conv, initial, blank, truncated, copies, seen) to runs of `most` rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        own: dict = {}
+        out: list[dict] = []
+
+        def close() -> None:
+            rows = own["rows"]
+            out.append({"conv": own["conv"], "part": part, "run": own["run"], "first": rows[0][0], "last": rows[-1][0], "blank": own["blank"], "duplicate": own["duplicate"], "truncated": sum(r[2] for r in rows), "illegal": sum(a[0] + b[0] not in _LEGAL for a, b in zip(rows, rows[1:], strict=False)), "cells": _dump(solve(rows))})
+
+        for batch in batches:
+            for conv, initial, blank, cut, copies, seen in zip(*(batch.column(c).to_pylist() for c in ("conv", "initial", "blank", "cut", "copies", "seen")), strict=True):
+                for i in range(copies):
+                    if own and (own["conv"] != conv or len(own["rows"]) == most):
+                        close()
+                        own = {"conv": conv, "run": own["run"] + 1, "rows": [], "blank": 0, "duplicate": 0}
+                    elif not own:
+                        own = {"conv": conv, "run": 0, "rows": [], "blank": 0, "duplicate": 0}
+                    again = not blank and (seen or i > 0)
+                    own["blank"] += blank
+                    own["duplicate"] += again
+                    own["rows"].append((initial, blank or again, cut and not blank and not again))
+            if len(out) >= 256:
+                yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
+                out = []
+        if own:
+            close()
+        if out:
             yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
-            out = []
-    if own:
-        close()
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
+
+    return run
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +284,7 @@ def repair_conversations(rows: DataFrame, copies: str | None = None) -> DataFram
     earliest = earliest.select(F.xxhash64("conv", "told").alias("key"), F.col("conv").alias("_conv"), F.col("told").alias("_told"), "least")
     known = light.withColumn("key", F.xxhash64("conv", "told")).join(earliest, "key").where("conv = _conv AND told = _told")
     known = known.select(*order, F.substring("role", 1, 1).alias("initial"), "blank", "cut", "copies", (here != F.col("least")).alias("seen"))
-    runs = known.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, "conv string, part int, run int, first string, last string, blank long, duplicate long, truncated long, illegal long, cells array<binary>")
+    runs = known.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs(RUN), "conv string, part int, run int, first string, last string, blank long, duplicate long, truncated long, illegal long, cells array<binary>")
     joined = runs.repartition("conv").sortWithinPartitions("conv", "part", "run")
     repaired = cut(joined.mapInArrow(_joined, "conv string, blank long, duplicate long, truncated long, illegal long, cost long, audit string"))
     turns = light.where("turn IS NOT NULL").groupBy("conv", "turn").agg(F.lit(1).alias("one")).groupBy("conv").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))

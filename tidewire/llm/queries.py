@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collocations import collocations
@@ -17,6 +17,7 @@ from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .personal_data import KINDS, find_personal_data
 from .quality import score_quality
 from .suffix_dedup import suffix_dedup
 from .topk_search import top_k
@@ -75,6 +76,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def _told(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain identifiers of each document by kind and as a hash, and all spans, disguised ones too."""
+    found = find_personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    plain = found.withColumn("plain", F.filter("spans", lambda s: s["plain"]))
+    kinds = F.transform("plain", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return plain.select("doc_id", *counts, F.sha2(_told(F.col("plain")), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op11_personal_data that its contract fixes, so that SQL can be held against them."""
+    return op11_personal_data(spark, sf_dir).drop("spans")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations after damage by the contract's checksum, each with its faults and its cheapest repair."""
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")), "copies").drop("n_rows")
@@ -90,7 +109,7 @@ def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_topk_search, op6_line_dedup, op7_mix_sources, op8_near_dedup, op9_quality, op10_language_id, op12_conversation_repair, op13_collocations, license_phrases)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_topk_search, op6_line_dedup, op7_mix_sources, op8_near_dedup, op9_quality, op10_language_id, op11_personal_data, op12_conversation_repair, op13_collocations, license_phrases, pii_base)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -112,6 +131,16 @@ p(phrase, n, label) AS (VALUES ('cc by', 2, 'cc-by'), ('general public license',
 f AS (SELECT rid, i - 1 AS place, label FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d) AS x JOIN p ON w[i] = split_part(phrase, ' ', 1) AND array_to_string(w[i:i + n - 1], ' ') = phrase)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels
 FROM d LEFT JOIN (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY rid) USING (rid)""",
+    "pii_base": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+kinds(o, kind, p) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+marked AS (SELECT rid, o, kind, string_split(regexp_replace(text, '(' || p || ')', chr(57344) || '\1' || chr(57345), 'g'), chr(57344)) AS parts FROM d, kinds WHERE regexp_matches(text, p)),
+found AS (SELECT rid, o, kind, split_part(parts[i], chr(57345), 1) AS m, length(replace(array_to_string(parts[1:i - 1], ''), chr(57345), '')) AS start FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM marked)),
+digits AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM found),
+good AS (SELECT * FROM digits WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0 WHEN 'phone' THEN length(g) BETWEEN 8 AND 15
+  ELSE length(g) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(g), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN x >= '5' THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0 END),
+sums AS (SELECT rid, count_if(kind = 'email') AS n_email, count_if(kind = 'ip') AS n_ip, count_if(kind = 'card') AS n_card, count_if(kind = 'phone') AS n_phone, string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY o, start) AS told FROM good GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(told, '')) AS base_sha256 FROM d LEFT JOIN sums USING (rid)""",
     "op5_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
