@@ -34,7 +34,7 @@ class Span(NamedTuple):
 # Fixed patterns, written so that no text takes more than a number of steps in proportion to its length.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _OTHER = re.compile(r"[^0-9]+")
@@ -53,6 +53,18 @@ def _emails(text: str) -> Iterator[Span]:
             since = m.start() + 1
 
 
+def _addresses(text: str) -> Iterator[Span]:
+    """Leftmost network addresses: of numbers joined by dots, four after four."""
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            own = parts[i : i + 4]
+            end = at + sum(map(len, own)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in own):
+                yield Span("ip", at, end)
+            at = end + 1
+
+
 def luhn(digits: str) -> bool:
     """Whether the check digit of a card number is right."""
     return (sum(map(int, digits[-1::-2])) + sum(int("0246813579"[int(d)]) for d in digits[-2::-2])) % 10 == 0
@@ -61,7 +73,7 @@ def luhn(digits: str) -> bool:
 def identifiers(text: str) -> list[Span]:
     """All plain identifiers, by kind, then start; a match that fails its check is dropped and not tried again."""
     found = list(_emails(text)) if "@" in text else []
-    found += [Span("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split("."))]
+    found += _addresses(text)
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(digits := _OTHER.sub("", m[0])) <= 19 and luhn(digits):
             found.append(Span("card", *m.span()))
@@ -80,6 +92,8 @@ class Rewritten:
         at = done = 0
         for m in pattern.finditer(source):
             new = output(m)
+            if new == m[0]:
+                continue
             if m.start() > done:
                 self._segment(at, done, -1)
                 parts.append(source[done : m.start()])
@@ -123,7 +137,8 @@ def _alike() -> dict[str, str]:
 
 
 ALIKE = _alike()
-_ALIKE = re.compile("[" + "".join(map(re.escape, sorted(ALIKE))) + "]")
+#: Characters among which those are.
+_ODD = re.compile("[\xa0\xad\u0100-\U0010ffff]")
 
 # The digits 0 to 9 spelled in the languages of the corpus; words for the signs of identifiers; usual top-level domains.
 DIGITS = {
@@ -164,7 +179,7 @@ def _sign(m: re.Match) -> str:
 
 
 def _look(m: re.Match) -> str:
-    return ALIKE[m[0]]
+    return ALIKE.get(m[0], m[0])
 
 
 def _digit(m: re.Match) -> str:
@@ -175,8 +190,8 @@ def disguised(text: str, words: bool) -> list[Span]:
     """Identifiers that only show once disguises are undone, as spans of the text; words: whether it may hold spelled ones."""
     layers: list[Rewritten] = []
     now = text
-    if not now.isascii() and _ALIKE.search(now):
-        layers.append(Rewritten(now, _ALIKE, _look))
+    if not now.isascii() and not ALIKE.keys().isdisjoint(_ODD.findall(now)):
+        layers.append(Rewritten(now, _ODD, _look))
         now, words = layers[-1].text, True
     if words:
         for pattern, output in ((_SPELLED, _digit), (_SIGNS, _sign)):
@@ -210,7 +225,13 @@ def all_spans(text: str, words: bool = True) -> list[tuple[Span, bool]]:
 
 _DIGIT_HASHES = np.array(sorted({word_hash(w) for w in SPELLED}), dtype=np.uint64)
 _SIGN_HASHES = np.array(sorted({word_hash(w) for w in f"{DOT} arobase arroba klammeraffe".split()}), dtype=np.uint64)
-_HINT = re.compile(rf"[\[({{<]\s?(?:{_words(AT)}|{_words(DASH)}|[@.-])\s?[\])}}>]|\s[@.]\s|[0-9]\sat\s|&(?:#|commat|period)", re.IGNORECASE)
+# Each begins with a small set of characters, so that most of a text is passed over quickly.
+_HINTS = [re.compile(rf"[\[({{<]\s?(?:{_words(AT)}|{_words(DASH)}|[@.-])\s?[\])}}>]", re.IGNORECASE), re.compile(r"[@.](?=\s)(?<=\s.)"), re.compile(r"[0-9]\sat\s", re.IGNORECASE), re.compile(r"&(?:#|commat|period)")]
+
+
+def hinted(text: str) -> bool:
+    """Whether a text may hold signs in disguise that aren't words of their own."""
+    return any(h.search(text) for h in _HINTS)
 
 
 def may_be_spelled(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -242,7 +263,7 @@ def _found(text: str, masked: bool):
                 spans, masks = [], []
                 for raw, words in zip(part.column(text).to_pylist(), spelled.tolist(), strict=True):
                     own = raw or ""
-                    found = all_spans(own, words or bool(_HINT.search(own)))
+                    found = all_spans(own, words or hinted(own))
                     spans.append([{"kind": s.kind, "start": s.start, "end": s.end, "plain": plain} for s, plain in found])
                     if masked:
                         masks.append(None if raw is None else mask(own, [s for s, _ in found]))
