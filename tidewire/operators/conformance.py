@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scans import ranked
+
 END = "__END__"
 START = "<START>"
 #: Label codes begin in the private planes of Unicode: over 100,000 of them, and none is the mark of an unknown label.
@@ -162,7 +164,8 @@ def fit_model(steps: DataFrame, most: int = 3, margin: int = 0, least: float = 0
         out["matrix"] = held(_normalised(counts.where("order = 1").select(F.col("context").alias("src"), "dst", "n"), "src"))
     if {"templates", "starts", "critical", "graph"} & set(parts):
         templates = distinct_templates(as_sequences(own))
-        templates = held(templates.withColumn("template_id", F.row_number().over(Window.orderBy(F.desc("n"), F.array_join("seq", "|"))).cast("long")).select("template_id", "seq", "n"))
+        numbered = ranked(templates, [-F.col("n"), F.array_join("seq", "|")])
+        templates = held(numbered.select((F.col("position") + 1).alias("template_id"), "seq", "n"))
         out["templates"] = templates
     late = {"starts": lambda: start_distribution(templates), "repeats": lambda: max_repeats(own, margin), "critical": lambda: critical_actions(templates, least, noncritical), "graph": lambda: adjacency(templates), "embeddings": lambda: role_embeddings(out["matrix"], end)}
     return {name: out[name] if name in out else held(late[name]()) for name in parts}
@@ -310,9 +313,14 @@ def graph_plausibility(steps: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def label_codes(labels: DataFrame) -> DataFrame:
-    """action, code: one code point for each label, in order, so that string functions see a label as one character."""
-    point = F.row_number().over(Window.orderBy("action")) + _FIRST_CODE  # the vocabulary is small
-    return labels.select("action").distinct().withColumn("code", F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32"))
+    """action, code: one code point for each label, in order, so that string functions see a label as one character.
+
+    The code points end at U+10FFFF: more labels than there are up to it are an error.
+    """
+    own = ranked(labels.select("action").distinct(), [F.col("action")])
+    point = F.col("position") + 1 + _FIRST_CODE
+    point = F.when(point <= 0x10FFFF, point).otherwise(F.raise_error(F.lit("more labels than code points")).cast("long"))
+    return own.select("action", F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32").alias("code"))
 
 
 def coded(sequences: DataFrame, codes: DataFrame) -> DataFrame:

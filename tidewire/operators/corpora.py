@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import HOT, Ordered, ranked
+
 RESERVED = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 
 
@@ -45,8 +47,8 @@ def vocabulary(tokens: DataFrame, least: int = 1, reserved: list[str] | None = N
     """
     names = RESERVED if reserved is None else reserved
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & ~F.col("token").isin(names))
-    ranked = counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) + len(names) - 1)
-    return tokens.sparkSession.createDataFrame([(t, 0, i) for i, t in enumerate(names)], "token string, n long, id int").unionByName(ranked)
+    numbered = ranked(counts, [-F.col("n"), F.col("token")]).select("token", "n", (F.col("position") + len(names)).cast("int").alias("id"))
+    return tokens.sparkSession.createDataFrame([(t, 0, i) for i, t in enumerate(names)], "token string, n long, id int").unionByName(numbered)
 
 
 def token_ids(tokens: DataFrame, vocab: DataFrame, length: int, unknown: int = 1) -> DataFrame:
@@ -57,21 +59,9 @@ def token_ids(tokens: DataFrame, vocab: DataFrame, length: int, unknown: int = 1
     return own.select("id", F.concat("_ids", pad).alias("ids"), F.concat(F.array_repeat(F.lit(1), F.size("_ids")), pad).alias("mask"))
 
 
-def global_positions(df: DataFrame, order: str, weight: Column | None = None, ranges: int = 256) -> DataFrame:
-    """Adds position: the sum of weights (1 each) of the rows before, in the given order, from 0.
-
-    Rows are put into ranges of the order column first; only the ranges' sums go through one window.
-    """
-    weight = F.lit(1) if weight is None else weight
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return df.withColumn("position", F.lit(0).cast("long"))
-    span = max((float(hi) - float(lo)) / ranges, 1e-300)
-    rows = df.withColumn("_part", F.least(F.floor((F.col(order) - F.lit(lo)) / span), F.lit(ranges - 1))).withColumn("_w", weight.cast("long"))
-    sums = rows.groupBy("_part").agg(F.sum("_w").alias("_s"))
-    before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.coalesce(F.sum("_w").over(within), F.lit(0))).drop("_part", "_w", "_before")
+def global_positions(df: DataFrame, order: str, weight: Column | None = None) -> DataFrame:
+    """Adds position: the sum of weights (1 each) of the rows before, in the given order, from 0; see `scans.ranked`."""
+    return ranked(df, [F.col(order)], {"position": F.lit(1).cast("long") if weight is None else weight.cast("long")})
 
 
 def pack_documents(tokens: DataFrame, length: int) -> DataFrame:
@@ -150,15 +140,17 @@ def hash_split(df: DataFrame, key: str, parts: dict[str, float], seed: int = 0)
     return df.withColumn("split", out.otherwise(list(parts)[-1]))
 
 
-def stratified_split(df: DataFrame, key: str, label: str, parts: dict[str, float], seed: int = 0) -> DataFrame:
+def stratified_split(df: DataFrame, key: str, label: str, parts: dict[str, float], seed: int = 0, most: int = HOT) -> DataFrame:
     """Adds split: exact shares within each label, by rank of the key's hash."""
-    w = Window.partitionBy(label)
-    rank = (F.row_number().over(w.orderBy(unit_hash(key, seed=seed), key)) - 1) / F.count(F.lit(1)).over(w)
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
+    rows = Ordered(df.withColumn("_draw", unit_hash(key, seed=seed)), [label], ["_draw", key], most).running("_place", F.lit(1)).table()
+    rows = rows.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    rank = (F.col("_place") - 1) / F.col("_size")
     out, edge = None, 0.0
     for name, share in parts.items():
         edge += share
         out = F.when(rank < edge, name) if out is None else out.when(rank < edge, name)
-    return df.withColumn("split", out.otherwise(list(parts)[-1]))
+    return rows.withColumn("split", out.otherwise(list(parts)[-1])).drop("_draw", "_place", "_label", "_size")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -168,7 +160,8 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def encode_categories(df: DataFrame, column: str) -> DataFrame:
     """Adds code: the place, from 0, of the value among the different ones in order; joined, not windowed over rows."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    codes = df.select(column).where(F.col(column).isNotNull()).distinct()
+    codes = ranked(codes, [F.col(column)]).select(column, F.col("position").cast("int").alias("code"))
     return df.join(F.broadcast(codes) if codes.limit(100_001).count() <= 100_000 else codes, column, "left")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import ranked
+
 _EPS = 1e-9
 
 
@@ -41,21 +43,20 @@ def binary_scores(df: DataFrame, truth: str = "truth", pred: str = "pred", *by:
 
 
 def auc(df: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
-    """Area under the ROC curve by average ranks. Rows are counted by score first, so the window runs over different scores."""
+    """Area under the ROC curve by average ranks; rows are counted by score first."""
     t = F.col(truth) == 1
     counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(t).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
-    s = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("m"))
+    placed = ranked(counts, [F.col(score)], {"below": F.col("n")}).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
+    s = placed.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("m"))
     return s.select(F.when((F.col("p") > 0) & (F.col("m") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("m"))).alias("auc"))
 
 
 def best_threshold(df: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
     """threshold, precision, recall, f1 of the cut (score at least the threshold) of the highest F1, ties to the highest cut."""
     counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == 1).alias("pos"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("pos").alias("_p"))
-    c = counts.withColumns({"tp": F.sum("pos").over(down), "all": F.sum("n").over(down)}).crossJoin(F.broadcast(total))
+    above = ranked(counts, [-F.col(score)], {"_above_pos": F.col("pos"), "_above_n": F.col("n")})
+    c = above.withColumns({"tp": F.col("_above_pos") + F.col("pos"), "all": F.col("_above_n") + F.col("n")}).crossJoin(F.broadcast(total))
     c = c.withColumns({"precision": F.col("tp") / F.col("all"), "recall": F.col("tp") / F.col("_p")}).withColumn("f1", F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("all") + F.col("_p"))).otherwise(0.0))
     return c.orderBy(F.desc("f1"), F.desc(score)).limit(1).select(F.col(score).alias("threshold"), "precision", "recall", "f1")
 

@@ -1,14 +1,16 @@
 """Time series operators: trailing flow features, fixed windows, sessions, runs, smoothing.
 
-Ordered windows are partitioned by capture or flow; a capture is the unit of order, so very long ones are best cut at
-gaps first (sessions), as the operators take any key columns.
+Gaps, trailing features, sessions, runs and count windows go through `scans.Ordered`, so a flow or capture of any size spreads over all
+tasks. The other windows are partitioned by capture and a fixed window, or by what runs and sessions have left of a capture.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scans import HOT, Ordered
+
 
 def flow_id() -> Column:
     return F.concat_ws("|", F.least("src", "dst"), F.greatest("src", "dst"))
@@ -20,35 +22,46 @@ def _burst(gaps: Column) -> Column:
     return F.aggregate(gaps, start, lambda a, g: F.struct(F.when(g, a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["most"], F.when(g, a["n"] + 1).otherwise(1)).alias("most")), lambda a: a["most"])
 
 
-def trailing_flow_features(packets: DataFrame, window: int = 20, burst_us: int = 10_000) -> DataFrame:
+def intervals(packets: DataFrame, keys: list[str], order: list[str], most: int = HOT) -> DataFrame:
+    """Adds interval: seconds since the row of the group before it, 0 for the first."""
+    return Ordered(packets, keys, order, most).reach(lambda rows, w: rows.withColumn("interval", F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w), F.lit(0)) / 1e6), 1).table()
+
+
+def trailing_flow_features(packets: DataFrame, window: int = 20, burst_us: int = 10_000, most: int = HOT) -> DataFrame:
     """Features of each packet from the last `window` packets of its flow: gaps, direction balance, burst, periodicity, sizes.
 
     Gaps are taken from whole microseconds; the first packet of a window has none, so gap frames are one row shorter, and
     those of gap differences two.
     """
-    flow = Window.partitionBy("capture_id", "flow").orderBy("ts_us", "idx")
-    last, gaps, jumps = flow.rowsBetween(1 - window, 0), flow.rowsBetween(2 - window, 0), flow.rowsBetween(3 - window, 0)
-    rows = packets.withColumn("flow", flow_id()).withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(flow)).withColumn("_jump", F.abs(F.col("_gap") - F.lag("_gap").over(flow)))
-    ms = F.col("_gap") / 1000.0
-    n = F.count(F.lit(1)).over(last)
-    mean, std = F.avg(ms).over(gaps), F.stddev_pop(ms).over(gaps)
-    many = lambda c: F.when(n > 1, c).otherwise(0.0)
-    up, down = (F.count(F.when(F.col("direction") == d, 1)).over(last) for d in ("up", "down"))
-    size_mean = F.avg("size").over(last)
-    features = {
-        "iat_mean": many(mean), "iat_std": many(std), "iat_cv": many(std / F.greatest(mean, F.lit(0.001))), "direction_balance": (up - down) / F.greatest(up + down, F.lit(1)),
-        "burst_intensity": many(_burst(F.collect_list(F.col("_gap") < burst_us).over(gaps)).cast("double")), "periodicity_score": F.when(n > 2, 1 / (1 + F.avg(F.col("_jump") / 1000.0).over(jumps))).otherwise(0.0),
-        "size_cv": many(F.stddev_pop("size").over(last) / F.greatest(size_mean, F.lit(1.0))),
-    }
-    return rows.withColumns(features).drop("_gap", "_jump", "flow")
-
-
-def whole_flow_features(packets: DataFrame, burst_us: int = 10_000) -> DataFrame:
+
+    def add(rows: DataFrame, flow: WindowSpec) -> DataFrame:
+        last, gaps, jumps = flow.rowsBetween(1 - window, 0), flow.rowsBetween(2 - window, 0), flow.rowsBetween(3 - window, 0)
+        rows = rows.withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(flow)).withColumn("_jump", F.abs(F.col("_gap") - F.lag("_gap").over(flow)))
+        ms = F.col("_gap") / 1000.0
+        n = F.count(F.lit(1)).over(last)
+        mean, std = F.avg(ms).over(gaps), F.stddev_pop(ms).over(gaps)
+        many = lambda c: F.when(n > 1, c).otherwise(0.0)
+        up, down = (F.count(F.when(F.col("direction") == d, 1)).over(last) for d in ("up", "down"))
+        size_mean = F.avg("size").over(last)
+        return rows.withColumns({
+            "iat_mean": many(mean), "iat_std": many(std), "iat_cv": many(std / F.greatest(mean, F.lit(0.001))), "direction_balance": (up - down) / F.greatest(up + down, F.lit(1)),
+            "burst_intensity": many(_burst(F.collect_list(F.col("_gap") < burst_us).over(gaps)).cast("double")), "periodicity_score": F.when(n > 2, 1 / (1 + F.avg(F.col("_jump") / 1000.0).over(jumps))).otherwise(0.0),
+            "size_cv": many(F.stddev_pop("size").over(last) / F.greatest(size_mean, F.lit(1.0))),
+        }).drop("_gap", "_jump")
+
+    # Nothing that a row gets depends on more than the window - 1 rows before it.
+    return Ordered(packets.withColumn("flow", flow_id()), ["capture_id", "flow"], ["ts_us", "idx"], most).reach(add, window - 1).table().drop("flow")
+
+
+def whole_flow_features(packets: DataFrame, burst_us: int = 10_000, most: int = HOT) -> DataFrame:
     """The same features once for each flow of a capture; periodicity needs more than three gaps."""
-    flow = Window.partitionBy("capture_id", "flow").orderBy("ts_us", "idx")
-    rows = packets.withColumn("flow", flow_id()).withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(flow)).withColumn("_jump", F.abs(F.col("_gap") - F.lag("_gap").over(flow)))
+
+    def add(rows: DataFrame, flow: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(flow))
+        return rows.withColumns({"_jump": F.abs(F.col("_gap") - F.lag("_gap").over(flow)), "_far": F.when(F.col("_gap") < burst_us, 0).otherwise(1)})
+
     # Bursts as islands of short gaps, so that no flow is gathered into a list.
-    rows = rows.withColumn("_far", F.when(F.col("_gap") < burst_us, 0).otherwise(1)).withColumn("_island", F.sum("_far").over(flow.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = Ordered(packets.withColumn("flow", flow_id()), ["capture_id", "flow"], ["ts_us", "idx"], most).reach(add, 2).running("_island", F.col("_far")).table()
     islands = rows.groupBy("capture_id", "flow", "_island").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.sum(F.col("size").cast("double") * F.col("size")).alias("ss"), F.count("_gap").alias("g"), F.sum("_gap").alias("gs"), F.sum(F.col("_gap").cast("double") * F.col("_gap")).alias("gss"), F.count("_jump").alias("j"), F.sum("_jump").alias("js"), F.sum(F.when(F.col("direction") == "up", 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("direction") == "down", 1).otherwise(0)).alias("down"))
     s = islands.groupBy("capture_id", "flow").agg(F.max("n").alias("burst"), *[F.sum(c).alias(c) for c in ("n", "s", "ss", "g", "gs", "gss", "j", "js", "up", "down")])
     mean, size = F.col("gs") / F.col("g") / 1000, F.col("s") / F.col("n")
@@ -113,11 +126,11 @@ def trim_silence(signal: DataFrame, eps: float = 0.0) -> DataFrame:
     return signal.join(edges, "capture_id").where(F.col("bin").between(F.col("_a"), F.col("_b"))).select(*signal.columns)
 
 
-def sessions(rows: DataFrame, keys: list[str], time: str, order: str, gap: int) -> DataFrame:
+def sessions(rows: DataFrame, keys: list[str], time: str, order: str, gap: int, most: int = HOT) -> DataFrame:
     """Adds session: a number from 0 that grows where the time since the row before is over the gap."""
-    w = Window.partitionBy(*keys).orderBy(time, order)
-    new = F.when(F.col(time) - F.lag(time).over(w) > gap, 1).otherwise(0)
-    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    own = Ordered(rows, keys, list(dict.fromkeys([time, order])), most)
+    new = lambda df, w: df.withColumn("_new", F.when(F.col(time) - F.lag(time).over(w) > gap, 1).otherwise(0))
+    return own.reach(new, 1).running("session", F.col("_new")).table().drop("_new")
 
 
 def session_summary(rows: DataFrame, keys: list[str], time: str, order: str, gap: int, least_rows: int = 1, least_time: int = 0) -> DataFrame:
@@ -125,10 +138,14 @@ def session_summary(rows: DataFrame, keys: list[str], time: str, order: str, gap
     return out.where((F.col("n") >= least_rows) & (F.col("end") - F.col("start") >= least_time))
 
 
-def count_windows(rows: DataFrame, keys: list[str], order: str, size: int = 32, stride: int = 8) -> DataFrame:
+def count_windows(rows: DataFrame, keys: list[str], order: str, size: int = 32, stride: int = 8, most: int = HOT) -> DataFrame:
     """Each row once for each full window of `size` rows, `stride` apart, that holds it: adds window and position."""
-    w = Window.partitionBy(*keys)
-    numbered = rows.withColumns({"_rn": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    counts = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = Ordered(rows, keys, [order], most).running("_rn", F.lit(1)).table().withColumn("_rn", F.col("_rn") - 1)
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    numbered = numbered.join(counts, match).drop(*[f"_k{i}" for i in range(len(keys))])
     first, last = F.greatest(F.lit(0), F.ceil((F.col("_rn") - size + 1) / stride)), F.least(F.floor(F.col("_rn") / stride), F.floor((F.col("_n") - size) / stride))
     fits = numbered.where((F.col("_n") >= size) & (first <= last))
     return fits.withColumn("window", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("position", F.col("_rn") - F.col("window") * stride).drop("_rn", "_n")
@@ -143,10 +160,10 @@ def time_windows(rows: DataFrame, keys: list[str], time: str, length: int, step:
     return out.where(F.col("n") >= least)
 
 
-def runs(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def runs(rows: DataFrame, keys: list[str], order: str, value: str, most: int = HOT) -> DataFrame:
     """Adds run: the number, from 1, of the stretch of equal values that the row is in."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_new", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.lag(F.lit(1)).over(w) == 1), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    new = lambda df, w: df.withColumn("_new", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.lag(F.lit(1)).over(w) == 1), 0).otherwise(1))
+    return Ordered(rows, keys, [order], most).reach(new, 1).running("run", F.col("_new")).table().drop("_new")
 
 
 def merge_runs(rows: DataFrame, keys: list[str], order: str, value: str, score: str | None = None) -> DataFrame:
@@ -205,9 +222,8 @@ def suppress_repeats(rows: DataFrame, keys: list[str], time: str, label: str, wi
     The anchor is the last kept event. An event `within` or more after the one before it is always kept, so events are cut
     there first, and only the pieces between such gaps, a few events each, are folded in order.
     """
-    w = Window.partitionBy(*keys, label).orderBy(time)
-    new = F.when(F.col(time) - F.lag(time).over(w) < within, 0).otherwise(1)
-    pieces = rows.withColumn("_new", new).withColumn("_piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = lambda df, w: df.withColumn("_new", F.when(F.col(time) - F.lag(time).over(w) < within, 0).otherwise(1))
+    pieces = Ordered(rows, [*keys, label], [time]).reach(new, 1).running("_piece", F.col("_new")).table()
     own = F.array_sort(F.collect_list(F.col(time)))
     fold = F.aggregate(own, F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= within), F.concat(a, F.array(t.cast("bigint")))).otherwise(a))
     folded = pieces.groupBy(*keys, label, "_piece").agg(fold.alias("_kept"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions import payload as pay
 from ..operators import profiles as ops
+from ..operators import windows
 from .adapters import P, packets, table, with_sql
 from .registry import query
 
@@ -37,9 +37,8 @@ c AS (SELECT p.*, u.entropy, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY capt
 
 def candidates(spark, sf_dir):
     """The packet table with interval, entropy, address buckets and the payload's head."""
-    own = Window.partitionBy("capture_id", "src").orderBy("idx")
-    return packets(spark, sf_dir).withColumns({
-        "interval": F.coalesce(F.col("ts_us") - F.lag("ts_us").over(own), F.lit(0)) / 1e6, "entropy": F.round(pay.byte_entropy(F.col("payload")), 9),
+    return windows.intervals(packets(spark, sf_dir), ["capture_id", "src"], ["idx"]).withColumns({
+        "entropy": F.round(pay.byte_entropy(F.col("payload")), 9),
         "src_bucket": net.ip_bucket(F.col("src")), "dst_bucket": net.ip_bucket(F.col("dst")), "head": pay.hex_head(F.col("payload")),
     })
 

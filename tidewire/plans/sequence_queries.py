@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import conformance as ops
+from ..operators.scans import ranked
 from ..sources.tables import evidence_rows
 from .adapters import A, actions, with_sql
 from .registry import query
@@ -192,7 +193,7 @@ def templates(spark, sf_dir):
     letter = F.array_join(F.transform("seq", lambda x: F.substring(x, 1, 1)), "")
     sequences = ops.as_sequences(actions(spark, sf_dir)).withColumn("text", letter)
     own = ops.as_sequences(train(spark, sf_dir)).select("seq").distinct().withColumn("text", letter)
-    return sequences, ops.held(own.withColumn("template_id", F.row_number().over(Window.orderBy("text")).cast("long")))
+    return sequences, ops.held(ranked(own, [F.col("text")]).withColumn("template_id", F.col("position") + 1).drop("position"))
 
 
 @query("j7_rank_templates", with_sql(A, T, _TEMPLATES, _RANKED) + " SELECT seq_id, rank, template_id, distance, ratio FROM k WHERE rank <= 3")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import labels as lab
 from ..functions.net import ip_to_long
 from ..operators import conformance
 from ..sources import capture as cap
+from ..sources import capture_files as files
 from ..sources import tables as tab
+from ..sources.shared import checkpointed, own_folder, remove
 from .adapters import L, P, packets, payloads, table, with_sql
 from .registry import query
 
@@ -35,6 +35,18 @@ def s3(spark, sf_dir):
     return out.select("idx", "src", "dst", "proto", "src_port", "dst_port", F.col("payload").cast("string").alias("payload"))
 
 
+@query("s1_capture_files", with_sql(P) + " SELECT CAST(capture_id AS VARCHAR) AS capture, row_number() OVER (PARTITION BY capture_id ORDER BY idx) AS idx, ts_us, src, dst, port, payload FROM p")
+def s1(spark, sf_dir):
+    """The packet view written to capture files, one a capture, and read from byte ranges of them."""
+    folder = own_folder(spark, "captures")
+    files.write_captures(frames(spark, sf_dir), folder).count()
+    rows = cap.decode_headers(files.read_captures(spark, folder, split=1 << 16))
+    name = F.regexp_extract("capture_id", r"([^/]+)\.pcap$", 1)
+    out = checkpointed(rows.select(name.alias("capture"), "idx", "ts_us", "src", "dst", "port", F.col("payload").cast("string").alias("payload")))
+    remove(spark, folder)
+    return out
+
+
 @query("s2_capture_counters", with_sql(P) + " SELECT CAST(capture_id AS VARCHAR) AS capture_id, count(*) AS frames, 0::BIGINT AS bad, 0::BIGINT AS truncated, 0::BIGINT AS vlan FROM p GROUP BY 1")
 def s2(spark, sf_dir):
     return cap.capture_counters(frames(spark, sf_dir))
@@ -232,8 +244,7 @@ def s18(spark, sf_dir):
 def s21(spark, sf_dir):
     """The adjacency of roles in conversations, saved and read again."""
     steps = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("seq_id"), F.col("turn").alias("pos"), F.col("role").alias("action"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{folder}/roles-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "roles")
     conformance.save_model({"graph": conformance.adjacency(conformance.as_sequences(steps))}, folder)
     return conformance.load_model(spark, folder, ("graph",))["graph"]
 

@@ -126,8 +126,8 @@ def http_fields(payload: Column) -> Column:
     head, body = F.substring_index(text, "\r\n\r\n", 1), F.when(text.contains("\r\n\r\n"), F.regexp_extract(text, r"(?s)\r\n\r\n(.*)$", 1))
     lines = F.split(head, "\r\n")
     first = F.split(F.get(lines, F.lit(0)), " ")
-    pairs = F.transform(F.filter(F.slice(lines, 2, 100_000), lambda x: x.contains(":")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.lit(100_000)), lambda y: y["k"] == x["k"]))
+    pairs = F.transform(F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(0))), lambda x: x.contains(":")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return F.struct(F.get(first, F.lit(0)).alias("method"), F.get(first, F.lit(1)).alias("path"), F.get(first, F.lit(2)).alias("version"), F.map_from_entries(last).alias("headers"), body.alias("body"))
 
 
