@@ -113,3 +113,54 @@ def test_captures_land_and_are_read_once(spark, tmp_path):
     finally:
         query.stop()
     assert sorted((r.idx, r.ts_us, r.status) for r in spark.table("frames").collect()) == [(1, 1_000_005, "ok"), (1, 3_000_005, "ok"), (2, 2_000_005, "ok")]
+
+
+@pytest.fixture
+def totals(spark):
+    own = live.Totals()
+    spark.streams.addListener(own)
+    yield own
+    spark.streams.removeListener(own)
+
+
+def follow(landing, totals, frame, name, mode, batches):
+    """The rows of a stream over batches, and after each what the listener has counted."""
+    import time
+
+    landing.put(batches[0])
+    query = frame().writeStream.format("memory").queryName(name).outputMode(mode).start()
+    seen = []
+    try:
+        for i, rows in enumerate(batches):
+            if i:
+                landing.put(rows)
+            query.processAllAvailable()
+            ended = time.time() + 20
+            while totals.of(query)["rows"] < sum(map(len, batches[: i + 1])) and time.time() < ended:
+                time.sleep(0.1)
+            time.sleep(0.5)
+            seen.append(dict(totals.of(query)))
+        return landing.spark.table(name).collect(), seen
+    finally:
+        query.stop()
+
+
+def test_state_of_ended_captures_goes_and_late_rows_are_counted(landing, totals):
+    batches = [[row(1, 0.0), row(2, 0.0), row(3, 0.0)], [row(1, 100.0)], [row(1, 101.0)], [row(2, 1.0), row(1, 102.0)], [row(2, 103.0), row(1, 104.0)], [row(1, 105.0)]]
+    got, seen = follow(landing, totals, lambda: live.action_history(landing.stream(), late="10 seconds", idle=30.0), "ended", "update", batches)
+    assert seen[0]["state"] >= 3 and seen[2]["state"] < seen[0]["state"]  # captures 2 and 3 ended when the watermark passed 30 s
+    assert seen[-1]["late"] == 1 and [s["rows"] for s in seen] == [3, 4, 5, 7, 9, 10]
+    assert [r.history for r in got if r.capture_id == 2] == [["a"], ["a"]]  # the late row left no trace, the one at 103 began anew
+
+
+def test_repeats_are_forgotten_when_a_pair_ends(landing, totals):
+    batches = [[row(1, 0.0), row(1, 0.2), row(2, 0.0, "b")], [row(1, 60.0)], [row(1, 61.0)], [row(1, 61.2)]]
+    got, seen = follow(landing, totals, lambda: live.without_repeats(landing.stream(), 0.5, "1 second", 5.0), "pairs", "append", batches)
+    assert sorted((r.capture_id, (r.ts - T0).total_seconds()) for r in got) == [(1, 0.0), (1, 60.0), (1, 61.0), (2, 0.0)]
+    assert seen[-1]["state"] < seen[0]["state"]
+
+
+def test_late_rows_of_windows_are_counted(landing, totals):
+    batches = [[row(1, 0.1)], [row(1, 60.0)], [row(1, 61.0)], [row(1, 1.0), row(2, 2.0), row(1, 62.0)], [row(1, 70.0)]]
+    got, seen = follow(landing, totals, lambda: live.tumbling_features(landing.stream(), "1 second", "2 seconds"), "dropped", "append", batches)
+    assert seen[-1]["late"] == 2 and seen[-1]["batches"] >= 5 and seen[-1]["rows"] == 7

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -67,68 +68,136 @@ def write_training(tables: dict[str, DataFrame], folder: str) -> None:
         (writer.partitionBy("label") if name in ("windows", "sequences") else writer).parquet(f"{folder}/{name}")
 
 
-def _distances(text: str, template: str, most: int) -> list[int]:
-    """Edit distance of the template to each prefix of text up to `most` letters, by one row of the table a letter."""
-    row, out = list(range(len(template) + 1)), []
-    for i, a in enumerate(text[:most], 1):
-        new = [i]
-        for j, b in enumerate(template, 1):
-            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
-        row = new
-        out.append(row[-1])
+def prefix_distances(codes: np.ndarray, starts: np.ndarray, template: np.ndarray, most: int) -> np.ndarray:
+    """Edit distances (length, start) of a template to the text's pieces of 1 to `most` letters from each start, by bit vectors.
+
+    A column of the edit table is kept as the bits where it goes up and down (Myers), in words of 64 letters of the template; one step
+    takes a letter of the text at all starts at once. Pieces that reach over the end of the text are told to nobody.
+    """
+    m, one = len(template), np.uint64(1)
+    blocks = -(-m // 64)
+    up = [np.full(len(starts), np.uint64(2**64 - 1)) for _ in range(blocks)]
+    down = [np.zeros(len(starts), dtype=np.uint64) for _ in range(blocks)]
+    # For each letter, the places in the template that hold it; the last row is of letters that it lacks.
+    letters, numbers = np.unique(template, return_inverse=True)
+    where = np.zeros((len(letters) + 1, blocks), dtype=np.uint64)
+    for i, letter in enumerate(numbers.tolist()):
+        where[letter, i // 64] |= np.uint64(1 << (i % 64))
+    at = np.searchsorted(letters, codes)
+    row = np.where((at < len(letters)) & (letters[np.minimum(at, len(letters) - 1)] == codes), at, len(letters))
+    row = np.concatenate([row, np.full(most, len(letters))])
+    score = np.full(len(starts), m, dtype=np.int32)
+    out = np.empty((most, len(starts)), dtype=np.int32)
+    for j in range(most):
+        own = where[row[starts + j]]
+        rises, falls = np.ones(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.uint64)
+        for b in range(blocks):
+            top = np.uint64((m - 1) % 64 if b == blocks - 1 else 63)
+            eq = own[:, b]
+            xv = eq | down[b]
+            eq = eq | falls
+            xh = (((eq & up[b]) + up[b]) ^ up[b]) | eq
+            ph, mh = down[b] | ~(xh | up[b]), up[b] & xh
+            out_rises, out_falls = (ph >> top) & one, (mh >> top) & one
+            ph, mh = (ph << one) | rises, (mh << one) | falls
+            up[b], down[b] = mh | ~(xv | ph), ph & xv
+            rises, falls = out_rises, out_falls
+        score = score + rises.astype(np.int32) - falls.astype(np.int32)
+        out[j] = score
     return out
 
 
+#: Starts whose distances are held at once.
+STARTS = 1 << 14
+
+
 def best_path(text: str, templates: list[tuple[str, str, float]], transcript: list[str] | None = None) -> list[tuple[str, int, int, float]]:
     """Segments (label, first, end, similarity) of a symbol text: the path of the highest total of similarity less 0.12 |log length ratio| and 0.02 a segment.
 
-    templates: (label, text, mean length of the label's samples). A segment's length over that mean is between 0.45 and 1.85. The path
-    may end within the longest segment of the end. With a transcript the labels must be those, in order, and all of them.
+    templates: (label, text, mean length of the label's samples), texts not empty. A segment's length over that mean is between 0.45
+    and 1.85. The path may end within the longest segment of the end. With a transcript the labels must be those, in order, and all
+    of them. A text without a path, or one that is short and has none of a total above 0, is one segment of the nearest template;
+    an empty text has none.
     """
-    n = len(text)
+    n, templates = len(text), [t for t in templates if t[1]]
     if not n or not templates:
         return []
-    least = max(2, int(min(len(t) for _, t, _ in templates) * 0.45))
-    most = max(3, int(max(len(t) for _, t, _ in templates) * 1.75))
-    steps = len(transcript) if transcript else 0
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for first in range(n):
-        here = [(at, s) for (at, s) in [(first, s) for s in range(steps + 1)] if (at, s) in best]
-        if not here or first + least > n:
-            continue
-        wanted = {transcript[s] for _, s in here if s < steps} if transcript else None
-        for label, template, mean in templates:
-            if wanted is not None and label not in wanted:
-                continue
-            for end, distance in enumerate(_distances(text[first:], template, most), first + 1):
-                ratio = (end - first) / max(mean, 1.0)
-                if end - first < least or not 0.45 <= ratio <= 1.85:
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    spelled = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for _, t, _ in templates]
+    least = max(2, int(min(map(len, spelled)) * 0.45))
+    most = max(3, int(max(map(len, spelled)) * 1.75))
+    lengths = np.arange(1, most + 1)
+    scripted = bool(transcript)
+    wanted = transcript if scripted else [None]
+    of = {w: [i for i, t in enumerate(templates) if w is None or t[0] == w] for w in dict.fromkeys(wanted)}
+
+    def cost(mean: float) -> np.ndarray:
+        """What a segment of each length loses, infinite where none may have it."""
+        ratio = [k / max(mean, 1.0) for k in lengths.tolist()]
+        return np.array([abs(math.log(r)) * 0.12 if k >= least and 0.45 <= r <= 1.85 else math.inf for k, r in zip(lengths.tolist(), ratio, strict=True)])
+
+    costs = [cost(mean) for _, _, mean in templates]
+    steps = len(wanted) if scripted else 0
+    # best[s][i]: the highest total of a path to letter i with s segments of the transcript; came: (start, template, similarity) of its last one.
+    best = np.full((steps + 1, n + 1), -np.inf)
+    best[0, 0] = 0.0
+    came = np.full((steps + 1, n + 1, 2), -1, dtype=np.int64)
+    near = np.zeros((steps + 1, n + 1))
+    for low in range(0, n, STARTS):
+        starts = np.arange(low, min(n, low + STARTS))
+        tables: dict = {}
+        distances: dict[int, np.ndarray] = {}
+        for w, own in of.items():
+            total = np.full((most, len(starts)), -np.inf)
+            which, alike = np.full(total.shape, -1, dtype=np.int32), np.zeros(total.shape)
+            for i in own:
+                if i not in distances:
+                    distances[i] = prefix_distances(codes, starts, spelled[i], most)
+                similarity = 1 - distances[i] / np.maximum(lengths, len(spelled[i]))[:, None]
+                score = similarity - costs[i][:, None] - 0.02
+                better = score > total
+                total, which, alike = np.where(better, score, total), np.where(better, i, which), np.where(better, similarity, alike)
+            tables[w] = total.T.copy(), which.T.copy(), alike.T.copy()
+        for s, w in enumerate(wanted):
+            to = s + 1 if scripted else 0
+            total, which, alike = tables[w]
+            for i, first in enumerate(starts.tolist()):
+                room = min(most, n - first)
+                if best[s, first] == -np.inf or room < least:
                     continue
-                similarity = 1 - distance / max(end - first, len(template), 1)
-                score = similarity - abs(math.log(ratio)) * 0.12 - 0.02
-                for at, s in here:
-                    if transcript and (s >= steps or transcript[s] != label):
-                        continue
-                    to = (end, s + 1 if transcript else 0)
-                    if to not in best or best[at, s][0] + score > best[to][0]:
-                        best[to] = (best[at, s][0] + score, (at, s, label, similarity))
-    ends = [k for k in best if k[1] == steps and k[0] >= max(0, n - most) and best[k][1] is not None]
-    if not ends:
-        return []
-    at, out = max(ends, key=lambda k: (best[k][0], -k[0])), []
-    while best[at][1] is not None:
-        first, s, label, similarity = best[at][1]
-        out.append((label, first, at[0], similarity))
-        at = (first, s)
+                new, old = best[s, first] + total[i, :room], best[to, first + 1 : first + room + 1]
+                at = np.flatnonzero(new > old)
+                if len(at):
+                    old[at] = new[at]
+                    came[to, first + 1 + at, 0], came[to, first + 1 + at, 1], near[to, first + 1 + at] = first, which[i, at], alike[i, at]
+    low = max(0, n - most)
+    at = low + int(np.argmax(best[steps, low:]))
+    if came[steps, at, 0] < 0:
+        found = [1 - int(prefix_distances(codes, np.zeros(1, dtype=np.int64), t, n)[-1, 0]) / max(n, len(t)) for t in spelled]
+        i = int(np.argmax(found))
+        return [(templates[i][0], 0, n, found[i])]
+    out, s = [], steps
+    while came[s, at, 0] >= 0:
+        first, i = came[s, at].tolist()
+        out.append((templates[i][0], first, at, float(near[s, at])))
+        at, s = first, s - 1 if scripted else 0
     return out[::-1]
 
 
+#: Templates that a model may hold.
+MODEL = 10_000
 SEGMENTS = "capture_id string, label string, first int, last int, similarity double"
 
 
 def segment_texts(texts: DataFrame, templates: DataFrame, transcript: list[str] | None = None) -> DataFrame:
-    """capture_id, label, first, last (exclusive), similarity: the best path of each capture's symbol text; templates are a model table."""
-    known = [(r.label, r.text, float(r.mean_length)) for r in templates.orderBy("label", "rank").limit(10_000).collect()]
+    """capture_id, label, first, last (exclusive), similarity: the best path of each capture's symbol text; a text that has letters has a row.
+
+    templates are a model table of a few texts a label, which goes to the tasks whole; more than MODEL of them are an error.
+    """
+    rows = templates.select("label", "text", "mean_length", "rank").orderBy("label", "rank").limit(MODEL + 1).collect()
+    if len(rows) > MODEL:
+        raise ValueError(f"more than {MODEL} templates")
+    known = [(r.label, r.text, float(r.mean_length)) for r in rows]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -11,6 +11,7 @@ from ..sources import capture as cap
 from ..sources import capture_files as files
 from ..sources import tables as tab
 from ..sources.shared import checkpointed, own_folder, remove
+from ..streaming import live
 from .adapters import L, P, packets, payloads, table, with_sql
 from .registry import query
 
@@ -218,17 +219,60 @@ def j11(spark, sf_dir):
     return tab.combine_dimensions("capture_id", {"side": side, "payload": payload})
 
 
+def timed(spark, sf_dir):
+    """Packets with the time that streams go by."""
+    return packets(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us"))
+
+
 @query("st4_epoch_windows", with_sql(P) + " SELECT capture_id, ts_us // 3600000000 AS hour, count(*) AS pkt_count, sum(size)::BIGINT AS byte_count FROM p GROUP BY 1, 2")
 def st4(spark, sf_dir):
-    own = packets(spark, sf_dir).withColumn("at", F.timestamp_micros("ts_us"))
-    out = own.groupBy(F.window("at", "1 hour"), "capture_id").agg(F.count(F.lit(1)).alias("pkt_count"), F.sum("size").alias("byte_count"))
+    out = live.tumbling_features(timed(spark, sf_dir), "1 hour")
     return out.select("capture_id", F.floor(F.unix_micros("window.start") / 3_600_000_000).alias("hour"), "pkt_count", "byte_count")
 
 
 @query("st6_session_windows", with_sql(P) + ", k AS (SELECT src, ts_us, sum(CASE WHEN ts_us - prev > 5400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY ts_us) AS s FROM (SELECT src, ts_us, lag(ts_us) OVER (PARTITION BY src ORDER BY ts_us) AS prev FROM p)) SELECT src, min(ts_us) AS start_us, count(*) AS n FROM k GROUP BY src, s")
 def st6(spark, sf_dir):
-    own = packets(spark, sf_dir).withColumn("at", F.timestamp_micros("ts_us"))
-    return own.groupBy(F.session_window("at", "90 minutes"), "src").agg(F.min("ts_us").alias("start_us"), F.count(F.lit(1)).alias("n")).select("src", "start_us", "n")
+    own = timed(spark, sf_dir).withColumn("capture_id", F.col("src"))
+    return live.session_counts(own, "90 minutes").select(F.col("capture_id").alias("src"), F.unix_micros("session_window.start").alias("start_us"), F.col("pkt_count").alias("n"))
+
+
+def streamed(spark, sf_dir, run, mode):
+    """The packets as a stream that lands in two parts, one later than the other, and goes on from its state: what it put out, computed before the folder goes."""
+    folder = own_folder(spark, "stream")
+    rows = timed(spark, sf_dir)
+    half = F.lit(rows.agg(F.percentile_approx("ts_us", 0.5)).first()[0])
+    for part in (rows.where(F.col("ts_us") <= half), rows.where(F.col("ts_us") > half)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = live.run_available(run(live.read_landing(spark, f"{folder}/in", rows.schema, 1 << 20)), mode, folder)
+    out = checkpointed(out)
+    remove(spark, folder)
+    return out
+
+
+_FOREVER = "3650 days"
+
+
+@query("st4_stream_windows", with_sql(P) + " SELECT capture_id, ts_us // 3600000000 AS hour, count(*) AS pkt_count, sum(size)::BIGINT AS byte_count, count(*) FILTER (direction = 'up') AS up_pkt_count FROM p GROUP BY 1, 2")
+def st4_stream(spark, sf_dir):
+    """Windows of a stream in several batches: of each, the last update that it had."""
+    rows = streamed(spark, sf_dir, lambda s: live.tumbling_features(s, "1 hour", _FOREVER), "update")
+    last = rows.groupBy("window", "capture_id").agg(F.max_by(F.struct("pkt_count", "byte_count", "up_pkt_count"), "batch").alias("w"))
+    return last.select("capture_id", F.floor(F.unix_micros("window.start") / 3_600_000_000).alias("hour"), "w.pkt_count", "w.byte_count", "w.up_pkt_count")
+
+
+@query("st3_action_history", with_sql(P) + """, c AS (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY capture_id ORDER BY ts_us, idx) AS new FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ts_us DESC, idx DESC) AS back FROM c WHERE new)
+SELECT capture_id, list(kind ORDER BY back DESC) FILTER (back <= 100) AS history FROM r GROUP BY capture_id""")
+def st3(spark, sf_dir):
+    """Histories kept by a stream in several batches: of each capture, the last update that it had."""
+    rows = streamed(spark, sf_dir, lambda s: live.action_history(s, late=_FOREVER, idle=1e9), "update")
+    return rows.groupBy("capture_id").agg(F.max_by("history", "batch").alias("history"))
+
+
+@query("st9_repeats", with_sql(P) + """, o AS (SELECT capture_id, kind, list({'idx': idx, 't': ts_us} ORDER BY ts_us, idx) AS l FROM p GROUP BY 1, 2),
+k AS (SELECT unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN x[1].t - a[len(a)].t >= 7200000000 THEN a || x ELSE a END)) AS x FROM o) SELECT x.idx AS idx FROM k""")
+def st9(spark, sf_dir):
+    """What a stream in several batches keeps of packets of one kind and capture that come within two hours of the last one kept."""
+    return streamed(spark, sf_dir, lambda s: live.without_repeats(s, 7200.0, _FOREVER, 1e9), "append").select("idx")
 
 
 @query("s18_preview", with_sql(P) + " SELECT idx, round(value, 6) AS value, src, (SELECT count(*) FROM p) AS total FROM p WHERE idx IN (SELECT min(idx) FROM p) UNION ALL SELECT count(*), NULL, NULL, NULL FROM p")

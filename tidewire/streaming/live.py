@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 
 def read_landing(spark: SparkSession, folder: str, schema, files_per_trigger: int = 8, kind: str = "parquet") -> DataFrame:
@@ -30,43 +31,107 @@ def session_counts(packets: DataFrame, gap: str = "600 milliseconds", late: str
     return packets.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "capture_id").agg(F.count(F.lit(1)).alias("pkt_count"))
 
 
-def without_repeats(packets: DataFrame, within: float = 0.5) -> DataFrame:
-    """Without rows of a (capture_id, kind) that came less than `within` seconds after the last row of it that was kept.
+#: Spark's state store that keeps timers and several states for a key.
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The rows of a batch are put in order of time; a row older than the last kept one goes. The state is one time for each pair.
-    """
-    names, gap = packets.columns, int(within * 1_000_000)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        last, kept = state.get[0] if state.exists else None, []
-        for t in (rows["ts"].astype("datetime64[us]").astype("int64")).tolist():
-            kept.append(last is None or t - last >= gap)
-            last = t if kept[-1] else last
-        state.update((last,))
-        yield rows[kept][names]
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    """The processor over each key, with timers of event time. Streams that start in this session afterwards use the store that it needs."""
+    spark = rows.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _STORE:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "EventTime")
 
-    return packets.groupBy("capture_id", "kind").applyInPandasWithState(update, packets.schema, "last long", "append", "NoTimeout")
 
+class _Idle(StatefulProcessor):
+    """State of one key that ends when no row has come for `idle` seconds of event time: a timer is put off at each update."""
 
-def action_history(packets: DataFrame, most: int = 100, check: Callable[[list[str]], str] | None = None) -> DataFrame:
-    """Per capture and update: how many actions its history holds, the history (kinds that differ from the one before, the last `most`), its status.
+    schema = ""
 
-    Rows of one update are put in order of time as a whole. check judges the history anew at each update, as `graph_check` does; without
-    it the status is null.
+    def __init__(self, idle: float):
+        self.idle = int(idle * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("own", self.schema)
+
+    def put_off(self, last_ms: int, watermark_ms: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        # A timer at or before the watermark would never be asked for.
+        self.handle.registerTimer(max(last_ms, watermark_ms) + self.idle + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
+
+
+class _Repeats(_Idle):
+    schema = "last long"
+
+    def __init__(self, gap: int, idle: float, names: list[str]):
+        super().__init__(idle)
+        self.gap, self.names = gap, names
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        own = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        last, kept = self.state.get()[0] if self.state.exists() else None, []
+        times = _micros(own["ts"]).tolist()
+        for t in times:
+            kept.append(last is None or t - last >= self.gap)
+            last = t if kept[-1] else last
+        self.state.update((last,))
+        self.put_off(times[-1] // 1000, timerValues.getCurrentWatermarkInMs())
+        yield own[kept][self.names]
+
+
+def without_repeats(packets: DataFrame, within: float = 0.5, late: str = "10 seconds", idle: float = 600.0) -> DataFrame:
+    """Without rows of a (capture_id, kind) that came less than `within` seconds after the last row of it that was kept.
+
+    The rows of a batch are put in order of time; a row older than the last kept one goes. The state is one time for each pair; it
+    ends once the watermark (`late` behind the latest row) has passed the pair's last row by `idle` seconds, which must be at least `within`, so
+    that nothing changes by its end. Rows behind the watermark go and are counted, see `Totals`.
     """
+    if idle < within:
+        raise ValueError("idle must not be below within")
+    own = packets.withWatermark("ts", late)
+    return _stateful(own, ["capture_id", "kind"], _Repeats(int(within * 1_000_000), idle, packets.columns), packets.schema, "Append")
+
+
+class _History(_Idle):
+    schema = "history array<string>"
+
+    def __init__(self, most: int, idle: float, check: Callable[[list[str]], str] | None):
+        super().__init__(idle)
+        self.most, self.check = most, check
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        own = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches))
-        for kind in rows.sort_values("ts", kind="stable")["kind"]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        own = list(self.state.get()[0]) if self.state.exists() else []
+        new = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        for kind in new["kind"]:
             if not own or own[-1] != kind:
                 own.append(kind)
-        own = own[-most:]
-        state.update((own,))
-        yield pd.DataFrame({"capture_id": [key[0]], "n": [len(own)], "history": [own], "status": [check(own) if check else None]})
+        own = own[-self.most :]
+        self.state.update((own,))
+        self.put_off(int(_micros(new["ts"]).iloc[-1]) // 1000, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"capture_id": [key[0]], "n": [len(own)], "history": [own], "status": [self.check(own) if self.check else None]})
 
-    return packets.select("capture_id", "ts", "kind").groupBy("capture_id").applyInPandasWithState(update, "capture_id long, n long, history array<string>, status string", "history array<string>", "update", "NoTimeout")
+
+def action_history(packets: DataFrame, most: int = 100, check: Callable[[list[str]], str] | None = None, late: str = "10 seconds", idle: float = 3600.0) -> DataFrame:
+    """Per capture and update: how many actions its history holds, the history (kinds that differ from the one before, the last `most`), its status.
+
+    Rows of one update are put in order of time as a whole. check judges the history anew at each update, as `graph_check` does; without
+    it the status is null. A capture's history ends once the watermark has passed its last row by `idle` seconds; rows that come later begin a new one.
+    """
+    own = packets.select("capture_id", "ts", "kind").withWatermark("ts", late)
+    return _stateful(own, ["capture_id"], _History(most, idle, check), "capture_id long, n long, history array<string>, status string", "Update")
 
 
 def graph_check(graph: DataFrame, most: int = 10_000) -> Callable[[list[str]], str]:
@@ -107,8 +172,58 @@ def read_captures(spark: SparkSession, folder: str, files_per_trigger: int = 8)
     return decode_captures(files)
 
 
+class Totals(StreamingQueryListener):
+    """What the streams of a session have done since they began, by query id: batches, rows, late rows that were dropped, rows of state, the last observations, the error.
+
+    A query's own progress forgets all but its last hundred batches. Late rows are counted where an operator drops them: for windows
+    that is after the rows of one task that fall into one group and window have been counted together.
+    """
+
+    def __init__(self) -> None:
+        self.queries: dict[str, dict] = {}
+
+    def of(self, query) -> dict:
+        return self._own(query.id)
+
+    def _own(self, key) -> dict:
+        return self.queries.setdefault(str(key), {"batches": 0, "rows": 0, "late": 0, "state": 0, "latest": {}, "error": None, "ended": False})
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._own(event.id)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p, own = event.progress, self._own(event.progress.id)
+        own["batches"] = max(own["batches"], p.batchId + 1)
+        own["rows"] += p.numInputRows
+        own["late"] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        own["state"] = sum(s.numRowsTotal for s in p.stateOperators)
+        for name, row in (p.observedMetrics or {}).items():
+            own["latest"][name] = row
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._own(event.id).update(error=event.exception, ended=True)
+
+
+def run_available(frame: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is there now, in as many batches as its source makes, and return what it has put out.
+
+    The output and the stream's own state are below the folder, which the driver and the executors must share. Rows of update mode are
+    all kept, the batch that they came in is the column batch.
+    """
+
+    def put(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+
+    query = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    return frame.sparkSession.read.parquet(f"{folder}/out")
+
+
 def progress(query, name: str = "live") -> dict:
-    """What a stream has done: batches, rows, its last error, and the last observation made under a name."""
+    """What a stream has done of late: batches, rows, its last error, and the last observation made under a name."""
     ran = query.recentProgress
     seen = [p["observedMetrics"][name] for p in ran if name in (p["observedMetrics"] or {})]
     error = query.exception()
