@@ -195,6 +195,12 @@ def test_html_style_tree_cuts_repeated_branches(spark):
     ('<article><p>kept</p></article><div id="comments"><article class="comment"><p>first!</p></article></div>', "kept"),
     ('<article><p>&lt;b&gt; &amp;amp; &#233;</p><p> </p></article>', "<b> &amp; é"),
     ("<p>unclosed <b>text", "unclosed text"),
+    ('<article><div class="menu-planning-guide"><p>plan</p></div><div class="lunch-menu">soup</div></article>', "plan\n\nsoup"),
+    ('<article><h2 id="related-work">Related</h2><section id="ad-hoc-networks"><p>nets</p></section><h2 id="comments">On comments</h2></article>', "Related\n\nnets\n\nOn comments"),
+    ('<article><span class="ad"><p>BUY</p><div>x</div></span><p>after</p><ins class="adsbygoogle"><div>X</div></ins></article>', "after"),
+    ('<article><div><span class="ad">unclosed<p>BUY</p></div><p>after</p></article>', "after"),
+    ('<article><p>kept</p></article><div role="contentinfo">c</div><div role="complementary">d</div><section role="navigation">n</section>', "kept"),
+    ('<body><p>kept</p><div role="contentinfo">c</div><div role="complementary">d</div><section role="note">n</section><div id="sidebar">s</div></body>', "kept\n\nn"),
 ])
 def test_html_names_are_priors(body, want):
     assert html_extract.main_text(body, {}) == want

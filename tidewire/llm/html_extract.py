@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|<[!?][^>]*>|[^<]+|<""", re.S)
-CLASSES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"[\s ]+")
 
 # Element names of the HTML standard by what they hold.
@@ -34,11 +34,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOISE = frozenset("nav footer aside form fieldset menu dialog button header".split())
 CONTENT = frozenset("article main".split())
 COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
-NOISE_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising banner banners cookie cookies consent notice notices sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social promo promotion sponsor sponsored newsletter subscribe popup modal related recommended toolbar widget pagination pager".split())
-#: Words that turn a class like no-sidebar or share-enabled into a statement about the page.
-MODIFIERS = frozenset("has no not with without is are enabled disabled enable disable hide hidden show open closed layout page body theme style content post entry article main text".split())
+NOISE_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising banner banners cookie cookies consent notice notices sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social promo promotion sponsor sponsored newsletter subscribe popup modal related recommended toolbar widget pagination pager adsbygoogle".split())
+#: Words of layout: a class of these and of words for noise is noise, like site-footer; one with any other word isn't, like lunch-menu.
+LAYOUT = frozenset("site page main top bottom left right center side inner outer primary secondary global mobile desktop box bar list lists item items link links wrap wrapper container row col column area section block panel slot unit zone group button buttons icon icons overlay inline sticky fixed js".split())
+#: Roles of landmarks and boxes that aren't content.
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status tooltip".split())
 #: Elements that a class never turns into noise, unless it speaks of comments.
 KEPT = frozenset("html body main article".split())
+#: Elements without a meaning of their own.
+BOXES = frozenset("div ul ol table td".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 #: Importance below which a branch goes, inside an article and elsewhere.
@@ -46,11 +50,9 @@ LEAST_INSIDE, LEAST, GAMMA = 0.21, 0.4, 0.9
 
 
 def says_noise(token: str) -> bool:
-    """Whether a class names noise: as a whole, or by its first or last word if no other word of it is a modifier."""
-    if token in NOISE_WORDS:
-        return True
+    """Whether a class names noise: all its words are of noise or layout, one at least of noise."""
     words = [w for w in re.split(r"[^a-z]+", token) if w]
-    return len(words) > 1 and (words[0] in NOISE_WORDS or words[-1] in NOISE_WORDS) and not MODIFIERS & set(words)
+    return any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in LAYOUT for w in words)
 
 
 class Block:
@@ -66,8 +68,8 @@ def blocks(page: str) -> list[Block]:
     # name, hash of the path, whether a name says noise, whether one says content
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     parts: list[str] = []
-    # The inline element that is noise and how many of its name are open inside it.
-    inline, deep, at = "", 0, 0
+    # The inline element that is noise, how many of its name are open inside it, and how many blocks were open around it.
+    inline, deep, around, at = "", 0, 0, 0
 
     def flush() -> None:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -94,29 +96,33 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "br":
             parts.append(" ")
-        tokens = sorted({w for c in CLASSES.finditer(m[3]) for w in (c[1] or c[2] or c[3] or "").lower().split()}) if "=" in m[3] and not closing else []
+        given = [(c[1].lower(), (c[2] or c[3] or c[4] or "").lower().split()) for c in NAMES.finditer(m[3])] if "=" in m[3] and not closing else []
+        tokens = sorted({w for _, words in given for w in words})
+        # An id may be an anchor, so it says noise only on a plain box, and as one word; else it only tells branches apart.
+        said = [w for kind, words in given if kind == "id" and name in BOXES for w in words if w in NOISE_WORDS] + [w for kind, words in given if kind == "class" for w in words if says_noise(w)] + [w for kind, words in given if kind == "role" for w in words if w in NOISE_ROLES]
         if name not in BLOCKS:
             if deep and name == inline:
                 deep += -1 if closing else 1
-            elif not deep and not closing and name not in VOID and not m[3].endswith("/") and (name == "button" or any(map(says_noise, tokens))):
-                inline, deep = name, 1
+            elif not deep and not closing and name not in VOID and not m[3].endswith("/") and (name == "button" or said):
+                inline, deep, around = name, 1, len(stack)
             continue
         flush()
-        deep = 0
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if depth:
                 del stack[depth:]
+            deep *= len(stack) >= around
             continue
         if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
             stack.pop()
         while stack[-1][0] in CLOSED_BY.get(name, ()):
             stack.pop()
+        deep *= len(stack) >= around
         if name in VOID:
             continue
         main = stack[-1][3] or name in CONTENT or "main" in tokens
-        named = any(t in COMMENT_WORDS for t in tokens) if name in KEPT else any(map(says_noise, tokens))
-        noise = stack[-1][2] or named or (name in NOISE and not (name == "header" and stack[-1][3]))
+        named = any(t in COMMENT_WORDS for t in said) if name in KEPT else bool(said)
+        noise = stack[-1][2] or named or deep > 0 or (name in NOISE and not (name == "header" and stack[-1][3]))
         # Numbers in classes and ids tell pages apart and not kinds of branches.
         words = sorted({w for t in tokens for w in re.split(r"[^a-z]+", t) if w})
         path = xxhash.xxh64_intdigest(f"{stack[-1][1]}/{name}.{'.'.join(words)}") - (1 << 63)
