@@ -283,6 +283,81 @@ def test_models_are_saved_and_read(spark, tmp_path):
     assert [r.seq for r in again["templates"].orderBy("template_id").collect()] == [["a", "b", "c"], ["b", "a"]] and {r.action for r in again["critical"].collect()} == {"a", "b"}
 
 
+def test_readers_see_whole_models_while_one_is_published(spark, tmp_path):
+    from tidewire.sources import models
+
+    folder, table = str(tmp_path / "m"), lambda v: {"a": spark.range(v).toDF("n"), "b": spark.createDataFrame([(str(v), v)], "label string, v int")}
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, folder)
+    assert models.publish(table(3), folder, {"of": 3}) == 1
+    old, value = models.load(spark, folder)
+    store = models._Store(spark, folder)
+    seen = []
+    publish = models._Store.publish
+    try:  # a reader just before the switch sees the old model, whole
+        models._Store.publish = lambda self, number, text: (seen.append(models.load(spark, folder)[1]), publish(self, number, text))[1]
+        assert models.publish(table(5), folder, {"of": 5}, split=("b",)) == 2
+    finally:
+        models._Store.publish = publish
+    new, now = models.load(spark, folder)
+    assert seen == [{"of": 3}] and (value, now) == ({"of": 3}, {"of": 5}) and old["a"].count() == 3 and new["a"].count() == 5 and new["b"].columns == ["label", "v"]
+    assert not store.publish(2, "{}") and store.numbers() == [2, 1]  # a number is given once
+    for v in (6, 7):
+        models.publish(table(v), folder)
+    assert store.numbers() == [4, 3, 2] and models.load(spark, folder, number=3)[0]["a"].count() == 6
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, folder, number=1)
+    with pytest.raises(KeyError):
+        models.load(spark, folder, ("c",))
+    version = store.manifest(4)["version"]
+    spark.range(1).toDF("n").write.mode("append").parquet(f"{folder}/versions/{version}/a")
+    with pytest.raises(ValueError, match="rows of its manifest"):
+        models.load(spark, folder)
+
+
+def test_accepted_reviews_are_learned(spark, tmp_path):
+    folder = str(tmp_path / "m")
+    train = spark.createDataFrame(_steps([["a", "b"], ["a", "c"]]), "seq_id string, pos int, action string")
+    reviews = spark.createDataFrame([(["a", "d"], True), (["x"], False), (["a", "b"], True)], "seq array<string>, accepted boolean")
+    conformance.save_model(conformance.fit_model(train), folder)
+    conformance.refit_accepted(spark, folder, train, reviews)
+    model = conformance.load_model(spark, folder, ("templates", "graph", "reviews"))
+    assert sorted(r.seq for r in model["templates"].collect()) == [["a", "b"], ["a", "c"], ["a", "d"]]
+    assert {r.action: r.successors for r in model["graph"].collect()}["a"] == ["b", "c", "d"]
+    assert {tuple(r.seq): r.status for r in model["reviews"].collect()} == {("a", "b"): "accepted", ("a", "d"): "accepted", ("x",): "pending"}
+    conformance.refit_accepted(spark, folder, train, spark.createDataFrame([(["x"], True)], "seq array<string>, accepted boolean"))
+    model = conformance.load_model(spark, folder, ("templates", "reviews"))
+    assert sorted(r.seq for r in model["templates"].collect()) == [["a", "b"], ["a", "c"], ["a", "d"], ["x"]] and {r.status for r in model["reviews"].collect()} == {"accepted"}
+
+
+def test_hybrid_tokens_have_places(spark):
+    import re
+
+    from tidewire.operators import corpora
+
+    texts = ["GET /a?b=1 HTTP/1.1", "", None, "  él  SELECT², script", "x" * 3000, "GETGET GET\n_é_"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", corpora.hybrid_tokens(F.col("t")).alias("h")).collect():
+        want = [(x, m.start()) for m in re.finditer(r"\w+|[^\w\s]", texts[r.i] or "") for x in ([256 + corpora.HYBRID.index(m[0])] if m[0] in corpora.HYBRID else [b + 4 for b in m[0].encode()])][:1024]
+        assert list(zip(r.h.ids, r.h.starts, strict=True)) == want
+
+
+def test_forest_draws_from_all_rows_and_cuts_all_scores(spark):
+    from tidewire.operators import detect, outliers
+
+    df = spark.range(60_000).select(F.col("id"), (F.col("id") % 1000).cast("double").alias("a"), F.when(F.col("id") >= 59_990, 1e6).otherwise(F.col("id") % 7).cast("double").alias("b"))
+    forest = outliers.fit_forest(df, "id", ["a", "b"], trees=60, rows=64, seed=3)
+    sizes = [r["size"] for r in forest.where("node = 0").collect()]
+    assert len(sizes) == 60 and min(sizes) > 48 and max(sizes) == 64
+    few = spark.range(50).select("id", F.col("id").cast("double").alias("a"))
+    assert [r["size"] for r in outliers.fit_forest(few, "id", ["a"], trees=5).where("node = 0").collect()] == [50] * 5
+    rows = df.withColumn("matches", F.array().cast("array<struct<rule_id:string,severity:string,category:string,confidence:double>>"))
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(200)], "id long, label double")
+    got = detect.detect(rows, "id", lambda x: x, ["a", "b"], labels, trees=10, outliers=0.02)
+    flagged = {r.id for r in got.where("anomaly = 1").select("id").collect()}
+    assert len(flagged) <= 0.02 * 60_000 and set(range(59_990, 60_000)) <= flagged
+
+
 def test_chain_states(spark):
     rows = spark.createDataFrame([("s", []), ("n", ["x"]), ("p", ["a", "q", "b"]), ("t", ["a", "b", "c"]), ("d", ["a", "e"])], "seq_id string, seq array<string>")
     got = {r.seq_id: (r.matched, r.last, r.next, r.state) for r in conformance.longest_valid_chain(rows, {"a": ["b", "e"], "b": ["c"]}, ["a"], ["c"]).collect()}
@@ -438,6 +513,10 @@ def test_motion_training_and_dispatch(spark, tmp_path):
     df = spark.createDataFrame(rows, "label string, sample string, window_idx long, bytes double")
     model, found = motion.train_motion(df, ["bytes"], 3)
     assert {r.best for r in found["scores"].where("label = 'walk'").collect()} == {"walk"} and found["thresholds"].count() == 2
+    motion.publish_motion(model, found, str(tmp_path / "published"))
+    again, tables = motion.load_motion(spark, str(tmp_path / "published"))
+    assert (again.columns, again.means, again.deviations, again.centers) == (model.columns, model.means, model.deviations, model.centers)
+    assert set(tables) == set(found) and all(sorted(map(str, tables[k].collect())) == sorted(map(str, found[k].collect())) for k in ("templates", "thresholds", "sequences"))
     motion.write_training(found, str(tmp_path / "run"))
     assert spark.read.parquet(str(tmp_path / "run/windows")).count() == len(rows) and spark.read.parquet(str(tmp_path / "run/manifest")).agg(F.sum("samples")).first()[0] == 8
     one = {r.label: r.text for r in found["sequences"].where("sample IN ('walk0', 'sit0')").collect()}

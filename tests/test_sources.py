@@ -40,19 +40,26 @@ def test_rules_are_read_and_odd_conditions_never_hold(spark, tmp_path):
     own = rules.load_rules(str(tmp_path))
     assert [r.id for r in own] == ["one", "two"]
     df = spark.createDataFrame([("DROP it, drop", "udp"), ("fine", "tcp")], "p string, protocol string")
-    got = [r.matches for r in rules.match_rules(df, "p", own, "protocol").collect()]
+    got = [r.matches for r in rules.match_rules(df, "p", own, "protocol", strict_reference=True).collect()]
     assert [[(m.rule_id, m.confidence) for m in x] for x in got] == [[("one", pytest.approx(0.5 + 0.2 * 2 / 5 + 0.1))], []]
 
 
 @pytest.mark.parametrize(("text", "want"), [
     ("len(payload) > 3", True), ("1 < n < 5", True), ("1 < n < 2", False), ("abs(float(value) - expected) > threshold", True), ("not flag", True), ("missing > 1", False), ("missing > 1 or n == 3", True), ("n in [1, 3]", True), ("n not in [1, 3]", False),
-    ("re.match('a', payload)", False), ("payload.lower() == 'x'", False), ("n ==", False), ("n / 0 > 1", False), ("[n][0] > 1", False), ("sum(n) > 1", False),
+    ("re.match('B', payload)", False), ("re.match('aB', payload, re.I)", True), ("not re.match('bc', payload)", True), ("re.search('b.d', payload)", True), ("re.fullmatch('abc', payload)", False), ("re.match('a', payload, re.X)", False), ("re.match('a', missing)", False), ("payload.lower() == 'x'", False), ("n ==", False), ("n / 0 > 1", False), ("[n][0] > 1", False), ("sum(n) > 1", False),
 ])
 def test_rule_conditions(spark, text, want):
     df = spark.createDataFrame([("abcdef", 3, "9.5", 2.0, 1.0, False)], "payload string, n int, value string, expected double, threshold double, flag boolean")
     assert df.select(rules.condition(text, df.columns)).first()[0] is want
 
 
+def test_rules_that_use_re_hold_unless_strict(spark):
+    own = [r for r in rules.RULES if r.id == "http_invalid_method"]
+    df = spark.createDataFrame([("get it", "BREW"), ("get it", "get"), ("get it", None), ("none", "BREW")], "p string, method string")
+    assert [[m.rule_id for m in r.matches] for r in rules.match_rules(df, "p", own).collect()] == [["http_invalid_method"], [], [], []]
+    assert not any(r.matches for r in rules.match_rules(df, "p", own, strict_reference=True).collect())
+
+
 def test_rule_sets_are_edited_and_selected():
     own = rules.selected(rules.RULES, [rules.Rule("new", "x", "high", "web")], ("xss_script",), "web", "high")
     assert [r.id for r in own] == ["sql_injection", "path_traversal", "file_inclusion", "new"] and len(rules.RULES) == 28

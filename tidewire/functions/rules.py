@@ -87,11 +87,13 @@ def update_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
 class _Condition(ast.NodeVisitor):
     """A condition in the rule language as a Column; a name that no column has makes what it is part of null, and so the condition false.
 
-    The language: names, numbers, texts, lists, not, and, or, comparisons (chained ones too), + - * /, and len, abs, float, int, str, bool.
+    The language: names, numbers, texts, lists, not, and, or, comparisons (chained ones too), + - * /, len, abs, float, int, str, bool, and
+    re.match, re.search and re.fullmatch of a constant pattern, with re.I. strict: without the functions of re, which the original's
+    evaluator refuses, so that rules with them never hold.
     """
 
-    def __init__(self, columns: list[str], aliases: dict[str, str]):
-        self.columns, self.aliases = columns, aliases
+    def __init__(self, columns: list[str], aliases: dict[str, str], strict: bool):
+        self.columns, self.aliases, self.strict = columns, aliases, strict
 
     def visit_Expression(self, node):
         return self.visit(node.body)
@@ -132,6 +134,12 @@ class _Condition(ast.NodeVisitor):
         return out
 
     def visit_Call(self, node):
+        if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name) and node.func.value.id == "re" and not self.strict:
+            pattern, text, flags = node.args[0].value, self.visit(node.args[1]), node.args[2:]
+            if any(not (isinstance(f, ast.Attribute) and f.attr in ("I", "IGNORECASE")) for f in flags):
+                raise ValueError("unsupported flags")
+            form = {"match": r"\A(?:%s)", "search": "(?:%s)", "fullmatch": r"\A(?:%s)\z"}[node.func.attr]
+            return text.rlike(("(?iu)" if flags else "") + form % pattern)
         value = self.visit(node.args[0])
         return {"len": F.length, "abs": F.abs, "float": lambda c: c.try_cast("double"), "int": lambda c: c.try_cast("long"), "str": lambda c: c.cast("string"), "bool": lambda c: c.cast("boolean")}[node.func.id](value)
 
@@ -139,10 +147,10 @@ class _Condition(ast.NodeVisitor):
         raise ValueError(f"unsupported in a rule condition: {ast.dump(node)}")
 
 
-def condition(text: str, columns: list[str], aliases: dict[str, str] | None = None) -> Column:
+def condition(text: str, columns: list[str], aliases: dict[str, str] | None = None, strict: bool = False) -> Column:
     """Whether a condition holds; one that doesn't parse or asks for more than the language holds nowhere, as its rule can't be judged."""
     try:
-        own = _Condition(columns, aliases or {}).visit(ast.parse(text, mode="eval"))
+        own = _Condition(columns, aliases or {}, strict).visit(ast.parse(text, mode="eval"))
     except (ValueError, SyntaxError, KeyError, AttributeError, TypeError, IndexError):
         return F.lit(False)
     return F.coalesce(own.cast("boolean"), F.lit(False))
@@ -153,19 +161,19 @@ def _count_anything(text: Column) -> Column:
     return F.regexp_count(text, F.lit("\n")) + 1 + F.regexp_count(text, F.lit("[^\n]+"))
 
 
-def match_rules(df: DataFrame, payload: str, rules: list[Rule] = RULES, protocol: str | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+def match_rules(df: DataFrame, payload: str, rules: list[Rule] = RULES, protocol: str | None = None, aliases: dict[str, str] | None = None, strict_reference: bool = False) -> DataFrame:
     """Adds matches: (rule_id, severity, category, confidence) of each rule that holds, the most severe first.
 
     Matching ignores case and lets . take line breaks; counting doesn't let it. Null payloads are empty. The pattern of
     anything isn't matched. protocol is a column whose text, found in a rule's description, raises the confidence; without the
-    column, or where it is null, the empty name is found in every description.
+    column, or where it is null, the empty name is found in every description. strict_reference: conditions with re functions never hold, as in the original.
     """
     text, names = F.coalesce(F.col(payload), F.lit("")), {"payload": payload, **(aliases or {})}
     found = []
     for i, r in enumerate(rules):
         anything = r.pattern in ("", ".*")
         hit = F.lit(True) if anything else text.rlike(f"(?isd){r.pattern}")
-        holds = condition(r.condition, df.columns, names) if r.condition else F.lit(True)
+        holds = condition(r.condition, df.columns, names, strict_reference) if r.condition else F.lit(True)
         count = F.least(_count_anything(text) if anything else F.regexp_count(text, F.lit(f"(?id){r.pattern}")), F.lit(5)) if r.pattern else F.lit(0)
         named = F.when(F.lower(F.lit(r.description)).contains(F.coalesce(F.col(protocol), F.lit(""))), 0.1).otherwise(0.0) if protocol else F.lit(0.1)
         confidence = F.least(F.lit(1.0), 0.5 + 0.2 * count / 5 + (0.3 if r.condition else 0.0) + named)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import models
+from .edits import nearest_templates
 from .scans import ranked
 
 END = "__END__"
@@ -171,14 +173,14 @@ def fit_model(steps: DataFrame, most: int = 3, margin: int = 0, least: float = 0
     return {name: out[name] if name in out else held(late[name]()) for name in parts}
 
 
-def save_model(model: dict[str, DataFrame], folder: str) -> None:
-    """One table of Parquet for each part; a later fit replaces them."""
-    for name, part in model.items():
-        part.write.mode("overwrite").parquet(f"{folder}/{name}")
+def save_model(model: dict[str, DataFrame], folder: str) -> int:
+    """Publish the parts as one version of the model, see `models.publish`; readers see the one before it or all of it. Returns its number."""
+    return models.publish(model, folder)
 
 
-def load_model(spark: SparkSession, folder: str, parts: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in parts}
+def load_model(spark: SparkSession, folder: str, parts: tuple[str, ...] = PARTS, number: int | None = None) -> dict[str, DataFrame]:
+    """Parts of the current version, or of a number, checked against what was published."""
+    return models.load(spark, folder, parts, number)[0]
 
 
 # --- next actions ----------------------------------------------------------------------------------------------------
@@ -333,19 +335,29 @@ def coded(sequences: DataFrame, codes: DataFrame) -> DataFrame:
 def rank_templates(sequences: DataFrame, templates: DataFrame, top: int = 3) -> DataFrame:
     """seq_id, rank, template_id, distance, ratio: the nearest templates by edit distance, then its share of the length, then the number.
 
-    Both sides have text (see coded). Different texts are compared once with every template, which is a model table: the join
-    keeps only the best `top` of each text in each task before anything is shuffled.
+    Both sides have text (see coded). Different texts walk a trie of the templates (see `edits.Trie`); of a model with more than HELD
+    templates, parts of at most that many by number, one after the other, and the best of all parts count. For the single
+    best one, texts that are templates themselves are found by a join.
     """
-    own = templates.select("template_id", F.col("text").alias("_t"))
+    own = templates.select("template_id", "text")
     texts = sequences.select("text").distinct()
-    if top == 1:  # a text that is a template needs no other
-        equal = texts.join(own.groupBy(F.col("_t").alias("text")).agg(F.min("template_id").alias("template_id")).withColumn("_t", F.col("text")), "text")
-        texts = equal.unionByName(texts.join(own.select(F.col("_t").alias("text")), "text", "left_anti").crossJoin(small(own)))
-    else:
-        texts = texts.crossJoin(small(own))
-    scored = texts.select("text", F.struct(F.levenshtein("text", "_t").alias("distance"), (F.levenshtein("text", "_t") / F.greatest(F.length("text"), F.length("_t"), F.lit(1))).alias("ratio"), "template_id").alias("s"))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy("s"))).where(F.col("rank") <= top)
-    return sequences.select("seq_id", "text").join(best, "text").select("seq_id", "rank", "s.template_id", "s.distance", "s.ratio")
+    equal = None
+    if top == 1:
+        equal = texts.join(own.groupBy("text").agg(F.min("template_id").alias("template_id")), "text").select("text", "template_id", F.lit(0).alias("distance"), F.lit(0.0).alias("ratio"))
+        texts = texts.join(own.select("text"), "text", "left_anti")
+    found, after = equal, None
+    while True:
+        part = own.where(F.col("template_id") > after) if after is not None else own
+        rows = part.orderBy("template_id").limit(HELD).collect()
+        if not rows and after is not None:
+            break
+        near = nearest_templates(texts, [(r.template_id, r.text) for r in rows], top)
+        found = near if found is None else found.unionByName(near)
+        if len(rows) < HELD:
+            break
+        after = rows[-1].template_id
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy("distance", "ratio", "template_id"))).where(F.col("rank") <= top)
+    return sequences.select("seq_id", "text").join(best, "text").select("seq_id", "rank", "template_id", "distance", "ratio")
 
 
 def _align(actions: list[str], template: list[str]) -> list[dict]:
@@ -471,3 +483,21 @@ def enqueue_reviews(pending: DataFrame, checked: DataFrame, sequences: DataFrame
 def accept_reviews(training: DataFrame, reviews: DataFrame) -> DataFrame:
     """Training sequences with the accepted reviews that they lack."""
     return training.select("seq").unionByName(reviews.where("accepted").select("seq").distinct().join(training.select("seq").distinct(), "seq", "left_anti"))
+
+
+def refit_accepted(spark: SparkSession, folder: str, steps: DataFrame, reviews: DataFrame, **settings) -> int:
+    """Fit the model anew on the training steps and the accepted reviews (seq, accepted), and publish it with what is left of the queue.
+
+    The queue (part reviews: seq, status) keeps each review once, as accepted or pending; sequences that were accepted before stay
+    in training through it. Returns the version's number.
+    """
+    try:
+        before = models.load(spark, folder, ("reviews",))[0]["reviews"].select("seq", F.col("status") == "accepted")
+    except (FileNotFoundError, KeyError):
+        before = spark.createDataFrame([], "seq array<string>, accepted boolean")
+    queue = reviews.select("seq", "accepted").unionByName(before.toDF("seq", "accepted")).groupBy("seq").agg(F.max(F.coalesce("accepted", F.lit(False))).alias("accepted"))
+    training = accept_reviews(as_sequences(steps), queue)
+    numbered = ranked(training, [F.array_join("seq", "\x00")]).select(F.col("position").cast("string").alias("seq_id"), F.posexplode("seq").alias("pos", "action"))
+    model = fit_model(numbered, **settings)
+    model["reviews"] = queue.select("seq", F.when(F.col("accepted"), "accepted").otherwise("pending").alias("status"))
+    return save_model(model, folder)

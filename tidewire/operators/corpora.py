@@ -272,6 +272,27 @@ def structured_tokens(field: Column, value: Column) -> Column:
     return F.concat(F.array(word(F.lower(field))), F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), 1200 + F.coalesce(x.try_cast("decimal(38,0)") % 1000, F.lit(0)).cast("long")).otherwise(word(x))))
 
 
+# Words of the hybrid vocabulary, numbered from 256 in this order.
+HYBRID = "<unk> <pad> <bos> <eos> GET POST HTTP Host User-Agent SELECT FROM WHERE INSERT UPDATE script alert document window cmd exec system bash powershell".split()
+
+
+def hybrid_tokens(text: Column, known: list[str] | None = None, length: int = 1024) -> Column:
+    """A struct: ids of a text's words and signs (known words from 256 on, of others each byte + 4) and starts, the place in the text, from 0, of the word that
+    each id belongs to; the first `length` ids. A word is letters, numbers and _; every other character but white space is a sign of its own."""
+    names = HYBRID if known is None else known
+    codes = F.create_map(*[x for i, w in enumerate(names) for x in (F.lit(w), F.lit(256 + i))])
+    pattern, text = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]", F.coalesce(text, F.lit(""))
+    # Each word gives an id at least, so no more words than ids are looked at.
+    words_ = F.slice(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), 1, length)
+    gaps = F.slice(F.split(text, pattern), 1, length)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.zip_with(words_, gaps, lambda w, g: F.struct(w.alias("w"), g.alias("g"))), begin, lambda a, x: F.struct((a["at"] + F.coalesce(F.length(x["g"]), F.lit(0)) + F.coalesce(F.length(x["w"]), F.lit(0))).alias("at"), F.concat(a["starts"], F.array(a["at"] + F.coalesce(F.length(x["g"]), F.lit(0)))).alias("starts")))["starts"]
+    own = lambda w: F.when(codes[w].isNotNull(), F.array(codes[w])).otherwise(F.transform(F.split(F.regexp_replace(F.hex(w.cast("binary")), "(..)(?=.)", "$1 "), " "), lambda h: F.conv(h, 16, 10).cast("int") + 4))
+    each = F.zip_with(words_, starts, lambda w, s: F.transform(own(w), lambda i: F.struct(i.alias("id"), s.alias("start"))))
+    pairs = F.slice(F.flatten(F.filter(each, lambda x: x.isNotNull())), 1, length)
+    return F.struct(F.transform(pairs, lambda p: p["id"]).alias("ids"), F.transform(pairs, lambda p: p["start"]).alias("starts"))
+
+
 def split_words(tokens: DataFrame, vocabulary_: list[str], unknown: str = "[UNK]") -> DataFrame:
     """id, pos, pieces: each word cut into the longest vocabulary entries from the left, later ones led by ##; unknown if none fits.
 

@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import models
 from . import signals, windows
 from .conformance import held
 from .metrics import label_thresholds
@@ -68,6 +69,18 @@ def write_training(tables: dict[str, DataFrame], folder: str) -> None:
         (writer.partitionBy("label") if name in ("windows", "sequences") else writer).parquet(f"{folder}/{name}")
 
 
+def publish_motion(model: Symbols, tables: dict[str, DataFrame], folder: str) -> int:
+    """Publish the symbols' model and the tables of a training run as one version, see `models.publish`."""
+    value = {"columns": model.columns, "means": model.means, "deviations": model.deviations, "centers": model.centers}
+    return models.publish(tables, folder, value, split=("windows", "sequences"))
+
+
+def load_motion(spark: SparkSession, folder: str, number: int | None = None) -> tuple[Symbols, dict[str, DataFrame]]:
+    """What publish_motion has published last, or under a number."""
+    tables, value = models.load(spark, folder, number=number)
+    return Symbols(value["columns"], value["means"], value["deviations"], value["centers"]), tables
+
+
 def prefix_distances(codes: np.ndarray, starts: np.ndarray, template: np.ndarray, most: int) -> np.ndarray:
     """Edit distances (length, start) of a template to the text's pieces of 1 to `most` letters from each start, by bit vectors.
 

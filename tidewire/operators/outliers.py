@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,12 +14,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .corpora import unit_hash
+from ..sources.shared import checkpointed
 from .metrics import exact_quantile
 
 _EULER = 0.5772156649015329
-#: Rows that the trees of a forest choose their samples from.
-POOL = 50_000
 
 
 def _expected_depth(n: int) -> float:
@@ -29,16 +26,18 @@ def _expected_depth(n: int) -> float:
 
 
 def fit_forest(df: DataFrame, key: str, columns: list[str], trees: int = 100, rows: int = 256, seed: int = 0) -> DataFrame:
-    """node table (tree, node, feature, cut, left, right, size): each tree grown from about `rows` rows chosen by hash.
+    """node table (tree, node, feature, cut, left, right, size): each tree grown from about `rows` rows of the whole table, chosen by hash.
 
-    Trees choose from at most POOL rows, those of the least hashes, so that not every row is drawn for every tree. A tree's
-    sample is bounded, so a tree is one group; the whole model is at most trees * 2 * rows nodes.
+    A row is copied for the trees that draw it and no others: one number of the row's hash says which tree is the first, the way the
+    first of many equal draws that succeed is spread, and the trees after that one draw on their own. A tree's sample is bounded, so a tree
+    is one group; the whole model is at most trees * 2 * rows nodes.
     """
-    n = df.count()
-    if n > POOL:
-        df, n = df.withColumn("_h", unit_hash(key, seed=seed)).orderBy("_h", key).limit(POOL).drop("_h"), POOL
-    share = min(1.0, 1.5 * rows / max(n, 1))
-    sampled = df.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", unit_hash("tree", key, seed=seed)).where(F.col("_u") < share)
+    share = min(1.0, 1.5 * rows / max(df.count(), 1))
+    draw = lambda *parts: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts, key), 11) + 0.5) / float(1 << 53)
+    first = F.floor(F.log(draw(F.lit(-1))) / (math.log1p(-share) if share < 1 else -math.inf))
+    drawn = df.select(key, *columns).withColumn("_first", first).where(F.col("_first") < trees)
+    later = F.filter(F.sequence(F.col("_first").cast("int") + 1, F.lit(trees)), lambda t: (t < trees) & (draw(t) < share))
+    sampled = drawn.withColumn("tree", F.explode(F.concat(F.array(F.col("_first").cast("int")), later))).withColumn("_u", draw(F.col("tree"), F.lit(7)))
     few = sampled.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_u", key))).where(F.col("_r") <= rows)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -70,36 +69,35 @@ def fit_forest(df: DataFrame, key: str, columns: list[str], trees: int = 100, ro
 
 
 def score_forest(df: DataFrame, forest: DataFrame, columns: list[str], rows: int = 256) -> DataFrame:
-    """Adds score: 0.5 - 2 ** (-mean depth / expected depth), low for outliers. The model is a bounded table that goes to the tasks."""
+    """Adds score: 0.5 - 2 ** (-mean depth / expected depth), low for outliers. The model is a bounded table that goes to the tasks; of
+    the rows only the columns that the trees look at leave the JVM."""
     nodes = forest.orderBy("tree", "node").toPandas()
     trees = [t.sort_values("node").to_numpy(dtype=np.float64) for _, t in nodes.groupby("tree")]
     scale = _expected_depth(int(min(rows, max((t[0, 6] for t in trees), default=1)))) or 1.0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        deep = np.array([_expected_depth(i) for i in range(rows + 1)])
-        for b in batches:
-            x = np.nan_to_num(b[columns].to_numpy(dtype=np.float64))
-            total = np.zeros(len(x))
-            for t in trees:
-                at, level, moving = np.zeros(len(x), dtype=np.int64), np.zeros(len(x)), np.arange(len(x))
-                while len(moving):
-                    node = at[moving]
-                    feature = t[node, 2].astype(np.int64)
-                    moving, node, feature = moving[feature >= 0], node[feature >= 0], feature[feature >= 0]
-                    at[moving] = np.where(x[moving, feature] <= t[node, 3], t[node, 4], t[node, 5]).astype(np.int64)
-                    level[moving] += 1
-                total += level + deep[t[at, 6].astype(np.int64)]
-            b["score"] = 0.5 - 2.0 ** (-(total / max(len(trees), 1)) / scale)
-            yield b
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "score double"])
-    return df.mapInPandas(run, schema)
+    deep = np.array([_expected_depth(i) for i in range(rows + 1)])
+
+    @F.pandas_udf("double")
+    def score(*values: pd.Series) -> pd.Series:
+        x = np.nan_to_num(np.column_stack([v.to_numpy(dtype=np.float64, na_value=np.nan) for v in values]))
+        total = np.zeros(len(x))
+        for t in trees:
+            at, level, moving = np.zeros(len(x), dtype=np.int64), np.zeros(len(x)), np.arange(len(x))
+            while len(moving):
+                node = at[moving]
+                feature = t[node, 2].astype(np.int64)
+                moving, node, feature = moving[feature >= 0], node[feature >= 0], feature[feature >= 0]
+                at[moving] = np.where(x[moving, feature] <= t[node, 3], t[node, 4], t[node, 5]).astype(np.int64)
+                level[moving] += 1
+            total += level + deep[t[at, 6].astype(np.int64)]
+        return pd.Series(0.5 - 2.0 ** (-(total / max(len(trees), 1)) / scale))
+
+    return df.withColumn("score", score(*[F.col(c).cast("double") for c in columns]))
 
 
 def isolation_forest(df: DataFrame, key: str, columns: list[str], contamination: float = 0.06, trees: int = 100, rows: int = 256, seed: int = 0) -> DataFrame:
     """df with score, and label -1 for the share `contamination` of the lowest scores, 1 for others. An empty table stays empty."""
-    scored = score_forest(df, fit_forest(df, key, columns, trees, rows, seed), columns, rows)
-    cut = exact_quantile(scored, "score", contamination, rows=df.count())
+    scored = checkpointed(score_forest(df, fit_forest(df, key, columns, trees, rows, seed), columns, rows))  # read for the cut, and again for the labels
+    cut = exact_quantile(scored, "score", contamination)
     return scored.withColumn("label", F.when(F.col("score") < F.lit(cut), -1).otherwise(1))
 
 

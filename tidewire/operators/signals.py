@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .edits import near_pairs
 from .metrics import edit_similarity
 
 
@@ -103,21 +104,19 @@ def template_distances(signal: DataFrame, templates: DataFrame) -> DataFrame:
 def text_pairs(samples: DataFrame, within: bool = True, least: float | None = None) -> DataFrame:
     """sample_a, sample_b, label_a, label_b, similarity of pairs of samples (sample, label, text), within a label or across.
 
-    Different texts are compared once: within a label each with itself and the later ones. With `least`, texts meet in length
-    bands only, as similarity s needs lengths in ratio s.
+    Different texts are compared once: within a label each with itself and the later ones. With `least` (over 0) only those that share
+    a piece, see `edits.near_pairs`; rows of one text are alike without it.
     """
     texts = samples.select("label", "text").distinct()
-    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -F.log(F.lit(least)))
-    a = texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("label").alias("label_b"), F.col("text").alias("text_b"))
-    on = (F.col("label_a") == F.col("label_b")) & (F.col("text_a") <= F.col("text_b")) if within else (F.col("label_a") < F.col("label_b"))
-    if least is not None:
-        a = a.withColumn("_band", F.explode(F.sequence(band(F.length("text_a")) - 1, band(F.length("text_a")) + 1)))
-        b = b.withColumn("_band_b", band(F.length("text_b")))
-        on = on & (F.col("_band") == F.col("_band_b"))
-    pairs = a.join(b, on).withColumn("similarity", edit_similarity(F.col("text_a"), F.col("text_b")))
-    if least is not None:
-        pairs = pairs.where(F.col("similarity") >= least)
+    if least is None:
+        a = texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"))
+        b = texts.select(F.col("label").alias("label_b"), F.col("text").alias("text_b"))
+        on = (F.col("label_a") == F.col("label_b")) & (F.col("text_a") <= F.col("text_b")) if within else (F.col("label_a") < F.col("label_b"))
+        pairs = a.join(b, on).withColumn("similarity", edit_similarity(F.col("text_a"), F.col("text_b")))
+    else:
+        pairs = near_pairs(texts, least, within)
+        if within:
+            pairs = pairs.unionByName(texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"), F.col("label").alias("label_b"), F.col("text").alias("text_b"), F.lit(1.0).alias("similarity")))
     left = samples.select(F.col("sample").alias("_a"), F.col("label").alias("label_a"), F.col("text").alias("text_a"))
     right = samples.select(F.col("sample").alias("_b"), F.col("label").alias("label_b"), F.col("text").alias("text_b"))
     out = pairs.join(left, ["label_a", "text_a"]).join(right, ["label_b", "text_b"])

@@ -308,6 +308,15 @@ def f34(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ops.structured_tokens(F.col("event_type"), F.col("props")).alias("ids"))
 
 
+_CODES = "MAP {" + ", ".join(f"'{w}': {256 + i}" for i, w in enumerate(ops.HYBRID)) + "}"
+
+
+@query("f34_hybrid_tokens", f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x85\\p{{Z}}]')[1:1024] AS w FROM documents)
+SELECT doc_id, flatten(list_transform(w, lambda x: CASE WHEN {_CODES}[x] IS NOT NULL THEN [{_CODES}[x]] ELSE list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST(CAST('0x' || h AS BIGINT) + 4 AS INTEGER)) END))[1:1024] AS ids FROM w""")
+def f34b(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", ops.hybrid_tokens(F.col("text"))["ids"].alias("ids"))
+
+
 @query("f35_basic_tokens", r"SELECT event_id, [event_type, '=', k, '中', '%', 'cafe'] AS tokens FROM (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)")
 def f35b(spark, sf_dir):
     text = F.concat(F.upper("event_type"), F.lit("="), F.get_json_object("props", "$.k"), F.lit("中%\u0000 \t Cafe\u0301"))

@@ -198,6 +198,18 @@ def j5b(spark, sf_dir):
     return rounded(signals.text_pairs(texts(spark, sf_dir), True, 0.4).select("sample_a", "sample_b", "similarity"))
 
 
+@query("j5_near_pairs", with_sql(_TX, "tz AS (SELECT sample, label, text || substr(text, 1, CAST(sample AS INTEGER) % 3) AS text FROM (SELECT sample, label, substr(text, 1, 30) AS text FROM tx) UNION ALL SELECT sample || 'b', label, reverse(substr(text, 3, 30)) || substr(text, 1, 2) FROM tx UNION ALL SELECT sample || 'c', label, reverse(substr(text, 3, 29)) || substr(text, 2, 3) FROM tx)",
+  _PAIR.replace("tx a JOIN tx b", "tz a JOIN tz b")) + " SELECT sample_a, sample_b, round(similarity, 6) AS similarity FROM pr WHERE label_a = label_b AND similarity >= 0.85")
+def j5c(spark, sf_dir):
+    """Near pairs by shared pieces: the event texts' beginnings, and two variants of each that lie close together."""
+    own = texts(spark, sf_dir)
+    cut = lambda a, n: F.substring("text", a, n)
+    rows = own.withColumn("text", F.expr("concat(substring(text, 1, 30), substring(substring(text, 1, 30), 1, cast(sample as int) % 3))"))
+    for mark, text in (("b", F.concat(F.reverse(cut(3, 30)), cut(1, 2))), ("c", F.concat(F.reverse(cut(3, 29)), cut(2, 3)))):
+        rows = rows.unionByName(own.select(F.concat("sample", F.lit(mark)).alias("sample"), "label", text.alias("text")))
+    return rounded(signals.text_pairs(rows, True, 0.85).select("sample_a", "sample_b", "similarity"))
+
+
 @query("a24_separability", with_sql(_TX, _PAIR) + " SELECT round(avg(similarity) FILTER (label_a = label_b), 6) AS within, round(avg(similarity) FILTER (label_a <> label_b), 6) AS between, round(avg(similarity) FILTER (label_a = label_b) - avg(similarity) FILTER (label_a <> label_b), 6) AS separability FROM pr")
 def a24(spark, sf_dir):
     return rounded(signals.separability(texts(spark, sf_dir)))

@@ -150,7 +150,7 @@ def x16(spark, sf_dir):
     own = matched(spark, sf_dir).withColumn("key", F.concat_ws(":", "origin", "id"))
     labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("key"), (F.col("toxic") > 0).cast("double").alias("label"))
     headers = F.create_map(F.lit("User-Agent"), F.col("origin"))
-    row = pay.feature_row(F.col("text"), F.col("text"), F.col("protocol"), {"src_port": F.octet_length("text") % 65536, "dst_port": F.lit(80), "request_line": F.substring("text", 1, 100), "headers": headers, "body": F.col("text"), "mqtt_remaining_len": F.octet_length("text")})
+    row = pay.feature_row(F.col("text"), F.col("text"), F.col("protocol"), {"src_port": F.octet_length("text") % 65536, "dst_port": F.lit(80), "request_line": F.substring_index("text", "\n", 1), "headers": headers, "body": F.col("text"), "mqtt_remaining_len": F.octet_length("text")})
     found = detect.detect(own, "key", lambda df: df.withColumns({f"f_{k}": v for k, v in row.items()}), [f"f_{k}" for k in row], labels)
     return found.select("origin", "id", F.size("matches").cast("long").alias("hits"), F.round("proba", 6).alias("proba"), "anomaly", F.round("final_score", 6).alias("final_score"), "threat_level")
 

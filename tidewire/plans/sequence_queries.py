@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import conformance as ops
 from ..operators.scans import ranked
+from ..sources.shared import checkpointed, own_folder, remove
 from ..sources.tables import evidence_rows
 from .adapters import A, actions, with_sql
 from .registry import query
@@ -281,11 +281,12 @@ def c8(spark, sf_dir):
 UNION ALL SELECT 'repeats', count(DISTINCT action) FROM t UNION ALL SELECT 'graph', count(DISTINCT action) FROM t UNION ALL SELECT 'embeddings', count(DISTINCT action) FROM t UNION ALL SELECT 'critical', count(*) FROM (SELECT v FROM (SELECT seq, unnest(list_distinct(seq)) AS v FROM (SELECT DISTINCT seq FROM ts)) GROUP BY v HAVING count(*) >= 0.5 * (SELECT count(DISTINCT seq) FROM ts))""")
 def c10(spark, sf_dir):
     """How many rows each part of the fitted model has, after it was saved and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{folder}/conformance-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "conformance")
     ops.save_model(ops.fit_model(train(spark, sf_dir), least=0.5), folder)
     parts = [part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, part in ops.load_model(spark, folder).items()]
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+    out = checkpointed(functools.reduce(lambda a, b: a.unionByName(b), parts))
+    remove(spark, folder)
+    return out
 
 
 @query("c13_clean_sequences", with_sql(A) + " SELECT seq_id, list_filter(list_transform(seq, lambda v: CASE WHEN v = 'error' THEN '' ELSE v END), lambda v: v <> '') AS seq FROM s")

@@ -290,7 +290,9 @@ def s21(spark, sf_dir):
     steps = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("seq_id"), F.col("turn").alias("pos"), F.col("role").alias("action"))
     folder = own_folder(spark, "roles")
     conformance.save_model({"graph": conformance.adjacency(conformance.as_sequences(steps))}, folder)
-    return conformance.load_model(spark, folder, ("graph",))["graph"]
+    out = checkpointed(conformance.load_model(spark, folder, ("graph",))["graph"])
+    remove(spark, folder)
+    return out
 
 
 _LABELS = ["step", " Forward", "left", "hello", "stand ", "BACK"]
