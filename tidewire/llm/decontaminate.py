@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import Words, buffers, restored, shielded, steps, written
+from .common import Words, buffers, cut, discard, restored, shielded, steps, written
 
 #: Symbols of a shard, apart from a longer document's.
 SHARD = 1 << 20
@@ -114,24 +114,35 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of items, as symbols."""
+    """The windows of a block of items, as symbols: per length a table of the different windows and, for each, the items that have it.
+
+    All of it is in arrays, about 50 bytes a word of the items: a window's owners are a stretch of one array of item numbers.
+    """
 
     def __init__(self, items: list[tuple[object, str]], window: int):
         items = [(i, t) for i, t in items if i is not None]
         data, offsets = buffers(pa.array([t or "" for _, t in items], type=pa.string()).cast(pa.binary()))
         words = Words(data, offsets, 0, len(items))
+        self.names = sorted({str(i) for i, _ in items})
+        number = {n: k for k, n in enumerate(self.names)}
+        owner = np.array([number[str(i)] for i, _ in items], dtype=np.int32)
         self.vocabulary, symbol = np.unique(words.hash, return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
-        owners: dict[tuple[int, ...], set[str]] = {}
+        symbol = (symbol + 1).astype(np.int32)
         ends = np.cumsum(words.count)
-        for i, (item, _) in enumerate(items):
-            own = symbol[ends[i] - words.count[i] : ends[i]].tolist()
-            for a in range(max(len(own) - window, 0) + 1) if own else ():
-                owners.setdefault(tuple(own[a : a + window]), set()).add(str(item))
-        self.by_length = {}
-        for n in sorted({len(p) for p in owners}):
-            found = [p for p in owners if len(p) == n]
-            self.by_length[n] = (np.array(found, dtype=np.int64), [sorted(owners[p]) for p in found])
+        size = np.minimum(words.count, window)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == n)
+            many = words.count[own] - n + 1
+            row = np.repeat(own, many)
+            start = np.repeat((ends - words.count)[own], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            table = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(symbol, n)[start])
+            order = np.lexsort((owner[row], *table.T[::-1]))
+            table, who = table[order], owner[row][order]
+            new = np.r_[True, (table[1:] != table[:-1]).any(axis=1)]
+            first = new | np.r_[True, who[1:] != who[:-1]]  # an item counts once for a window
+            edges = np.r_[np.flatnonzero(new[first]), int(first.sum())]
+            self.by_length[n] = (table[new], edges, who[first])
         self.shortest = min(self.by_length, default=0)
 
 
@@ -152,7 +163,7 @@ def _hits(phrases: Phrases, words: Words) -> tuple[np.ndarray, dict[int, set[str
     text, origin = np.insert(symbol[place], gap, 0), np.insert(place, gap, -1)
     index = FMIndex(text, len(phrases.vocabulary))
     cover = np.zeros(len(text) + 1, dtype=np.int64)
-    for n, (symbols, owners) in phrases.by_length.items():
+    for n, (symbols, edges, who) in phrases.by_length.items():
         first, last = index.search(symbols)
         found = np.flatnonzero(last > first)
         counts = (last - first)[found]
@@ -162,8 +173,9 @@ def _hits(phrases: Phrases, words: Words) -> tuple[np.ndarray, dict[int, set[str
         where, which = index.locate(rows), np.repeat(found, counts)
         np.add.at(cover, where, 1)
         np.add.at(cover, where + n, -1)
-        for pair in np.unique(words.row[origin[where]] * len(owners) + which).tolist():
-            items.setdefault(pair // len(owners), set()).update(owners[pair % len(owners)])
+        for pair in np.unique(words.row[origin[where]] * len(symbols) + which).tolist():
+            row, phrase = divmod(pair, len(symbols))
+            items.setdefault(row, set()).update(phrases.names[k] for k in who[edges[phrase] : edges[phrase + 1]].tolist())
     on = np.cumsum(cover[:-1]) > 0
     hit[origin[on & (origin >= 0)]] = True
     return hit, items
@@ -212,7 +224,7 @@ def _scan(phrases: Phrases, text_col: str, names: list[str], cut_text: bool, aga
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, cut_text: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, cut_text: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
     """The columns `keep` (all, unless given) with _n_words, _n_hit, _items (ids of occurring items as sorted strings), _spans (byte ranges).
 
     With cut_text the text loses its hit spans; what is left is joined by line breaks. The test items are a stated query
@@ -232,9 +244,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     frame = own.withColumn(text, F.col(text).cast("binary"))
     found = StructType([StructField("_n_words", LongType()), StructField("_n_hit", LongType()), StructField("_items", ArrayType(StringType())), StructField("_spans", ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))])
     schema = StructType([*frame.schema.fields, *found.fields])
+    before = None
     for b in range(blocks):
         # Only one block is with the driver and in the plan.
         part = [(r.i, r.t) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
-        frame = (written(frame, "hits")[0] if b else frame).mapInArrow(_scan(Phrases(part, window), text, list(new.values()), cut_text and b == blocks - 1, b > 0), schema)
+        if b:
+            frame, path = written(frame, "hits")
+            if before:
+                discard(docs.sparkSession, before)
+            before = path
+        frame = frame.mapInArrow(_scan(Phrases(part, window), text, list(new.values()), cut_text and b == blocks - 1, b > 0), schema)
+    if before:
+        # The last block's result is cut from the table before it, which then goes too.
+        frame = cut(frame)
+        discard(docs.sparkSession, before)
     frame = frame.withColumn(text, F.col(text).cast(kind))
     return restored(frame, {c: new[c] for c in names}, {f.name: F.col(f.name) for f in found.fields})
