@@ -101,18 +101,29 @@ def template_distances(signal: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 # --- symbol texts ----------------------------------------------------------------------------------------------------
+#: Similarity from which pieces of texts are long enough (three letters or so) to keep most pairs apart.
+PIECES = 0.65
+
+
 def text_pairs(samples: DataFrame, within: bool = True, least: float | None = None) -> DataFrame:
     """sample_a, sample_b, label_a, label_b, similarity of pairs of samples (sample, label, text), within a label or across.
 
-    Different texts are compared once: within a label each with itself and the later ones. With `least` (over 0) only those that share
-    a piece, see `edits.near_pairs`; rows of one text are alike without it.
+    Different texts are compared once: within a label each with itself and the later ones. With `least` from PIECES on only those that
+    share a piece, see `edits.near_pairs`; below it pieces of one or two letters would bring all together anyway, so texts meet in length
+    bands only, as similarity s needs lengths in ratio s.
     """
     texts = samples.select("label", "text").distinct()
-    if least is None:
+    if least is None or least < PIECES:
         a = texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("label").alias("label_b"), F.col("text").alias("text_b"))
         on = (F.col("label_a") == F.col("label_b")) & (F.col("text_a") <= F.col("text_b")) if within else (F.col("label_a") < F.col("label_b"))
+        if least is not None:
+            band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -F.log(F.lit(least)))
+            a = a.withColumn("_band", F.explode(F.sequence(band(F.length("text_a")) - 1, band(F.length("text_a")) + 1)))
+            b = b.withColumn("_band_b", band(F.length("text_b")))
+            on = on & (F.col("_band") == F.col("_band_b"))
         pairs = a.join(b, on).withColumn("similarity", edit_similarity(F.col("text_a"), F.col("text_b")))
+        pairs = pairs if least is None else pairs.where(F.col("similarity") >= least)
     else:
         pairs = near_pairs(texts, least, within)
         if within:
