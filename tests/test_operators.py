@@ -540,3 +540,64 @@ def test_explanations_name_violations(spark):
     got = {r.seq_id: r for r in conformance.explain(checked, why).collect()}
     assert got["a"].text.endswith("; at 1: first; at 3: second") and got["a"].decision.asDict() == {"valid": False, "status": "ANOMALY", "action": "reject", "violations": 2} and got["b"].decision.action == "accept"
     assert conformance.status_summary(checked).first().asDict() == {"sequences": 2, "normal": 1, "normal_with_tolerance": 0, "unknown_validity": 0, "anomaly": 1, "valid": 1}
+
+
+def test_correlation_by_blocks_equals_plain_sums(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    captures = {c: [rng.choice([0, 0, rng.randrange(-900, 900)]) for _ in range(n)] for c, n in (("x", 300), ("y", 41), ("z", 1))}
+    templates = {"a": [rng.random() for _ in range(17)], "b": [1.0], "c": [rng.random() for _ in range(90)]}
+    signal = spark.createDataFrame([(c, i, v) for c, own in captures.items() for i, v in enumerate(own) if v or i in (0, len(own) - 1)], "capture_id string, bin int, value int")
+    model = spark.createDataFrame([(t, i, v) for t, own in templates.items() for i, v in enumerate(own)], "label string, bin int, value double")
+    for flip in (False, True):
+        for lags in (1 << 16, 64, 7):
+            got = {}
+            for r in signals.cross_correlation(signal, model, flip, lags).collect():
+                got[r.capture_id, r.label, r.lag] = r.correlation
+            want = {}
+            for c, x in captures.items():
+                for t, y in templates.items():
+                    y = np.array(y[::-1] if flip else y)
+                    x = np.array(x, dtype=float)
+                    for k, v in enumerate(np.correlate(x, y, "full") / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()) + 1e-9)):
+                        want[c, t, k - len(y) + 1] = v
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_features_that_vary_and_tell_are_kept(spark):
+    from tidewire.operators import outliers
+
+    rng = random.Random(7)
+    rows = [(float(i % 2), float(i % 2) * 9 + rng.random(), rng.random(), 5.0, 3.0 + (i == 0) * 0.001, float(i % 2) * 3 + 2 * rng.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "label double, tells double, noise double, constant double, nearly double, hints double")
+    names = ["noise", "tells", "constant", "nearly", "hints"]
+    got = outliers.prepared(df, names, "label", 2).select("label", "tells", "hints", "features").collect()
+    middle = {c: sorted(r[i] for r in rows) for i, c in ((1, "tells"), (5, "hints"))}
+    for r in got:
+        assert len(r.features) == 2
+    # Both kept columns move with those that tell, in their order, scaled about the median.
+    for place, c in ((0, "tells"), (1, "hints")):
+        pairs = sorted((r[c], r.features[place]) for r in got)
+        assert [p[1] for p in pairs] == sorted(p[1] for p in pairs) and min(abs(p[1]) for p in pairs) < 1.0
+        assert pairs[0][1] < 0 < pairs[-1][1] and middle[c][0] == pairs[0][0]
+
+
+def test_models_find_what_is_planted(spark):
+    from tidewire.operators import outliers
+
+    rng = random.Random(11)
+    blobs = [(i, *(c + rng.gauss(0, 0.1) for c in center), k) for k, center in enumerate([(1.0, 50.0), (40.0, 2.0), (300.0, 300.0)]) for i in range(k * 40, k * 40 + 40)]
+    df = spark.createDataFrame(blobs, "id long, a double, b double, k int")
+    letters = outliers.cluster_symbols(df, ["a", "b"], 3).select("k", "symbol").distinct().collect()
+    assert len(letters) == 3 and {r.symbol for r in letters} == {"A", "B", "C"}
+    far = outliers.mahalanobis(df.where("k < 2").unionByName(spark.createDataFrame([(999, 1.0, 2.0, 9)], df.schema)), ["a", "b"]).orderBy(F.desc("distance")).first()
+    assert far.id == 999
+    train = spark.createDataFrame([(i, float(i % 2), [i % 2 * 4.0 + rng.random(), rng.random()]) for i in range(120)], "id long, label double, v array<double>")
+    from pyspark.ml.functions import array_to_vector
+
+    train = train.withColumn("features", array_to_vector("v"))
+    scores = {r.id: r.proba for r in outliers.ensemble_scores(train.where("id < 80"), train.where("id >= 80"), {k: m for k, m in outliers.classifiers(2, 2).items()}, "id").collect()}
+    assert all((p > 0.5) == (i % 2 == 1) for i, p in scores.items()) and len(scores) == 40
+    names = [n for n, _ in outliers.importances(outliers.action_classifiers(20)["forest"].fit(outliers.balanced(train, "label")), ["tells", "noise"])]
+    assert names == ["tells", "noise"]

@@ -125,3 +125,19 @@ def test_correlation_and_convolution(spark):
     assert turned == {-1: 0.0, 0: 1.0, 1: 4.0, 2: 4.0, 3: 0.0, 4: 0.0}
     wide = signals.signal_features(signal, templates, ["t"])
     assert wide.count() == 1 and len(wide.columns) > 45
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('[["a", " b "], [], ["c"]]', [["a", "b"], ["c"]]), ('{"sequences": [], "normal_sequences": [{"sequence": ["a", ""]}, {"actions": ["b", "c"]}, {"other": ["d"]}]}', [["a"], ["b", "c"]]),
+    ('{"actions": {"1": "walk", "2": " sit "}, "training_sequences": [[1, 2.0, "3", "x"]]}', [["walk", "sit", "3", "x"]]), ('{"action_map": {"s": "step"}, "normal_templates": [{"sequence": ["s"]}]}', [["step"]]),
+    ("{}", None), ("no json", None), ('{"sequences": [["q", "7"]]}', [["q", "jump"]]),
+])
+def test_task_files_of_json(spark, text, want):
+    known = F.create_map(F.lit("7"), F.lit("jump"))
+    assert spark.createDataFrame([(text,)], "t string").select(tables.task_sequences_json(F.col("t"), known)).first()[0] == want
+
+
+def test_default_tasks(spark):
+    own = lambda *x: sorted(r.seq for r in tables.default_tasks(spark.createDataFrame([(v,) for v in x], "label string")).collect())
+    assert own("hello", "walk", "step", "sit") == [["hello", "walk", "step"]] and own("walk", "step", "jump", "hello") == [["hello", "jump"], ["hello", "walk", "step"], ["walk", "step", "jump"]]
+    assert own("b", "a", None) == [["a", "b"]] and own() == []

@@ -52,28 +52,47 @@ def average_templates(signal: DataFrame, labels: DataFrame) -> DataFrame:
 TEMPLATE_VALUES = 4_000_000
 
 
-def cross_correlation(signal: DataFrame, templates: DataFrame, flip: bool = False) -> DataFrame:
+#: Lags that one transform gives.
+LAGS = 1 << 16
+
+
+def cross_correlation(signal: DataFrame, templates: DataFrame, flip: bool = False, lags: int = LAGS) -> DataFrame:
     """capture_id, label, lag, correlation: sums of products of signal and shifted template over both norms, at all lags where they overlap.
 
-    With flip the template is turned round, which gives the convolution. A capture's bins are one row, and the templates, a model table
-    of at most TEMPLATE_VALUES numbers, go to the tasks.
+    With flip the template is turned round, which gives the convolution. Each block of `lags` lags is a row of the bins that it needs, those
+    of the block and of a template more, so blocks of one capture are made on all cores, each by fast Fourier transforms; bins that are
+    missing count as 0. The templates, a model table of at most TEMPLATE_VALUES numbers, go to the tasks.
     """
     rows = templates.limit(TEMPLATE_VALUES + 1).select("label", "bin", F.col("value").cast("double").alias("value")).toPandas()
     if len(rows) > TEMPLATE_VALUES:
         raise ValueError("the templates are too large to be matched whole")
-    known = [(label, own.sort_values("bin")["value"].to_numpy()) for label, own in rows.groupby("label")]
+    known = [(label, own.sort_values("bin")["value"].to_numpy()[:: -1 if flip else 1]) for label, own in rows.groupby("label")]
+    longest = max((len(t) for _, t in known), default=1)
+    size = 1 << (lags + 2 * longest).bit_length()
+    own = signal.select("capture_id", F.col("bin").cast("long").alias("bin"), F.col("value").cast("double").alias("value"))
+    # Block b has the lags from b * lags - (longest - 1) on; a bin is looked at from the lags up to longest - 1 before it.
+    blocks = own.withColumn("block", F.explode(F.sequence(F.floor(F.col("bin") / lags), F.floor((F.col("bin") + longest - 1) / lags))))
+    blocks = blocks.groupBy("capture_id", "block").agg(F.collect_list("bin").alias("bins"), F.collect_list("value").alias("values"))
+    norms = own.groupBy(F.col("capture_id").alias("_capture")).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), (F.max("bin") + 1).alias("n"))
+    blocks = blocks.join(norms, F.col("capture_id") == F.col("_capture")).drop("_capture")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turned = [(label, len(t), np.sqrt((t * t).sum()), np.conj(np.fft.rfft(t, size))) for label, t in known]
         for b in batches:
-            for capture, values in zip(b["capture_id"], b["values"], strict=True):
-                x = np.asarray(values, dtype=np.float64)
-                for label, t in known:
-                    t = t[::-1] if flip else t
-                    out = np.correlate(x, t, "full") / (np.sqrt((x * x).sum()) * np.sqrt((t * t).sum()) + 1e-9)
-                    yield pd.DataFrame({"capture_id": capture, "label": label, "lag": np.arange(1 - len(t), len(x)), "correlation": out})
+            for capture, block, bins, values, norm, n in zip(*(b[c] for c in ("capture_id", "block", "bins", "values", "norm", "n")), strict=True):
+                first = int(block) * lags - (longest - 1)
+                x = np.zeros(size)
+                x[np.asarray(bins) - first] = values
+                spectrum = np.fft.rfft(x)
+                for label, m, own_norm, t in turned:
+                    low, high = max(first, 1 - m), min(first + lags, int(n))
+                    if low < high:
+                        out = np.fft.irfft(spectrum * t, size)[low - first : high - first] / (norm * own_norm + 1e-9)
+                        out[np.abs(out) < 1e-13] = 0.0
+                        yield pd.DataFrame({"capture_id": capture, "label": label, "lag": np.arange(low, high), "correlation": out})
 
     kind = signal.schema["capture_id"].dataType.simpleString()
-    return to_arrays(signal).mapInPandas(run, f"capture_id {kind}, label string, lag long, correlation double")
+    return blocks.mapInPandas(run, f"capture_id {kind}, label string, lag long, correlation double")
 
 
 def signal_features(signal: DataFrame, templates: DataFrame, labels: list[str]) -> DataFrame:

@@ -107,6 +107,31 @@ def traffic_profile(rows: DataFrame, keys: list[str], columns: list[str]) -> Dat
     return rows.groupBy(*keys).agg(*[f(c).cast("double").alias(f"{c}_{name}") for c in columns for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("sum", F.sum))])
 
 
+#: Bytes of a control payload that its profile looks at, and the message types that it counts.
+PAYLOAD_BYTES, MESSAGE_TYPES = 380, (1, 2, 3, 4, 5, 6)
+
+
+def payload_profile(payloads: DataFrame, most: int = HOT) -> DataFrame:
+    """capture_id, profile: 1,536 numbers of a capture's valid control payloads (capture_id, idx, ts_us, payload, kind).
+
+    Of each of the first 380 bytes (as a share of 255; 0 past the end) the mean, the deviation, and the mean and deviation of its
+    change from payload to payload; of the six message types their number in thousands and share; the number of payloads in thousands,
+    the seconds from first to last, mean and deviation of all bytes. Sums per byte go to the shuffle, not bytes.
+    """
+    padded = F.rpad(F.hex(F.substring("payload", 1, PAYLOAD_BYTES)), 2 * PAYLOAD_BYTES, "0")
+    rows = payloads.select("capture_id", "idx", "ts_us", "kind", padded.alias("_hex"))
+    rows = Ordered(rows, ["capture_id"], ["idx"], most).reach(lambda df, w: df.withColumn("_before", F.lag("_hex").over(w)), 1).table()
+    byte = lambda c: F.conv(F.substring(c, 2 * F.col("pos") + 1, F.lit(2)), 16, 10).cast("double") / 255
+    at = rows.select("capture_id", "_hex", "_before", F.explode(F.sequence(F.lit(0), F.lit(PAYLOAD_BYTES - 1))).alias("pos")).select("capture_id", "pos", byte(F.col("_hex")).alias("x"), F.abs(byte(F.col("_hex")) - byte(F.col("_before"))).alias("d"))
+    each = at.groupBy("capture_id", "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("dm"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("ds"), F.avg(F.col("x") * F.col("x")).alias("q"))
+    lists = each.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s", "dm", "ds"))).alias("_l"), F.avg("m").alias("_m"), F.avg("q").alias("_q"))
+    totals = rows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("_n"), ((F.max_by("ts_us", "idx") - F.min_by("ts_us", "idx")) / 1e6).alias("_t"), *[F.count_if(F.col("kind") == k).alias(f"_k{k}") for k in MESSAGE_TYPES])
+    kinds = [F.col(f"_k{k}") for k in MESSAGE_TYPES]
+    parts = [F.col("_l").getField(c) for c in ("m", "s", "dm", "ds")]
+    rest = F.array(*[k / 1000 for k in kinds], *[k / F.col("_n") for k in kinds], F.col("_n") / 1000, F.col("_t"), F.col("_m"), F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0))))
+    return lists.join(totals, "capture_id").select("capture_id", F.concat(*parts, rest).alias("profile"))
+
+
 def signal_bins(packets: DataFrame, bin_us: int, bins: int | None = None) -> DataFrame:
     """Sum of sign * size in each bin from the capture's first packet; bins without packets are 0; the last bin is closed."""
     span = packets.groupBy("capture_id").agg(F.min("ts_us").alias("_t0"), F.max("ts_us").alias("_t1"))

@@ -187,6 +187,24 @@ def s12(spark, sf_dir):
     return tab.task_sequences(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s12_json_tasks", """WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS seq, list(turn ORDER BY turn) AS t FROM conversations GROUP BY 1)
+SELECT conv_id, [CASE conv_id % 3 WHEN 2 THEN list_transform(t, lambda x: CASE x WHEN 0 THEN 'begin' WHEN 1 THEN 'answer' ELSE CAST(x AS VARCHAR) END) ELSE seq END] AS seqs FROM r""")
+def s12b(spark, sf_dir):
+    """The roles of each conversation as a task file: a list of entries, an object with sequences, or one of ids with a map of actions."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    seq = F.transform("r", lambda x: F.concat(F.lit(" "), x["role"]))
+    entry = F.struct(seq.alias("sequence"))
+    ids = F.struct(F.create_map(F.lit("0"), F.lit("begin"), F.lit("1"), F.lit("answer ")).alias("actions"), F.array().cast("array<string>").alias("sequences"), F.array(F.struct(F.transform("r", lambda x: x["turn"].cast("double")).alias("actions"))).alias("task_sequences"))
+    text = F.when(F.col("conv_id") % 3 == 0, F.to_json(F.array(seq))).when(F.col("conv_id") % 3 == 1, F.to_json(F.struct(F.array(entry).alias("normal_templates")))).otherwise(F.to_json(ids))
+    seqs = tab.task_sequences_json(text)
+    return rows.select("conv_id", F.transform(seqs, lambda s: F.transform(s, lambda x: F.regexp_replace(x, r"\.0$", ""))).alias("seqs"))
+
+
+@query("s12_default_tasks", "WITH l AS (SELECT DISTINCT event_type AS x FROM events) SELECT list(x ORDER BY x) AS seq FROM l")
+def s12c(spark, sf_dir):
+    return tab.default_tasks(table(spark, sf_dir, "events"), "event_type")
+
+
 @query("f40_compact_lists", "SELECT label, list(vec_id ORDER BY vec_id)[:40] AS first, greatest(count(*) - 40, 0) AS more FROM embeddings GROUP BY 1")
 def f40(spark, sf_dir):
     return tab.first_of_group(table(spark, sf_dir, "embeddings"), "label", "vec_id", 40)

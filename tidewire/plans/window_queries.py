@@ -84,6 +84,18 @@ def a14(spark, sf_dir):
     return rounded(out.select("capture_id", "window_idx", "valid_payload_count", "payload_byte_count", "valid_payload_ratio", *types), ["valid_payload_ratio", *[c for c in types if c.endswith("ratio")]])
 
 
+@query("a19_payload_profile", with_sql(P, _CTL) + """, g AS (SELECT capture_id, count(*) AS n, max(ts_us) - min(ts_us) AS t, avg(CASE WHEN b = 0 THEN c.t / 255.0::DOUBLE WHEN b = 1 THEN 9 / 255.0::DOUBLE END) AS x, """ + ", ".join(f"count(*) FILTER (c.t = {k} AND b = 0) AS n{k}" for k in range(1, 7)) + """
+  FROM v AS c JOIN p USING (capture_id, idx), range(0, 2) AS r(b) WHERE status = 'ok' GROUP BY capture_id),
+f AS (SELECT capture_id, avg(t / 255.0::DOUBLE) AS first, stddev_pop(t / 255.0::DOUBLE) AS spread, avg(d) AS jump FROM (SELECT capture_id, c.t, abs(c.t - lag(c.t) OVER (PARTITION BY capture_id ORDER BY idx)) / 255.0::DOUBLE AS d FROM v AS c WHERE status = 'ok') GROUP BY 1)
+SELECT capture_id, 1536 AS size, round(first, 9) AS first, round(9 / 255.0::DOUBLE, 9) AS second, round(spread, 9) AS spread, round(jump, 9) AS jump, round(n / 2 / 1000, 9) AS count, round(t / 1000000.0::DOUBLE, 6) AS seconds, """ + ", ".join(f"round(n{k} / (n / 2), 9) AS r{k}" for k in range(1, 7)) + " FROM g JOIN f USING (capture_id)")
+def a19(spark, sf_dir):
+    """Parts of the payload profile that SQL can tell without the bytes: first two bytes, number, seconds, shares of the types."""
+    own = control_packets(spark, sf_dir).where(control_status(F.col("control")) == "ok").select("capture_id", "idx", "ts_us", F.col("control").alias("payload"), control_type(F.col("control")).alias("kind"))
+    at = lambda i: F.get("profile", F.lit(i))
+    shares = {f"r{k}": F.round(at(1526 + k - 1), 9) for k in range(1, 7)}
+    return ops.payload_profile(own).select("capture_id", F.size("profile").alias("size"), F.round(at(0), 9).alias("first"), F.round(at(1), 9).alias("second"), F.round(at(380), 9).alias("spread"), F.round(at(760), 9).alias("jump"), F.round(at(1532), 9).alias("count"), F.round(at(1533), 6).alias("seconds"), *[v.alias(k) for k, v in shares.items()])
+
+
 @query("w4_gap_in_window", with_sql(P, _W) + " SELECT idx, coalesce(gap, 0) AS gap FROM x")
 def w4(spark, sf_dir):
     from pyspark.sql import Window

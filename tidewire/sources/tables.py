@@ -68,10 +68,48 @@ def task_sequences(lines: DataFrame, text: str = "value") -> DataFrame:
     return own.select("*", sequence_text(F.col(text)).alias("seq")).where(F.size("seq") > 0)
 
 
-def task_sequences_json(text: Column) -> Column:
-    """Sequences of a JSON text under any of its usual keys; entries are lists of labels."""
-    paths = ("$.task_sequences", "$.sequences", "$.training_sequences", "$.templates", "$.normal_templates")
-    return F.coalesce(*[F.from_json(F.get_json_object(text, p), "array<array<string>>") for p in paths])
+#: Keys under which a file of task sequences may hold them, the first that isn't empty counts; and those of its map of action ids.
+TASK_KEYS, MAP_KEYS = ("sequences", "normal_sequences", "task_sequences", "normal_templates", "training_sequences", "templates"), ("actions", "action_map")
+
+
+def _entry(entry: Column) -> Column:
+    """The labels of an entry of JSON text: a list of values, or an object that has one as sequence or actions; null for neither."""
+    labels = lambda c: F.from_json(c, "array<string>")
+    return F.when(entry.startswith("["), labels(entry)).when(entry.startswith("{"), F.coalesce(labels(F.get_json_object(entry, "$.sequence")), labels(F.get_json_object(entry, "$.actions"))))
+
+
+def task_sequences_json(text: Column, known: Column | None = None) -> Column:
+    """Sequences of a JSON text: a list of entries, or an object that has one under a usual key. An entry is a list of labels or an object.
+
+    Labels are trimmed, blank ones and entries without any left out. Ids that the text's own map of actions has, or else `known` (a
+    map column), become its labels; a number is found with and without decimals (3, 3.0).
+    """
+    whole = F.trim(text)
+    lists = [F.from_json(F.get_json_object(whole, f"$.{k}"), "array<string>") for k in TASK_KEYS]
+    own = F.when(whole.startswith("["), F.from_json(whole, "array<string>")).otherwise(F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists]))
+    maps = [F.from_json(F.get_json_object(whole, f"$.{k}"), "map<string,string>") for k in MAP_KEYS]
+    names = F.coalesce(*[F.when(F.size(m) > 0, m) for m in maps], *([known] if known is not None else []))
+    label = lambda x: F.coalesce(names[F.trim(x)], names[F.regexp_replace(F.trim(x), r"^(-?[0-9]+)\.0+$", "$1")], F.trim(x))
+    cleaned = F.transform(F.filter(F.transform(own, _entry), lambda e: e.isNotNull()), lambda e: F.filter(F.transform(F.array_compact(e), lambda x: F.trim(label(x))), lambda x: x != ""))
+    return F.filter(cleaned, lambda e: F.size(e) > 0)
+
+
+# The sequences that stand for a task file where there is none, of those whose labels are all known.
+DEFAULT_TASKS = [["hello", "walk", "step"], ["hello", "jump"], ["walk", "step", "jump"]]
+
+
+def default_tasks(labels: DataFrame, column: str = "label") -> DataFrame:
+    """seq: the default sequences whose labels are all among the given ones; if there are none, one sequence of all different labels in order.
+
+    Labels are a vocabulary; no labels give no sequence.
+    """
+    spark, own = labels.sparkSession, labels.select(F.col(column).alias("label")).where("label IS NOT NULL").distinct()
+    tasks = spark.createDataFrame([(i, t) for i, t in enumerate(DEFAULT_TASKS)], "i int, seq array<string>")
+    held = tasks.select("i", F.explode("seq").alias("label")).join(own, "label").groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    usable = tasks.join(held, "i").where(F.col("n") == F.size("seq")).select("i", "seq")
+    all_ = own.agg(F.lit(len(DEFAULT_TASKS)).alias("i"), F.sort_array(F.collect_list("label")).alias("seq")).where(F.size("seq") > 0)
+    both = usable.unionByName(all_).withColumn("least", F.min("i").over(Window.partitionBy()))
+    return both.where((F.col("i") < len(DEFAULT_TASKS)) | (F.col("least") == len(DEFAULT_TASKS))).select("seq")
 
 
 def write_report(df: DataFrame, folder: str, by: tuple[str, ...] = (), kind: str = "parquet") -> None:
