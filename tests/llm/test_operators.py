@@ -476,3 +476,28 @@ def test_language_by_compression(spark, sf_dir):
     assert [r.lang_pred for r in identify_language(odd, content, keep=["doc_id"]).orderBy("doc_id").collect()][:3] == ["und"] * 3
     assert {r.lang_pred for r in identify_language(odd, {}, keep=["doc_id"]).collect()} == {"und"}
     assert dictionaries(docs.limit(0)) == {}
+
+
+def test_language_against_plain_compression(spark, sf_dir):
+    """Sizes by zstandard itself, text by text; ties go to the first name."""
+    import zstandard
+
+    from tidewire.llm import language_id
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    content = dictionaries(docs)
+    rows = docs.where("length(text) > 0").orderBy("lang", "doc_id").collect()
+    some = [r for k, r in enumerate(rows) if k % 3 == 0][:64] + [max(rows, key=lambda r: len(r.text))]
+    assert len({r.lang for r in some}) == len(content) >= 4 and max(len(r.text.encode()) for r in some) > language_id.PIECE
+    got = {r.doc_id: r for r in identify_language(spark.createDataFrame([(r.doc_id, r.text) for r in some], DOC), content, keep=["doc_id"]).collect()}
+    for r in some:
+        text = r.text.lower().encode()
+        sizes = {}
+        for lang, own in content.items():
+            data = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=data, write_content_size=False).compress(text[a : a + language_id.PIECE])) for a in range(0, len(text), language_id.PIECE))
+        (best, lang), (second, _) = sorted((n, k) for k, n in sizes.items())[:2]
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].margin == pytest.approx((second - best) / second) and got[r.doc_id].score == pytest.approx(second / (second + best))
+    same = {"b": content["en"], "a": content["en"], "c": content["de"]}
+    tied = identify_language(spark.createDataFrame([(r.doc_id, r.text) for r in some if r.lang == "en"], DOC), dict(sorted(same.items())), keep=["doc_id"]).collect()
+    assert {(r.lang_pred, r.score, r.margin, r.rejected) for r in tied} == {("a", 0.5, 0.0, True)}
