@@ -601,3 +601,47 @@ def test_models_find_what_is_planted(spark):
     assert all((p > 0.5) == (i % 2 == 1) for i, p in scores.items()) and len(scores) == 40
     names = [n for n, _ in outliers.importances(outliers.action_classifiers(20)["forest"].fit(outliers.balanced(train, "label")), ["tells", "noise"])]
     assert names == ["tells", "noise"]
+
+
+def test_merges_of_a_round_are_those_of_one_after_the_other(spark, monkeypatch):
+    import collections
+
+    from tidewire.operators import corpora
+
+    def one_by_one(words, merges):
+        words, out = [(list(w), n) for w, n in words.items()], []
+        while len(out) < merges:
+            pairs = collections.Counter()
+            for parts, n in words:
+                for x, y in zip(parts, parts[1:]):
+                    pairs[x, y] += n
+            if not pairs:
+                break
+            best = min(pairs, key=lambda p: (-pairs[p], p))
+            out.append(best)
+            for k, (parts, n) in enumerate(words):
+                own, i = [], 0
+                while i < len(parts):
+                    if tuple(parts[i : i + 2]) == best:
+                        own.append(parts[i] + parts[i + 1])
+                        i += 2
+                    else:
+                        own.append(parts[i])
+                        i += 1
+                words[k] = (own, n)
+        return out
+
+    rng = random.Random(3)
+    rounds = []
+    cut = corpora.checkpointed
+    monkeypatch.setattr(corpora, "checkpointed", lambda df: (rounds.append(1), cut(df))[1])
+    for letters, size, merges in (("abcdefghijklmnop", 400, 120), ("ab", 60, 40), ("abc", 5, 1000)):
+        words = collections.Counter()
+        stems = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(40)]
+        for _ in range(size):
+            words["".join(rng.choice(stems) for _ in range(rng.randrange(1, 4)))] += rng.randrange(1, 50)
+        rows = [(w,) for w, n in words.items() for _ in range(n)]
+        rounds.clear()
+        assert corpora.learn_merges(spark.createDataFrame(rows, "token string"), merges) == one_by_one(words, merges)
+        if merges == 120:
+            assert len(rounds) < merges / 2

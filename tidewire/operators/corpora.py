@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .scans import HOT, Ordered, ranked
 
 RESERVED = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -178,24 +179,72 @@ def finite_or_zero(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(bad(c), 0.0).otherwise(F.col(c)) for c in columns})
 
 
-def learn_merges(tokens: DataFrame, merges: int) -> list[tuple[str, str]]:
-    """Byte-pair merges over the different words: the most frequent pair each round, ties by name; one small row per round comes back."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(F.array_compact(F.transform(F.split("token", ""), lambda c: F.when(c != "", c))).alias("parts"), "n")
-    counts = counts.persist()
+def sure_merges(pairs: list[tuple[str, str, int]], known: set[str], room: int, all_: bool) -> list[tuple[str, str]]:
+    """The merges that are next, one after the other, as far as the most frequent pairs alone can tell; at least the first.
+
+    pairs: (a, b, n) by falling frequency, then by name; all_: whether there are no others. A pair is sure to be next if none before it in
+    the list shares a symbol with it: then its own count stands. A pair that a merge makes occurs at most as often as the one that it
+    comes from, which has a symbol of the merge and stands further down; only where that one is as frequent may the new one come first by name, so
+    the list ends there. It also ends after a merge into a symbol that is there already, as its counts then add up.
+    """
+    out: list[tuple[str, str]] = []
+    used: set[str] = set()
+    for a, b, n in pairs:
+        if out:
+            tied = any(m == n and (x, y) not in out and (x in used or y in used) for x, y, m in pairs)
+            if a in used or b in used or tied or (not all_ and n == pairs[-1][2]):
+                break
+        out.append((a, b))
+        used |= {a, b}
+        again = a + b in known
+        known.add(a + b)
+        if again or len(out) == room:
+            break
+    return out
+
+
+def learn_merges(tokens: DataFrame, merges: int, looked_at: int = 2000) -> list[tuple[str, str]]:
+    """Byte-pair merges over the different words: the most frequent pair each time, ties by name.
+
+    A round counts all pairs, brings the `looked_at` most frequent to the driver, and does all merges that they make sure, see
+    `sure_merges`, in one pass over the words, whose lineage is cut in the shared folder.
+    """
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words_ = checkpointed(counts.select(F.array_compact(F.transform(F.split("token", ""), lambda c: F.when(c != "", c))).alias("parts"), "n").where(F.size("parts") > 1))
     out: list[tuple[str, str]] = []
-    for _ in range(merges):
-        pairs = counts.where(F.size("parts") > 1).select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 2), lambda i: F.struct(F.get("parts", i).alias("a"), F.get("parts", i + 1).alias("b")))).alias("p"))
-        best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None:
+    known: set[str] = set()
+
+    def merged(batch: list[tuple[str, str]]):
+        follows = dict(batch)  # no symbol is in two of them
+
+        def run(batches):
+            import pyarrow as pa
+
+            for rows in batches:
+                new = []
+                for parts in rows.column("parts").to_pylist():
+                    own, i = [], 0
+                    while i < len(parts):
+                        if i + 1 < len(parts) and follows.get(parts[i]) == parts[i + 1]:
+                            own.append(parts[i] + parts[i + 1])
+                            i += 2
+                        else:
+                            own.append(parts[i])
+                            i += 1
+                    new.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(new, type=pa.list_(pa.string())), rows.column("n")], names=["parts", "n"])
+
+        return run
+
+    while len(out) < merges:
+        pairs = words_.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 2), lambda i: F.struct(F.get("parts", i).alias("a"), F.get("parts", i + 1).alias("b")))).alias("p"))
+        rows = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(looked_at).collect()
+        if not rows:
             break
-        out.append((best.a, best.b))
-        merged = best.a + best.b
-        start = F.array().cast("array<string>")
-        joined = F.aggregate("parts", start, lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == best.a) & (x == best.b), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(merged)))).otherwise(F.concat(acc, F.array(x))))  # noqa: B023
-        counts = counts.select(joined.alias("parts"), "n")
-        if len(out) % 10 == 0:  # cut the growing plan in the folder that executors share, where there is one
-            if counts.sparkSession.sparkContext.getCheckpointDir():
-                counts = counts.checkpoint()
+        batch = sure_merges([(r.a, r.b, r.n) for r in rows], known, merges - len(out), len(rows) < looked_at)
+        out += batch
+        if len(out) < merges:
+            words_ = checkpointed(words_.mapInArrow(merged(batch), "parts array<string>, n long").where(F.size("parts") > 1))
     return out
 
 
