@@ -13,7 +13,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, s
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in con.description]
