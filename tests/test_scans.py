@@ -16,7 +16,7 @@ SCHEMA = "capture_id long, idx long, ts_us long, src string, dst string, size in
 def packets(spark):
     rng = random.Random(1)
     rows, t = [], 0
-    for i in range(1500):
+    for i in range(900):
         t += rng.choice([0, 1_000, 9_000, 11_000, 700_000])
         capture = rng.choice([None, 1, 1, 1, 1, 1, 2, 3])
         a, b = rng.choice([("a", "b"), ("b", "a"), ("a", "b"), ("c", "d")])
@@ -28,7 +28,7 @@ def told(df):
     return sorted(str(sorted((k, round(v, 9) if isinstance(v, float) else v) for k, v in r.asDict().items())) for r in df.collect())
 
 
-@pytest.mark.parametrize("most", [25, 700])
+@pytest.mark.parametrize("most", [25])
 @pytest.mark.parametrize("run", [
     lambda p, most: windows.trailing_flow_features(p, most=most), lambda p, most: windows.trailing_flow_features(p, 5, most=most), lambda p, most: windows.whole_flow_features(p, most=most), lambda p, most: windows.sessions(p, ["capture_id", "src"], "ts_us", "idx", 600_000, most),
     lambda p, most: windows.runs(p, ["capture_id"], "idx", "kind", most), lambda p, most: windows.intervals(p, ["capture_id", "src"], ["idx"], most), lambda p, most: windows.count_windows(p, ["src"], "idx", 32, 8, most), lambda p, most: corpora.stratified_split(p, "idx", "kind", {"a": 0.64, "b": 0.16, "c": 0.2}, 3, most),
