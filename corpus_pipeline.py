@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and n_chars
 follows the text. run() applies them to documents, each over the written result of the one before. Columns of docs may have any
-names: a stage sees them under names of their own, so none can clash with those of an operator.
+names: a stage sees them under names of their own, so none can clash with those of an operator. Stages that run Python bound the
+session's Arrow batches by bytes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import discard, shared_folder, shielded, table
+from tidewire.llm.common import bounded_batches, discard, shared_folder, shielded, table
 from tidewire.llm.decontaminate import decontaminate
 from tidewire.llm.line_dedup import line_dedup
 from tidewire.llm.mixing import mix_sources
@@ -31,6 +32,7 @@ def _rewritten(frame: DataFrame, new: dict[str, str], changed) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
+    bounded_batches(spark)
     own, new = shielded(docs)
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", new["doc_id"])
     scored = score_quality(own, labels, id_col=new["doc_id"], text_col=new["text"], source_col=new["source"], lang_col=new["lang"])
@@ -45,6 +47,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the least id; of rows with its id and text, the least by the other columns as JSON."""
+    bounded_batches(spark)
     own, new = shielded(docs)
     stays = near_duplicates(docs).where("stays").select(F.col("_id").alias("own"), F.concat("_digest", F.lit(b"")).alias("digest"))
     digest = F.unhex(F.md5(F.coalesce(F.col(new["text"]), F.lit("")).cast("binary")))
@@ -56,6 +59,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of benchmark windows; those that hold nothing else go."""
+    bounded_batches(spark)
     own, new = shielded(docs)
     found = decontaminate(own, table(spark, sf_dir, "benchmark"), text_col=new["text"], cut_text=True)
     return _rewritten(found.where("_n_hit = 0 OR _n_hit < _n_words"), new, F.col("_n_hit") > 0)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewire.llm import queries
+from tidewire.llm import decontaminate, near_dedup, quality, queries
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size int, _text string"
 
@@ -49,3 +49,26 @@ def test_benchmark_stage_cuts_passages(spark, sf_dir):
 def test_run_returns_the_mix(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.where("taken <= 0").count() == 0 and out.agg(F.countDistinct("doc_id")).first()[0] > 100
+
+
+def test_stages_bound_the_batches_of_long_texts(spark, sf_dir, monkeypatch):
+    def checked(make):
+        def made(*args):
+            run = make(*args)
+
+            def each(batches):
+                for batch in batches:
+                    assert batch.nbytes < 3 << 20 or batch.num_rows == 1, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            return lambda batches: run(each(batches))
+
+        return made
+
+    for module, name in ((quality, "_counted"), (near_dedup, "_count_features"), (near_dedup, "_sign"), (decontaminate, "_scan")):
+        monkeypatch.setattr(module, name, checked(getattr(module, name)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    least = docs.agg(F.min("doc_id")).first()[0]
+    long = docs.withColumn("text", F.expr(f"repeat(text, if(doc_id = {least}, 2000, 20))")).coalesce(1)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.near_stage, corpus_pipeline.benchmark_stage):
+        stage(spark, long, sf_dir).write.format("noop").mode("overwrite").save()
