@@ -3,7 +3,9 @@
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tidewire.operators import conformance, metrics
 from tidewire.plans import model_queries, sequence_queries, source_queries  # noqa: F401
 from tidewire.plans.registry import QUERIES, SQL
 
@@ -24,3 +26,17 @@ def test_a_source_port_of_a_service_is_no_protocol(spark, tmp_path):
     con = events(tmp_path, [(u, "view") for u in (859, 7056, 3) for _ in range(8)])
     want = con.execute(SQL["f11_protocol"]).fetchall()
     assert sorted(map(tuple, QUERIES["f11_protocol"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_probabilities_round_like_sql(spark):
+    """Halves of the fourth digit, which doubles hold a hair below or above: 0.16115 and the like."""
+    halves = [(i, (2 * i + 1) / 20_000) for i in range(10_000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE h AS SELECT range AS i, (2 * range + 1) / 20000 AS v FROM range(10000)")
+    want = dict(con.execute("SELECT i, round(v, 4) FROM h").fetchall())
+    rows = spark.createDataFrame(halves, "i long, v double")
+    assert {r.i: r.r for r in rows.select("i", metrics.sql_round(F.col("v"), 4).alias("r")).collect()} == want
+    histories = spark.createDataFrame([("x", ["a"])], "id string, history array<string>")
+    contexts = spark.createDataFrame([("a", "b", 0.83885, 100), ("a", "c", 0.16115, 100)], "context string, dst string, p double, support long")
+    got = {r.action: r.probability for r in conformance.predict_next(histories, contexts).collect()}
+    assert got["c"] == 0.1611 == con.execute("SELECT round(0.16115::DOUBLE, 4)").fetchone()[0] and got["b"] == con.execute("SELECT round(0.83885::DOUBLE, 4)").fetchone()[0]

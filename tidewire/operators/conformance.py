@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources import models
 from .edits import nearest_templates
+from .metrics import sql_round
 from .scans import ranked
 
 END = "__END__"
@@ -54,7 +55,7 @@ def clean_sequence(seq: Column) -> Column:
 
 
 def _normalised(counts: DataFrame, key: str) -> DataFrame:
-    return counts.withColumns({"p": F.round(F.col("n") / F.sum("n").over(Window.partitionBy(key)), 6), "support": F.sum("n").over(Window.partitionBy(key))})
+    return counts.withColumns({"p": sql_round(F.col("n") / F.sum("n").over(Window.partitionBy(key)), 6), "support": F.sum("n").over(Window.partitionBy(key))})
 
 
 def transition_matrix(steps: DataFrame, end: str = END) -> DataFrame:
@@ -197,7 +198,7 @@ def _scaled(table: DataFrame, end: str) -> DataFrame:
     """A transition table with the risk of each action: 1 less its probability over the greatest of its kind (the end counts apart)."""
     scale = Window.partitionBy("context")
     most = F.when(F.col("dst") == end, F.max("p").over(scale)).otherwise(F.coalesce(F.max(F.when(F.col("dst") != end, F.col("p"))).over(scale), F.max("p").over(scale)))
-    return table.withColumn("risk", F.round(1 - F.col("p") / most, 4)).withColumn("rank", F.row_number().over(scale.orderBy(F.desc("p"), "dst")))
+    return table.withColumn("risk", sql_round(1 - F.col("p") / most, 4)).withColumn("rank", F.row_number().over(scale.orderBy(F.desc("p"), "dst")))
 
 
 def _within(rules: DataFrame | None, rows: DataFrame, action: str) -> DataFrame:
@@ -226,7 +227,7 @@ def predict_next(histories: DataFrame, contexts: DataFrame, matrix: DataFrame |
         table = table.unionByName(starts.crossJoin(F.broadcast(total)).select(F.lit(START).alias("context"), F.col("action").alias("dst"), "p", "support"))
     ranked = _scaled(table, end).where(F.col("rank") <= top)
     out = found.select(*own, "context").join(small(ranked), "context").withColumnRenamed("dst", "action")
-    return _within(rules, out, "action").select("id", "rank", "action", F.round("p", 4).alias("probability"), "risk", "support")
+    return _within(rules, out, "action").select("id", "rank", "action", sql_round(F.col("p"), 4).alias("probability"), "risk", "support")
 
 
 def transition_analysis(steps: DataFrame, matrix: DataFrame, contexts: DataFrame, forbidden: DataFrame | None = None, embeddings: DataFrame | None = None, threshold: float = 0.08, most: int = 3, end: str = END, rules: DataFrame | None = None) -> DataFrame:
@@ -272,8 +273,8 @@ def transition_analysis(steps: DataFrame, matrix: DataFrame, contexts: DataFrame
     decision = F.when(F.col("_known").isNull() | F.col("_against").isNotNull() | F.col("rule").isNotNull(), "ANOMALY").when(cp >= threshold, "NORMAL").otherwise("DEVIATION")
     reason = F.when(F.col("_known").isNull(), "unknown action").when(F.col("_against").isNotNull(), F.col("_against")).when(F.col("rule").isNotNull(), "forbidden").when(cp >= threshold, "matches context").when(cp > 0, "rare").when(F.coalesce("similarity", F.lit(0.0)) >= 0.82, "similar role").otherwise("unseen")
     level = F.when(F.col("rule").isNotNull(), "forbidden").when(decision == "ANOMALY", "unseen").when(decision == "DEVIATION", "low").when(F.col("_row").isNull(), "unknown").when(F.col("mp").isNull(), "unseen").when(mp >= 0.25, "high").when(mp >= 0.10, "medium").otherwise("low")
-    risk = F.round(F.when(F.col("_top") > 0, 1 - cp / F.col("_top")).otherwise(1.0), 4)
-    return out.select("seq_id", "pos", "previous", "actual", "context", F.round(mp, 4).alias("probability"), F.round(cp, 4).alias("context_probability"), decision.alias("decision"), reason.alias("reason"), risk.alias("risk"), level.alias("level"), (F.col("_row").isNotNull() | F.col("rule").isNotNull()).alias("scored"))
+    risk = sql_round(F.when(F.col("_top") > 0, 1 - cp / F.col("_top")).otherwise(1.0), 4)
+    return out.select("seq_id", "pos", "previous", "actual", "context", sql_round(mp, 4).alias("probability"), sql_round(cp, 4).alias("context_probability"), decision.alias("decision"), reason.alias("reason"), risk.alias("risk"), level.alias("level"), (F.col("_row").isNotNull() | F.col("rule").isNotNull()).alias("scored"))
 
 
 def transition_summary(analysis: DataFrame) -> DataFrame:

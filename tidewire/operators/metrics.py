@@ -131,3 +131,9 @@ def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(1.0)
+
+
+def sql_round(c: Column, digits: int) -> Column:
+    """Rounded as DuckDB's round() does it on doubles: the product with the power of ten to a whole number, halves away from 0. Spark's
+    own takes the shortest decimal, so that 0.16115 becomes 0.1612 there and 0.1611 here."""
+    return F.round(c.cast("double") * float(10**digits), 0) / float(10**digits)
