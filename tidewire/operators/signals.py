@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .edits import near_pairs
+from ..sources.shared import checkpointed
+from .edits import alike, by_blocks, near_pairs
 from .metrics import edit_similarity
 
 
@@ -124,29 +126,49 @@ def template_distances(signal: DataFrame, templates: DataFrame) -> DataFrame:
 PIECES = 0.65
 
 
+#: Samples of a block whose pairs are all told.
+PAIRED = 512
+
+
+def _kind(samples: DataFrame, column: str) -> str:
+    return samples.schema[column].dataType.simpleString()
+
+
+def _coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The different values of some columns in order, and the number of each column's values among them."""
+    values = [v for c in columns for v in c.to_pylist()]
+    known = sorted(set(values))
+    number = {v: i for i, v in enumerate(known)}
+    codes, ends = np.array([number[v] for v in values], dtype=np.int64), np.cumsum([len(c) for c in columns])
+    return pa.array(known, type=columns[0].type), np.split(codes, ends[:-1])
+
+
 def text_pairs(samples: DataFrame, within: bool = True, least: float | None = None) -> DataFrame:
     """sample_a, sample_b, label_a, label_b, similarity of pairs of samples (sample, label, text), within a label or across.
 
-    Different texts are compared once: within a label each with itself and the later ones. With `least` from PIECES on only those that
-    share a piece, see `edits.near_pairs`; below it pieces of one or two letters would bring all together anyway, so texts meet in length
-    bands only, as similarity s needs lengths in ratio s.
+    With `least` from PIECES on only texts that share a piece meet, see `edits.near_pairs`; below it pieces of one or two letters would
+    bring all together anyway, so all texts are compared, by blocks of samples: different texts of two blocks once.
     """
-    texts = samples.select("label", "text").distinct()
     if least is None or least < PIECES:
-        a = texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("label").alias("label_b"), F.col("text").alias("text_b"))
-        on = (F.col("label_a") == F.col("label_b")) & (F.col("text_a") <= F.col("text_b")) if within else (F.col("label_a") < F.col("label_b"))
-        if least is not None:
-            band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -F.log(F.lit(least)))
-            a = a.withColumn("_band", F.explode(F.sequence(band(F.length("text_a")) - 1, band(F.length("text_a")) + 1)))
-            b = b.withColumn("_band_b", band(F.length("text_b")))
-            on = on & (F.col("_band") == F.col("_band_b"))
-        pairs = a.join(b, on).withColumn("similarity", edit_similarity(F.col("text_a"), F.col("text_b")))
-        pairs = pairs if least is None else pairs.where(F.col("similarity") >= least)
-    else:
-        pairs = near_pairs(texts, least, within)
-        if within:
-            pairs = pairs.unionByName(texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"), F.col("label").alias("label_b"), F.col("text").alias("text_b"), F.lit(1.0).alias("similarity")))
+
+        def fold(a: pa.Table, b: pa.Table, similarity: np.ndarray, same: bool) -> pa.Table:
+            names, (i, j) = _coded(a["sample"], b["sample"])
+            labels, (x, y) = _coded(a["label"], b["label"])
+            kept = np.ones(similarity.shape, dtype=bool) if least is None else similarity >= least
+            kept &= ~((similarity == 1) & (i[:, None] == j[None, :])) if within else x[:, None] != y[None, :]
+            p, q = np.nonzero(np.triu(kept, 1) if same else kept)
+            swap = i[p] > j[q] if within else x[p] > y[q]
+            out = {}
+            for name, known, left, right in (("sample", names, i[p], j[q]), ("label", labels, x[p], y[q])):
+                out[f"{name}_a"], out[f"{name}_b"] = known.take(pa.array(np.where(swap, right, left))), known.take(pa.array(np.where(swap, left, right)))
+            return pa.table({c: out[c] for c in ("sample_a", "sample_b", "label_a", "label_b")} | {"similarity": similarity[p, q]})
+
+        schema = ", ".join(f"{c}_{k} {_kind(samples, c)}" for c in ("sample", "label") for k in "ab") + ", similarity double"
+        return by_blocks(samples.select("sample", "label", "text"), fold, schema, within, most=PAIRED)
+    texts = samples.select("label", "text").distinct()
+    pairs = near_pairs(texts, least, within)
+    if within:
+        pairs = pairs.unionByName(texts.select(F.col("label").alias("label_a"), F.col("text").alias("text_a"), F.col("label").alias("label_b"), F.col("text").alias("text_b"), F.lit(1.0).alias("similarity")))
     left = samples.select(F.col("sample").alias("_a"), F.col("label").alias("label_a"), F.col("text").alias("text_a"))
     right = samples.select(F.col("sample").alias("_b"), F.col("label").alias("label_b"), F.col("text").alias("text_b"))
     out = pairs.join(left, ["label_a", "text_a"]).join(right, ["label_b", "text_b"])
@@ -156,58 +178,125 @@ def text_pairs(samples: DataFrame, within: bool = True, least: float | None = No
     return out.select(F.least("_a", "_b").alias("sample_a"), F.greatest("_a", "_b").alias("sample_b"), "label_a", "label_b", "similarity")
 
 
+def different_texts(samples: DataFrame) -> DataFrame:
+    """label, text, n, sample: the different texts of each label, their number of samples and the least of these."""
+    return samples.groupBy("label", "text").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("sample"))
+
+
 def separability(samples: DataFrame) -> DataFrame:
-    """Mean similarity within and between labels, and their difference."""
-    one = text_pairs(samples, True).agg(F.avg("similarity").alias("within"))
-    other = text_pairs(samples, False).agg(F.avg("similarity").alias("between"))
-    return one.crossJoin(other).withColumn("separability", F.col("within") - F.col("between"))
+    """Mean similarity within and between labels, and their difference; different texts are compared once and count with their samples."""
+    texts = different_texts(samples)
+
+    def fold(a: pa.Table, b: pa.Table, similarity: np.ndarray, same: bool) -> pa.Table:
+        _, (x, y) = _coded(a["label"], b["label"])
+        weight = a["n"].to_numpy()[:, None] * b["n"].to_numpy()[None, :]
+        weight = np.triu(weight, 1) if same else weight
+        own = np.where(x[:, None] == y[None, :], weight, 0)
+        other = weight - own
+        return pa.table({"w": [float((similarity * own).sum())], "wn": [int(own.sum())], "b": [float((similarity * other).sum())], "bn": [int(other.sum())]})
+
+    found = by_blocks(texts.select("label", "text", "n"), fold, "w double, wn long, b double, bn long", False)
+    copies = texts.where("label IS NOT NULL AND text IS NOT NULL").select((F.col("n") * (F.col("n") - 1) / 2).cast("double").alias("w"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("wn"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("bn"))
+    total = found.unionByName(copies).agg(*[F.sum(c).alias(c) for c in ("w", "wn", "b", "bn")])
+    mean = lambda c: F.when(F.col(f"{c}n") > 0, F.col(c) / F.nullif(F.col(f"{c}n"), F.lit(0)))
+    return total.select(mean("w").alias("within"), mean("b").alias("between")).withColumn("separability", F.col("within") - F.col("between"))
+
+
+def _beside(samples: DataFrame, least: float) -> DataFrame:
+    """label, text, n, sample of the different texts, total and hits: over the samples of the label's other texts the sum of the similarities,
+    and how many are at least `least`; all: the label's samples. A null text has no others."""
+    texts = different_texts(samples)
+
+    def fold(a: pa.Table, b: pa.Table, similarity: np.ndarray, same: bool) -> pa.Table:
+        hits = similarity >= least
+        if same:
+            np.fill_diagonal(similarity, 0)
+            np.fill_diagonal(hits, False)
+        sides = [(a, similarity @ b["n"].to_numpy().astype(float), hits @ b["n"].to_numpy())]
+        if not same:
+            sides.append((b, similarity.T @ a["n"].to_numpy().astype(float), hits.T @ a["n"].to_numpy()))
+        return pa.concat_tables([t.select(["label", "sample"]).append_column("total", pa.array(x)).append_column("hits", pa.array(h)) for t, x, h in sides])
+
+    own = texts.select("label", "text", "n", "sample")
+    sums = by_blocks(own, fold, f"label {_kind(samples, 'label')}, sample {_kind(samples, 'sample')}, total double, hits long", True)
+    sums = sums.groupBy("label", "sample").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"))
+    sizes = own.where("text IS NOT NULL").groupBy("label").agg(F.sum("n").alias("all"))
+    none = lambda c, v: F.coalesce(c, F.lit(v))
+    out = own.join(sums.withColumn("_text", F.lit(True)), ["label", "sample"], "left").join(sizes, "label", "left")
+    return out.select("label", "text", "n", "sample", none("total", 0.0).alias("total"), none("hits", 0).alias("hits"), none("all", 1).alias("all"))
 
 
 def medoid_templates(samples: DataFrame, support: float = 0.7) -> DataFrame:
     """One template per label: the sample of the highest mean similarity to the label's samples (itself included), ties to the least sample."""
-    half = text_pairs(samples, True)
-    both = half.select("label_a", F.col("sample_a").alias("sample"), "similarity").unionByName(half.select("label_a", F.col("sample_b").alias("sample"), "similarity")).unionByName(samples.select(F.col("label").alias("label_a"), "sample", F.lit(1.0).alias("similarity")))
-    scored = both.groupBy(F.col("label_a").alias("label"), "sample").agg(F.avg("similarity").alias("mean_similarity"), F.count_if(F.col("similarity") >= support).alias("support"))
-    best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.round("mean_similarity", 9)), "sample"))
-    return scored.withColumn("_r", best).where("_r = 1").drop("_r").join(samples.select("sample", "label", "text"), ["sample", "label"])
+    known = F.col("text").isNotNull()
+    copies = F.when(known, F.col("n")).otherwise(1)
+    mean = F.when(known, (F.col("total") + F.col("n")) / F.col("all")).otherwise(1.0)
+    scored = _beside(samples.where("label IS NOT NULL"), support).select("label", "sample", mean.alias("mean_similarity"), (F.col("hits") + (copies if support <= 1 else 0)).alias("support"), "text")
+    # Texts of equal mean compare by their least samples, and a text's samples are equal, so the first text's is the first sample.
+    best = scored.groupBy("label").agg(F.min_by(F.struct("sample", "mean_similarity", "support", "text"), F.struct(-F.round("mean_similarity", 9), F.col("sample"))).alias("_b"))
+    return best.select("_b.sample", "label", "_b.mean_similarity", "_b.support", "_b.text")
 
 
 def diverse_templates(samples: DataFrame, most: int = 2, support: int = 2, diversity: float = 0.85) -> DataFrame:
     """label, rank, sample, mean_similarity, support: up to `most` templates a label, its normal variants.
 
     Candidates are ordered by their mean similarity to the label's other samples (1 if there are none), then by how many
-    samples, themselves included, are at least `diversity` alike, then by name. The first is taken; a later one needs the
+    samples, themselves included, are at least `diversity` (at most 1) alike, then by name. The first is taken; a later one needs the
     given support, and to be less alike than `diversity` to all taken before. One round for each template.
     """
-    half = text_pairs(samples, True)
-    both = half.select(F.col("label_a").alias("label"), F.col("sample_a").alias("sample"), F.col("sample_b").alias("other"), "similarity").unionByName(half.select(F.col("label_a").alias("label"), F.col("sample_b").alias("sample"), F.col("sample_a").alias("other"), "similarity"))
-    scored = both.groupBy("label", "sample").agg(F.avg("similarity").alias("m"), F.count_if(F.col("similarity") >= diversity).alias("n"))
-    candidates = samples.select("label", "sample").join(scored, ["label", "sample"], "left").select("label", "sample", F.coalesce("m", F.lit(1.0)).alias("mean_similarity"), (F.coalesce("n", F.lit(0)) + 1).alias("support"))
-    order = Window.partitionBy("label").orderBy(F.desc(F.round("mean_similarity", 9)), F.desc("support"), "sample")
-    first = lambda rest, rank: rest.withColumn("rank", F.row_number().over(order)).where("rank = 1").withColumn("rank", F.lit(rank))
-    taken = first(candidates, 1)
-    alike = both.where(F.col("similarity") >= diversity)
+    others = F.col("all") - 1
+    mean = F.when(F.col("text").isNotNull() & (others > 0), (F.col("total") + F.col("n") - 1) / F.nullif(others, F.lit(0))).otherwise(1.0)
+    copies = F.when(F.col("text").isNotNull(), F.col("n")).otherwise(1)
+    candidates = checkpointed(_beside(samples, diversity).select("label", "sample", "text", mean.alias("mean_similarity"), (F.col("hits") + copies).alias("support")))
+    order = F.struct(-F.round("mean_similarity", 9), -F.col("support"), F.col("sample"))
+
+    def first(rest: DataFrame, rank: int) -> DataFrame:
+        best = rest.groupBy("label").agg(F.min_by(F.struct("sample", "text", "mean_similarity", "support"), order).alias("_b"))
+        return checkpointed(best.select("label", F.lit(rank).alias("rank"), "_b.*"))
+
+    taken, last, rest = first(candidates, 1), None, candidates.where(F.col("support") >= support)
     for rank in range(2, most + 1):
-        near = alike.join(taken.select("label", F.col("sample").alias("other")), ["label", "other"]).select("label", "sample").unionByName(taken.select("label", "sample"))
-        taken = taken.unionByName(first(candidates.where(F.col("support") >= support).join(near, ["label", "sample"], "left_anti"), rank))
+        last = taken if last is None else last
+        new = last.select(F.col("label").alias("_l"), F.col("sample").alias("_s"), F.col("text").alias("_t"))
+        near = (F.col("sample") == F.col("_s")) | F.coalesce(alike(F.col("text"), F.col("_t")) >= diversity, F.lit(False))
+        rest = rest.join(F.broadcast(new), F.col("label").eqNullSafe(F.col("_l")), "left").withColumn("_near", F.coalesce(near, F.lit(False))).where(~F.col("_near")).drop("_l", "_s", "_t", "_near")
+        last = first(rest, rank)
+        taken = taken.unionByName(last)
     return taken.select("label", "rank", "sample", "mean_similarity", "support")
 
 
 def match_templates(samples: DataFrame, templates: DataFrame) -> DataFrame:
     """sample, label (its own), best label and similarity, runner-up and margin; different texts meet the small template table once."""
     texts = samples.select("text").distinct().crossJoin(F.broadcast(templates.select(F.col("label").alias("best"), F.col("text").alias("_t"))))
-    per = texts.groupBy("text", "best").agg(F.max(edit_similarity(F.col("text"), F.col("_t"))).alias("similarity"))
+    per = texts.withColumn("_s", alike(F.col("text"), F.col("_t"))).groupBy("text", "best").agg(F.max("_s").alias("similarity"))
     w = Window.partitionBy("text").orderBy(F.desc("similarity"), "best")
     ranked = per.withColumns({"_r": F.row_number().over(w), "second": F.lead("similarity").over(w)}).where("_r = 1")
     return samples.join(ranked.select("text", "best", "similarity", (F.col("similarity") - F.coalesce("second", F.lit(0.0))).alias("margin")), "text").select("sample", "label", "best", "similarity", "margin")
 
 
 def leave_one_out(samples: DataFrame) -> DataFrame:
-    """sample, label, best: the label of the most similar other sample, ties to the least label."""
-    pairs = text_pairs(samples, True).unionByName(text_pairs(samples, False))
-    both = pairs.select(F.col("sample_a").alias("sample"), F.col("label_b").alias("best"), "similarity").unionByName(pairs.select(F.col("sample_b").alias("sample"), F.col("label_a").alias("best"), "similarity"))
-    top = both.groupBy("sample").agg(F.min_by("best", F.struct(-F.col("similarity"), F.col("best"))).alias("best"))
-    return samples.select("sample", "label").join(top, "sample", "left")
+    """sample, label, best: the label of the most similar other sample, ties to the least label. Each pair of blocks of different texts tells the
+    best of its texts, not its pairs."""
+    texts = different_texts(samples).where("label IS NOT NULL AND text IS NOT NULL")
+
+    def fold(a: pa.Table, b: pa.Table, similarity: np.ndarray, same: bool) -> pa.Table:
+        labels, (x, y) = _coded(a["label"], b["label"])
+        if same:
+            np.fill_diagonal(similarity, -1)
+        out = []
+        for rows, near, other in ((a, similarity, y),) if same else ((a, similarity, y), (b, similarity.T, x)):
+            top = near.max(axis=1, initial=-1.0)
+            best = np.where(near == top[:, None], other[None, :], len(labels)).min(axis=1, initial=len(labels))
+            told = np.flatnonzero(top >= 0)
+            out.append(rows.select(["label", "sample"]).take(told).append_column("similarity", pa.array(top[told])).append_column("best", labels.take(pa.array(best[told]))))
+        return pa.concat_tables(out)
+
+    label = _kind(samples, "label")
+    found = by_blocks(texts.select("label", "text", "sample"), fold, f"label {label}, sample {_kind(samples, 'sample')}, similarity double, best {label}", False)
+    copies = texts.where("n > 1").select("label", "sample", F.lit(1.0).alias("similarity"), F.col("label").alias("best"))
+    top = found.unionByName(copies).groupBy("label", "sample").agg(F.min_by("best", F.struct(-F.col("similarity"), F.col("best"))).alias("best"))
+    named = texts.join(top, ["label", "sample"], "left").select("label", "text", "best")
+    return samples.select("sample", "label", "text").join(named, ["label", "text"], "left").select("sample", "label", "best")
 
 
 def leave_one_out_templates(samples: DataFrame) -> DataFrame:
@@ -247,7 +336,7 @@ def score_task_steps(steps: DataFrame, samples: DataFrame, templates: DataFrame,
     rows = rows.join(F.broadcast(graph.select(F.col("action").alias("_previous"), "successors")), "_previous", "left").crossJoin(F.broadcast(starts))
     rows = rows.withColumn("_next", F.when(F.col("_previous").isNull(), F.col("_starts")).otherwise(F.coalesce("successors", F.array().cast("array<string>"))))
     # Different texts meet the small template table once; a step then picks among its valid actions.
-    scored = samples.select("text").distinct().crossJoin(F.broadcast(templates.select(F.col("label").alias("best"), F.col("text").alias("_t")))).groupBy("text", "best").agg(F.max(edit_similarity(F.col("text"), F.col("_t"))).alias("similarity"))
+    scored = samples.select("text").distinct().crossJoin(F.broadcast(templates.select(F.col("label").alias("best"), F.col("text").alias("_t")))).withColumn("_s", alike(F.col("text"), F.col("_t"))).groupBy("text", "best").agg(F.max("_s").alias("similarity"))
     lists = scored.groupBy("text").agg(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "best")).alias("_all"))
     top = F.array_min(F.filter("_all", lambda x: F.array_contains(F.col("_next"), x["best"])))
     out = rows.join(lists, "text").withColumn("_top", top).withColumns({"best": F.col("_top.best"), "similarity": F.coalesce(-F.col("_top.d"), F.lit(0.0)), "valid": F.array_contains("_next", F.col("action"))})
