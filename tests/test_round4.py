@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import conformance, edits, metrics, signals
+from tidewire.operators import conformance, edits, metrics, motion, signals
 from tidewire.plans import model_queries, sequence_queries, source_queries  # noqa: F401
 from tidewire.plans.registry import QUERIES, SQL
 
@@ -116,3 +116,12 @@ def test_no_pair_of_texts_is_a_row(spark):
     for made in (signals.separability(df), signals.medoid_templates(df), signals.leave_one_out(df)):
         assert "levenshtein" not in made._jdf.queryExecution().executedPlan().toString()
         assert made.count() in (1, 3000)
+
+
+def test_long_captures_are_segmented_on_all_cores(spark):
+    """A few texts from one partition: each is much work, so they are dealt out."""
+    texts = spark.createDataFrame([(str(i), "AB" * 20) for i in range(40)], "capture_id string, text string").coalesce(1)
+    templates = spark.createDataFrame([("x", 1, "ABAB", 4.0), ("y", 1, "BBBB", 4.0)], "label string, rank int, text string, mean_length double")
+    found = motion.segment_texts(texts, templates)
+    used = found.withColumn("p", F.spark_partition_id()).groupBy("capture_id").agg(F.min("p").alias("p")).select("p").distinct().count()
+    assert used >= 8 and found.groupBy("capture_id").count().count() == 40

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import models
+from ..sources.shared import checkpointed
 from . import signals, windows
 from .conformance import held
 from .metrics import label_thresholds
@@ -48,6 +49,7 @@ def fit_symbols(rows: DataFrame, columns: list[str], k: int = 8, seed: int = 7)
 
 def train_motion(rows: DataFrame, columns: list[str], k: int = 8, most: int = 2, q: float = 0.85, floor: float = 0.2, pad: float = 0.12) -> tuple[Symbols, dict[str, DataFrame]]:
     """Fit on window features (label, sample, window_idx, columns). The symbols' model, and tables: windows, sequences, templates, scores, thresholds, manifest."""
+    rows = checkpointed(rows)  # read for the statistics, the centers and the letters
     model = fit_symbols(rows, columns, k)
     lettered = model.apply(rows)
     texts = windows.compress_runs(lettered, ["label", "sample"], "window_idx", "symbol")
@@ -217,7 +219,10 @@ def segment_texts(texts: DataFrame, templates: DataFrame, transcript: list[str]
             rows = [(c, *s) for c, t in zip(b["capture_id"], b["text"], strict=True) for s in best_path(t or "", known, transcript)]
             yield pd.DataFrame(rows, columns=["capture_id", "label", "first", "last", "similarity"])
 
-    return texts.select(F.col("capture_id").cast("string").alias("capture_id"), "text").mapInPandas(run, SEGMENTS)
+    # Texts are few bytes and much work, so they are dealt out by number, which the adaptive planner leaves alone.
+    spark = texts.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return texts.select(F.col("capture_id").cast("string").alias("capture_id"), "text").repartition(tasks, "capture_id").mapInPandas(run, SEGMENTS)
 
 
 def segment_captures(method: str, texts: DataFrame, tables: dict[str, DataFrame], transcript: list[str] | None = None, commands: DataFrame | None = None, activity: DataFrame | None = None, least: float = 0.0) -> DataFrame:
