@@ -125,3 +125,9 @@ def test_long_captures_are_segmented_on_all_cores(spark):
     found = motion.segment_texts(texts, templates)
     used = found.withColumn("p", F.spark_partition_id()).groupBy("capture_id").agg(F.min("p").alias("p")).select("p").distinct().count()
     assert used >= 8 and found.groupBy("capture_id").count().count() == 40
+
+
+def test_models_read_the_texts_once(spark, sf_dir):
+    """The feature table that scalers and models pass over many times has no scan of documents in its plan."""
+    own, names = model_queries.text_table(spark, sf_dir)
+    assert "documents" not in own._jdf.queryExecution().executedPlan().toString() and own.count() > 0 and set(names) < set(own.columns)

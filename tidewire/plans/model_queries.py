@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.payload import text_statistics
 from ..operators import conformance, forests, metrics, motion, outliers, profiles, signals, windows
+from ..sources.shared import checkpointed
 from ..sources.tables import flat_features
 from .adapters import P, packets, table, with_sql
 from .profile_queries import candidates
@@ -59,7 +60,8 @@ def text_table(spark, sf_dir):
     """Labelled documents with numeric text features, label and key."""
     own = table(spark, sf_dir, "documents").where("text IS NOT NULL").join(table(spark, sf_dir, "labels"), "doc_id")
     stats = {k: v for k, v in text_statistics(F.col("text")).items() if not k.startswith("has_") and "ngrams" not in k}
-    return own.select("doc_id", F.col("quality").cast("double").alias("label"), *[v.alias(k) for k, v in stats.items()]), list(stats)
+    # Models read the table many times over; the texts are read once.
+    return checkpointed(own.select("doc_id", F.col("quality").cast("double").alias("label"), *[v.alias(k) for k, v in stats.items()])), list(stats)
 
 
 @query("x9_model_ensemble")
